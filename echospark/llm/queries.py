@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontamination, near_dedup, packing
 
-MODULES = (near_dedup,)
+MODULES = (decontamination, packing, near_dedup)
 
 
 def queries() -> dict:
