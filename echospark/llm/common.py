@@ -83,8 +83,8 @@ def bounded_sample(df: DataFrame, by: str, key: str, cap: int) -> DataFrame:
     All rows are counted; a group of n rows keeps those whose hash lies in the first
     cap / n of its range. The group counts are one row per value of `by`.
     """
-    sizes = df.groupBy(by).agg(F.count("*").alias("__n"))
-    ranked = df.join(sizes, F.col(by).eqNullSafe(sizes[by])).drop(sizes[by])
+    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    ranked = df.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
     share = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return ranked.filter(share < F.lit(float(cap)) / F.col("__n")).drop("__n")
 
