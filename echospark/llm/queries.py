@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing
+from . import decontamination, language, licenses, near_dedup, packing, quality, toxicity, url_filter, warc
 
-MODULES = (decontamination, packing, near_dedup)
+MODULES = (toxicity, url_filter, decontamination, packing, quality, warc, near_dedup, licenses, language)
 
 
 def queries() -> dict:
