@@ -8,11 +8,10 @@ collision-corrected Jaccard estimate of the compressed registers drops clear
 non-matches, and every remaining pair is verified on full shingle sets.
 
 Scale. Texts with equal sets are one class from the start. In a band bucket every
-class is paired with the smallest one; buckets of up to `SMALL` classes also give
-their other pairs. Larger buckets whose classes are not yet all connected are dealt
-again by the conjunction with every other band, and what is still open after that is
-joined exactly across components. So no link is lost, and copies are never expanded
-into all pairs.
+class is paired with the smallest one, and the verified links give first components.
+In buckets whose classes are not all connected yet, the classes outside the largest
+component are compared in blocks of bounded size, with that component first and then
+with all classes that are still apart. So no link between components is lost, and copies are never expanded into all pairs.
 
 Edge cases. Null, empty or blank texts have an empty set: n_shingles 0, linked with
 nothing, component_id is their own id. A text of fewer than k words is one shingle.
@@ -30,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Workspace, components, table
+from .common import Workspace, components, slices, table
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
-SMALL = 32
+#: Classes in a block of a bucket, and in a block of those outside its largest component.
+BLOCK, OUTER = 1024, 256
+#: Bytes of shingle sets in a block of a component.
+BLOCK_BYTES = 4 << 20
 #: Standard errors of the estimate that a pair may lie below the threshold and still be verified.
 MARGIN = 5.0
 
@@ -96,7 +98,7 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, raw = K.buffers(batch.column("text"))
             n, d1, d2, sig = [], [], [], []
             for s in shingle_sets(at, raw, k):
@@ -117,7 +119,7 @@ def _sketch(k: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, raw = K.buffers(batch.column("text"))
             n, d1, d2, body = [], [], [], []
             for s in shingle_sets(at, raw, k):
@@ -165,18 +167,125 @@ def _verified(percent: int):
     return run
 
 
-def _pairs_within(members: DataFrame) -> DataFrame:
-    """Pairs of classes of buckets(bucket..., cid): with the smallest of the bucket, and all of buckets of at most SMALL."""
-    stats = members.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min("cid").alias("lead")).filter("size > 1")
-    star = members.join(stats, ["k1", "k2"])
-    small = star.filter(F.col("size").between(3, SMALL)).groupBy("k1", "k2").agg(F.sort_array(F.collect_list("cid")).alias("ids"))
-    rest = small.select(F.posexplode("ids").alias("i", "a"), "ids").select(
-        "a", F.explode(F.expr("slice(ids, i + 2, greatest(size(ids) - i - 1, 0))")).alias("b")
+def _stars(members: DataFrame) -> DataFrame:
+    """Of buckets(k1, k2, cid) the pairs of every class with the smallest class of its bucket."""
+    leads = members.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min("cid").alias("a")).filter("size > 1")
+    return members.join(leads, ["k1", "k2"]).filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+
+
+def _blocks(ws: Workspace, members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, main: bool) -> DataFrame:
+    """Classes a and components, where a is likely to reach a member of the component that shares a bucket with it.
+
+    In each bucket the classes outside its largest component are held against that
+    component (main) or against all of its classes. Both sides are dealt into blocks of bounded size by a hash of the class, so
+    that a bucket of any size is many small tasks. A task reports a component once for
+    each class, however many of its members are likely.
+    """
+    named = members.join(labels, members.cid == labels.node, "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"))
+    named = ws.write(named, "named")
+    parts = named.groupBy("k1", "k2", "label").agg(F.count("*").alias("c"))
+    open_ = (
+        parts.groupBy("k1", "k2")
+        .agg(F.sum("c").alias("size"), F.count("*").alias("parts"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
+        .filter("parts > 1 and size > 2")
+    )
+    full = named.join(open_, ["k1", "k2"]).join(classes.select("cid", "n", "sig"), "cid")
+    slot = lambda n, size: F.pmod(F.xxhash64("cid", F.lit(size)), F.ceil(n / F.lit(float(size))).cast("long"))
+    item = F.struct("cid", "label", "n", "sig", (F.col("label") != F.col("main")).alias("outer"))
+    full = ws.write(
+        full.select("k1", "k2", "label", "main", item.alias("item"), slot(F.col("size"), BLOCK).alias("s"), slot(F.col("size") - F.col("most"), OUTER).alias("o")),
+        "open",
     )
-    return star.filter("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).union(rest).distinct()
+    y = (full.filter(F.col("label") == F.col("main")) if main else full).groupBy("k1", "k2", "s").agg(F.collect_list("item").alias("ys"))
+    x = full.filter("label <> main").groupBy("k1", "k2", "o").agg(F.collect_list("item").alias("xs"))
+    return x.join(y, ["k1", "k2"]).select("k1", "xs", "ys").mapInArrow(_likely_in_blocks(percent), "a long, label long").distinct()
+
+
+def _unpacked(items: pa.Array) -> tuple[np.ndarray, ...]:
+    get = lambda name: items.field(name).to_numpy(zero_copy_only=False)
+    sig = items.field("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, REGISTERS)
+    return get("cid"), get("label"), get("n"), get("outer"), sig
+
 
+def _likely_in_blocks(percent: int):
+    """k1, xs, ys -> a of xs and label of ys where the estimate lets a pair pass, at the first band that it shares."""
+    threshold = percent / 100
 
-def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band, out_a, out_b = batch.column("k1")[i].as_py(), [], []
+                xc, xl, xn, _, xs = _unpacked(batch.column("xs")[i].values)
+                yc, yl, yn, yo, ys = _unpacked(batch.column("ys")[i].values)
+                y_used, y_bands = ys > 0, ys.view(np.int64)
+                for k in range(len(xc)):
+                    ok = (yl != xl[k]) & (~yo | (yc > xc[k])) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
+                    at = np.flatnonzero(ok)
+                    if not len(at):
+                        continue
+                    x_bands = xs[k].view(np.int64)
+                    first = ((y_bands[at] == x_bands) & (x_bands != 0)).argmax(axis=1)
+                    at = at[first == band]
+                    if not len(at):
+                        continue
+                    used = (y_used[at] | (xs[k] > 0)).sum(axis=1)
+                    same = ((ys[at] == xs[k]) & (xs[k] > 0)).sum(axis=1)
+                    j = (same - expected_collisions(yn[at], np.full(len(at), xn[k]))) / np.maximum(used, 1)
+                    at = at[j >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))]
+                    reached = np.unique(yl[at])
+                    out_a.append(np.full(len(reached), xc[k]))
+                    out_b.append(reached)
+                if out_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "label"])
+
+    return run
+
+
+def _reached(percent: int):
+    """xs, ys (cid, elements) -> for each x the first y whose full set reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                xs, ys, out = batch.column("xs")[i].values, batch.column("ys")[i].values, []
+                body = [np.frombuffer(e.as_buffer(), dtype=np.uint64) for e in ys.field("elements")]
+                cid, size = ys.field("cid").to_numpy(), np.asarray([len(e) for e in body])
+                flat, at = np.concatenate(body), np.r_[0, np.cumsum(size)[:-1]]
+                for a, e in zip(xs.field("cid").to_pylist(), xs.field("elements"), strict=True):
+                    x = np.frombuffer(e.as_buffer(), dtype=np.uint64)
+                    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+                    common = np.add.reduceat(hit, at, dtype=np.int64)
+                    ok = np.flatnonzero((100 * common >= percent * (size + len(x) - common)) & (cid != a))
+                    if len(ok):
+                        out.append((a, int(cid[ok[0]])))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _confirm_members(ws: Workspace, docs: DataFrame, classes: DataFrame, labels: DataFrame, near: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes and components of near(a, label): one for each pair that has any, by full sets.
+
+    Sets are dealt into blocks of about `BLOCK_BYTES`, so that a component of any size is
+    many tasks of bounded size.
+    """
+    near = ws.write(near, "near")
+    named = classes.join(labels, classes.cid == labels.node, "left").select("cid", F.coalesce("label", "cid").alias("label"))
+    members = ws.write(named.join(near.select("label").distinct(), "label", "left_semi"), "members")
+    sets = _sets_of(ws, docs, classes, members.select("cid").union(near.select("a")).distinct(), k)
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.join(sets, "cid").withColumn("bytes", F.octet_length("elements"))
+        total = rows.groupBy("label").agg(F.sum("bytes").alias("total"))
+        slot = F.pmod(F.xxhash64("cid", F.lit(name)), F.ceil(F.col("total") / F.lit(float(BLOCK_BYTES))).cast("long"))
+        blocks = rows.join(total, "label").withColumn(f"slot_{name}", slot).groupBy("label", f"slot_{name}")
+        return blocks.agg(F.collect_list(F.struct("cid", "elements")).alias(name))
+
+    xs, ys = dealt(near.select(F.col("a").alias("cid"), "label"), "xs"), dealt(members, "ys")
+    return xs.join(ys, "label").select("xs", "ys").mapInArrow(_reached(percent), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per document."""
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
@@ -194,35 +303,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     buckets = ws.write(
         classes.select("cid", F.posexplode("sig").alias("k1", "k2")).filter("k2 <> 0").select("cid", "k1", "k2"), "bands"
     )
-    found, labels, pairs = [], None, _pairs_within(buckets)
-    for level in range(3):
-        links = ws.write(_confirm(ws, docs, classes, pairs, k, percent), "links")
-        found.append(links)
-        edges = found[0] if len(found) == 1 else found[0].union(found[1]) if len(found) == 2 else found[0].union(found[1]).union(found[2])
-        labels = components(ws, edges)
-        if level == 2:
-            break
-        named = buckets.join(labels, buckets.cid == labels.node, "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"))
-        open_ = ws.write(
-            named.groupBy("k1", "k2")
-            .agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .filter(f"size > {SMALL} and lo <> hi")
-            .select("k1", "k2"),
-            "open",
-        )
-        if not open_.limit(1).count():
-            break
-        again = named.join(open_, ["k1", "k2"], "left_semi")
-        if level == 0:
-            other = classes.select("cid", F.posexplode("sig").alias("j", "v")).filter("v <> 0")
-            buckets = ws.write(
-                again.join(other, "cid").filter("j <> k1").select("cid", F.xxhash64("k1", "k2").alias("k1"), F.xxhash64("j", "v").alias("k2")),
-                "refined",
-            )
-            pairs = _pairs_within(buckets)
-        else:
-            x, y = again, again.select("k1", "k2", F.col("cid").alias("b"), F.col("label").alias("label_b"))
-            pairs = x.join(y, ["k1", "k2"]).filter("cid < b and label <> label_b").select(F.col("cid").alias("a"), "b").distinct()
+    links = ws.write(_confirm(ws, docs, classes, _likely_pairs(classes, _stars(buckets), percent), k, percent), "links")
+    labels = components(ws, links)
+    for main in (True, False):
+        near = _blocks(ws, buckets, labels, classes, percent, main)
+        more = ws.write(_confirm_members(ws, docs, classes, labels, near, k, percent), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = components(ws, links)
     heads = (
         classes.join(labels, classes.cid == labels.node)
         .groupBy("label")
@@ -245,12 +333,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     )
 
 
-def _confirm(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs those whose full sets reach the threshold."""
+def _likely_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) those whose sizes and registers allow the threshold."""
     side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    likely = ws.write(sized.mapInArrow(_likely(percent / 100), "a long, b long"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    return sized.mapInArrow(_likely(percent / 100), "a long, b long")
+
+
+def _sets_of(ws: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """cid, elements: the full shingle sets of wanted(cid), taken from the texts again."""
     heads = ws.write(classes.join(wanted, "cid").select("cid", "d1", "d2", "n", "least"), "wanted")
     texts = docs.join(heads.select("least").distinct(), docs.doc_id.eqNullSafe(F.col("least")), "left_semi").select("text")
     sets = (
@@ -259,20 +350,26 @@ def _confirm(ws: Workspace, docs: DataFrame, classes: DataFrame, pairs: DataFram
         .groupBy("cid")
         .agg(F.any_value("elements").alias("elements"))
     )
-    sets = ws.write(sets, "sets")
+    return ws.write(sets, "sets")
+
+
+def _confirm(ws: Workspace, docs: DataFrame, classes: DataFrame, likely: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of candidate pairs those whose full sets reach the threshold."""
+    likely = ws.write(likely, "likely")
+    sets = _sets_of(ws, docs, classes, likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k)
     a = sets.select(F.col("cid").alias("a"), F.col("elements").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("elements").alias("set_b"))
     return likely.join(a, "a").join(b, "b").mapInArrow(_verified(percent), "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the documents that are not the smallest id of their component; columns stay as they are."""
     keep = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(keep, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
 QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup}
