@@ -1,0 +1 @@
+"""Column functions: decibels, labels, dates, keyed random numbers."""

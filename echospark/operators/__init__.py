@@ -1,0 +1 @@
+"""Operators on survey tables."""

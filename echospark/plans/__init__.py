@@ -1,0 +1 @@
+"""Plans: jobs built from operators, and the registered queries."""
