@@ -1,0 +1 @@
+"""Streaming jobs."""
