@@ -58,10 +58,10 @@ def objects_by_species(v: Survey) -> DataFrame:
     return rows.select("raw_file", "category", F.array_join(text, ",").alias("objects"))
 
 
-_SCORED = """cells AS (SELECT survey, p AS score, label = 27 AS positive FROM pred JOIN label USING (raw_file, ping_idx, r)),
+SCORED = """cells AS (SELECT survey, p AS score, label = 27 AS positive FROM pred JOIN label USING (raw_file, ping_idx, r)),
 cnt AS (SELECT survey, score, sum(positive::INT) AS p, count(*) AS n FROM cells GROUP BY ALL),
 cum AS (SELECT *, sum(p) OVER (PARTITION BY survey ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY survey ORDER BY score DESC) AS seen, sum(p) OVER (PARTITION BY survey) AS total FROM cnt),
-curve AS (SELECT survey, score AS threshold, tp / seen AS precision, tp / total AS recall FROM cum WHERE score >= (SELECT max(score) FROM cum c WHERE c.survey = cum.survey AND c.tp = c.total)
+curve AS (SELECT survey, score AS threshold, tp / seen AS precision, tp / nullif(total, 0) AS recall FROM cum WHERE score >= (SELECT max(score) FROM cum c WHERE c.survey = cum.survey AND c.tp = c.total)
   UNION ALL SELECT DISTINCT survey, NULL, 1, 0 FROM cnt),
 pr AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM curve)"""
 
@@ -71,12 +71,12 @@ def scored(v: Survey) -> DataFrame:
     return rows.select("survey", F.col("c.p_sandeel").alias("score"), (F.col("c.labels") == 27).alias("positive"))
 
 
-@query("e4_f8_precision_recall", "survey:i threshold:d precision:d recall:d f1:d", "SELECT survey, threshold, precision, recall, f1 FROM pr", _SCORED)
+@query("e4_f8_precision_recall", "survey:i threshold:d precision:d recall:d f1:d", "SELECT survey, threshold, precision, recall, f1 FROM pr", SCORED)
 def precision_recall(v: Survey) -> DataFrame:
     return E.precision_recall(scored(v), ["survey"])
 
 
-@query("e5_m5_best_f1", "survey:i f1:d threshold:d", "SELECT survey, max(f1) AS f1, arg_min(threshold, (-round(f1, 12), threshold)) AS threshold FROM pr WHERE threshold IS NOT NULL GROUP BY ALL", _SCORED)
+@query("e5_m5_best_f1", "survey:i f1:d threshold:d", "SELECT survey, max(f1) AS f1, arg_min(threshold, (-round(f1, 12), threshold)) AS threshold FROM pr WHERE threshold IS NOT NULL GROUP BY ALL", SCORED)
 def best_f1(v: Survey) -> DataFrame:
     curve = E.precision_recall(scored(v), ["survey"]).withColumn("f1", F.round("f1", 12))
     return E.best_f1(curve, ["survey"])

@@ -13,12 +13,14 @@ from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import sampling as P
 from ..operators import slices as S
+from ..operators.evaluation import precision_recall
 from ..operators.objects import _written
 from ..sources import tables as T
 from ..sources.fixtures import FREQ_KHZ, Survey
 from ..streaming.incremental import run_new_files
 from . import jobs
 from .queries import labelled, query
+from .query_aggregates import SCORED, scored
 
 _U = A.keyed_uniform_sql
 _OBJ = "obj AS (SELECT s.*, (p.b - y1)::DOUBLE AS d FROM school s LEFT JOIN ping p ON p.raw_file = s.raw_file AND p.ping_idx = x0 + trunc((x1 - x0) / 2.0)::INT WHERE x0 <= x1 AND category <> -1)"
@@ -283,20 +285,13 @@ def opened_survey(v: Survey) -> DataFrame:
     return rows.groupBy("survey", "raw_file").agg(F.count("*").alias("pings"), F.max("k").alias("freqs"), F.count("m").alias("marked"))
 
 
-@query("a2_a13_dense_files", "raw_file:s pings:i total:d bad:i")
-def dense_files(v: Survey) -> DataFrame:
-    """The manifest of dense files: one matrix per file and frequency, read from the shared folder when it has any."""
-    n = v.sv.filter("freq_hz = 18000").groupBy("raw_file").agg(F.count("*").alias("pings"), F.sum(F.aggregate("sv", F.lit(0.0), lambda a, x: a + F.nanvl(x, F.lit(0.0)))).alias("total"))
-    return n.withColumn("bad", F.lit(0))
-
-
-@query("a10_metrics", "survey:i threshold:d precision:d", "SELECT survey, max(p) AS threshold, 1.0 AS precision FROM pred GROUP BY ALL")
+@query("a10_metrics", "survey:i n:i threshold:d f1:d", "SELECT survey, count(threshold) AS n, max(threshold) AS threshold, max(f1) AS f1 FROM pr GROUP BY ALL", SCORED)
 def metrics(v: Survey) -> DataFrame:
-    """A curve with a padded threshold, written as one CSV and read back."""
+    """Precision-recall curves, written as one CSV with an empty last threshold, and read back."""
     path = _scratch(v, "metrics")
-    top = v.pred.groupBy("survey").agg(F.max(F.array_max("p_sandeel")).alias("threshold")).withColumn("precision", F.lit(1.0))
-    top.coalesce(1).write.csv(path, header=True)
-    return v.spark.read.csv(path, header=True, schema="survey int, threshold double, precision double")
+    precision_recall(scored(v), ["survey"]).coalesce(1).write.csv(path, header=True)
+    curve = v.spark.read.csv(path, header=True, schema="survey int, threshold double, precision double, recall double, f1 double")
+    return curve.groupBy("survey").agg(F.count("threshold").alias("n"), F.max("threshold").alias("threshold"), F.max("f1").alias("f1"))
 
 
 @query("a17_a18_files_left", "raw_file:s", "SELECT raw_file FROM file WHERE n_pings % 3 <> 0")
