@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,41 @@ class Workspace:
                     path.getFileSystem(conf).delete(path, True)
 
 
+#: Slots of a bit set: its size, 2 MB, does not depend on the data.
+BITS = 24
+
+
+def slot_of(*keys: str | Column) -> Column:
+    """A slot of a bit set for a key; equal keys, nulls included, have equal slots."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << BITS)).cast("int")
+
+
+def bit_set(slots: DataFrame) -> np.ndarray:
+    """The slots of a one-column DataFrame as packed bits. At most 2**18 words reach the driver, whatever the input."""
+    s = F.col(slots.columns[0])
+    words = slots.groupBy(F.shiftright(s, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {slots.columns[0]} & 63)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bit_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def may_match(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose `column` may be among the first column of ids, by a bit set; no row that is among them is lost."""
+    shared = df.sparkSession.sparkContext.broadcast(bit_set(ids.select(slot_of(ids.columns[0]).alias("slot"))))
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            own = in_bit_set(shared.value, batch.column("__slot").to_numpy().astype(np.int64))
+            yield batch.filter(pa.array(own)).select(names)
+
+    return df.withColumn("__slot", slot_of(column)).mapInArrow(run, df.schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that a task's arrays stay small."""
     for batch in batches:
