@@ -8,8 +8,9 @@ offset and intersected, the rarest first, which leaves candidate starts. Pass 3
 each candidate on the document's whole token stream, so exact phrases are exact.
 `proximity_matches` uses the same index for terms within a given span.
 
-Scale. The only thing sent to all tasks is a bitmap of fixed size (2**23 bits) that
-says which terms may be of interest; false members cost a few rows and change nothing.
+Scale. The only things sent to all tasks are bit sets of fixed size (2 MB) that say
+which terms, and which documents, may be of interest; false members cost a few rows and
+change nothing. Texts are shuffled for documents with candidates only.
 Postings, candidates and hits are shuffled by term and document; a term in a third of
 all documents is one row per document, and joins on it are plain equi-joins that
 adaptive execution splits. The benchmark may be of any size.
@@ -31,11 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Workspace, table
+from .common import BITS, Workspace, bit_set, in_bit_set, slices, slot_of, table
 
 WINDOW = 13
 ANCHORS = 3
-BITS = 23
 
 
 def _windows(size: int):
@@ -63,18 +63,12 @@ def _windows(size: int):
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
-    """Which of 2**BITS slots hold a term; gathers at most that many slot numbers, whatever the input."""
-    slots = terms.select(F.shiftrightunsigned("term", 64 - BITS).cast("int").alias("slot")).distinct()
-    found = np.zeros(1 << BITS, dtype=bool)
-    packed = slots.groupBy((F.col("slot") / 4096).cast("int").alias("page")).agg(F.collect_set("slot").alias("slots"))
-    for row in packed.toLocalIterator():
-        found[np.asarray(row.slots, dtype=np.int64)] = True
-    return np.packbits(found)
+    """The bit set of terms(term), by the top bits of the hash."""
+    return bit_set(terms.select(F.shiftrightunsigned("term", 64 - BITS).cast("int").alias("slot")))
 
 
 def _members(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    return in_bit_set(bitmap, (hashes >> np.uint64(64 - BITS)).astype(np.int64))
 
 
 def _counts(shared):
@@ -82,7 +76,7 @@ def _counts(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
-        for batch in batches:
+        for batch in slices(batches, 2048):
             _, hashes = K.word_hashes(*K.buffers(batch.column("text")), K.ALNUM_LOWER)
             terms, n = np.unique(hashes[_members(bitmap, hashes)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
@@ -95,7 +89,7 @@ def _postings(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             words, hashes = K.word_hashes(*K.buffers(batch.column("text")), K.ALNUM_LOWER)
             at = np.flatnonzero(_members(bitmap, hashes))
             doc = np.searchsorted(words, at, side="right") - 1
@@ -153,6 +147,20 @@ def candidates(ws: Workspace, docs: DataFrame, windows: DataFrame, anchors: int
     return found.select("window", "length", "doc_id", F.filter("starts", lambda s: s >= 0).alias("starts")).filter(F.size("starts") > 0)
 
 
+def _counted(shared):
+    """slot, doc_id, text -> doc_id, n_words, and the text where the document may have candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in slices(batches):
+            words, _ = K.word_hashes(*K.buffers(batch.column("text")), K.ALNUM_LOWER)
+            may = in_bit_set(bits, batch.column("slot").to_numpy().astype(np.int64))
+            text = batch.column("text").take(pa.array(np.arange(batch.num_rows), mask=~may))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words)), text], ["doc_id", "n_words", "text"])
+
+    return run
+
+
 _JUDGED = T.StructType(
     [
         T.StructField("row", T.LongType()),
@@ -165,7 +173,7 @@ _JUDGED = T.StructType(
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, doc_id, text, hits[(window, length, starts)] -> words, confirmed hit words and windows."""
+    """row, doc_id, n_words, text, hits[(window, length, starts)] -> confirmed hit words and windows."""
     found_type = pa.list_(pa.struct([("window", pa.int64()), ("length", pa.int32())]))
     for batch in batches:
         words, hashes = K.word_hashes(*K.buffers(batch.column("text")), K.ALNUM_LOWER)
@@ -191,7 +199,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_hit.append(int((np.cumsum(edge)[:-1] > 0).sum()))
             found.append([{"window": w, "length": n} for w, n in sorted(seen)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(words)), pa.array(n_hit, pa.int64()), pa.array(found, found_type)],
+            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(found, found_type)],
             ["row", "doc_id", "n_words", "n_hit", "found"],
         )
 
@@ -207,9 +215,11 @@ def exact_matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, size: in
     hits = ws.write(
         hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("window", "length", "starts")).alias("hits")), "hits"
     )
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(hits.select(slot_of("__doc").alias("slot"))))
+    counted = docs.select(slot_of("doc_id").alias("slot"), "doc_id", "text").mapInArrow(_counted(shared), "doc_id long, n_words long, text string")
     judged = (
-        docs.join(hits, docs.doc_id.eqNullSafe(F.col("__doc")), "left")
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "hits")
+        counted.join(hits, counted.doc_id.eqNullSafe(F.col("__doc")), "left")
+        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "text", "hits")
         .mapInArrow(_judge, _JUDGED)
     )
     return ws.write(judged, "judged"), owners.select("window", "length", "item_id").distinct()
