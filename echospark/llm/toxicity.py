@@ -10,11 +10,12 @@ linear classifier over words and word beginnings, which scores every whole text.
 
 Held-out rows (crc32 of the id modulo `FOLDS` is 0) never give a label to anything.
 
-Scale. Feature counts cover all labelled training rows and are aggregated in the tasks
-before they are shuffled. Only features that pass a significance test are kept, at most
-`MAX_FEATURES`. The label model sees one row per vote pattern. The classifier is fitted on
-the driver from the kept features (not the texts) of at most about `TRAIN_CAP` rows of each
-label value, chosen by a hash of the id. Scoring is one pass without a shuffle.
+Scale. Everything is learned from at most about `TRAIN_CAP` labelled rows of each label
+value, chosen by a hash of the id; a bit set of fixed size picks their texts, so no other
+text is shuffled. Feature counts are aggregated in the tasks first. Only features that pass
+a significance test are kept, at most `MAX_FEATURES`. The label model sees one row per vote
+pattern, the classifier the kept features (not the texts) of the sample. Scoring is one
+pass over all documents without a shuffle.
 
 Edge cases. Null and empty texts have no features and get the score of the intercept, below
 0.5 as toxic texts are the rarer kind. Without labels of both kinds only the stated voters
@@ -32,12 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import Workspace, bounded_sample, crc_mod, table
+from .common import Workspace, bounded_sample, crc_mod, may_match, slices, table
 
 FOLDS = 5
 TRAIN_CAP = 20_000
 MAX_FEATURES = 50_000
 MIN_POSITIVES = 3
+#: Least log odds of a feature that stands for toxic texts.
+MIN_ODDS = 4.0
+#: How often the annotation marks a toxic text at least, and a clean text at most.
+TRUST = (0.95, 0.02)
 PREFIXES = (4, 5, 6)
 #: Voters made of induced lexicons; each holds the features of one hash class.
 INDUCED = 6
@@ -100,7 +105,7 @@ def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, toxic -> feature, toxic and other texts of this batch with it."""
-    for batch in batches:
+    for batch in slices(batches, 2048):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
         doc, feature = _distinct(*features(*K.buffers(batch.column("text"))))
         names, back = np.unique(feature, return_inverse=True)
@@ -132,7 +137,7 @@ def telling(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ws = Workspace(rows.sparkSession, "toxicity")
     tested = ws.write(counts.select("feature", g.alias("g"), odds.alias("odds")), "tested")
     limit = 2 * np.log(max(tested.count(), 2))
-    best = tested.filter((F.col("odds") > 1) & (F.col("g") > float(limit))).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).toArrow()
+    best = tested.filter((F.col("odds") > MIN_ODDS) & (F.col("g") > float(limit))).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).toArrow()
     names = best.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(names)
     return names[order], best.column("odds").to_numpy()[order]
@@ -171,13 +176,17 @@ class LabelModel:
     """Two-class generative model of votes with class-conditional rates and correlation discounts."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, trusted: int, rounds: int = 50) -> None:
-        """patterns: distinct vote rows; trusted: the column of the annotation, which starts the estimates."""
+        """patterns: distinct vote rows; trusted: the column of the annotation, which starts the estimates and is held to TRUST."""
         x, w = patterns.astype(float), counts.astype(float)
         post = np.where(patterns[:, trusted] > 0, 0.9, 0.1)
+        marked = (w * x[:, trusted]).sum() / max(w.sum(), 1)
         for _ in range(rounds):
-            self.prior = float(np.clip((w * post).sum() / max(w.sum(), 1), 0.01, 0.5))
+            self.prior = float(np.clip((w * post).sum() / max(w.sum(), 1), max(marked / 2, 1e-4), min(2 * marked + 1e-4, 0.5)))
             self.rate = np.stack([self._rates(x, w * p) for p in (1 - post, post)])
+            self.rate[1, trusted] = max(self.rate[1, trusted], TRUST[0])
+            self.rate[0, trusted] = min(self.rate[0, trusted], TRUST[1])
             self.weight = self._discounts(x, w, post)
+            self.weight[trusted] = 1
             post = self.posterior(patterns)
 
     @staticmethod
@@ -204,7 +213,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _fit_linear(indptr: np.ndarray, columns: np.ndarray, target: np.ndarray, size: int, start: np.ndarray, l2: float = 0.02, steps: int = 300):
+def _fit_linear(indptr: np.ndarray, columns: np.ndarray, target: np.ndarray, size: int, start: np.ndarray, l2: float = 0.01, steps: int = 1000):
     """Logistic regression on soft targets over binary sparse rows, by accelerated gradient steps."""
     rows = np.repeat(np.arange(len(target)), np.diff(indptr))
     w, b = start.copy(), float(np.log(max(target.mean(), 1e-3) / max(1 - target.mean(), 1e-3))) - 1.0
@@ -215,7 +224,7 @@ def _fit_linear(indptr: np.ndarray, columns: np.ndarray, target: np.ndarray, siz
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[columns], len(target)) + b, -30, 30)))
         gap = (p - target) / len(target)
-        g = (np.bincount(columns, gap[rows], size) + l2 * (w - start) / len(target)) * np.minimum(scale, 50)
+        g = (np.bincount(columns, gap[rows], size) + l2 * w / len(target)) * np.minimum(scale, 50)
         speed_w, speed_b = 0.9 * speed_w - rate * g, 0.9 * speed_b - rate * gap.sum()
         w, b = w + speed_w, b + speed_b
     return w, float(b)
@@ -242,15 +251,17 @@ def _stated() -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, folds: int = FOLDS) -> Model:
     """A model of labels(doc_id, toxic) over docs(doc_id, text); rows of fold 0 give no labels."""
     ws = Workspace(docs.sparkSession, "toxicity")
-    given = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != 0))
-    rows = ws.write(docs.select("doc_id", "text").join(given, "doc_id").select("doc_id", F.col("toxic").cast("int"), "text"), "labelled")
+    given = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != 0))
+    given = ws.write(bounded_sample(given, "toxic", "doc_id", cap), "given")
+    texts = may_match(docs.select("doc_id", "text"), "doc_id", given)
+    rows = ws.write(texts.join(given, "doc_id").select("doc_id", "toxic", "text"), "labelled")
     names, odds = telling(rows)
     stated = _stated()
     if not len(names):
         return Model(stated, np.full(len(stated), 3.0), -2.0)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, raw = K.buffers(batch.column("text"))
             seen = np.column_stack([votes(at, raw, names), batch.column("toxic").to_numpy(zero_copy_only=False) > 0]).astype(np.int8)
             doc, feature = features(at, raw)
@@ -266,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, folds: int =
     width = len(LEXICONS) + len(PATTERNS) + INDUCED + 1
     unpack = lambda col: np.frombuffer(b"".join(col.to_pylist()), dtype=np.int8).reshape(-1, width)
     label_model = LabelModel(unpack(tally.column("votes")), tally.column("count").to_numpy(), trusted=width - 1)
-    sample = bounded_sample(seen, "toxic", "doc_id", cap).orderBy("doc_id", "votes").select("votes", "features").toArrow()
+    sample = seen.orderBy("doc_id", "votes").select("votes", "features").toArrow()
     target = label_model.posterior(unpack(sample.column("votes")))
     lists = sample.column("features").combine_chunks()
     at = lists.offsets.to_numpy()
@@ -278,7 +289,7 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = model.score(*K.buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -292,7 +303,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(model.score(*K.buffers(batch.column(names.index("text")))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
