@@ -18,12 +18,13 @@ def each(profile: str | Column, f) -> Column:
 def db(x: Column) -> Column:
     """10 log10(x + 1e-10) with numpy's results at and below zero."""
     y = x.cast("double") + F.lit(EPS)
-    return F.when(y < 0, F.lit(NAN)).when(y == 0, F.lit(float("-inf"))).otherwise(10 * F.log10(y))
+    # the logarithm is null at and below zero; elsewhere y is evaluated once
+    return F.coalesce(10 * F.log10(y), F.when(y == 0, F.lit(float("-inf"))).otherwise(F.lit(NAN)))
 
 
 def clip(x: Column, low: float = FLOOR_DB, high: float = 0.0) -> Column:
-    """low <= x <= high; NaN stays NaN."""
-    return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(low)), F.lit(high)))
+    """low <= x <= high; NaN stays NaN, as it is above all numbers for greatest()."""
+    return -F.greatest(-F.greatest(x, F.lit(low)), F.lit(-high))
 
 
 def db_clipped(x: Column) -> Column:
@@ -36,7 +37,7 @@ def db_scaled(x: Column) -> Column:
 
 
 def is_finite(x: Column) -> Column:
-    return ~(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return F.abs(x) < F.lit(float("inf"))  # NaN is above infinity
 
 
 def without_non_finite(x: Column) -> Column:

@@ -166,6 +166,9 @@ def scatter_predictions(patches: DataFrame, labels_ignored: list[int] | None = N
 
 
 def dense_profile(cells: Column | str, field: str, n: int) -> Column:
-    """An array of n values from sorted entries (r, ...), 0 in the gaps."""
-    entries = F.map_from_entries(F.transform(cells, lambda c: F.struct(c["r"], c[field])))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.coalesce(F.element_at(entries, r), F.lit(0.0)))
+    """An array of n values from entries (r, ...) that ascend in r, 0 in the gaps; one pass over the entries."""
+    col = F.col(cells) if isinstance(cells, str) else cells
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    before = lambda i: F.when(i > 0, F.get(col, i - 1)["r"]).otherwise(-1)
+    filled = F.flatten(F.transform(col, lambda c, i: F.concat(zeros(c["r"] - before(i) - 1), F.array(c[field]))))
+    return F.concat(filled, zeros(F.lit(n - 1) - F.coalesce(F.get(col, F.size(col) - 1)["r"], F.lit(-1))))
