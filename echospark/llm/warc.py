@@ -10,8 +10,8 @@ payload, and joins revisit records to their originals by digest.
 Scale. Payloads are never shuffled for the decision. The headers of the digests that
 occur more than once are the only thing that is joined to the pages; Spark broadcasts them
 while they are small and else shuffles by digest. Archives are the part files of one
-`text` write whose line separator is the record separator, `MAX_RECORDS` records at most in
-each, so that any store works and readers have bounded files.
+gzipped `text` write whose line separator is the record separator, `MAX_RECORDS` records at
+most in each, so that any store works and readers have bounded files.
 
 Edge cases. A null or empty html is an empty payload, always a response. Rows that repeat
 a page_id and a payload are all responses if theirs is the smallest id, else all revisits.
@@ -21,6 +21,7 @@ a url are percent-encoded in headers. An empty table writes no records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, table
 
 MIN_BYTES = 100
-MAX_RECORDS = 4_000
+MAX_RECORDS = 500
 RECORD_END = "\r\n\r\n"
 _NO_ID = 2**63 - 1
 
@@ -97,7 +98,7 @@ def records(pages: DataFrame, date: str, min_bytes: int = MIN_BYTES) -> DataFram
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = MIN_BYTES, max_records: int = MAX_RECORDS) -> None:
     """Writes pages as deduplicated WARC archives, several files, into the folder `path`."""
     out = records(pages, date, min_bytes).select("record")
-    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max_records).text(path)
+    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max_records).option("compression", "gzip").text(path)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +106,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "record_type", "refers_to", "stated_digest", "body_bytes", "body_digest"]
     for batch in batches:
         for content in batch.column("content"):
-            data, at, rows = memoryview(content.as_buffer()), 0, []
-            whole = content.as_buffer().to_pybytes()
+            at, rows, whole = 0, [], content.as_buffer().to_pybytes()
+            whole = gzip.decompress(whole) if whole[:2] == b"\x1f\x8b" else whole
+            data = memoryview(whole)
             while at < len(whole):
                 end = whole.index(b"\r\n\r\n", at)
                 lines = whole[at:end].decode().split("\r\n")
