@@ -8,19 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch between Spark and Python: texts are long, so batches hold fewer rows than Spark's default.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch between Spark and Python, and bytes of text that a task works on at a time.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 1_000, 4 << 20, 1 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to BATCH_ROWS, which bounds the memory of executors and Python workers."""
-    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Holds the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, which bounds the memory of executors and Python workers."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,10 +104,16 @@ def may_match(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`, so that a task's arrays stay small."""
+    """The same rows in batches of at most `rows` and, if there is a column `text`, about SLICE_BYTES of it."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        n, lo = batch.num_rows, 0
+        texts = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy() if "text" in batch.schema.names else np.zeros(n)
+        ends = np.cumsum(texts, dtype=np.int64)
+        while lo < n:
+            full = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, side="right"))
+            hi = max(lo + 1, min(lo + rows, full))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ REGISTERS, MANTISSA, BANDS = 128, 10, 32
 #: Classes in a block of a bucket, and in a block of those outside its largest component.
 BLOCK, OUTER = 1024, 256
 #: Bytes of shingle sets in a block of a component.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Standard errors of the estimate that a pair may lie below the threshold and still be verified.
 MARGIN = 5.0
 
