@@ -1,18 +1,19 @@
 """Operator 3: line deduplication by pairwise alignment.
 
-Method. Every line with a word is hashed. A line that several documents hold is owned by
-the earliest of them (the smallest doc_id). A later document is paired with the owners of
-its shared lines, the rarest lines first: a run of neighbouring shared lines, as a copied
-passage is, names the owner of its rarest line, and the owners of its other lines that are
-as long as a whole block. A pair is aligned with patience diff: lines that are unique on both sides
+Method. Every line with a word is hashed, and so is every window: from each line on, and up
+to each line, the shortest stretch of at least `MIN_WORDS` words. A window that several
+documents hold is owned by the earliest of them (the smallest doc_id). A later document is
+paired with the owners of all its windows. Any block of `MIN_WORDS` words that it has in
+common with an earlier document is made of such windows, so each line of the block stands
+in a window that a partner holds. A pair is aligned with patience diff: lines that are unique on both sides
 are matched in their longest common order, matches are extended over equal neighbours, and
 the gaps are aligned in the same way. Aligned common blocks of at least `MIN_WORDS` words
 are deleted from the later document. The earliest holder of a line never loses it to a
 later one, so no content is lost altogether.
 
-Scale. Lines are shuffled as hashes; owner and frequency of a line are aggregated before
-the shuffle. A document names at most one owner for each of its lines, so pairs grow with
-the lines, not with the square of a line's frequency. Line lists of pairs (not texts) are joined;
+Scale. Windows are shuffled as hashes; the owner of a window is aggregated before the
+shuffle. A document names at most two owners for each of its lines, so pairs grow with the
+lines, not with the square of a window's frequency. Line lists of pairs (not texts) are joined;
 a popular owner is one row on its side, so adaptive execution can split the other side.
 
 Edge cases. Null and empty texts have no lines and stay as they are. Blank lines are never
@@ -42,6 +43,9 @@ from .quality import lines_of
 MIN_WORDS = 50
 _BLANK = " \t\n\x0b\x0c\r"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: An odd number and its inverse modulo 2**64.
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,22 +144,41 @@ def _deleted(min_words: int):
     return run
 
 
+def _windows(min_words: int):
+    """doc_id, version, lines, words -> doc_id, version, window: a hash of every shortest stretch of at least min_words words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch.column("lines").offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            lines = batch.column("lines").flatten().to_numpy().view(np.uint64)
+            total = np.r_[0, np.cumsum(batch.column("words").flatten().to_numpy(), dtype=np.int64)]
+            n, row = len(lines), np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            # the shortest stretch from each line on, and the shortest up to each line, inside the document
+            hi = np.searchsorted(total, total[:-1] + min_words)
+            lo = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+            on, back = np.flatnonzero(hi <= offsets[1:][row]), np.flatnonzero(lo >= offsets[:-1][row])
+            a, b, row = np.r_[on, lo[back]], np.r_[hi[on], back + 1], np.r_[row[on], row[back]]
+            # a polynomial of the lines that does not depend on where the stretch stands
+            power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
+            sums = np.r_[np.uint64(0), np.cumsum(lines * np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)])[:n])]
+            window = K.mix((sums[b] - sums[a]) * power[a] + (b - a).astype(np.uint64)).view(np.int64)
+            order = np.lexsort((window, row))
+            row, window = row[order], window[order]
+            first = np.r_[True, (row[1:] != row[:-1]) | (window[1:] != window[:-1])][: len(row)]
+            at = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("version").take(at), pa.array(window[first])], ["doc_id", "version", "window"]
+            )
+
+    return run
+
+
 def partners(rows: DataFrame, min_words: int) -> DataFrame:
     """Pairs (doc_id, version, owner) to align, from rows(doc_id, version, lines, words)."""
-    each = rows.select("doc_id", "version", F.posexplode(F.arrays_zip("lines", "words")).alias("pos", "l"))
-    each = each.select("doc_id", "version", "pos", F.col("l.lines").alias("line"), F.col("l.words").alias("words"))
-    owners = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("last > owner")
-    shared = each.join(owners, "line").filter("doc_id > owner")
-    # a run is a stretch of neighbouring shared lines: pos less its rank is constant in it
-    listed = shared.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("pos", "n", "owner", "words"))).alias("s"))
-    numbered = listed.select("doc_id", "version", F.posexplode("s").alias("rank", "s")).select("doc_id", "version", (F.col("s.pos") - F.col("rank")).alias("run"), "s.*")
-    runs = numbered.groupBy("doc_id", "version", "run").agg(
-        F.sum("words").alias("total"),
-        F.min_by("owner", F.struct("n", "pos")).alias("rarest"),
-        F.collect_set(F.when(F.col("words") >= min_words, F.col("owner"))).alias("long"),
-    )
-    named = runs.filter(F.col("total") >= min_words).select("doc_id", "version", F.explode(F.array_union(F.array("rarest"), "long")).alias("owner"))
-    return named.distinct()
+    each = rows.mapInArrow(_windows(min_words), "doc_id long, version long, window long")
+    owners = each.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("last > owner").drop("last")
+    return each.join(owners, "window").filter("doc_id > owner").select("doc_id", "version", "owner").distinct()
 
 
 def deletions(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

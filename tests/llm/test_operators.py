@@ -397,6 +397,32 @@ def test_repeated_passages_stay_once(spark):
     assert 3 not in {r.doc_id for r in kept.collect()} and kept.columns == df.columns
 
 
+def passage(name, lines=6, words=10):
+    return [" ".join(f"{name}{i}w{j}" for j in range(words)) for i in range(lines)]
+
+
+def line_cuts(spark, texts):
+    df = spark.createDataFrame(list(enumerate("\n".join(t) for t in texts)), "doc_id long, text string")
+    return {r.doc_id: r.text.split("\n") if r.text else [] for r in line_dedup.deduplicate_lines(df).collect()}
+
+
+def test_every_owner_of_a_run_is_a_partner(spark):
+    p, q, heading = passage("p"), passage("q"), ["a heading"]
+    # two passages of different documents, one after the other
+    got = line_cuts(spark, [p + ["x"], q + ["y"], ["own"] + p + q])
+    assert got[0] == [*p, "x"] and got[1] == [*q, "y"] and got[2] == ["own"]
+    # a passage of many documents after a heading that two documents share
+    got = line_cuts(spark, [p + [f"z{i}"] for i in range(8)] + [heading + ["h"], heading + p])
+    assert got[0] == [*p, "z0"] and got[8] == [*heading, "h"] and got[9] == heading
+    # every line of the passage has an earlier owner of its own
+    got = line_cuts(spark, [[x] for x in p] + [["k", *p], [*p, "m"]])
+    assert got[6] == ["k", *p] and got[7] == ["m"]
+    # blocks that overlap in a line and have different owners; the last line is short
+    tail = ["five more words of text"]
+    got = line_cuts(spark, [p + ["x"], p[3:] + q[:3] + ["y"], q[:3] + q[3:] + tail, ["own", *p, *q, *tail]])
+    assert got[3] == ["own"]
+
+
 def test_no_line_is_lost(spark, docs):
     out = line_dedup.deduplicate_lines(docs)
     lines = lambda df: {x for r in df.collect() for x in r.text.split("\n") if BLANK.search(x)}
