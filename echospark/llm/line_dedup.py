@@ -7,7 +7,9 @@ paired with the owners of all its windows. Any block of `MIN_WORDS` words that i
 common with an earlier document is made of such windows, so each line of the block stands
 in a window that a partner holds. A pair is aligned with patience diff: lines that are unique on both sides
 are matched in their longest common order, matches are extended over equal neighbours, and
-the gaps are aligned in the same way. Aligned common blocks of at least `MIN_WORDS` words
+the gaps are aligned in the same way. What the aligned blocks leave of the later document is
+matched against the whole earlier one again, the longest common run of lines first, so passages
+that stand twice or in another order are found too. Common blocks of at least `MIN_WORDS` words
 are deleted from the later document. The earliest holder of a line never loses it to a
 later one, so no content is lost altogether.
 
@@ -110,8 +112,79 @@ def aligned(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _match_lengths(a: list, b: list) -> list[int]:
+    """For each line of b, the length of the longest run of lines up to it that stands anywhere in a (suffix automaton of a)."""
+    step, link, size, last = [{}], [-1], [0], 0
+    for x in a:
+        new, p = len(step), last
+        step.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if size[q] != size[p] + 1:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                size.append(size[p] + 1)
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q], q = copy, copy
+            link[new] = q
+        last = new
+    out, state, n = [], 0, 0
+    for x in b:
+        while state and x not in step[state]:
+            state = link[state]
+            n = size[state]
+        state, n = (step[state][x], n + 1) if x in step[state] else (0, 0)
+        out.append(n)
+    return out
+
+
+def _blocks_left(a: list, b: list, total: np.ndarray, gaps: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Ranges of b inside the gaps that stand anywhere in a, the longest of a gap first, until no block of min_words is left."""
+    held = set(a)
+    # only a stretch of min_words in lines that a has can hold a block
+    todo = []
+    for lo, hi in gaps:
+        start = lo
+        for j in range(lo, hi + 1):
+            if j == hi or b[j] not in held:
+                if total[j] - total[start] >= min_words:
+                    todo.append((start, j))
+                start = j + 1
+    if not todo:
+        return []
+    wanted = {x for lo, hi in todo for x in b[lo:hi]}
+    source = [x if x in wanted else None for x in a]
+    source = [x for x, before in zip(source, [None, *source], strict=False) if x is not None or before is not None]
+    length, out = np.array(_match_lengths(source, b)), []
+    while todo:
+        lo, hi = todo.pop()
+        if total[hi] - total[lo] < min_words:
+            continue
+        ends = np.arange(lo + 1, hi + 1)
+        starts = np.maximum(ends - length[lo:hi], lo)
+        words = total[ends] - total[starts]
+        k = int(np.argmax(words))
+        if words[k] >= min_words:
+            p, q = int(starts[k]), int(ends[k])
+            out.append((p, q))
+            todo += [(lo, p), (q, hi)]
+    return out
+
+
 def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Ranges of b that stand in a as well, aligned line by line, with at least min_words words."""
+    """Ranges of b that stand in a as well, line by line, with at least min_words words.
+
+    Blocks of the alignment come first. What they leave of b (a passage that b has twice, or in
+    another order than a) is matched against the whole of a until no block is left.
+    """
     runs: list[list[int]] = []
     last = (-2, -2)
     for i, j in aligned(a, b):
@@ -120,7 +193,11 @@ def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[tu
         else:
             runs.append([j, j + 1])
         last = (i, j)
-    return [(lo, hi) for lo, hi in runs if sum(words[lo:hi]) >= min_words]
+    total = np.r_[0, np.cumsum(words, dtype=np.int64)]
+    blocks = [(lo, hi) for lo, hi in runs if total[hi] - total[lo] >= min_words]
+    edges = [0, *(x for block in blocks for x in block), len(b)]
+    gaps = list(zip(edges[::2], edges[1::2], strict=True))
+    return sorted(blocks + _blocks_left(a, b, total, gaps, min_words))
 
 
 def _deleted(min_words: int):

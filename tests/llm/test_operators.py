@@ -423,6 +423,31 @@ def test_every_owner_of_a_run_is_a_partner(spark):
     assert got[3] == ["own"]
 
 
+def test_passages_twice_or_in_another_order(spark):
+    p, q, r = passage("p"), passage("q"), passage("r", 8)
+    got = line_cuts(spark, [p + ["x"], ["u", *p, "v", *p, "w"]])
+    assert got[0] == [*p, "x"] and got[1] == ["u", "v", "w"]
+    got = line_cuts(spark, [p + ["x"] + q + ["y"] + r, ["u", *r, "v", *q, "w", *p]])
+    assert got[1] == ["u", "v", "w"]
+    # the passage stands twice on both sides
+    got = line_cuts(spark, [[*p, "x", *p], ["u", *p, "v", *p, "w", *p]])
+    assert got[1] == ["u", "v", "w"]
+
+
+def test_no_common_block_is_left():
+    rng = random.Random(11)
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(30))] for _ in range(2))
+        words, least = [1 + x for x in b], rng.choice([4, 8, 12])
+        blocks = line_dedup.common_blocks(a, b, words, least)
+        runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        assert all(tuple(b[p:q]) in runs and sum(words[p:q]) >= least for p, q in blocks)
+        assert all(q <= r for (_, q), (r, _) in zip(blocks, blocks[1:], strict=False))
+        edges = [0, *(x for block in blocks for x in block), len(b)]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):
+            assert not any(tuple(b[i:j]) in runs and sum(words[i:j]) >= least for i in range(lo, hi) for j in range(i + 1, hi + 1))
+
+
 def test_no_line_is_lost(spark, docs):
     out = line_dedup.deduplicate_lines(docs)
     lines = lambda df: {x for r in df.collect() for x in r.text.split("\n") if BLANK.search(x)}
