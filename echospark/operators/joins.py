@@ -92,17 +92,55 @@ def nearest_position(points: DataFrame, pings: DataFrame, cell: float, rings: in
     """points(point_id, lat, lon) -> nearest ping by Euclidean degrees among pings(ping_id, lat, lon); missing positions are skipped.
 
     Pings are dealt into square cells; a point looks at its own and the neighbouring cells,
-    which is exact for pings within rings * cell degrees. Points without one get a null.
+    which is exact for pings within rings * cell degrees. Points without such a ping go down
+    from the largest cells, at any distance. Points without a position get a null.
     """
     at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("int")
     ok = pings.filter(~F.isnan("lat") & ~F.isnan("lon")).select("ping_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), at("lat").alias("gy"), at("lon").alias("gx"))
     span = F.sequence(F.lit(-rings), F.lit(rings))
     spread = points.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span)).withColumn("gy", at("lat") + F.col("dy")).withColumn("gx", at("lon") + F.col("dx"))
-    d2 = F.pow(F.col("plat") - F.col("lat"), 2) + F.pow(F.col("plon") - F.col("lon"), 2)
-    best = spread.join(ok, ["gy", "gx"]).withColumn("d2", d2).filter(F.col("d2") <= F.lit((rings * cell) ** 2)).groupBy("point_id").agg(F.min_by("ping_id", F.struct("d2", "ping_id")).alias("ping_id"))
+    best = spread.join(ok, ["gy", "gx"]).withColumn("d2", _d2()).filter(F.col("d2") <= F.lit((rings * cell) ** 2)).groupBy("point_id").agg(F.min_by("ping_id", F.struct("d2", "ping_id")).alias("ping_id"))
+    far = points.filter(~F.isnan("lat") & ~F.isnan("lon")).select("point_id", "lat", "lon").join(best, "point_id", "left_anti")
+    if not far.isEmpty():
+        best = best.unionByName(_nearest_far(far, ok, cell))
     return points.select("point_id").join(best, "point_id", "left")
 
 
+def _d2() -> Column:
+    return F.pow(F.col("plat") - F.col("lat"), 2) + F.pow(F.col("plon") - F.col("lon"), 2)
+
+
+def _nearest_far(points: DataFrame, ok: DataFrame, cell: float) -> DataFrame:
+    """point_id and nearest ping_id at any distance, from cells that halve down to `cell`.
+
+    At each size a point keeps the cells that may hold a ping as near as the nearest ping seen so
+    far, one of each cell, so it meets single pings in the last few cells only.
+    """
+    end = ok.agg(F.min("gy").alias("y0"), F.max("gy").alias("y1"), F.min("gx").alias("x0"), F.max("gx").alias("x1")).first()
+    if end.y0 is None:
+        return points.select("point_id", F.lit(None).cast(ok.schema["ping_id"].dataType).alias("ping_id"))
+    level = max(end.y1 - end.y0, end.x1 - end.x0).bit_length()
+    fine = ok.groupBy("gy", "gx").agg(F.min_by(F.struct("plat", "plon"), "ping_id").alias("p"))
+    side = lambda lo, hi: F.explode(F.sequence(F.lit(lo >> level), F.lit(hi >> level)))
+    near = points.withColumn("cy", side(end.y0, end.y1)).withColumn("cx", side(end.x0, end.x1))
+    while True:
+        up = [F.shiftright(c, level).alias(f"c{c[1]}") for c in ("gy", "gx")]
+        cells = fine.groupBy(*up).agg(F.min_by("p", F.struct("gy", "gx")).alias("p")).select("cy", "cx", "p.*")
+        size = cell * 2**level
+        off = lambda v, c: F.greatest(F.col(c) * F.lit(size) - F.col(v), F.col(v) - (F.col(c) + 1) * F.lit(size), F.lit(0.0))  # noqa: B023,E731
+        # rounding of the cells' borders must not lose a ping
+        least = F.pow(F.greatest(F.hypot(off("lat", "cy"), off("lon", "cx")) - F.lit(1e-9), F.lit(0.0)), 2)
+        seen = near.join(cells, ["cy", "cx"]).withColumn("least", least).withColumn("best", F.min(_d2()).over(Window.partitionBy("point_id")))
+        near = seen.filter("least <= best").select("point_id", "lat", "lon", "cy", "cx")
+        if not level:
+            break
+        level -= 1
+        half = F.explode(F.array(F.lit(0), F.lit(1)))
+        near = near.withColumn("hy", half).withColumn("hx", half).select("point_id", "lat", "lon", (F.col("cy") * 2 + F.col("hy")).alias("cy"), (F.col("cx") * 2 + F.col("hx")).alias("cx"))
+    hit = near.withColumnsRenamed({"cy": "gy", "cx": "gx"}).join(ok, ["gy", "gx"]).withColumn("d2", _d2())
+    return hit.groupBy("point_id").agg(F.min_by("ping_id", F.struct("d2", "ping_id")).alias("ping_id"))
+
+
 def objects_with_seabed(objects: DataFrame, seabed: DataFrame) -> DataFrame:
     """objects with distance_to_seabed at their centre ping and valid_object; invalid ones have no distance."""
     centre = (F.col("x0") + ((F.col("x1") - F.col("x0")) / 2).cast("int")).cast("int")

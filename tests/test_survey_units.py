@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echospark.functions import acoustic as A
-from echospark.operators import evaluation, labels, objects, seabed
+from echospark.operators import evaluation, joins, labels, objects, seabed
 from echospark.sources import tables
 
 
@@ -72,3 +72,14 @@ def test_dense_files(spark, tmp_path):
     manifest = spark.createDataFrame([("a.dat", "a", 18000, 3, 4), ("b.dat", "b", 18000, 3, 4)], "path string, raw_file string, freq_hz int, n_range int, n_pings int")
     got = {(r.raw_file, r.ping_idx): r.sv for r in tables.read_dense(spark, f"file://{tmp_path}", manifest).collect()}
     assert got == {("a", p): a[:, p].tolist() for p in range(4)} | {("b", -1): []}
+
+
+def test_nearest_position_at_any_distance(spark):
+    rng = np.random.default_rng(5)
+    pings = [(i, float(y), float(x)) for i, (y, x) in enumerate(rng.normal([60.0, -3.0], 0.3, (300, 2)))] + [(300, float("nan"), 5.0)]
+    points = [(i, float(y), float(x)) for i, (y, x) in enumerate(np.r_[rng.normal([60.0, -3.0], 2.0, (40, 2)), rng.uniform(-80, 80, (20, 2))])]
+    df = lambda rows, name: spark.createDataFrame(rows, f"{name} long, lat double, lon double")
+    got = {r.point_id: r.ping_id for r in joins.nearest_position(df([*points, (99, float("nan"), 1.0)], "point_id"), df(pings, "ping_id"), 0.02).collect()}
+    want = {p: min((q for q in pings if q[1] == q[1]), key=lambda q: ((q[1] - y) ** 2 + (q[2] - x) ** 2, q[0]))[0] for p, y, x in points}
+    assert got == {**want, 99: None}
+    assert [r.ping_id for r in joins.nearest_position(df(points[:1], "point_id"), df(pings[300:], "ping_id"), 0.02).collect()] == [None]
