@@ -147,6 +147,18 @@ def regridded_range(v: Survey) -> DataFrame:
     return rows.groupBy("raw_file", "bin").agg(F.sum(F.col("x") * 1e6).alias("total"))
 
 
+@query(
+    "e15_regridded_range_whole",
+    "raw_file:s freq_hz:i bin:i total:d",
+    """SELECT raw_file, f * 1000 AS freq_hz, bin, sum(x) AS total FROM (SELECT raw_file, f, ping_idx, bin, sum(v * 1e6 * w) / sum(w) AS x FROM (SELECT s.*, bin, least((bin + 1) * 0.75, (r + 1) * 0.5) - greatest(bin * 0.75, r * 0.5) AS w
+       FROM sv s JOIN (SELECT unnest(range(43)) AS bin) ON bin BETWEEN r * 2 // 3 - 1 AND r * 2 // 3 + 1 WHERE NOT isnan(v)) WHERE w > 0 GROUP BY ALL) GROUP BY ALL""",
+)
+def regridded_whole_range(v: Survey) -> DataFrame:
+    """All pings, frequencies and depths."""
+    rows = v.sv.select("raw_file", "freq_hz", F.posexplode(R.regrid_range("sv", 0.25, 0.5, 64, 0.75, 43)).alias("bin", "x")).filter(~F.isnan("x"))
+    return rows.groupBy("raw_file", "freq_hz", "bin").agg(F.sum(F.col("x") * 1e6).alias("total"))
+
+
 @query(
     "e7_energy_kept",
     "raw_file:s freq_hz:i kept:b",
@@ -186,6 +198,19 @@ def resampled_range(v: Survey) -> DataFrame:
     return rows.groupBy("raw_file", "j").agg(F.sum("c.m").alias("mean"), F.sum("c.l").alias("line"))
 
 
+@query(
+    "e11_e12_resampled_range_whole",
+    "raw_file:s j:i mean:d line:d",
+    """SELECT raw_file, j, sum(mean) AS mean, sum(line) AS line FROM (SELECT raw_file, ping_idx, j, avg(x) FILTER (r // 4 = j) AS mean, sum(CASE WHEN r = j * 3 // 2 THEN x * (1 - (j * 1.5 - j * 3 // 2)) WHEN r = j * 3 // 2 + 1 THEN x * (j * 1.5 - j * 3 // 2) ELSE 0 END) AS line
+       FROM (SELECT raw_file, ping_idx, r, ((e * 17 + r * 29) % 1000) / 1000.0::DOUBLE AS x FROM ping, rng), (SELECT unnest(range(16)) AS j) GROUP BY ALL) GROUP BY ALL""",
+)
+def resampled_whole_range(v: Survey) -> DataFrame:
+    """All pings."""
+    rows = v.pred.select("raw_file", R.bin_means("p_sandeel", 0.5, 0.5, 0.25, 2.0, 16).alias("m"), R.interpolated_range("p_sandeel", 0.5, 0.5, 0.5, 0.75, 16).alias("l"))
+    rows = rows.select("raw_file", F.posexplode(F.arrays_zip("m", "l")).alias("j", "c"))
+    return rows.groupBy("raw_file", "j").agg(F.sum("c.m").alias("mean"), F.sum("c.l").alias("line"))
+
+
 @query(
     "e13_e20_range_choice",
     "raw_file:s dr:d choice:s",

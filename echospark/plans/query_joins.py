@@ -111,6 +111,22 @@ def aligned_channels(v: Survey) -> DataFrame:
     return out.select("raw_file", "freq_hz", "k", F.size(F.filter("sv", lambda x: F.isnan(x))).alias("missing"))
 
 
+@query(
+    "d11_aligned_channels_whole",
+    "raw_file:s freq_hz:i k:i missing:i",
+    """SELECT raw_file, f * 1000 AS freq_hz, k, coalesce(m, 64) AS missing FROM (SELECT DISTINCT raw_file, k FROM c) CROSS JOIN freq
+       LEFT JOIN (SELECT raw_file, f, k, arg_min(m, ping_idx) AS m FROM c JOIN na USING (raw_file, f, ping_idx) GROUP BY ALL) USING (raw_file, f, k)""",
+    """c AS (SELECT raw_file, f, ping_idx, ping_idx + CASE WHEN f = 38 AND ping_idx % 9 = 0 THEN 1 ELSE 0 END AS k FROM ping, freq WHERE NOT (f = 120 AND ping_idx % 11 = 3)),
+na AS (SELECT raw_file, f, ping_idx, sum(isnan(v)::INT) AS m FROM sv GROUP BY ALL)""",
+)
+def aligned_whole_channels(v: Survey) -> DataFrame:
+    """All pings with their own profiles."""
+    t = F.col("ping_idx") * 10.0 + F.when((F.col("freq_hz") == 38000) & (F.col("ping_idx") % 9 == 0), 8.0).otherwise(2.0)
+    rows = v.sv.filter("not (freq_hz = 120000 and ping_idx % 11 = 3)").select("raw_file", "freq_hz", t.alias("t"), "sv")
+    out = J.align_channels(rows, 18000)
+    return out.select("raw_file", "freq_hz", "k", F.size(F.filter("sv", lambda x: F.isnan(x))).alias("missing"))
+
+
 @query(
     "d12_polygons",
     "raw_file:s ping_idx:i r:i category:i",

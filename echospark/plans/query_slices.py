@@ -30,6 +30,12 @@ def complete_bins(v: Survey) -> DataFrame:
     return S.complete_bins(S.box_slice(v.sv, (38000,), (0, 40)))
 
 
+@query("b1_complete_bins_whole", "raw_file:s r:i", "SELECT raw_file, r FROM sv GROUP BY ALL HAVING NOT bool_or(isnan(v))")
+def complete_bins_whole(v: Survey) -> DataFrame:
+    """Over all pings and frequencies."""
+    return S.complete_bins(v.sv)
+
+
 @query("b2_raw_file_slice", "raw_file:s first_ping:i n_pings:i", "SELECT raw_file, min(ping_idx) AS first_ping, count(*) AS n_pings FROM ping WHERE raw_file IN ('2024-01-03', '2024-01-17') GROUP BY ALL")
 def raw_file_slice(v: Survey) -> DataFrame:
     return v.ping.filter(F.col("raw_file").isin("2024-01-03", "2024-01-17")).groupBy("raw_file").agg(F.min("ping_idx").alias("first_ping"), F.count("*").alias("n_pings"))

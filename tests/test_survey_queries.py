@@ -6,8 +6,10 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from echospark.plans import queries as Q
+from echospark.sources.fixtures import Survey
 
 SF = "/root/testdata/sf0.001"
 Q.load()
@@ -38,3 +40,12 @@ def test_no_nested_loop_joins(spark):
     for name in ("d0_d4_valid_pings", "d9_box_overlap", "d12_polygons", "g4_region_masked", "e15_regridded_pings", "h2_background"):
         plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_whole_queries_take_every_ping(spark):
+    assert {"b1_complete_bins_whole", "d11_aligned_channels_whole", "e11_e12_resampled_range_whole", "e15_regridded_range_whole"} <= set(Q.ORACLE)
+    sf = SF.replace("sf0.001", "sf0.01")
+    out = Q.QUERIES["d11_aligned_channels_whole"](spark, sf)
+    last = {r.raw_file: r.k for r in out.groupBy("raw_file").agg(F.max("k").alias("k")).collect()}
+    pings = {r.raw_file: r.k for r in Survey(spark, sf).ping.groupBy("raw_file").agg(F.max("ping_idx").alias("k")).collect()}
+    assert max(pings.values()) > 100 and last.keys() == pings.keys() and all(last[f] >= k for f, k in pings.items())
