@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset and Spark runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -47,6 +50,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -55,17 +59,28 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Removes tables of this workspace that nothing reads any more."""
+        """Removes tables that write() returned and that nothing reads any more."""
         jvm = self.spark._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in tables:
-            for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                if self.root.rpartition("/")[2] in folder:
-                    path = jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(conf).delete(path, True)
+        gone = {id(df) for df in tables}
+        for df, path in self.paths:
+            if id(df) in gone:
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(conf).delete(place, True)
+        self.paths = [(df, path) for df, path in self.paths if id(df) not in gone]
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name like `name` that none of the tables has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Slots of a bit set: its size, 2 MB, does not depend on the data.
@@ -90,17 +105,25 @@ def in_bit_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def may_match(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose `column` may be among the first column of ids, by a bit set; no row that is among them is lost."""
-    shared = df.sparkSession.sparkContext.broadcast(bit_set(ids.select(slot_of(ids.columns[0]).alias("slot"))))
-    names = df.columns
+def by_bit_set(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose `column` has its slot in a bit set, and the others; neither is shuffled."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    names, slot = df.columns, fresh("__slot", df)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 2048):
+                own = in_bit_set(shared.value, batch.column(len(names)).to_numpy().astype(np.int64))
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(own == wanted))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            own = in_bit_set(shared.value, batch.column("__slot").to_numpy().astype(np.int64))
-            yield batch.filter(pa.array(own)).select(names)
+        return df.select(*df.columns, slot_of(column).alias(slot)).mapInArrow(run, df.schema)
 
-    return df.withColumn("__slot", slot_of(column)).mapInArrow(run, df.schema)
+    return part(True), part(False)
+
+
+def may_match(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose `column` may be among the first column of ids, by a bit set; no row that is among them is lost."""
+    return by_bit_set(df, column, bit_set(ids.select(slot_of(ids.columns[0]).alias("slot"))))[0]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -140,7 +163,8 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         ws.drop(labels)
         labels = new
         if not changed:
-            return labels.select("node", "label")
+            ws.drop(both)
+            return labels
 
 
 def bounded_sample(df: DataFrame, by: str, key: str, cap: int) -> DataFrame:

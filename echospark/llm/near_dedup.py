@@ -5,18 +5,28 @@ shingle: the top 7 bits choose one of 128 registers, which keeps the smallest
 remainder as (leading zeros, mantissa) in 16 bits. Four neighbouring registers make
 one of 32 bands; documents that agree in a non-empty band are candidates. The
 collision-corrected Jaccard estimate of the compressed registers drops clear
-non-matches, and every remaining pair is verified on full shingle sets.
+non-matches, as do 16-bit prints of the shingles where both sets are short (they only
+overstate what is common). Every remaining pair is verified on full shingle sets.
 
 Scale. Texts with equal sets are one class from the start. In a band bucket every
 class is paired with the smallest one, and the verified links give first components.
 In buckets whose classes are not all connected yet, the classes outside the largest
-component are compared in blocks of bounded size, with that component first and then
-with all classes that are still apart. So no link between components is lost, and copies are never expanded into all pairs.
+component are compared in blocks of bounded size with all classes that are still apart;
+a comparison names a class and the component that it may reach, not pairs of classes.
+Each class is then verified against the largest component that it may reach, and, with
+the components merged, against what is still apart. So no link between components is
+lost, and copies are never expanded into all pairs. Only buckets of several classes
+leave the first step; sets are made again for the classes in question alone, whose
+documents a bit set of fixed size picks, so no text is shuffled for that. What joins
+on a key that may be hot (a bucket, a component, a set of copies) is a written table on
+both sides, which adaptive execution can split.
 
 Edge cases. Null, empty or blank texts have an empty set: n_shingles 0, linked with
-nothing, component_id is their own id. A text of fewer than k words is one shingle.
-Rows that repeat a doc_id are kept as rows. A null doc_id takes part; its component
-is the smallest id reached, or null. Other columns are ignored.
+nothing, component_id is their own id, and all of them are kept. A text of fewer than k
+words is one shingle. Rows that repeat a doc_id are rows of their own. A null doc_id takes
+part; its component is the smallest id reached, or null. Other columns are ignored.
+drop_near_duplicates keeps exactly one row of each component: of the rows with its
+smallest id those of the smallest set, and one of rows that are equal in both.
 """
 
 from __future__ import annotations
@@ -25,11 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Workspace, components, slices, table
+from .common import Workspace, bit_set, by_bit_set, components, fresh, may_match, slices, slot_of, table
 
 REGISTERS, MANTISSA, BANDS = 128, 10, 32
 #: Classes in a block of a bucket, and in a block of those outside its largest component.
@@ -38,6 +50,8 @@ BLOCK, OUTER = 1024, 256
 BLOCK_BYTES = 1 << 20
 #: Standard errors of the estimate that a pair may lie below the threshold and still be verified.
 MARGIN = 5.0
+#: Sets of at most so many shingles carry a 16-bit print of each, which bounds what two of them have in common from above.
+PRINTS = 256
 
 
 def shingle_sets(at: np.ndarray, raw: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -100,9 +114,10 @@ def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             at, raw = K.buffers(batch.column("text"))
-            n, d1, d2, sig = [], [], [], []
+            n, d1, d2, sig, prints = [], [], [], [], []
             for s in shingle_sets(at, raw, k):
                 n.append(len(s))
+                prints.append(s.astype(np.uint16).tobytes() if len(s) <= PRINTS else b"")
                 a, b = K.set_digest(s)
                 d1.append(a)
                 d2.append(b)
@@ -110,8 +125,8 @@ def _sketch(k: int):
             flat = np.concatenate(sig) if sig else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists],
-                ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(prints, pa.binary())],
+                ["doc_id", "n_shingles", "d1", "d2", "sig", "prints"],
             )
 
     return run
@@ -136,7 +151,25 @@ def _sets(k: int):
     return run
 
 
-def _likely(threshold: float):
+def _room(x: pa.Scalar, ys: pa.Array, n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the prints of one set and of others leave room for the threshold; sets without prints always do."""
+    out, own = np.ones(len(ys), dtype=bool), x.as_buffer()
+    size = pc.binary_length(ys).to_numpy(zero_copy_only=False) // 2
+    with_prints = np.flatnonzero(size > 0)
+    if own is None or not own.size or not len(with_prints):
+        return out
+    mark = np.zeros(1 << 16, dtype=bool)
+    mark[np.frombuffer(own, dtype=np.uint16)] = True
+    flat = np.concatenate([np.frombuffer(ys[int(i)].as_buffer(), dtype=np.uint16) for i in with_prints])
+    at = np.r_[0, np.cumsum(size[with_prints])[:-1]]
+    common = np.minimum(np.add.reduceat(mark[flat], at, dtype=np.int64), np.minimum(n, m[with_prints]))
+    out[with_prints] = 100 * common >= percent * (n + m[with_prints] - common)
+    return out
+
+
+def _likely(percent: int):
+    threshold = percent / 100
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -147,6 +180,9 @@ def _likely(threshold: float):
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
             j, used = estimate(x, y, n, m)
             ok = j >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+            prints_a, prints_b = batch.column("prints_a"), batch.column("prints_b")
+            for i in np.flatnonzero(ok).tolist():
+                ok[i] = _room(prints_a[i], prints_b.slice(i, 1), int(n[i]), m[i : i + 1], percent)[0]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
     return run
@@ -167,21 +203,25 @@ def _verified(percent: int):
     return run
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Of buckets(k1, k2, cid) the pairs of every class with the smallest class of its bucket."""
-    leads = members.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min("cid").alias("a")).filter("size > 1")
-    return members.join(leads, ["k1", "k2"]).filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+def _shared(ws: Workspace, classes: DataFrame) -> DataFrame:
+    """k1, k2, cid, a of the band buckets that hold several classes; a is the smallest class of the bucket."""
+    bands = classes.select("cid", F.posexplode("sig").alias("k1", "k2")).filter("k2 <> 0")
+    leads = bands.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.min("cid").alias("a")).filter("size > 1").drop("size")
+    leads = ws.write(leads, "leads")
+    shared = ws.write(bands.join(leads, ["k1", "k2"]).select("k1", "k2", "cid", "a"), "shared")
+    ws.drop(leads)
+    return shared
 
 
-def _blocks(ws: Workspace, members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, main: bool) -> DataFrame:
-    """Classes a and components, where a is likely to reach a member of the component that shares a bucket with it.
+def _near(ws: Workspace, shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Classes a (with their size n) and the components that they are likely to reach through a bucket that they share.
 
-    In each bucket the classes outside its largest component are held against that
-    component (main) or against all of its classes. Both sides are dealt into blocks of bounded size by a hash of the class, so
-    that a bucket of any size is many small tasks. A task reports a component once for
-    each class, however many of its members are likely.
+    In each bucket the classes outside its largest component are held against all classes
+    of other components. Both sides are dealt into blocks of bounded size by a hash of the
+    class, so that a bucket of any size is many small tasks. A task reports a component
+    once for each class, however many of its members are likely.
     """
-    named = members.join(labels, members.cid == labels.node, "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"))
+    named = shared.join(labels, shared.cid == labels.node, "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"))
     named = ws.write(named, "named")
     parts = named.groupBy("k1", "k2", "label").agg(F.count("*").alias("c"))
     open_ = (
@@ -189,34 +229,39 @@ def _blocks(ws: Workspace, members: DataFrame, labels: DataFrame, classes: DataF
         .agg(F.sum("c").alias("size"), F.count("*").alias("parts"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
         .filter("parts > 1 and size > 2")
     )
-    full = named.join(open_, ["k1", "k2"]).join(classes.select("cid", "n", "sig"), "cid")
+    open_ = ws.write(open_, "open")
     slot = lambda n, size: F.pmod(F.xxhash64("cid", F.lit(size)), F.ceil(n / F.lit(float(size))).cast("long"))
-    item = F.struct("cid", "label", "n", "sig", (F.col("label") != F.col("main")).alias("outer"))
-    full = ws.write(
-        full.select("k1", "k2", "label", "main", item.alias("item"), slot(F.col("size"), BLOCK).alias("s"), slot(F.col("size") - F.col("most"), OUTER).alias("o")),
-        "open",
+    item = F.struct("cid", "label", "n", "sig", "prints", (F.col("label") != F.col("main")).alias("outer"))
+    full = (
+        named.join(open_, ["k1", "k2"])
+        .join(classes.select("cid", "n", "sig", "prints"), "cid")
+        .select("k1", "k2", item.alias("item"), slot(F.col("size"), BLOCK).alias("s"), slot(F.col("size") - F.col("most"), OUTER).alias("o"))
     )
-    y = (full.filter(F.col("label") == F.col("main")) if main else full).groupBy("k1", "k2", "s").agg(F.collect_list("item").alias("ys"))
-    x = full.filter("label <> main").groupBy("k1", "k2", "o").agg(F.collect_list("item").alias("xs"))
-    return x.join(y, ["k1", "k2"]).select("k1", "xs", "ys").mapInArrow(_likely_in_blocks(percent), "a long, label long").distinct()
+    full = ws.write(full, "members")
+    y = full.groupBy("k1", "k2", "s").agg(F.collect_list("item").alias("ys"))
+    x = full.filter("item.outer").groupBy("k1", "k2", "o").agg(F.collect_list("item").alias("xs"))
+    near = x.join(y, ["k1", "k2"]).select("k1", "xs", "ys").mapInArrow(_likely_in_blocks(percent), "a long, n long, label long").distinct()
+    near = ws.write(near, "near")
+    ws.drop(named, open_, full)
+    return near
 
 
 def _unpacked(items: pa.Array) -> tuple[np.ndarray, ...]:
     get = lambda name: items.field(name).to_numpy(zero_copy_only=False)
     sig = items.field("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, REGISTERS)
-    return get("cid"), get("label"), get("n"), get("outer"), sig
+    return get("cid"), get("label"), get("n"), get("outer"), sig, items.field("prints")
 
 
 def _likely_in_blocks(percent: int):
-    """k1, xs, ys -> a of xs and label of ys where the estimate lets a pair pass, at the first band that it shares."""
+    """k1, xs, ys -> a of xs, its size and label of ys where the estimate lets a pair pass, at the first band that it shares."""
     threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                band, out_a, out_b = batch.column("k1")[i].as_py(), [], []
-                xc, xl, xn, _, xs = _unpacked(batch.column("xs")[i].values)
-                yc, yl, yn, yo, ys = _unpacked(batch.column("ys")[i].values)
+                band, out_a, out_n, out_b = batch.column("k1")[i].as_py(), [], [], []
+                xc, xl, xn, _, xs, xp = _unpacked(batch.column("xs")[i].values)
+                yc, yl, yn, yo, ys, yp = _unpacked(batch.column("ys")[i].values)
                 y_used, y_bands = ys > 0, ys.view(np.int64)
                 for k in range(len(xc)):
                     ok = (yl != xl[k]) & (~yo | (yc > xc[k])) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
@@ -232,11 +277,15 @@ def _likely_in_blocks(percent: int):
                     same = ((ys[at] == xs[k]) & (xs[k] > 0)).sum(axis=1)
                     j = (same - expected_collisions(yn[at], np.full(len(at), xn[k]))) / np.maximum(used, 1)
                     at = at[j >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))]
+                    if not len(at):
+                        continue
+                    at = at[_room(xp[k], yp.take(pa.array(at)), int(xn[k]), yn[at], percent)]
                     reached = np.unique(yl[at])
                     out_a.append(np.full(len(reached), xc[k]))
+                    out_n.append(np.full(len(reached), xn[k]))
                     out_b.append(reached)
                 if out_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_n, out_b)], ["a", "n", "label"])
 
     return run
 
@@ -263,87 +312,100 @@ def _reached(percent: int):
     return run
 
 
-def _confirm_members(ws: Workspace, docs: DataFrame, classes: DataFrame, labels: DataFrame, near: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between classes and components of near(a, label): one for each pair that has any, by full sets.
+def _confirm_members(ws: Workspace, sets: DataFrame, members: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Links between the classes a of near(a, n, label) and members(cid, n, label) of the component: one for each block that has any.
 
-    Sets are dealt into blocks of about `BLOCK_BYTES`, so that a component of any size is
-    many tasks of bounded size.
+    Full sets are dealt into blocks of about `BLOCK_BYTES`, so that a component of any size
+    is many tasks of bounded size.
     """
-    near = ws.write(near, "near")
-    named = classes.join(labels, classes.cid == labels.node, "left").select("cid", F.coalesce("label", "cid").alias("label"))
-    members = ws.write(named.join(near.select("label").distinct(), "label", "left_semi"), "members")
-    sets = _sets_of(ws, docs, classes, members.select("cid").union(near.select("a")).distinct(), k)
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(sets, "cid").withColumn("bytes", F.octet_length("elements"))
-        total = rows.groupBy("label").agg(F.sum("bytes").alias("total"))
-        slot = F.pmod(F.xxhash64("cid", F.lit(name)), F.ceil(F.col("total") / F.lit(float(BLOCK_BYTES))).cast("long"))
-        blocks = rows.join(total, "label").withColumn(f"slot_{name}", slot).groupBy("label", f"slot_{name}")
+        slots = F.ceil(F.sum(8 * F.col("n")) / F.lit(float(BLOCK_BYTES))).cast("long")
+        totals = ws.write(rows.groupBy("label").agg(slots.alias("slots")), "totals")
+        slot = F.pmod(F.xxhash64("cid", F.lit(name)), F.col("slots"))
+        blocks = rows.join(totals, "label").select("cid", "label", slot.alias(f"slot_{name}")).join(sets, "cid").groupBy("label", f"slot_{name}")
         return blocks.agg(F.collect_list(F.struct("cid", "elements")).alias(name))
 
-    xs, ys = dealt(near.select(F.col("a").alias("cid"), "label"), "xs"), dealt(members, "ys")
-    return xs.join(ys, "label").select("xs", "ys").mapInArrow(_reached(percent), "a long, b long")
+    ys = dealt(members.join(near.select("label").distinct(), "label", "left_semi"), "ys")
+    xs = dealt(near.select(F.col("a").alias("cid"), "n", "label"), "xs")
+    return ws.write(xs.join(ys, "label").select("xs", "ys").mapInArrow(_reached(percent), "a long, b long"), "links")
+
+
+def _components(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, label of all classes that are linked with another one."""
+    shared = _shared(ws, classes)
+    links = _confirm(ws, docs, classes, _likely_pairs(classes, shared.filter("cid <> a").select("a", F.col("cid").alias("b")).distinct(), percent), k, percent)
+    first = components(ws, links)
+    near = _near(ws, shared, first, classes, percent)
+    ws.drop(shared)
+    if not near.limit(1).count():
+        return first
+    members = classes.join(first, classes.cid == first.node, "left").select("cid", "n", F.coalesce("label", "cid").alias("label"))
+    members = ws.write(members.join(near.select("label").distinct(), "label", "left_semi"), "reached")
+    sets = _sets_of(ws, docs, classes, members.select("cid").union(near.select(F.col("a").alias("cid"))).distinct(), k)
+    # first against the largest component that a class may reach: that joins most of what belongs together
+    sizes = members.groupBy("label").agg(F.count("*").alias("size"))
+    largest = near.join(sizes, "label").groupBy("a", "n").agg(F.max_by("label", F.struct("size", "label")).alias("label"))
+    largest = ws.write(largest, "largest")
+    links = ws.write(links.union(_confirm_members(ws, sets, members, largest, percent)), "links")
+    second = components(ws, links)
+    side = lambda name: second.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
+    rest = near.join(largest.select("a", "label"), ["a", "label"], "left_anti").join(side("a"), "a", "left").join(side("label"), "label", "left")
+    rest = ws.write(rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_label", "label")).select("a", "n", "label"), "rest")
+    labels = second
+    if rest.limit(1).count():
+        more = _confirm_members(ws, sets, members, rest, percent)
+        if more.limit(1).count():
+            labels = components(ws, links.union(more))
+    ws.drop(near, members, sets, largest)
+    return labels
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per document."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "near")
-    docs = docs.select("doc_id", "text")
-    rows = ws.write(
-        docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>"), "sketch"
-    )
+def _sketched(ws: Workspace, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, n_shingles, d1, d2 of each document; and d1, d2, n_shingles, component, head of each distinct set.
+
+    head: the set whose rows stand for the component.
+    """
+    rows = ws.write(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>, prints binary"), "sketch")
     classes = ws.write(
         rows.filter("n_shingles > 0")
         .groupBy("d1", "d2", F.col("n_shingles").alias("n"))
-        .agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig"), F.any_value("prints").alias("prints"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "classes",
     )
-    buckets = ws.write(
-        classes.select("cid", F.posexplode("sig").alias("k1", "k2")).filter("k2 <> 0").select("cid", "k1", "k2"), "bands"
-    )
-    links = ws.write(_confirm(ws, docs, classes, _likely_pairs(classes, _stars(buckets), percent), k, percent), "links")
-    labels = components(ws, links)
-    for main in (True, False):
-        near = _blocks(ws, buckets, labels, classes, percent, main)
-        more = ws.write(_confirm_members(ws, docs, classes, labels, near, k, percent), "links")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(ws, links)
-    heads = (
-        classes.join(labels, classes.cid == labels.node)
-        .groupBy("label")
-        .agg(F.min("least").alias("component"))
-        .join(labels, "label")
-        .join(classes.select("cid", "d1", "d2", "n"), F.col("node") == F.col("cid"))
-        .select("d1", "d2", "n", "component")
-    )
-    alone = classes.select("d1", "d2", "n", "least")
-    wide = alone.join(heads, ["d1", "d2", "n"], "left").select(
-        "d1", "d2", F.col("n").alias("n_shingles"), F.coalesce("component", "least").alias("component")
-    )
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(wide, ["d1", "d2", "n_shingles"], "left")
+    labels = _components(ws, docs, classes, k, percent).select("node", "label")
+    named = classes.select("cid", "d1", "d2", "n", "least").join(labels, F.col("cid") == F.col("node"), "left")
+    order = F.struct(F.col("least").isNull().alias("none"), "least", "n", "d1", "d2")
+    heads = ws.write(named.filter("label is not null").groupBy("label").agg(F.min(order).alias("h")), "heads")
+    first = F.col("h").isNull() | ((F.col("h.d1") == F.col("d1")) & (F.col("h.d2") == F.col("d2")) & (F.col("h.n") == F.col("n")))
+    component = F.when(F.col("h").isNull(), F.col("least")).otherwise(F.col("h.least"))
+    wide = named.join(heads, "label", "left").select("d1", "d2", F.col("n").alias("n_shingles"), component.alias("component"), first.alias("head"))
+    wide = ws.write(wide, "wide")
+    ws.drop(classes, heads)
+    return rows.select("doc_id", "n_shingles", "d1", "d2"), wide
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept: one row per document."""
+    ws = Workspace(docs.sparkSession, "near")
+    rows, classes = _sketched(ws, docs.select("doc_id", "text"), k, percent)
+    out = rows.join(classes, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        own.alias("component_id"),
-        F.col("doc_id").eqNullSafe(own).alias("kept"),
-    )
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def _likely_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) those whose sizes and registers allow the threshold."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("prints").alias(f"prints_{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.mapInArrow(_likely(percent / 100), "a long, b long")
+    return sized.mapInArrow(_likely(percent), "a long, b long")
 
 
 def _sets_of(ws: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """cid, elements: the full shingle sets of wanted(cid), taken from the texts again."""
     heads = ws.write(classes.join(wanted, "cid").select("cid", "d1", "d2", "n", "least"), "wanted")
-    texts = docs.join(heads.select("least").distinct(), docs.doc_id.eqNullSafe(F.col("least")), "left_semi").select("text")
+    texts = may_match(docs.select("doc_id", "text"), "doc_id", heads.select("least")).select("text")
     sets = (
         texts.mapInArrow(_sets(k), "n long, d1 long, d2 long, elements binary")
         .join(heads.select("cid", "d1", "d2", "n"), ["d1", "d2", "n"])
@@ -354,18 +416,56 @@ def _sets_of(ws: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFra
 
 
 def _confirm(ws: Workspace, docs: DataFrame, classes: DataFrame, likely: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs those whose full sets reach the threshold."""
+    """Of candidate pairs those whose full sets reach the threshold, as a written table."""
     likely = ws.write(likely, "likely")
     sets = _sets_of(ws, docs, classes, likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k)
     a = sets.select(F.col("cid").alias("a"), F.col("elements").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("elements").alias("set_b"))
-    return likely.join(a, "a").join(b, "b").mapInArrow(_verified(percent), "a long, b long")
+    links = ws.write(likely.join(a, "a").join(b, "b").mapInArrow(_verified(percent), "a long, b long"), "links")
+    ws.drop(likely, sets)
+    return links
+
+
+def _digests(k: int, place: int):
+    """Rows with a text at `place` -> the same rows with n, d1, d2 of their shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, d = [], []
+            for s in shingle_sets(*K.buffers(batch.column(place)), k):
+                n.append(len(s))
+                d.append(K.set_digest(s))
+            extra = [pa.array(x, pa.int64()) for x in (n, [a for a, _ in d], [b for _, b in d])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [str(i) for i in range(batch.num_columns + 3)])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are not the smallest id of their component; columns stay as they are."""
-    keep = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each component of docs, and all rows with an empty set; columns stay as they are.
+
+    A row goes by its id and its set, so rows that share an id are judged one by one. Only
+    rows whose id may have one that goes are shuffled with their text.
+    """
+    ws, names = Workspace(docs.sparkSession, "near"), docs.columns
+    rows, classes = _sketched(ws, docs.select("doc_id", "text"), k, percent)
+    judged = rows.filter("n_shingles > 0").join(classes, ["d1", "d2", "n_shingles"])
+    stays = F.col("doc_id").eqNullSafe(F.col("component")) & F.col("head")
+    judged = judged.groupBy("doc_id", "n_shingles", "d1", "d2").agg(F.every(stays).alias("stays"), F.count("*").alias("copies"))
+    judged = ws.write(judged.filter("not stays or copies > 1").drop("copies"), "judged")
+    may, others = by_bit_set(docs, "doc_id", bit_set(judged.select(slot_of("doc_id").alias("slot"))))
+    n, d1, d2, gone = (fresh(c, docs) for c in ("__n", "__d1", "__d2", "__stays"))
+    schema = T.StructType([*docs.schema.fields])
+    for c in (n, d1, d2):
+        schema = schema.add(c, "long")
+    may = may.mapInArrow(_digests(k, names.index("text")), schema)
+    told = judged.select(F.col("doc_id").alias(f"{gone}_id"), F.col("n_shingles").alias(f"{gone}_n"), F.col("d1").alias(f"{gone}_1"), F.col("d2").alias(f"{gone}_2"), F.col("stays").alias(gone))
+    same = may.doc_id.eqNullSafe(told[f"{gone}_id"]) & (F.col(n) == F.col(f"{gone}_n")) & (F.col(d1) == F.col(f"{gone}_1")) & (F.col(d2) == F.col(f"{gone}_2"))
+    kept = may.join(told, same, "left_anti").select(*names)
+    if judged.filter("stays").limit(1).count():
+        once = may.join(told.filter(gone), same, "left_semi").dropDuplicates(["doc_id", n, d1, d2])
+        kept = kept.union(once.select(*names))
+    return others.union(kept)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
