@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import BITS, Workspace, bit_set, in_bit_set, slices, slot_of, table
+from .common import BITS, Workspace, bit_set, by_bit_set, fresh, in_bit_set, slices, slot_of, table
 
 WINDOW = 13
 ANCHORS = 3
@@ -172,49 +172,51 @@ _JUDGED = T.StructType(
 )
 
 
+def _confirmed(own: np.ndarray, hits: list[dict]) -> tuple[int, list[dict]]:
+    """Of the word hashes of a text and its candidates: how many words are hit, and the windows that do occur."""
+    edge, seen, runs = np.zeros(len(own) + 1, dtype=np.int64), set(), {}
+    for hit in hits:
+        n = hit["length"]
+        if n not in runs:
+            runs[n] = K.windows(own, n).view(np.int64)
+        at = np.asarray(hit["starts"], dtype=np.int64)
+        at = at[at < len(runs[n])]
+        at = at[runs[n][at] == hit["window"]]
+        if len(at):
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + n, -1)
+            seen.add((hit["window"], n))
+    return int((np.cumsum(edge)[:-1] > 0).sum()), [{"window": w, "length": n} for w, n in sorted(seen)]
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, doc_id, n_words, text, hits[(window, length, starts)] -> confirmed hit words and windows."""
     found_type = pa.list_(pa.struct([("window", pa.int64()), ("length", pa.int32())]))
-    for batch in batches:
+    for batch in slices(batches):
         words, hashes = K.word_hashes(*K.buffers(batch.column("text")), K.ALNUM_LOWER)
-        n_hit, found, hits = [], [], batch.column("hits")
-        for i in range(batch.num_rows):
-            if not hits[i].is_valid:
-                n_hit.append(0)
-                found.append([])
-                continue
-            own = hashes[words[i] : words[i + 1]]
-            edge, seen, runs = np.zeros(len(own) + 1, dtype=np.int64), set(), {}
-            for hit in hits[i].as_py():
-                n = hit["length"]
-                if n not in runs:
-                    runs[n] = K.windows(own, n).view(np.int64)
-                at = np.asarray(hit["starts"], dtype=np.int64)
-                at = at[at < len(runs[n])]
-                at = at[runs[n][at] == hit["window"]]
-                if len(at):
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n, -1)
-                    seen.add((hit["window"], n))
-            n_hit.append(int((np.cumsum(edge)[:-1] > 0).sum()))
-            found.append([{"window": w, "length": n} for w, n in sorted(seen)])
+        hits = batch.column("hits")
+        told = [_confirmed(hashes[words[i] : words[i + 1]], hits[i].as_py()) if hits[i].is_valid else (0, []) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(found, found_type)],
+            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array([n for n, _ in told], pa.int64()), pa.array([f for _, f in told], found_type)],
             ["row", "doc_id", "n_words", "n_hit", "found"],
         )
 
 
-def exact_matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(judged documents, window owners): row, doc_id, n_words, n_hit, found windows; and window, length, item_id."""
-    docs = docs.select("doc_id", "text")
+def _candidates_by_doc(ws: Workspace, docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(__doc, hits of each document that may have any; window, length, item_id, terms of all windows)."""
     owners = ws.write(
         benchmark.select("item_id", "text").mapInArrow(_windows(size), "item_id long, window long, length int, terms array<long>"), "windows"
     )
     distinct = owners.groupBy("window", "length").agg(F.first("terms").alias("terms"))
     hits = candidates(ws, docs, distinct)
-    hits = ws.write(
-        hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("window", "length", "starts")).alias("hits")), "hits"
-    )
+    hits = hits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("window", "length", "starts")).alias("hits"))
+    return ws.write(hits, "hits"), owners
+
+
+def exact_matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(judged documents, window owners): row, doc_id, n_words, n_hit, found windows; and window, length, item_id."""
+    docs = docs.select("doc_id", "text")
+    hits, owners = _candidates_by_doc(ws, docs, benchmark, size)
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(hits.select(slot_of("__doc").alias("slot"))))
     counted = docs.select(slot_of("doc_id").alias("slot"), "doc_id", "text").mapInArrow(_counted(shared), "doc_id long, n_words long, text string")
     judged = (
@@ -222,7 +224,9 @@ def exact_matches(ws: Workspace, docs: DataFrame, benchmark: DataFrame, size: in
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "text", "hits")
         .mapInArrow(_judge, _JUDGED)
     )
-    return ws.write(judged, "judged"), owners.select("window", "length", "item_id").distinct()
+    judged = ws.write(judged, "judged")
+    ws.drop(hits)
+    return judged, owners.select("window", "length", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = 5) -> DataFrame:
@@ -277,10 +281,28 @@ def proximity_matches(docs: DataFrame, phrases: DataFrame, span: int) -> DataFra
     return hits.join(need, "item_id").filter("have = need").select("item_id", "doc_id", "start")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that the benchmark contaminates; columns stay as they are."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, percent: int = 5) -> DataFrame:
+    """docs without the rows that the benchmark contaminates; columns stay as they are, each row is judged by its own text.
+
+    Rows whose id has no candidate pass where they are read; the others are joined with theirs.
+    """
+    ws, names = Workspace(docs.sparkSession, "decontamination"), docs.columns
+    hits, _ = _candidates_by_doc(ws, docs.select("doc_id", "text"), benchmark, size)
+    may, others = by_bit_set(docs, "doc_id", bit_set(hits.select(slot_of("__doc").alias("slot"))))
+    doc, found = fresh("__doc", docs), fresh("__hits", docs)
+    hits = hits.select(F.col("__doc").alias(doc), F.col("hits").alias(found))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, hashes = K.word_hashes(*K.buffers(batch.column(names.index("text"))), K.ALNUM_LOWER)
+            given, keep = batch.column(len(names)), np.ones(batch.num_rows, dtype=bool)
+            for i in np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                n_hit, _ = _confirmed(hashes[words[i] : words[i + 1]], given[i].as_py())
+                keep[i] = not (n_hit and 100 * n_hit >= percent * (words[i + 1] - words[i]))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names).filter(pa.array(keep))
+
+    judged = may.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)), "left").select(*names, found).mapInArrow(clean, docs.schema)
+    return others.union(judged)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
