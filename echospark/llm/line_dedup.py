@@ -14,14 +14,18 @@ are deleted from the later document. The earliest holder of a line never loses i
 later one, so no content is lost altogether.
 
 Scale. Windows are shuffled as hashes; the owner of a window is aggregated before the
-shuffle. A document names at most two owners for each of its lines, so pairs grow with the
-lines, not with the square of a window's frequency. Line lists of pairs (not texts) are joined;
-a popular owner is one row on its side, so adaptive execution can split the other side.
+shuffle. A bit set of fixed size then picks the windows that several documents may hold, and
+only those are joined with their owners. A document names at most two owners for each of its
+lines, so pairs grow with the lines, not with the square of a window's frequency. Line lists of
+pairs (not texts) are joined; a popular window or owner is one row of a written table or scan,
+so adaptive execution can split the other side. Texts of documents that may have cuts only
+are shuffled.
 
 Edge cases. Null and empty texts have no lines and stay as they are. Blank lines are never
 matched; they go with the block that surrounds them. Rows that share a doc_id are one
 document's versions: none is later than the other, and each is aligned on its own. Rows
-without a doc_id are left alone. Other columns are kept.
+without a doc_id are left alone. Other columns are kept, whatever their names; a report column
+whose name is taken gets an underscore.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as K
-from .common import Workspace, bit_set, in_bit_set, slices, slot_of, table
+from .common import BITS, Workspace, bit_set, by_bit_set, fresh, in_bit_set, may_match, slices, slot_of, table
 from .quality import lines_of
 
 MIN_WORDS = 50
@@ -221,8 +225,15 @@ def _deleted(min_words: int):
     return run
 
 
-def _windows(min_words: int):
-    """doc_id, version, lines, words -> doc_id, version, window: a hash of every shortest stretch of at least min_words words."""
+def _slot(window: str):
+    return F.shiftrightunsigned(window, 64 - BITS).cast("int")
+
+
+def _windows(min_words: int, shared=None):
+    """doc_id, version, lines, words -> doc_id, version, window: a hash of every shortest stretch of at least min_words words.
+
+    shared: a broadcast bit set of the windows that are wanted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,6 +251,9 @@ def _windows(min_words: int):
             power = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
             sums = np.r_[np.uint64(0), np.cumsum(lines * np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)])[:n])]
             window = K.mix((sums[b] - sums[a]) * power[a] + (b - a).astype(np.uint64)).view(np.int64)
+            if shared is not None:
+                own = in_bit_set(shared.value, (window.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64))
+                row, window = row[own], window[own]
             order = np.lexsort((window, row))
             row, window = row[order], window[order]
             first = np.r_[True, (row[1:] != row[:-1]) | (window[1:] != window[:-1])][: len(row)]
@@ -251,23 +265,31 @@ def _windows(min_words: int):
     return run
 
 
-def partners(rows: DataFrame, min_words: int) -> DataFrame:
+def partners(ws: Workspace, rows: DataFrame, min_words: int) -> DataFrame:
     """Pairs (doc_id, version, owner) to align, from rows(doc_id, version, lines, words)."""
-    each = rows.mapInArrow(_windows(min_words), "doc_id long, version long, window long")
+    schema = "doc_id long, version long, window long"
+    each = rows.mapInArrow(_windows(min_words), schema)
     owners = each.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("last > owner").drop("last")
-    return each.join(owners, "window").filter("doc_id > owner").select("doc_id", "version", "owner").distinct()
+    owners = ws.write(owners, "owners")
+    shared = rows.sparkSession.sparkContext.broadcast(bit_set(owners.select(_slot("window").alias("slot"))))
+    each = rows.mapInArrow(_windows(min_words, shared), schema)
+    pairs = ws.write(each.join(owners, "window").filter("doc_id > owner").select("doc_id", "version", "owner").distinct(), "pairs")
+    ws.drop(owners)
+    return pairs
 
 
 def deletions(ws: Workspace, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, version, ranges: the line ranges to delete, for the documents that have any."""
     rows = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_lines, "doc_id long, version long, lines array<long>, words array<int>")
     rows = ws.write(rows.filter(F.size("lines") > 0), "lines")
-    pairs = ws.write(partners(rows, min_words), "pairs")
-    sources = rows.join(pairs.select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("owner"), F.col("lines").alias("owner_lines"))
-    later = rows.join(pairs.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    pairs = partners(ws, rows, min_words)
+    sources = may_match(rows, "doc_id", pairs.select("owner")).select(F.col("doc_id").alias("owner"), F.col("lines").alias("owner_lines"))
+    later = may_match(rows, "doc_id", pairs.select("doc_id")).dropDuplicates(["doc_id", "version"])
     lined = pairs.join(later, ["doc_id", "version"]).join(sources, "owner").select("doc_id", "version", "lines", "words", "owner_lines")
     cut = lined.mapInArrow(_deleted(min_words), "doc_id long, version long, lo int, hi int")
-    return ws.write(cut.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges")), "deletions")
+    cut = ws.write(cut.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges")), "deletions")
+    ws.drop(rows, pairs)
+    return cut
 
 
 def _cut_text(text: str, ranges: list[dict]) -> tuple[str, int, int]:
@@ -283,61 +305,47 @@ def _cut_text(text: str, ranges: list[dict]) -> tuple[str, int, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(named), words
 
 
-def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """docs with the deleted blocks cut out of `text`; all columns and rows stay.
-
-    report adds lines_deleted and words_deleted. Columns named so, or starting with two
-    underscores, must not be in docs then.
-    """
+def _with_cuts(docs: DataFrame, min_words: int, n_lines: str, n_words: str) -> DataFrame:
+    """docs with the deleted blocks cut out of `text`, and what was deleted in two more columns of these names."""
     ws = Workspace(docs.sparkSession, "lines")
-    gone = deletions(ws, docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("version").alias("__version"), F.col("ranges").alias("__ranges"))
-    cuts = ws.write(gone.groupBy("__doc").agg(F.collect_list(F.struct("__version", "__ranges")).alias("__cuts")), "cuts")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_set(cuts.select(slot_of("__doc").alias("slot"))))
+    gone = deletions(ws, docs, min_words)
+    doc, cuts = fresh("__doc", docs), fresh("__cuts", docs)
+    by_doc = ws.write(gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("version", "ranges")).alias(cuts)), "cuts")
+    ws.drop(gone)
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cuts, texts = batch.column("__cuts"), batch.column("text")
-            out, n_lines, n_words = texts.to_pylist(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            hit = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+            given, texts = batch.column(len(names)), batch.column(place)
+            out, lines_gone, words_gone = texts.to_pylist(), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            hit = np.flatnonzero(given.is_valid().to_numpy(zero_copy_only=False))
             if len(hit):
                 some = pa.RecordBatch.from_arrays([pa.array(hit), texts.take(pa.array(hit))], ["doc_id", "text"])
                 versions = [v for lines in _lines(iter([some])) for v in lines.column("version").to_pylist()]
                 for i, version in zip(hit.tolist(), versions, strict=True):
-                    ranges = [r for c in cuts[i].as_py() if c["__version"] == version for r in c["__ranges"]]
+                    ranges = [r for c in given[i].as_py() if c["version"] == version for r in c["ranges"]]
                     if ranges:
-                        out[i], n_lines[i], n_words[i] = _cut_text(out[i], ranges)
-            columns = [batch.column(c) for c in names]
+                        out[i], lines_gone[i], words_gone[i] = _cut_text(out[i], ranges)
+            columns = batch.columns[:-1]
             columns[place] = pa.array(out, texts.type)
-            extra = [pa.array(n_lines), pa.array(n_words)] if report else []
-            yield pa.RecordBatch.from_arrays([*columns, *extra], [*names, *["lines_deleted", "words_deleted"] * bool(report)])
-
-    schema = T.StructType([*docs.schema.fields])
-    if report:
-        schema = schema.add("lines_deleted", "long").add("words_deleted", "long")
-
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines_gone), pa.array(words_gone)], [*names, n_lines, n_words])
 
-    def part(hit: bool) -> DataFrame:
-        """The rows whose document may have cuts, or the others, which need no shuffle."""
+    schema = T.StructType([*docs.schema.fields]).add(n_lines, "long").add(n_words, "long")
+    may, same = by_bit_set(docs, "doc_id", bit_set(by_doc.select(slot_of(doc).alias("slot"))))
+    cut = may.join(by_doc, F.col("doc_id") == F.col(doc), "left").select(*names, cuts).mapInArrow(run, schema)
+    return cut.union(same.withColumns({n_lines: F.lit(0).cast("long"), n_words: F.lit(0).cast("long")}))
 
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = in_bit_set(shared.value, batch.column("__slot").to_numpy().astype(np.int64))
-                yield batch.filter(pa.array(own == hit)).select(names)
 
-        return docs.withColumn("__slot", slot_of("doc_id")).mapInArrow(keep, docs.schema)
-
-    joined = part(True).join(cuts, F.col("doc_id") == F.col("__doc"), "left").select(*names, "__cuts")
-    same = part(False)
-    if report:
-        same = same.withColumns({"lines_deleted": F.lit(0).cast("long"), "words_deleted": F.lit(0).cast("long")})
-    return joined.mapInArrow(run, schema).union(same)
+def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+    """docs with the deleted blocks cut out of `text`; all columns and rows stay. report adds lines_deleted and words_deleted."""
+    out = _with_cuts(docs, min_words, fresh("lines_deleted", docs), fresh("words_deleted", docs))
+    return out if report else out.select(*docs.columns)
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """deduplicate_lines, without the documents that lost all their words; n_chars follows the text."""
-    cut = deduplicate_lines(docs, min_words, report=True)
-    changed = F.col("lines_deleted") > 0
+    lines, words = fresh("__lines", docs), fresh("__words", docs)
+    cut, changed = _with_cuts(docs, min_words, lines, words), F.col(lines) > 0
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
