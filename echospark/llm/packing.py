@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Workspace, table
 
 MAX_LEN = 2048
 END_ID = 1
@@ -120,6 +120,14 @@ def write_buckets(packed: DataFrame, path: str, mode: str = "error") -> None:
     packed.select("sequence_id", "doc_id", "start", "length", "ids").write.mode(mode).partitionBy("length").parquet(path)
 
 
+def pack_into_buckets(docs: DataFrame, vocabulary: str, ranks: str, max_len: int = MAX_LEN) -> DataFrame:
+    """pack(), written with one folder per length into the shared folder of the session and read from there."""
+    path = Workspace(docs.sparkSession, "packing").path("buckets")
+    packed = pack(docs, vocabulary, ranks, max_len)
+    packed.write.partitionBy("length").parquet(path)
+    return docs.sparkSession.read.schema(packed.schema).parquet(path).select(*packed.columns)
+
+
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
