@@ -180,6 +180,31 @@ def test_estimate_is_close():
         assert abs(j[0] - share / (2 - share)) < 0.2
 
 
+def near_clash(spark, rows):
+    return spark.createDataFrame([(i, t, 1, True, 2) for i, t in rows], "doc_id long, text string, __kept int, __stays boolean, __slot int")
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(2, text), (9, text), (9, other), (4, other + " x"), (4, other + " x"), (5, None), (5, None), (6, ""), (None, text), (7, "alone here"), (7, "not the same")]
+    got = near_dedup.drop_near_duplicates(near_clash(spark, rows))
+    assert got.columns == ["doc_id", "text", "__kept", "__stays", "__slot"]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, text), (4, other + " x"), (5, None), (5, None), (6, ""), (7, "alone here"), (7, "not the same")], key=str)
+
+
+def test_prints_never_hide_a_pair():
+    rng = np.random.default_rng(12)
+    for share in (0.5, 0.7, 0.8, 0.9, 1.0):
+        a = np.unique(rng.integers(0, 2**63, 150).astype(np.uint64))
+        b = np.unique(np.r_[a[: int(len(a) * share)], rng.integers(0, 2**63, len(a) - int(len(a) * share)).astype(np.uint64)])
+        common = len(np.intersect1d(a, b))
+        prints = pa.array([x.astype(np.uint16).tobytes() for x in (a, b, b[:0])], pa.binary())
+        ok = near_dedup._room(prints[0], prints[1:], len(a), np.array([len(b), 300]), 80)
+        assert ok[1] and (ok[0] or 100 * common < 80 * (len(a) + len(b) - common))
+        assert share >= 0.8 or not ok[0]
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -211,6 +236,15 @@ def test_contamination_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_contaminated_rows_go_one_by_one(spark):
+    item = " ".join(f"t{i}" for i in range(15))
+    rows = [(1, item, 0, 0), (1, "a clean row of the same id", 0, 0), (None, item, 0, 0), (None, "clean", 0, 0), (2, None, 0, 0), (3, "", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc int, __hits int")
+    got = decontamination.drop_contaminated(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, rows[1][1]), (None, "clean"), (2, None), (3, "")], key=str)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b x x c a b c"), (2, "a x x x x b c")], "doc_id long, text string")
     got = {(r.doc_id, r.start) for r in decontamination.proximity_matches(docs, spark.createDataFrame([(0, "c B a")], "item_id long, text string"), 4).collect()}
@@ -448,6 +482,47 @@ def test_no_common_block_is_left():
             assert not any(tuple(b[i:j]) in runs and sum(words[i:j]) >= least for i in range(lo, hi) for j in range(i + 1, hi + 1))
 
 
+def brute_cut_lines(texts, least):
+    """Lines of each document in a common run of `least` words with any earlier one, all pairs of documents."""
+    out = []
+    for j, b in enumerate(texts):
+        gone = set()
+        for a in texts[:j]:
+            runs = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    if a[x] == b[y]:
+                        runs[x + 1, y + 1] = runs[x, y] + 1
+                        lo = y + 1 - runs[x + 1, y + 1]
+                        if sum(len(t.split()) for t in b[lo : y + 1]) >= least:
+                            gone.update(range(lo, y + 1))
+        out.append([t for i, t in enumerate(b) if i not in gone])
+    return out
+
+
+def test_quilts_of_passages_against_all_pairs(spark):
+    rng = random.Random(13)
+    pieces = [passage(f"s{i}_", rng.choice((2, 3, 6)), rng.choice((10, 25))) for i in range(14)]
+    texts = []
+    for d in range(120):
+        quilt = []
+        for _ in range(rng.randrange(1, 5)):
+            piece = rng.choice(pieces)
+            lo = rng.randrange(len(piece)) if rng.random() < 0.3 else 0
+            quilt += piece[lo:] + ([f"own line {d} {len(quilt)}"] if rng.random() < 0.6 else [])
+        texts.append(quilt)
+    got = line_cuts(spark, texts)
+    assert [got[i] for i in range(len(texts))] == brute_cut_lines(texts, line_dedup.MIN_WORDS)
+
+
+def test_columns_named_like_the_report(spark):
+    df = spark.createDataFrame([(1, "\n".join(passage("p")), 7, "k"), (2, "\n".join(passage("p")), 8, "k")], "doc_id long, text string, lines_deleted int, __cuts string")
+    out = line_dedup.deduplicate_lines(df, report=True)
+    assert out.columns == [*df.columns, "lines_deleted_", "words_deleted"]
+    assert [(r.doc_id, r.lines_deleted, r.lines_deleted_) for r in line_dedup.deduplicate_lines(df, report=True).orderBy("doc_id").collect()] == [(1, 7, 0), (2, 8, 6)]
+    assert [r.doc_id for r in line_dedup.drop_repeated(df).collect()] == [1]
+
+
 def test_no_line_is_lost(spark, docs):
     out = line_dedup.deduplicate_lines(docs)
     lines = lambda df: {x for r in df.collect() for x in r.text.split("\n") if BLANK.search(x)}
@@ -507,4 +582,22 @@ def test_pipeline_stages(spark):
                 hit = {p for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for p in range(i, i + n)}
                 assert (d in after) == (not hit or 20 * len(hit) < len(w))
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {len(r.ids) == r.length and r.length & (r.length - 1) == 0 for r in packed.collect()} == {True}
+    assert {f.rpartition("/")[0].rpartition("/")[2] for f in packed.inputFiles()} == {f"length={n}" for n in {r.length for r in packed.collect()}}
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, None), (4, ""), (4, ""), (5, " \n"), (6, "short")]
+    labels_of(spark).write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for k, given in enumerate((rows, [])):
+        docs = spark.createDataFrame([(*r, None, "s", 1) for r in given], schema)
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, f"file://{tmp_path}").write.parquet(f"file://{tmp_path}/{k}{name}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{k}{name}")
+        packed = docs.collect()
+        want = [1, 3, 4, 4, 5, 6, None] if given else []
+        assert sorted((r.doc_id for r in packed if r.start == 0), key=str) == want
