@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All stages but the last keep the columns of documents.
+
+Nulls, empty texts, repeated rows and ids: every stage judges rows, not ids. Null and empty
+texts are not toxic, repeated or contaminated; they are no copies of one another and give one
+sequence with the end id. Of equal rows near_dedup keeps one, packing packs each that is left.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths, none of which crosses documents."""
-    return packing.pack(docs, *packing.default_vocabulary())
+    """Token sequences of power-of-two lengths, none of which crosses documents, out of one bucket per length."""
+    return packing.pack_into_buckets(docs, *packing.default_vocabulary())
 
 
 STAGES = [
