@@ -167,16 +167,19 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, cap: int) -> DataFrame:
-    """About `cap` rows of each value of `by`, chosen by a hash of `key` alone.
+def bounded_sample(ws: Workspace, df: DataFrame, by: str, key: str, cap: int, salt: str = "sample") -> DataFrame:
+    """About `cap` rows of each value of `by`, chosen by a hash of `key` and `salt` alone.
 
     All rows are counted; a group of n rows keeps those whose hash lies in the first
-    cap / n of its range. The group counts are one row per value of `by`.
+    cap / n of its range. The counts, one row per value of `by`, are a written table, so
+    Spark knows their size: while they are few it broadcasts them and df is filtered where
+    it is read, else both sides are joined on `by`.
     """
-    sizes = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
-    ranked = df.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
-    share = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return ranked.filter(share < F.lit(float(cap)) / F.col("__n")).drop("__n")
+    value, count = fresh("__by", df), fresh("__n", df)
+    sizes = ws.write(df.groupBy(F.col(by).alias(value)).agg(F.count("*").alias(count)), "sizes")
+    ranked = df.join(sizes, F.col(by).eqNullSafe(F.col(value)))
+    share = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return ranked.filter(share < F.lit(float(cap)) / F.col(count)).select(*df.columns)
 
 
 def crc_mod(column: str, modulus: int):

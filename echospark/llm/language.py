@@ -10,8 +10,9 @@ landmark columns, then the folded weights.
 Held-out rows (crc32 of the id modulo `FOLDS` is 2) are never learned from.
 
 Scale. Scoring is one pass without a shuffle, in batches of bounded size whatever the
-length of a text. Training gathers presence sets (not texts) of about `TRAIN_CAP` rows of
-each language, chosen by a hash of the id; languages are counted over all rows.
+length of a text. Training takes about `TRAIN_CAP` rows of each language, chosen by a hash
+of the id where the texts are read; languages are counted over all rows. The driver gets the
+presence rows of the landmarks and, of the other rows, their kernel with the landmarks.
 
 Edge cases. Null texts and texts without a letter are `und` with score 0. Without any
 labelled row every text is `und`. Rows that repeat a doc_id are judged row by row. Other
@@ -28,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bounded_sample, crc_mod, table
+from .common import Workspace, bounded_sample, crc_mod, table
 
 FOLDS, HELD = 4, 2
 TRAIN_CAP = 600
 LANDMARKS = 128
-DIMS = 1 << 13
+BITS = 15
+DIMS = 1 << BITS
 MAX_N = 4
 RIDGE = 0.05
 ROWS = 128
@@ -63,7 +65,7 @@ def presence(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
                 break
             run = run[:m] * np.uint64(0x100000001B3) + code[size - 1 :] + np.uint64(1)
             blank = blank[:m] & (code[size - 1 :] == 32)
-            slot = (run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)
+            slot = (run * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
             ok = (room[:m] >= size) & ~blank
             flat[base[:m][ok] + slot[ok].astype(np.int64)] = 1
     return out
@@ -94,18 +96,13 @@ class Model:
         return np.column_stack([k, np.ones(len(k), dtype=np.float32)]) @ self.weights
 
 
-def fit(x: np.ndarray, langs: np.ndarray) -> Model:
-    """One-versus-rest kernel ridge regression of a bounded sample; rows in a fixed order."""
-    names = sorted(set(langs.tolist()))
-    if not names:
-        return Model([], np.zeros((1, DIMS), np.float32), np.zeros((2, 0)))
-    each = max(LANDMARKS // len(names), 4)
-    chosen = np.concatenate([np.flatnonzero(langs == c)[:each] for c in names])
-    model = Model(names, x[chosen], np.zeros((len(chosen) + 1, len(names))))
-    values, vectors = np.linalg.eigh(model.kernel(x[chosen]).astype(float))
+def fit(model: Model, landmarks: np.ndarray, kernel: np.ndarray, langs: np.ndarray) -> Model:
+    """One-versus-rest kernel ridge regression of a bounded sample from its kernel with the landmarks."""
+    names = model.langs
+    values, vectors = np.linalg.eigh(model.kernel(landmarks).astype(float))
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.column_stack([model.kernel(x).astype(float) @ root, np.ones(len(x))])
+    z = np.column_stack([kernel.astype(float) @ root, np.ones(len(kernel))])
     y = np.where(langs[:, None] == np.asarray(names)[None, :], 1.0, -1.0)
     balance = 1 / np.asarray([max((langs == c).sum(), 1) for c in langs])
     gram = (z * balance[:, None]).T @ z
@@ -116,17 +113,32 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
 
 def train(docs: DataFrame, cap: int = TRAIN_CAP) -> Model:
     """A model of docs(doc_id, text, lang) without the held-out rows."""
+    ws = Workspace(docs.sparkSession, "language")
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD))
-    sample = bounded_sample(known, "lang", "doc_id", cap)
+    sample = ws.write(bounded_sample(ws, known, "lang", "doc_id", cap), "sample")
+    names = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    if not names:
+        return Model([], np.zeros((1, DIMS), np.float32), np.zeros((2, 0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch], of, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.packbits(p > 0).tobytes() for i in range(0, batch.num_rows, ROWS) for p in presence(*K.buffers(batch.column("text").slice(i, ROWS)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "lang", "grams"])
-
-    got = sample.mapInArrow(run, "doc_id long, lang string, grams binary").orderBy("lang", F.xxhash64("doc_id"), "grams").toArrow()
-    x = np.unpackbits(np.frombuffer(b"".join(got.column("grams").to_pylist()), dtype=np.uint8)).reshape(-1, DIMS).astype(np.float32)
-    return fit(x, np.asarray(got.column("lang").to_pylist(), dtype=object))
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                x = of(presence(*K.buffers(part.column("text"))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([r.tobytes() for r in x], kind)], ["doc_id", "lang", "row"])
+
+    def gather(df: DataFrame, of) -> pa.Table:
+        run = lambda batches: rows_of(batches, of, pa.binary())
+        return df.mapInArrow(run, "doc_id long, lang string, row binary").orderBy("lang", F.xxhash64("doc_id"), "row").toArrow()
+
+    chosen = gather(bounded_sample(ws, sample, "lang", "doc_id", max(LANDMARKS // len(names), 4), "landmarks"), lambda x: np.packbits(x > 0, axis=1))
+    if not chosen.num_rows:  # few rows, none of which has a small hash
+        chosen = gather(sample, lambda x: np.packbits(x > 0, axis=1)).slice(0, LANDMARKS)
+    landmarks = np.unpackbits(np.frombuffer(b"".join(chosen.column("row").to_pylist()), dtype=np.uint8)).reshape(-1, DIMS).astype(np.float32)
+    model = Model(names, landmarks, np.zeros((len(landmarks) + 1, len(names))))
+    got = gather(sample, model.kernel)
+    kernel = np.frombuffer(b"".join(got.column("row").to_pylist()), dtype=np.float32).reshape(got.num_rows, -1)
+    return fit(model, landmarks, kernel, np.asarray(got.column("lang").to_pylist(), dtype=object))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
