@@ -6,9 +6,10 @@ split that would break the direction is refused and children keep to the bounds
 their side. The trees are flattened into numpy node arrays (feature, threshold, child,
 value), and all documents of a batch walk all trees level by level without branching.
 
-Scale. Statistics, base rules and scores are one pass without a shuffle. Training
-gathers the statistics (not the texts) of at most `TRAIN_CAP` rows per label value,
-chosen by a hash of their id; the driver's work is bounded by that parameter.
+Scale. Statistics, base rules and scores are one pass without a shuffle, in slices of
+bounded bytes. Training gathers the statistics (not the texts) of at most about `TRAIN_CAP`
+rows per label value, chosen by a hash of their id; a bit set of fixed size picks their
+documents, so no other text is shuffled. The driver's work is bounded by that parameter.
 
 Edge cases. A null or blank text has no words, counts of zero, and fails the base
 rules. With labels of one kind only, no tree is grown and the base rules decide.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import bounded_sample, table
+from .common import Workspace, bounded_sample, may_match, slices, table
 
 TRAIN_CAP = 20_000
 TREES, DEPTH, RATE, BINS, L2 = 60, 4, 0.15, 64, 5.0
@@ -233,11 +234,12 @@ def _pack(nodes: list[list], roots: list[int], base: float, depth: int) -> Trees
 
 def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, monotone: dict[str, int] | None = None) -> Trees:
     """Trees for labels(doc_id, quality) over docs(doc_id, text), from at most about `cap` rows of each label value."""
-    named = bounded_sample(labels.select("doc_id", "quality").filter("quality is not null"), "quality", "doc_id", cap)
-    sample = docs.select("doc_id", "text").join(named, "doc_id").select("quality", "text")
+    ws = Workspace(docs.sparkSession, "quality")
+    named = ws.write(bounded_sample(ws, labels.select("doc_id", "quality").filter("quality is not null"), "quality", "doc_id", cap), "named")
+    sample = may_match(docs.select("doc_id", "text"), "doc_id", named).join(named, "doc_id").select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             f = statistics(batch.column("text"))["features"]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * f.shape[1]), pa.array(f.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("quality").cast(pa.int32()), flat], ["quality", "features"])
@@ -255,7 +257,7 @@ def assess(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, quality_score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = statistics(batch.column("text"))
             failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
             score = trees.score(s["features"])
