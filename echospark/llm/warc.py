@@ -7,11 +7,18 @@ a response carries its payload, a revisit names its original and has no body. Re
 back parses the records by Content-Length, takes bytes and digest of a response from its
 payload, and joins revisit records to their originals by digest.
 
-Scale. Payloads are never shuffled for the decision. The headers of the digests that
-occur more than once are the only thing that is joined to the pages; Spark broadcasts them
-while they are small and else shuffles by digest. Archives are the part files of one
-gzipped `text` write whose line separator is the record separator, `MAX_RECORDS` records at
-most in each, so that any store works and readers have bounded files.
+Scale. Headers alone (id, digest, length) decide. A bit set of fixed size marks the digests
+that occur more than once: pages without such a digest are written where they are read; of
+the others the headers are joined with the originals, and only the payloads of responses
+among them (one of each repeated payload) are shuffled. Headers of a frequent payload
+meet its original as one row of a written table, which adaptive execution can split.
+Archives are the part files of one gzipped `text` write whose line separator is the record
+separator, so that any store works; each holds about `FILE_BYTES` of records, and
+`MAX_RECORDS` at most.
+
+Records. A response holds an HTTP head and the payload, a revisit the HTTP head alone. The
+payload digest is that of the payload. A record's id is made of its page id and digest,
+so rows that repeat both have one id.
 
 Edge cases. A null or empty html is an empty payload, always a response. Rows that repeat
 a page_id and a payload are all responses if theirs is the smallest id, else all revisits.
@@ -29,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, bit_set, by_bit_set, slot_of, table
 
 MIN_BYTES = 100
-MAX_RECORDS = 500
+#: Bytes of payload and records of one archive.
+FILE_BYTES, MAX_RECORDS = 64 << 20, 100_000
 RECORD_END = "\r\n\r\n"
 _NO_ID = 2**63 - 1
 
@@ -66,39 +74,59 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-"), part(13, 4), F.lit("-"), part(17, 4), F.lit("-"), part(21, 12), F.lit(">"))
 
 
-def records(pages: DataFrame, date: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One WARC record per page, without its end: page_id, record."""
-    heads = headers(pages)
-    joined = heads.join(originals(heads, min_bytes), "payload_digest", "left")
-    own = F.coalesce("page_id", F.lit(_NO_ID))
-    revisit = F.col("original").isNotNull() & (own != F.col("original"))
+def _records(heads: DataFrame, date: str, revisit: bool) -> DataFrame:
+    """Records, without their end, of headers(page_id, url, payload_bytes, payload_digest) with payload, or with original for revisits."""
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    refers = F.concat(
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\n"), line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit("\r\n")
+    )
+    length = F.octet_length(http) if revisit else F.octet_length(http) + F.col("payload_bytes")
+    refers = [
         line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         line("WARC-Refers-To", _record_id(F.col("original"), F.col("payload_digest"))),
         line("X-Refers-To-Page", F.col("original").cast("string")),
-    )
+    ]
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        line("WARC-Type", F.lit("revisit" if revisit else "response")),
         line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(revisit, refers).otherwise(""),
+        *(refers if revisit else []),
         line("X-Page", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
+        http,
     )
-    return joined.select("page_id", F.concat(head, F.when(revisit, "").otherwise(F.col("payload"))).alias("record"))
+    return heads.select((head if revisit else F.concat(head, F.col("payload"))).alias("record"))
+
+
+def records(ws: Workspace, pages: DataFrame, date: str, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """One WARC record per page, without its end: record."""
+    heads = headers(pages.select("page_id", "url", "html"))
+    repeated = ws.write(originals(heads, min_bytes), "originals")
+    bits = bit_set(repeated.select(slot_of("payload_digest").alias("slot")))
+    may, single = by_bit_set(heads, "payload_digest", bits)
+    bare = by_bit_set(heads.drop("payload"), "payload_digest", bits)[0]
+    told = ws.write(bare.join(repeated, "payload_digest", "left"), "decisions")
+    again = F.col("original").isNotNull() & (F.coalesce("page_id", F.lit(_NO_ID)) != F.col("original"))
+    key = lambda df: df.withColumn("key", F.struct(F.coalesce("page_id", F.lit(_NO_ID)).alias("page"), F.col("page_id").isNull().alias("none"), "payload_digest"))
+    first = key(told.filter(~again)).select("key").distinct()
+    rows = key(may)
+    rows = by_bit_set(rows, "key", bit_set(first.select(slot_of("key").alias("slot"))))[0].join(first, "key", "left_semi").drop("key")
+    return _records(single, date, False).union(_records(rows, date, False)).union(_records(told.filter(again), date, True))
 
 
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = MIN_BYTES, max_records: int = MAX_RECORDS) -> None:
     """Writes pages as deduplicated WARC archives, several files, into the folder `path`."""
-    out = records(pages, date, min_bytes).select("record")
-    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max_records).option("compression", "gzip").text(path)
+    ws = Workspace(pages.sparkSession, "warc")
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    each = max(1, min(max_records, int(FILE_BYTES / (mean + 512))))
+    out = records(ws, pages, date, min_bytes)
+    out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +143,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if lines[0] != "WARC/1.1":
                     raise ValueError(f"no WARC record at byte {at}")
                 head = dict(x.split(": ", 1) for x in lines[1:])
-                n, body = int(head["Content-Length"]), end + 4
+                n, block = int(head["Content-Length"]), end + 4
+                body = whole.index(b"\r\n\r\n", block) + 4
                 refers = head.get("X-Refers-To-Page")
                 rows.append(
                     (
@@ -124,13 +153,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         head["WARC-Type"],
                         int(refers) if refers else None,
                         head["WARC-Payload-Digest"].removeprefix("sha256:"),
-                        n,
-                        hashlib.sha256(data[body : body + n]).hexdigest(),
+                        block + n - body,
+                        hashlib.sha256(data[body : block + n]).hexdigest(),
                     )
                 )
-                if whole[body + n : body + n + 4] != b"\r\n\r\n":
+                if whole[block + n : block + n + 4] != b"\r\n\r\n":
                     raise ValueError(f"record at byte {at} does not end where its length says")
-                at = body + n + 4
+                at = block + n + 4
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -142,7 +171,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     page_id, url, record_type, refers_to, payload_bytes and payload_digest of the full payload.
     """
     schema = "page_id long, url string, record_type string, refers_to long, stated_digest string, body_bytes long, body_digest string"
-    parsed = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, schema)
+    parsed = Workspace(spark, "warc").write(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, schema), "parsed")
     first = (
         parsed.filter("record_type = 'response'")
         .groupBy(F.col("body_digest").alias("stated_digest"))
