@@ -2,18 +2,21 @@
 
 Method. Many voters judge a text: stated lexicons, patterns (shouting, second-person
 insults, repeated marks), lexicons that are induced from the labelled rows, and the
-annotation itself as one more voter that may err. A generative label model is fitted by
-expectation maximisation on the counts of vote patterns. It estimates each voter's
-accuracy on either class, and the correlation of voters given the class, by which the
-votes of voters that speak together are discounted. Its posteriors are the targets of a
-linear classifier over words and word beginnings, which scores every whole text.
+annotation itself as one more voter that may err and that abstains on rows without a
+label. A generative label model is fitted by expectation maximisation on the counts of
+vote patterns. It estimates each voter's accuracy on either class, and the correlation of
+voters given the class, by which the votes of voters that speak together are discounted.
+The annotation starts the estimates and has a weak prior (`PRIOR_SHARE` of the rows), no
+bound. The posteriors of labelled and unlabelled rows are the targets of a linear
+classifier over words and word beginnings, which scores every whole text.
 
 Held-out rows (crc32 of the id modulo `FOLDS` is 0) never give a label to anything.
 
 Scale. Everything is learned from at most about `TRAIN_CAP` labelled rows of each label
-value, chosen by a hash of the id; a bit set of fixed size picks their texts, so no other
-text is shuffled. Feature counts are aggregated in the tasks first. Only features that pass
-a significance test are kept, at most `MAX_FEATURES`. The label model sees one row per vote
+value and `UNLABELLED_CAP` rows without a label, chosen by a hash of the id; a bit set of
+fixed size picks their texts, so no other text is shuffled. Feature counts are aggregated in
+the tasks first. All features that pass a significance test are kept; their number is
+bounded by the words of that sample. The label model sees one row per vote
 pattern, the classifier the kept features (not the texts) of the sample. Scoring is one
 pass over all documents without a shuffle.
 
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +41,12 @@ from .common import Workspace, bounded_sample, crc_mod, may_match, slices, table
 
 FOLDS = 5
 TRAIN_CAP = 20_000
-MAX_FEATURES = 50_000
+UNLABELLED_CAP = 5_000
 MIN_POSITIVES = 3
 #: Least log odds of a feature that stands for toxic texts.
 MIN_ODDS = 4.0
-#: How often the annotation marks a toxic text at least, and a clean text at most.
-TRUST = (0.95, 0.02)
+#: How often the annotation is expected to mark a clean and a toxic text, and what share of the rows this belief weighs.
+EXPECTED, PRIOR_SHARE = (0.02, 0.95), 0.05
 PREFIXES = (4, 5, 6)
 #: Voters made of induced lexicons; each holds the features of one hash class.
 INDUCED = 6
@@ -137,7 +141,7 @@ def telling(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ws = Workspace(rows.sparkSession, "toxicity")
     tested = ws.write(counts.select("feature", g.alias("g"), odds.alias("odds")), "tested")
     limit = 2 * np.log(max(tested.count(), 2))
-    best = tested.filter((F.col("odds") > MIN_ODDS) & (F.col("g") > float(limit))).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).toArrow()
+    best = tested.filter((F.col("odds") > MIN_ODDS) & (F.col("g") > float(limit))).toArrow()
     names = best.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(names)
     return names[order], best.column("odds").to_numpy()[order]
@@ -173,42 +177,45 @@ def votes(at: np.ndarray, raw: np.ndarray, induced: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Two-class generative model of votes with class-conditional rates and correlation discounts."""
+    """Two-class generative model of votes with class-conditional rates and correlation discounts.
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, trusted: int, rounds: int = 50) -> None:
-        """patterns: distinct vote rows; trusted: the column of the annotation, which starts the estimates and is held to TRUST."""
-        x, w = patterns.astype(float), counts.astype(float)
-        post = np.where(patterns[:, trusted] > 0, 0.9, 0.1)
-        marked = (w * x[:, trusted]).sum() / max(w.sum(), 1)
+    patterns: distinct vote rows of 1, 0 or -1 (abstains) with their counts; first: the column of
+    the annotation, whose votes start the estimates. prior_share: the weight of EXPECTED for that column.
+    derived: columns that were made from the annotation; they are discounted for speaking with it, it is not for them.
+    """
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, first: int, derived: slice = slice(0, 0), rounds: int = 50, prior_share: float = PRIOR_SHARE) -> None:
+        self.first, self.derived = first, derived
+        x, given, w = np.maximum(patterns, 0).astype(float), (patterns >= 0).astype(float), counts.astype(float)
+        said = given[:, first] > 0
+        marked = (w * x[:, first]).sum() / max((w * given[:, first]).sum(), 1)
+        post = np.where(said, np.where(x[:, first] > 0, 0.9, 0.1), marked)
+        extra, weight = np.full((2, x.shape[1]), 0.5), np.ones(x.shape[1])
+        weight[first] += prior_share * w.sum()
+        extra[:, first] += np.asarray(EXPECTED) * prior_share * w.sum()
         for _ in range(rounds):
-            self.prior = float(np.clip((w * post).sum() / max(w.sum(), 1), max(marked / 2, 1e-4), min(2 * marked + 1e-4, 0.5)))
-            self.rate = np.stack([self._rates(x, w * p) for p in (1 - post, post)])
-            self.rate[1, trusted] = max(self.rate[1, trusted], TRUST[0])
-            self.rate[0, trusted] = min(self.rate[0, trusted], TRUST[1])
-            self.weight = self._discounts(x, w, post)
-            self.weight[trusted] = 1
+            self.prior = float(np.clip((w * post).sum() / max(w.sum(), 1), 1e-4, 0.5))
+            self.rate = np.stack([np.clip(((w * p) @ x + e) / ((w * p) @ given + weight), 0.002, 0.998) for p, e in zip((1 - post, post), extra, strict=True)])
+            self.weight = self._discounts(x, given, w, post)
             post = self.posterior(patterns)
 
-    @staticmethod
-    def _rates(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return np.clip((w @ x + 0.5) / (w.sum() + 1.0), 0.002, 0.998)
-
-    def _discounts(self, x: np.ndarray, w: np.ndarray, post: np.ndarray) -> np.ndarray:
+    def _discounts(self, x: np.ndarray, given: np.ndarray, w: np.ndarray, post: np.ndarray) -> np.ndarray:
         """1 / (1 + the sum of a voter's positive correlations with others, given the class)."""
         total = np.zeros(x.shape[1])
         for c, p in enumerate((1 - post, post)):
             v = w * p
-            centred = x - self.rate[c]
-            cov = (centred * v[:, None]).T @ centred / max(v.sum(), 1e-9)
+            centred = (x - self.rate[c]) * given
+            cov = (centred * v[:, None]).T @ centred / np.maximum((given * v[:, None]).T @ given, 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.clip(cov / np.outer(sd, sd), 0, 1)
             np.fill_diagonal(corr, 0)
+            corr[self.first, self.derived] = 0
             total += v.sum() / max(w.sum(), 1e-9) * np.where(corr > 0.1, corr, 0).sum(axis=1)
         return 1 / (1 + total)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        x = patterns.astype(float)
-        log = [(x * np.log(r) + (1 - x) * np.log(1 - r)) @ self.weight for r in self.rate]
+        x, given = np.maximum(patterns, 0).astype(float), (patterns >= 0).astype(float)
+        log = [(x * np.log(r) + (given - x) * np.log(1 - r)) @ self.weight for r in self.rate]
         margin = log[1] - log[0] + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
@@ -252,9 +259,13 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, folds: int =
     """A model of labels(doc_id, toxic) over docs(doc_id, text); rows of fold 0 give no labels."""
     ws = Workspace(docs.sparkSession, "toxicity")
     given = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & (crc_mod("doc_id", folds) != 0))
-    given = ws.write(bounded_sample(given, "toxic", "doc_id", cap), "given")
+    given = ws.write(bounded_sample(ws, given, "toxic", "doc_id", cap), "given")
+    others = docs.select("doc_id").filter(crc_mod("doc_id", folds) != 0).join(labels.select("doc_id"), "doc_id", "left_anti")
+    others = bounded_sample(ws, others.select("doc_id", F.lit(None).cast("int").alias("toxic")), "toxic", "doc_id", UNLABELLED_CAP)
+    given = ws.write(given.union(others.distinct()), "chosen")
     texts = may_match(docs.select("doc_id", "text"), "doc_id", given)
-    rows = ws.write(texts.join(given, "doc_id").select("doc_id", "toxic", "text"), "labelled")
+    sample = ws.write(texts.join(given, "doc_id").select("doc_id", "toxic", "text"), "sample")
+    rows = sample.filter("toxic is not null")
     names, odds = telling(rows)
     stated = _stated()
     if not len(names):
@@ -263,7 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, folds: int =
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             at, raw = K.buffers(batch.column("text"))
-            seen = np.column_stack([votes(at, raw, names), batch.column("toxic").to_numpy(zero_copy_only=False) > 0]).astype(np.int8)
+            said = pc.fill_null(batch.column("toxic"), -1).to_numpy()
+            seen = np.column_stack([votes(at, raw, names), np.sign(said)]).astype(np.int8)
             doc, feature = features(at, raw)
             hit = _isin(feature, names)
             doc, feature = _distinct(doc[hit], feature[hit])
@@ -272,14 +284,14 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, folds: int =
             pattern = pa.array([v.tobytes() for v in seen], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pattern, column], ["doc_id", "toxic", "votes", "features"])
 
-    seen = ws.write(rows.mapInArrow(look, "doc_id long, toxic int, votes binary, features array<int>"), "votes")
+    seen = ws.write(sample.mapInArrow(look, "doc_id long, toxic int, votes binary, features array<int>"), "votes")
     tally = seen.groupBy("votes").count().toArrow()
     width = len(LEXICONS) + len(PATTERNS) + INDUCED + 1
     unpack = lambda col: np.frombuffer(b"".join(col.to_pylist()), dtype=np.int8).reshape(-1, width)
-    label_model = LabelModel(unpack(tally.column("votes")), tally.column("count").to_numpy(), trusted=width - 1)
-    sample = seen.orderBy("doc_id", "votes").select("votes", "features").toArrow()
-    target = label_model.posterior(unpack(sample.column("votes")))
-    lists = sample.column("features").combine_chunks()
+    label_model = LabelModel(unpack(tally.column("votes")), tally.column("count").to_numpy(), first=width - 1, derived=slice(width - 1 - INDUCED, width - 1))
+    every = seen.orderBy("doc_id", "votes").select("votes", "features").toArrow()
+    target = label_model.posterior(unpack(every.column("votes")))
+    lists = every.column("features").combine_chunks()
     at = lists.offsets.to_numpy()
     weights, bias = _fit_linear(at - at[0], lists.flatten().to_numpy(zero_copy_only=False), target, len(names), np.minimum(odds, 4.0) / 2)
     return Model(names, weights, bias)
