@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -308,6 +309,30 @@ def test_quality_counts(spark, docs, odd):
         assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_quality_verdict_held_out_and_by_walking_trees(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality.train(docs, labels.filter("crc32(cast(doc_id as string)) % 5 <> 0"))
+    got = quality.assess(docs, trees).join(labels.filter("crc32(cast(doc_id as string)) % 5 = 0 and quality is not null"), "doc_id").filter("not base_failed").toPandas()
+    assert len(got) > 300 and ((got.quality > 0) == got.kept).mean() > 0.97
+
+    def walk(row):
+        total = trees.base
+        for node in trees.roots.tolist():
+            for _ in range(trees.depth):
+                node = int(trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node])
+            total += trees.value[node]
+        return total
+
+    x = quality.statistics(pa.array([r.text for r in docs.limit(40).collect()]))["features"]
+    assert np.allclose(trees.margin(x), [walk(r) for r in x])
+
+
+def test_quality_of_odd_labels(spark, docs, odd):
+    for rows in ([(1, 1, 0), (10**6, 0, 0), (2, None, 0)], [(i, 1, 0) for i in range(30)], [(None, 1, 0), (None, 0, 0)]):
+        got = quality.assess(odd, quality.train(docs, labels_of(spark, rows))).collect()
+        assert len(got) == odd.count() and all(0 <= r.quality_score <= 1 for r in got)
+
+
 def test_trees_are_monotone_and_learn():
     rng = np.random.default_rng(9)
     x = rng.random((3000, 3))
@@ -332,6 +357,24 @@ def test_toxicity_held_out(spark):
     assert hit.mean() > 0.95 and (got[got.toxic == 0].predicted == 0).mean() > 0.98 and (got[got.toxic == 1].predicted == 1).mean() > 0.75
 
 
+def test_label_model_recovers_the_rates_of_voters():
+    rng = np.random.default_rng(14)
+    n, prior = 40_000, 0.15
+    truth = rng.random(n) < prior
+    rates = np.array([[0.02, 0.6], [0.05, 0.5], [0.01, 0.3], [0.1, 0.7], [0.03, 0.85]])
+    votes = (rng.random((n, 5)) < rates[:, truth.astype(int)].T).astype(np.int8)
+    copied = np.where(rng.random(n) < 0.95, votes[:, 0], 1 - votes[:, 0]).astype(np.int8)  # speaks with the first voter
+    votes = np.column_stack([votes[:, :4], copied, np.where(rng.random(n) < 0.3, -1, votes[:, 4])])  # the annotation abstains on 30 %
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel(patterns, counts, first=5)
+    want = np.vstack([rates[:4], [0.05 + 0.9 * 0.02, 0.05 + 0.9 * 0.6], rates[4]]).T
+    assert np.abs(model.rate - want).max() < 0.05 and abs(model.prior - prior) < 0.02
+    assert model.weight[0] < 0.8 and model.weight[4] < 0.8 and model.weight[1:4].min() > 0.8
+    # posteriors against Bayes' rule with the true rates of the independent voters
+    post = model.posterior(votes)
+    assert ((post > 0.5) == truth).mean() > 0.95
+
+
 def test_toxicity_without_labels_uses_the_stated_words(spark):
     docs = spark.createDataFrame([(1, "you stupid idiot"), (2, "a kind word"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels_of(spark))).collect()}
@@ -344,6 +387,21 @@ def test_language_held_out(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_kernel_against_sets(spark):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abcdeé .,1") for _ in range(rng.randrange(1, 90))) for _ in range(12)]
+
+    def grams(text):
+        raw = [c | 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode()]
+        return {tuple(raw[i : i + k]) for k in range(1, language.MAX_N + 1) for i in range(len(raw) - k + 1) if any(c != 32 for c in raw[i : i + k])}
+
+    x = language.presence(*K.buffers(pa.array(texts)))
+    k = language.Model([], x, np.zeros((13, 0))).kernel(x)
+    sets = [grams(t) for t in texts]
+    want = np.array([[len(a & b) / max(np.sqrt(len(a) * len(b)), 1) for b in sets] for a in sets])
+    assert np.abs(k - want).max() < 0.02
+
+
 def test_language_of_texts_without_letters(spark, docs):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !?"), (4, "the and"), (5, "漢字")], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in language.identify(df, language.train(docs)).collect()}
@@ -383,6 +441,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == want
 
 
+def test_warc_of_an_empty_table_and_a_long_page(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    warc.write(spark.createDataFrame([], schema), f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+    long = "ab\r\n\r\ncd " * 400_000
+    warc.write(spark.createDataFrame([(2, "u", long), (1, "u", long), (3, "u", long[:-1])], schema), f"file://{tmp_path}/long")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/long").collect()}
+    assert got == {1: ("response", None, len(long)), 2: ("revisit", 1, len(long)), 3: ("response", None, len(long) - 1)}
+
+
 # ---------------------------------------------------------------- licences
 
 
@@ -395,6 +463,23 @@ def test_license_spellings(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_whole_licences_and_wrapped_notices(spark):
+    known = dict(licenses.KNOWN[::-1])
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n, break_on_hyphens=False) for p in t.split("\n\n"))
+    texts = [f"Copyright (c) {y} Some Author. All rights reserved.\n\n" + wrap(t, n) for y, n in ((1999, 60), (2024, 79)) for _, t in licenses.KNOWN if "\n\n" in t]
+    names = [a for _ in range(2) for a, t in licenses.KNOWN if "\n\n" in t]
+    notice = known["MPL-2.0"]
+    texts += ["Some file.\n\n" + wrap(notice, 50) + "\n\nMore text.", "(c) 2020 X. Released under the MIT License.", "licence licence", "Copyright 2020 X\nLicenced under the MIT licence, all rights reserved", "(c) You must retain all notices"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.whole_license, r.licenses) for r in licenses.scan(df, licenses.registry(spark), True).collect()}
+    n = len(names)
+    assert [got[i][0] for i in range(n)] == names
+    assert [got[n + i] for i in range(5)] == [(None, "MPL-2.0"), ("MIT", "MIT"), (None, ""), ("MIT", "MIT"), (None, "")]
+    more = spark.createDataFrame([("X-1", "License license"), ("X-2", "(C) you must retain all NOTICES!")], "license string, text string")
+    got = {r.doc_id: r.whole_license for r in licenses.scan(df, licenses.registry(spark, more), False).collect()}
+    assert got[n + 2] == "X-1" and got[n + 4] == "X-2"
+
+
 # ---------------------------------------------------------------- lines
 
 
