@@ -52,18 +52,31 @@ def weighted_loss(cells: DataFrame, weights: Sequence[float] = CLASS_WEIGHTS, ig
 def match_boxes(truth: DataFrame, found: DataFrame, width: int, threshold: float = 0.5) -> DataFrame:
     """found(raw_file, category, det_id, score, bx0..by1) with iou and is_match against truth(raw_file, category, object_id, x0..y1).
 
-    Boxes have inclusive corners. Detections are served by score: each takes its best truth of at
-    least the threshold, and a truth goes to the first detection that wants it.
+    Boxes have inclusive corners. Detections are served by score, the smaller det_id first among
+    equals: each takes the best truth of at least the threshold that no earlier one has taken
+    (the smaller object_id of equals). Rounds find the same matches: a pair is settled when
+    the truth is the best free one of its detection and the detection the first of all that could
+    take it; settled boxes leave, until no pair is left. Ids are unique over all files.
     """
     from .joins import box_overlap
+    from .objects import removed, written
 
-    pairs = box_overlap(truth.drop("score"), found.withColumnRenamed("category", "__cat"), "raw_file", width).filter("category = __cat")
+    pairs = box_overlap(truth.select("raw_file", "category", "object_id", "x0", "x1", "y0", "y1"), found.withColumnRenamed("category", "__cat"), "raw_file", width).filter("category = __cat")
     side = lambda a, b, c, d: F.greatest(F.least(b, d) - F.greatest(a, c) + 1, F.lit(0))
     inter = side(F.col("x0"), F.col("x1"), F.col("bx0"), F.col("bx1")) * side(F.col("y0"), F.col("y1"), F.col("by0"), F.col("by1"))
     area = lambda a, b, c, d: (F.col(b) - F.col(a) + 1) * (F.col(d) - F.col(c) + 1)
     pairs = pairs.withColumn("iou", inter / (area("x0", "x1", "y0", "y1") + area("bx0", "bx1", "by0", "by1") - inter))
-    wish = pairs.groupBy("det_id").agg(F.max_by(F.struct("object_id", "iou"), F.struct("iou", -F.col("object_id"))).alias("w"), F.max("score").alias("score"))
-    wish = wish.select("det_id", "score", F.col("w.object_id").alias("object_id"), F.col("w.iou").alias("iou")).filter(F.col("iou") >= threshold)
-    winners = wish.groupBy("object_id").agg(F.min_by("det_id", F.struct(-F.col("score"), F.col("det_id"))).alias("det_id"))
-    won = wish.join(winners, ["object_id", "det_id"]).select("det_id", "iou", F.lit(True).alias("is_match"))
-    return found.join(won, "det_id", "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+    pairs = written(pairs.filter(F.col("iou") >= threshold).select("det_id", "score", "object_id", "iou"))
+    won = None
+    while True:
+        best = pairs.groupBy("det_id").agg(F.min_by(F.struct("object_id", "iou"), F.struct(-F.col("iou"), "object_id")).alias("b")).select("det_id", "b.*")
+        first = pairs.groupBy("object_id").agg(F.min_by("det_id", F.struct(-F.col("score"), "det_id")).alias("det_id"))
+        settled = written(best.join(first, ["object_id", "det_id"]).select("det_id", "object_id", "iou"))
+        if settled.isEmpty():
+            break
+        won = settled.select("det_id", "iou") if won is None else won.union(settled.select("det_id", "iou"))
+        rest = written(pairs.join(settled.select("det_id"), "det_id", "left_anti").join(settled.select("object_id"), "object_id", "left_anti"))
+        removed(pairs)
+        pairs = rest
+    won = settled.select("det_id", "iou") if won is None else won
+    return found.join(won.withColumn("is_match", F.lit(True)), "det_id", "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir, so that rounds have no lineage."""
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder of spark.checkpoint.dir, so that rounds have no lineage.
+
+    A temporary folder serves where the setting is missing and Spark runs in one process.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/objects-{uuid.uuid4().hex}"
@@ -21,6 +27,16 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that `written` returned and that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    conf = table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if folder.rpartition("/")[2].startswith("objects-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def runs(labels: DataFrame, skip: tuple[int, ...] = (0, -100)) -> DataFrame:
     """labels(raw_file, ping_idx, labels) -> maximal runs along range: raw_file, ping_idx, category, lo, hi (inclusive)."""
     cells = labels.select("raw_file", "ping_idx", F.posexplode("labels").alias("r", "category")).filter(~F.col("category").isin(list(skip)))
@@ -36,19 +52,21 @@ def label_objects(labels: DataFrame, skip: tuple[int, ...] = (0, -100)) -> DataF
     Runs of neighbouring pings that overlap in range are linked; the smallest run id is passed
     along links with pointer jumping until nothing changes.
     """
-    nodes = _written(runs(labels, skip).withColumn("id", F.monotonically_increasing_id()))
+    nodes = written(runs(labels, skip).withColumn("id", F.monotonically_increasing_id()))
     nxt = nodes.select("raw_file", "category", (F.col("ping_idx") - 1).alias("ping_idx"), F.col("id").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     links = nodes.join(nxt, ["raw_file", "category", "ping_idx"]).filter("lo <= hi2 and lo2 <= hi").select(F.col("id").alias("a"), "b")
-    arcs = _written(links.union(links.select("b", "a")))
-    state = _written(nodes.select("id", F.col("id").alias("label")))
+    arcs = written(links.union(links.select("b", "a")))
+    state = written(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = arcs.join(state.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = state.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
         up = state.select(F.col("id").alias("mid"), F.col("label").alias("top"))
-        state = _written(step.join(up, "mid").select("id", "old", F.least("mid", "top").alias("label")))
-        if not state.filter("label <> old").limit(1).count():
+        new = written(step.join(up, "mid").select("id", "old", F.least("mid", "top").alias("label")))
+        removed(state)
+        state = new.select("id", "label")
+        if new.filter("label <> old").isEmpty():
+            removed(arcs)
             break
-        state = state.select("id", "label")
     out = nodes.join(state.select("id", "label"), "id").groupBy("raw_file", "category", "label").agg(
         F.sum(F.col("hi") - F.col("lo") + 1).alias("n_pixels"), F.min("lo").alias("y0"), F.max("hi").alias("y1"), F.min("ping_idx").alias("x0"), F.max("ping_idx").alias("x1")
     )

@@ -38,13 +38,13 @@ def shaped_sql(sql: str, spec: str) -> str:
     return f"SELECT {', '.join(map(one, spec.split()))} FROM (\n{sql}\n) AS q"
 
 
-def query(name: str, spec: str, sql: str | None = None, ctes: str = ""):
+def query(name: str, spec: str, sql: str | None = None, ctes: str = "", recursive: bool = False):
     """Registers f(survey) under `name`; sql reads the views of DUCK and further ctes."""
 
     def add(f: Callable[[Survey], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: shaped(f(Survey(spark, sf_dir)), spec)
         if sql:
-            ORACLE[name] = shaped_sql(f"WITH {DUCK}{', ' + ctes if ctes else ''}\n{sql}", spec)
+            ORACLE[name] = shaped_sql(f"WITH {'RECURSIVE ' if recursive else ''}{DUCK}{', ' + ctes if ctes else ''}\n{sql}", spec)
         return f
 
     return add

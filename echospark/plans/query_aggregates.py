@@ -96,28 +96,37 @@ def weighted_loss(v: Survey) -> DataFrame:
     return E.weighted_loss(cells.select("batch", A.species_class(F.col("c.labels")).alias("label"), q(F.col("c.p_other")).alias("p0"), q(F.col("c.p_sandeel")).alias("p1"), q(F.col("c.p_other")).alias("p2")))
 
 
-_IOU = """fd AS (SELECT s.*, object_id AS det_id, x0 + 1 AS bx0, x1 + 2 AS bx1, y0 AS by0, y1 + 1 AS by1, ((object_id * 7) % 100) / 100.0::DOUBLE AS score FROM school s WHERE x0 <= x1 AND category <> -1),
-pr AS (SELECT d.det_id, t.object_id, d.score, (least(t.x1, d.bx1) - greatest(t.x0, d.bx0) + 1) * (least(t.y1, d.by1) - greatest(t.y0, d.by0) + 1) AS i,
-  (t.x1 - t.x0 + 1) * (t.y1 - t.y0 + 1) + (d.bx1 - d.bx0 + 1) * (d.by1 - d.by0 + 1) AS a FROM fd t JOIN fd d ON t.raw_file = d.raw_file AND t.category = d.category AND t.x0 <= d.bx1 AND d.bx0 <= t.x1 AND t.y0 <= d.by1 AND d.by0 <= t.y1),
-iou AS (SELECT det_id, object_id, score, i / (a - i)::DOUBLE AS iou FROM pr),
-wish AS (SELECT det_id, max(score) AS score, arg_max(object_id, (iou, -object_id)) AS object_id, max(iou) AS iou FROM iou GROUP BY ALL HAVING max(iou) >= 0.5),
-won AS (SELECT object_id, arg_min(det_id, (-score, det_id)) AS det_id FROM wish GROUP BY ALL)"""
-
-
-@query("e19_box_matches", "det_id:i iou:d hit:b", "SELECT fd.det_id, CASE WHEN won.det_id IS NOT NULL THEN iou END AS iou, won.det_id IS NOT NULL AS hit FROM fd LEFT JOIN wish ON wish.det_id = fd.det_id LEFT JOIN won ON won.det_id = fd.det_id", _IOU)
+_IOU = """fd AS (SELECT s.raw_file, s.category, object_id * 2 + k AS det_id, x0 + 1 + k AS bx0, x1 + 2 - k AS bx1, y0 AS by0, y1 + 1 - k AS by1, ((object_id * 7 + k * 3) % 100) / 100.0::DOUBLE AS score
+  FROM school s, (SELECT unnest([0, 1]) AS k) WHERE x0 <= x1 AND category <> -1),
+pr AS (SELECT d.raw_file, d.det_id, t.object_id, d.score, (least(t.x1, d.bx1) - greatest(t.x0, d.bx0) + 1) * (least(t.y1, d.by1) - greatest(t.y0, d.by0) + 1) AS i,
+  (t.x1 - t.x0 + 1) * (t.y1 - t.y0 + 1) + (d.bx1 - d.bx0 + 1) * (d.by1 - d.by0 + 1) AS a FROM school t JOIN fd d ON t.raw_file = d.raw_file AND t.category = d.category AND t.x0 <= d.bx1 AND d.bx0 <= t.x1 AND t.y0 <= d.by1 AND d.by0 <= t.y1
+  WHERE t.x0 <= t.x1 AND bx0 <= bx1 AND by0 <= by1),
+iou AS (SELECT raw_file, det_id, object_id, score, i / (a - i)::DOUBLE AS iou FROM pr),
+need AS (SELECT *, dense_rank() OVER (PARTITION BY raw_file ORDER BY score DESC, det_id) AS turn FROM iou WHERE iou >= 0.3),
+-- detections are served in turn: each takes the best truth that no earlier one has
+served AS (SELECT raw_file, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS det_id, NULL::DOUBLE AS iou FROM (SELECT DISTINCT raw_file FROM need)
+  UNION ALL SELECT s.raw_file, s.turn + 1, CASE WHEN b.object_id IS NULL THEN s.taken ELSE list_append(s.taken, b.object_id) END, b.det_id, b.iou
+  FROM served s JOIN (SELECT raw_file, max(turn) AS last FROM need GROUP BY ALL) l USING (raw_file)
+  LEFT JOIN LATERAL (SELECT arg_max(n.object_id, (n.iou, -n.object_id)) AS object_id, max(n.iou) AS iou, min(n.det_id) AS det_id FROM need n
+    WHERE n.raw_file = s.raw_file AND n.turn = s.turn + 1 AND NOT list_contains(s.taken, n.object_id)) b ON true WHERE s.turn < l.last)"""
+
+
+@query("e19_box_matches", "det_id:i iou:d hit:b", "SELECT fd.det_id, s.iou, s.iou IS NOT NULL AS hit FROM fd LEFT JOIN (SELECT det_id, iou FROM served WHERE iou IS NOT NULL) s ON s.det_id = fd.det_id", _IOU, recursive=True)
 def box_matches(v: Survey) -> DataFrame:
+    """Two detections of each school, so that equal and second-best truths are asked for."""
     truth = v.school.filter("x0 <= x1 and category <> -1")
-    found = truth.select(
+    k = F.col("k")
+    found = truth.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
         "raw_file",
         "category",
-        F.col("object_id").alias("det_id"),
-        (F.col("x0") + 1).alias("bx0"),
-        (F.col("x1") + 2).alias("bx1"),
+        (F.col("object_id") * 2 + k).alias("det_id"),
+        (F.col("x0") + 1 + k).alias("bx0"),
+        (F.col("x1") + 2 - k).alias("bx1"),
         F.col("y0").alias("by0"),
-        (F.col("y1") + 1).alias("by1"),
-        ((F.col("object_id") * 7) % 100 / 100.0).alias("score"),
+        (F.col("y1") + 1 - k).alias("by1"),
+        ((F.col("object_id") * 7 + k * 3) % 100 / 100.0).alias("score"),
     )
-    return E.match_boxes(truth.withColumn("score", F.lit(0)), found, 16).withColumnRenamed("is_match", "hit")
+    return E.match_boxes(truth, found, 16, 0.3).withColumnRenamed("is_match", "hit")
 
 
 _BOUNDS = """tb AS (SELECT raw_file, ping_idx, t - coalesce((t - lag(t) OVER w) / 2, (lead(t) OVER w - t) / 2, 0.5) AS t0, t + coalesce((lead(t) OVER w - t) / 2, (t - lag(t) OVER w) / 2, 0.5) AS t1
@@ -126,14 +135,14 @@ _BOUNDS = """tb AS (SELECT raw_file, ping_idx, t - coalesce((t - lag(t) OVER w)
 
 @query(
     "e15_regridded_pings",
-    "raw_file:s bin:i r:i db:d",
-    """SELECT raw_file, bin, r, 10 * log10(sum(v * w) / sum(w)) AS db FROM (SELECT s.raw_file, s.r, s.v, bin, least(t1, (bin + 1) * 1800) - greatest(t0, bin * 1800) AS w
-       FROM sv s JOIN tb USING (raw_file, ping_idx), (SELECT unnest(range(-1, 60)) AS bin) WHERE f = 38 AND s.r < 8 AND NOT isnan(v)) WHERE w > 0 GROUP BY ALL""",
+    "raw_file:s freq_hz:i bin:i r:i db:d",
+    """SELECT raw_file, f * 1000 AS freq_hz, bin, r, 10 * log10(sum(v * w) / sum(w)) AS db FROM sv JOIN (SELECT raw_file, ping_idx, bin, least(t1, (bin + 1) * 1800) - greatest(t0, bin * 1800) AS w
+       FROM (SELECT *, unnest(range(floor(t0 / 1800)::BIGINT, floor(t1 / 1800)::BIGINT + 1)) AS bin FROM tb)) USING (raw_file, ping_idx) WHERE w > 0 AND NOT isnan(v) GROUP BY ALL""",
     _BOUNDS,
 )
 def regridded_pings(v: Survey) -> DataFrame:
-    rows = v.sv.filter("freq_hz = 38000").select("raw_file", "ping_idx", "freq_hz", F.slice("sv", 1, 8).alias("sv"))
-    return R.regrid_pings(rows, R.ping_bounds(v.ping), 1800.0).filter(~F.isnan("v")).select("raw_file", "bin", "r", (10 * F.log10("v")).alias("db"))
+    rows = v.sv.select("raw_file", "ping_idx", "freq_hz", "sv")
+    return R.regrid_pings(rows, R.ping_bounds(v.ping), 1800.0).filter(~F.isnan("v")).select("raw_file", "freq_hz", "bin", "r", (10 * F.log10("v")).alias("db"))
 
 
 @query(
@@ -178,10 +187,10 @@ def energy_kept(v: Survey) -> DataFrame:
 def file_checks(v: Survey) -> DataFrame:
     rows = v.ping.withColumn("transducer_depth_m", F.when((F.col("raw_file") == "2024-01-05") & (F.col("ping_idx") == 7), 6.0).otherwise(F.col("transducer_depth_m")))
     unsteady = R.unsteady_depth(rows).withColumn("u", F.lit(True))
-    return R.ping_rate_ok(rows, 0.004).join(F.broadcast(unsteady), "raw_file", "left").select("raw_file", "rate_ok", F.col("u").isNull().alias("steady"))
+    return R.ping_rate_ok(rows, 0.004).join(unsteady, "raw_file", "left").select("raw_file", "rate_ok", F.col("u").isNull().alias("steady"))
 
 
-@query("e10_range_limit", "survey:i max_range:d", "SELECT survey, quantile_cont(0.5 * (b + 1), 0.95) + 15 AS max_range FROM ping GROUP BY ALL")
+@query("e10_range_limit", "survey:i max_range:d", "SELECT survey, quantile_cont(0.5::DOUBLE * (b + 1), 0.95) + 15 AS max_range FROM ping GROUP BY ALL")
 def range_limit(v: Survey) -> DataFrame:
     return R.range_limit(v.seabed.select("survey", (0.5 * (F.col("seabed_idx") + 1)).alias("depth")), ["survey"])
 

@@ -14,7 +14,7 @@ from ..operators import labels as L
 from ..operators import sampling as P
 from ..operators import slices as S
 from ..operators.evaluation import precision_recall
-from ..operators.objects import _written
+from ..operators.objects import written
 from ..sources import tables as T
 from ..sources.fixtures import FREQ_KHZ, Survey
 from ..streaming.incremental import run_new_files
@@ -29,7 +29,7 @@ _OBJ = "obj AS (SELECT s.*, (p.b - y1)::DOUBLE AS d FROM school s LEFT JOIN ping
 def _scratch(v: Survey, name: str) -> str:
     root = v.spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        _written(v.spark.range(1))
+        written(v.spark.range(1))
         root = v.spark.conf.get("spark.checkpoint.dir")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
