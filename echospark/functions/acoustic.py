@@ -69,6 +69,11 @@ def evaluation_label(y: Column) -> Column:
     return F.when(y.isin(OVERLAP, BORDER, IGNORE, OTHER), IGNORE).when(y == SEABED, 0).otherwise(y)
 
 
+def score_above_seabed(score: Column, y: Column) -> Column:
+    """The score, 0 where the label is the seabed code (before evaluation_label merges the codes)."""
+    return F.when(y == SEABED, 0.0).otherwise(score)
+
+
 def softmax(*scores: Column) -> list[Column]:
     top = F.greatest(*scores)
     weights = [F.exp(s - top) for s in scores]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import acoustic as A
+
 CLASS_WEIGHTS = (10.0, 300.0, 250.0)
 
 
@@ -29,6 +31,12 @@ def precision_recall(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return points.unionByName(end).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def valid_cells(cells: DataFrame) -> DataFrame:
+    """cells(label, score) that count for an evaluation: scores are 0 below the seabed, codes are merged, ignored cells go."""
+    out = cells.withColumn("score", A.score_above_seabed(F.col("score"), F.col("label"))).withColumn("label", A.evaluation_label(F.col("label")))
+    return out.filter(F.col("label") != A.IGNORE)
+
+
 def f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 

@@ -7,6 +7,8 @@ the order within a file.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,11 +198,31 @@ def cells_in_polygons(polygons: DataFrame, cells: DataFrame) -> DataFrame:
     return hit.filter("odd = 1 or edge = 1").groupBy("raw_file", "ping_idx", "r").agg(F.max_by("category", "polygon_id").alias("category"))
 
 
-def scatter_predictions(patches: DataFrame, labels_ignored: list[int] | None = None) -> DataFrame:
-    """patch cells(raw_file, ping_idx, r, label, p_sandeel, p_other) -> per ping sparse map entries sorted by r."""
-    bad = labels_ignored or [-70, -50, -100]
-    kept = patches.filter(~F.col("label").isin(bad))
-    return kept.groupBy("raw_file", "ping_idx").agg(F.sort_array(F.collect_list(F.struct("r", "p_sandeel", "p_other"))).alias("cells"))
+#: Labels whose cells a patch does not return: overlap, seabed, border.
+NOT_RETURNED = (-70, -50, -100)
+
+
+def scatter_cells(patches: DataFrame, fields: Sequence[str], pings: DataFrame | None = None, ignored: Sequence[int] = NOT_RETURNED) -> DataFrame:
+    """Patch cells(raw_file, ping_idx, r, label, fields) -> raw_file, ping_idx, cells[(r, fields)] of the cells that count, sorted by r.
+
+    A ping without such a cell has an empty list: of pings(raw_file, ping_idx), or else of the pings of patches.
+    """
+    kept = patches.filter(~F.col("label").isin(list(ignored)))
+    found = kept.groupBy("raw_file", "ping_idx").agg(F.sort_array(F.collect_list(F.struct("r", *fields))).alias("cells"))
+    every = (patches if pings is None else pings).select("raw_file", "ping_idx").distinct()
+    empty = F.array().cast(found.schema["cells"].dataType)
+    return every.join(found, ["raw_file", "ping_idx"], "left").withColumn("cells", F.coalesce("cells", empty))
+
+
+def scatter_predictions(patches: DataFrame, pings: DataFrame | None = None, ignored: Sequence[int] = NOT_RETURNED) -> DataFrame:
+    """scatter_cells of the scores p_sandeel and p_other."""
+    return scatter_cells(patches, ["p_sandeel", "p_other"], pings, ignored)
+
+
+def scatter_labels(patches: DataFrame, n: int, pings: DataFrame | None = None, ignored: Sequence[int] = NOT_RETURNED) -> DataFrame:
+    """Patch cells(raw_file, ping_idx, r, label) -> raw_file, ping_idx, labels of n bins, 0 where no cell is returned."""
+    found = scatter_cells(patches, ["label"], pings, ignored)
+    return found.select("raw_file", "ping_idx", F.transform(dense_profile("cells", "label", n), lambda y: y.cast("int")).alias("labels"))
 
 
 def dense_profile(cells: Column | str, field: str, n: int) -> Column:

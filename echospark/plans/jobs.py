@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import acoustic as A
@@ -53,11 +53,11 @@ def train_cells(cells: DataFrame, features: list[str], reg: float = 0.01, rounds
 def best_model(curves: DataFrame) -> DataFrame:
     """curves(model, threshold, precision, recall, f1) -> the model with the largest F1, the first of equals."""
     best = evaluation.best_f1(curves, ["model"])
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f1"), "model"))).filter("rank = 1").drop("rank")
+    return best.orderBy(F.desc("f1"), "model").limit(1)
 
 
 def predict_survey(files: DataFrame, sv: DataFrame, labels: DataFrame, seabed: DataFrame, features: list[int], model, patch: int, overlap: int, n_range: int) -> DataFrame:
-    """Tiles -> crops -> scores -> profiles: raw_file, ping_idx, p_sandeel, p_other; only tile interiors are kept."""
+    """Tiles -> crops -> scores -> profiles: raw_file, ping_idx, p_sandeel, p_other; only tile interiors are kept, pings without any are 0."""
     grid = slices.tiles(files, seabed, patch, overlap)
     cols = patch_cells(grid, sv, labels, patch, patch)
     names = [f"f{f}" for f in features]
@@ -66,5 +66,5 @@ def predict_survey(files: DataFrame, sv: DataFrame, labels: DataFrame, seabed: D
     ).select("raw_file", "ping_idx", "x", "y", (F.col("y") + F.col("cy") - patch // 2 + 1).alias("r"), F.col("c.labels").alias("label"), *[A.db_clipped(A.without_non_finite(F.col(f"c.{n}"))).alias(n) for n in names])
     inner = cells.filter((F.col("x") >= overlap) & (F.col("x") < patch - overlap) & (F.col("y") >= overlap) & (F.col("y") < patch - overlap) & (F.col("label") != A.IGNORE))
     scored = score_cells(inner, names, model).withColumnsRenamed({"p1": "p_sandeel", "p2": "p_other"})
-    packed = joins.scatter_predictions(scored)
+    packed = joins.scatter_predictions(scored, cols)
     return packed.select("raw_file", "ping_idx", joins.dense_profile("cells", "p_sandeel", n_range).alias("p_sandeel"), joins.dense_profile("cells", "p_other", n_range).alias("p_other"))

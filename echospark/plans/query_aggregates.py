@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import acoustic as A
 from ..operators import evaluation as E
+from ..operators import labels as L
 from ..operators import objects as O
 from ..operators import regrid as R
 from ..sources.fixtures import Survey
+from . import jobs
 from .queries import labelled, query
 
 
@@ -82,6 +84,41 @@ def best_f1(v: Survey) -> DataFrame:
     return E.best_f1(curve, ["survey"])
 
 
+VALID = """chain AS (SELECT survey, r, pred.ping_idx AS k, p, CASE WHEN label <> 0 THEN CASE label WHEN 27 THEN 1 WHEN 1 THEN 2 ELSE -10 END WHEN r >= b + 10 THEN -50 WHEN r % 32 < 2 THEN -70 ELSE 0 END AS y
+  FROM pred JOIN label USING (raw_file, ping_idx, r)),
+each AS (SELECT survey, m, CASE WHEN y = -50 THEN 0 WHEN m = 0 THEN p ELSE (p + m * (y = 1)::INT * 0.25::DOUBLE) / (1 + m * 0.25::DOUBLE) END AS score, y = 1 AS positive FROM chain, (SELECT unnest([0, 1, 2]) AS m) WHERE y NOT IN (-70, -10)),
+cnt AS (SELECT survey, m, score, sum(positive::INT) AS p, count(*) AS n FROM each GROUP BY ALL),
+cum AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY survey, m) AS total FROM cnt WINDOW w AS (PARTITION BY survey, m ORDER BY score DESC)),
+pr AS (SELECT survey, m, score AS threshold, round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (seen + total) ELSE 0 END, 12) AS f1 FROM cum WHERE score >= coalesce((SELECT max(score) FROM cum c WHERE c.survey = cum.survey AND c.m = cum.m AND c.tp = c.total), 0)),
+best AS (SELECT survey, m, max(f1) AS f1, arg_min(threshold, (-f1, threshold)) AS threshold FROM pr GROUP BY ALL)"""
+
+
+def valid_scores(v: Survey) -> DataFrame:
+    """survey, m, score, positive of the cells that count, under the test chain, for three models of rising skill."""
+    rows = v.pred.join(labelled(v), ["raw_file", "ping_idx"]).join(v.seabed.drop("survey"), ["raw_file", "ping_idx"])
+    marks = L.seabed_masked(F.transform("labels", A.species_class_other), F.col("seabed_idx"))
+    marks = F.transform(marks, lambda y, r: F.when((y == 0) & (r % 32 < 2), A.OVERLAP).otherwise(y))
+    cells = rows.select("survey", F.explode(F.arrays_zip("p_sandeel", marks.alias("y"))).alias("c")).select("survey", F.col("c.p_sandeel").alias("score"), F.col("c.y").alias("label"))
+    m, gain = F.col("m"), F.col("m") * 0.25
+    skilled = F.when(m == 0, F.col("score")).otherwise((F.col("score") + gain * (F.col("label") == 1).cast("int")) / (1 + gain))
+    cells = cells.withColumn("m", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("score", skilled)
+    return E.valid_cells(cells).select("survey", "m", "score", (F.col("label") == 1).alias("positive"))
+
+
+@query("c19_m5_survey_evaluation", "survey:i m:i f1:d threshold:d", "SELECT * FROM best", VALID)
+def survey_evaluation(v: Survey) -> DataFrame:
+    """Label chain, scores 0 below the seabed, ignored cells out, curves and their best F1, for all surveys and models at once."""
+    curve = E.precision_recall(valid_scores(v), ["survey", "m"]).withColumn("f1", F.round("f1", 12))
+    return E.best_f1(curve, ["survey", "m"]).select("survey", "m", "f1", "threshold")
+
+
+@query("m4_best_model", "model:i f1:d threshold:d", "SELECT m AS model, f1, threshold FROM best WHERE survey = 2010 ORDER BY f1 DESC, m LIMIT 1", VALID)
+def best_model(v: Survey) -> DataFrame:
+    """The model with the best F1 on the validation survey."""
+    curve = E.precision_recall(valid_scores(v).filter("survey = 2010"), ["m"]).withColumn("f1", F.round("f1", 12)).withColumnRenamed("m", "model")
+    return jobs.best_model(curve).select("model", "f1", "threshold")
+
+
 @query(
     "e6_weighted_loss",
     "loss:d",

@@ -218,12 +218,20 @@ def repaired_line(v: Survey) -> DataFrame:
 
 
 @query(
-    "f4_rolling_strength",
-    "raw_file:s ping_idx:i z:d",
-    """SELECT raw_file, ping_idx, CASE WHEN stddev_pop(m) OVER w <> 0 THEN (m - avg(m) OVER w) / stddev_pop(m) OVER w END AS z FROM (SELECT raw_file, ping_idx, ln(1 + e % 89)::DOUBLE AS m FROM ping)
-       WINDOW w AS (PARTITION BY raw_file ORDER BY ping_idx ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)""",
+    "f4_rolling_seabed_line",
+    "raw_file:s ping_idx:i seabed_idx:i",
+    """SELECT raw_file, ping_idx, round_even(median(fixed), 0) AS seabed_idx FROM (
+       SELECT i.*, CASE WHEN NOT w OR lo >= n - 2 THEN c WHEN lo <= 2 THEN coalesce(rt, lf) WHEN hi >= n - 2 THEN lf ELSE (lf + rt) / 2.0::DOUBLE END AS fixed FROM (
+       SELECT *, min(ping_idx) OVER isl AS lo, max(ping_idx) OVER isl AS hi, first_value(lg) OVER (PARTITION BY raw_file, f, g ORDER BY ping_idx) AS lf,
+       first_value(ld) OVER (PARTITION BY raw_file, f, g ORDER BY ping_idx DESC) AS rt FROM (
+       SELECT *, sum(nw) OVER o AS g FROM (SELECT *, (w <> coalesce(lag(w) OVER o, false))::INT AS nw, lag(c) OVER o AS lg, lead(c) OVER o AS ld, count(*) OVER (PARTITION BY raw_file, f) AS n FROM (
+       SELECT raw_file, f, ping_idx, cand AS c, coalesce(abs(z) > 0.75, false) AND ping_idx >= 2 AS w FROM sb JOIN (
+         SELECT raw_file, f, ping_idx, CASE WHEN stddev_pop(m) OVER near <> 0 THEN (m - avg(m) OVER near) / stddev_pop(m) OVER near END AS z FROM (
+           SELECT raw_file, f, ping_idx, ln(1e-10 + max(v)) AS m FROM st WHERE r >= 13 GROUP BY ALL) WINDOW near AS (PARTITION BY raw_file, f ORDER BY ping_idx ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)
+         ) USING (raw_file, f, ping_idx))
+       WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW isl AS (PARTITION BY raw_file, f, g)) i) GROUP BY ALL""",
+    _STENCIL,
 )
-def rolling_strength(v: Survey) -> DataFrame:
-    near = Window.partitionBy("raw_file").orderBy("ping_idx").rowsBetween(-250, 249)
-    rows = v.ping.withColumn("m", F.log(1.0 + F.col("e") % 89))
-    return rows.withColumn("z", F.try_divide(F.col("m") - F.avg("m").over(near), F.stddev_pop("m").over(near)))
+def rolling_line(v: Survey) -> DataFrame:
+    whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
+    return seabed.seabed_line_rolling(whole, 13, 0)

@@ -168,16 +168,21 @@ def work_mask_cells(v: Survey) -> DataFrame:
 
 @query(
     "d15_d16_scattered",
-    "raw_file:s ping_idx:i total:d filled:i",
-    """SELECT raw_file, ping_idx, sum(CASE WHEN label = 0 AND r >= b THEN 0 ELSE p END) AS total, sum((NOT (label = 0 AND r >= b) AND p > 0)::INT) AS filled FROM pred JOIN label USING (raw_file, ping_idx, r) GROUP BY ALL""",
+    "raw_file:s ping_idx:i total:d filled:i marked:i",
+    """SELECT raw_file, ping_idx, sum(CASE WHEN kept THEN p ELSE 0 END) AS total, sum((kept AND p > 0)::INT) AS filled, sum(CASE WHEN kept THEN label ELSE 0 END) AS marked
+       FROM (SELECT *, NOT (ping_idx % 50 = 7 OR label = 0 AND r >= b) AS kept FROM pred JOIN label USING (raw_file, ping_idx, r)) GROUP BY ALL""",
 )
 def scattered(v: Survey) -> DataFrame:
-    """Cells at the seabed are ignored; the rest is put back into profiles."""
+    """Cells at the seabed and all cells of some pings are ignored; the rest is put back into profiles of every ping."""
     rows = v.pred.join(labelled(v), ["raw_file", "ping_idx"]).join(v.seabed.drop("survey"), ["raw_file", "ping_idx"])
-    cells = rows.select("raw_file", "ping_idx", F.posexplode(F.arrays_zip("p_sandeel", "p_other", L.seabed_masked("labels", F.col("seabed_idx"), pad=0).alias("y"))).alias("r", "c"))
+    marks = L.seabed_masked("labels", F.col("seabed_idx"), pad=0)
+    marks = F.when(F.col("ping_idx") % 50 == 7, F.array_repeat(F.lit(-100), 64)).otherwise(marks)
+    cells = rows.select("raw_file", "ping_idx", F.posexplode(F.arrays_zip("p_sandeel", "p_other", marks.alias("y"))).alias("r", "c"))
     cells = cells.select("raw_file", "ping_idx", "r", F.col("c.y").alias("label"), F.col("c.p_sandeel").alias("p_sandeel"), F.col("c.p_other").alias("p_other"))
-    back = J.scatter_predictions(cells).withColumn("p", J.dense_profile("cells", "p_sandeel", 64))
-    return back.select("raw_file", "ping_idx", F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(F.filter("p", lambda x: x > 0)).alias("filled"))
+    back = J.scatter_predictions(cells, v.ping).withColumn("p", J.dense_profile("cells", "p_sandeel", 64))
+    sum_ = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    marked = J.scatter_labels(cells, 64, v.ping).select("raw_file", "ping_idx", sum_("labels").cast("int").alias("marked"))
+    return back.select("raw_file", "ping_idx", sum_("p").alias("total"), F.size(F.filter("p", lambda x: x > 0)).alias("filled")).join(marked, ["raw_file", "ping_idx"])
 
 
 @query("g2_seabed_masked", "raw_file:s code:i n:i", "SELECT raw_file, CASE WHEN label = 0 AND r >= b + 10 THEN -50 ELSE label END AS code, count(*) AS n FROM label GROUP BY ALL")

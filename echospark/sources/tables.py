@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -106,29 +107,51 @@ def to_survey(parts: Sequence[DataFrame]) -> DataFrame:
     return pad_to_survey(out)
 
 
+def _plain(path: Column) -> Column:
+    """A path without scheme and doubled slashes."""
+    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), "/+", "/")
+
+
 def read_dense(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """Raw float32 C-order [range, ping] matrices -> raw_file, freq_hz, ping_idx, sv.
+    """Raw float32 C-order [range, ping] matrices -> raw_file, freq_hz, ping_idx, sv, source, reason.
 
-    manifest(path, raw_file, freq_hz, n_range, n_pings) describes each file; files without a
-    manifest row, or whose size does not fit, go to the `bad` rows (ping_idx -1, empty sv).
+    manifest(path, raw_file, freq_hz, n_range, n_pings) describes each file by its path below the
+    folder `path`, all subfolders included. A file without a manifest row, or whose size does not
+    fit it, gives one row with a reason (ping_idx -1, empty sv); `quarantined` has those.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    named = files.join(manifest.withColumn("name", F.element_at(F.split("path", "/"), -1)).drop("path"), "name")
+    root = re.sub("/+", "/", re.sub("^[A-Za-z][A-Za-z0-9+.-]*:", "", path)).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(F.replace(_plain(F.col("path")), F.lit(root), F.lit("")).alias("source"), "content")
+    named = files.join(manifest.withColumn("source", F.regexp_replace("path", "^/+", "")).drop("path"), "source", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 n, m = row["n_range"], row["n_pings"]
-                ok = len(row["content"]) == 4 * n * m
-                data = np.frombuffer(row["content"], dtype="<f4").reshape(n, m).T if ok else np.zeros((0, 0), "<f4")
-                count = m if ok else 1
-                sv = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (n if ok else 0)), pa.array(np.ascontiguousarray(data).ravel().astype(np.float64)))
+                reason = "not in the manifest" if n is None else "size does not fit" if len(row["content"]) != 4 * n * m else None
+                data = np.zeros((0, 0), "<f4") if reason else np.frombuffer(row["content"], dtype="<f4").reshape(n, m).T
+                count = 1 if reason else m
+                sv = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * (0 if reason else n)), pa.array(np.ascontiguousarray(data).ravel().astype(np.float64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["raw_file"]] * count), pa.array([row["freq_hz"]] * count, pa.int32()), pa.array(np.arange(count) if ok else [-1], pa.int32()), sv],
-                    ["raw_file", "freq_hz", "ping_idx", "sv"],
+                    [
+                        pa.array([row["raw_file"]] * count, pa.string()),
+                        pa.array([row["freq_hz"]] * count, pa.int32()),
+                        pa.array([-1] if reason else np.arange(count), pa.int32()),
+                        sv,
+                        pa.array([row["source"]] * count, pa.string()),
+                        pa.array([reason] * count, pa.string()),
+                    ],
+                    ["raw_file", "freq_hz", "ping_idx", "sv", "source", "reason"],
                 )
 
-    return named.mapInArrow(run, "raw_file string, freq_hz int, ping_idx int, sv array<double>")
+    return named.mapInArrow(run, "raw_file string, freq_hz int, ping_idx int, sv array<double>, source string, reason string")
+
+
+def quarantined(dense: DataFrame, manifest: DataFrame) -> DataFrame:
+    """source, reason of what read_dense could not use: bad files, and manifest rows without a file."""
+    seen = dense.select("source", "reason").distinct()
+    gone = manifest.select(F.regexp_replace("path", "^/+", "").alias("source")).join(seen, "source", "left_anti").withColumn("reason", F.lit("no file"))
+    return seen.filter("reason is not null").unionByName(gone)
 
 
 def inventory(listing: DataFrame) -> DataFrame:

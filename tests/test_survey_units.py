@@ -1,5 +1,7 @@
 """Hand-computed cases and properties of survey operators."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,11 +69,43 @@ def test_seabed_candidate_is_the_strong_edge(spark):
 
 def test_dense_files(spark, tmp_path):
     a = np.arange(12, dtype="<f4").reshape(3, 4)
-    (tmp_path / "a.dat").write_bytes(a.tobytes())
-    (tmp_path / "b.dat").write_bytes(b"123")
-    manifest = spark.createDataFrame([("a.dat", "a", 18000, 3, 4), ("b.dat", "b", 18000, 3, 4)], "path string, raw_file string, freq_hz int, n_range int, n_pings int")
-    got = {(r.raw_file, r.ping_idx): r.sv for r in tables.read_dense(spark, f"file://{tmp_path}", manifest).collect()}
-    assert got == {("a", p): a[:, p].tolist() for p in range(4)} | {("b", -1): []}
+    for folder, k in (("x", 0), ("y", 100)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "data_for_freq_18.dat").write_bytes((a + k).tobytes())
+    (tmp_path / "y" / "short.dat").write_bytes(b"123")
+    (tmp_path / "other.dat").write_bytes(b"12")
+    rows = [("x/data_for_freq_18.dat", "a", 18000, 3, 4), ("y/data_for_freq_18.dat", "b", 18000, 3, 4), ("y/short.dat", "c", 18000, 3, 4), ("y/gone.dat", "d", 18000, 3, 4)]
+    manifest = spark.createDataFrame(rows, "path string, raw_file string, freq_hz int, n_range int, n_pings int")
+    dense = tables.read_dense(spark, f"file://{tmp_path}", manifest)
+    got = [(r.raw_file, r.ping_idx, r.sv) for r in dense.filter("reason is null").collect()]
+    assert sorted(got) == sorted([("a", p, a[:, p].tolist()) for p in range(4)] + [("b", p, (a + 100)[:, p].tolist()) for p in range(4)])
+    bad = {r.source: r.reason for r in tables.quarantined(dense, manifest).collect()}
+    assert bad == {"y/short.dat": "size does not fit", "other.dat": "not in the manifest", "y/gone.dat": "no file"}
+
+
+def test_boxes_are_matched_greedily(spark):
+    """The second of two detections falls to the next free truth; ties go to the smaller ids; random boxes against a serial version."""
+    rng = random.Random(4)
+    truth = [("f", rng.randrange(2), i, x, x + rng.randrange(2, 9), y, y + rng.randrange(2, 9)) for i in range(60) for x, y in [(rng.randrange(60), rng.randrange(12))]]
+    found = [("f", c, 2 * i + k, x0 + rng.randrange(-1, 2), x1 + rng.randrange(2), y0, y1, rng.randrange(5) / 4) for c, i, x0, x1, y0, y1 in [t[1:] for t in truth] for k in (0, 1)]
+    got = evaluation.match_boxes(
+        spark.createDataFrame(truth, "raw_file string, category int, object_id long, x0 int, x1 int, y0 int, y1 int"),
+        spark.createDataFrame(found, "raw_file string, category int, det_id long, bx0 int, bx1 int, by0 int, by1 int, score double"),
+        16,
+        0.4,
+    )
+    free, want = {t[2]: t for t in truth}, {}
+    for _, c, d, bx0, bx1, by0, by1, _ in sorted(found, key=lambda r: (-r[7], r[2])):
+        best = (0.0, 0)
+        for o, (_, tc, _, x0, x1, y0, y1) in free.items():
+            w, h = min(x1, bx1) - max(x0, bx0) + 1, min(y1, by1) - max(y0, by0) + 1
+            if tc == c and w > 0 and h > 0:
+                iou = w * h / ((x1 - x0 + 1) * (y1 - y0 + 1) + (bx1 - bx0 + 1) * (by1 - by0 + 1) - w * h)
+                best = max(best, (iou, -o)) if iou >= 0.4 else best
+        want[d] = best[0] or None
+        if best[0]:
+            del free[-best[1]]
+    assert {r.det_id: r.iou for r in got.collect()} == want and sum(v is not None for v in want.values()) > 30
 
 
 def test_nearest_position_at_any_distance(spark):
