@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.acoustic import is_finite
 
 FILE_FREQ = ("raw_file", "freq_hz")
 
 
-def _zeros(n: Column) -> Column:
-    return F.array_repeat(F.lit(0.0), n)
+def _stencil(offset: int | None, shift: int | None, names: list[str]):
+    """Rows with a profile and those of its neighbours (null beyond a file's ends) -> the rows of `names` and their candidate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, back, ahead = (batch.column(c) for c in ("sv", "__p", "__n"))
+            sizes = np.asarray([len(x) if x is not None else 0 for x in own], dtype=np.int64) if own.null_count else np.diff(own.offsets.to_numpy())
+            best = np.zeros(batch.num_rows, dtype=np.int32)
+            for h in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == h)
+                n0 = offset if offset is not None else 10 + int(h * 0.05)
+                move = shift if shift is not None else int(h * 0.004)
+                best[at] = n0 - move
+                if h <= n0:
+                    continue
+                p, c, n = (_matrix(x.take(pa.array(at)), h) for x in (back, own, ahead))
+                flat, peak = np.pad(p + c + n, ((0, 0), (1, 1))), np.pad(p + 5 * c + n, ((0, 0), (1, 1)))
+                score = np.where(flat[:, 2:] - flat[:, :-2] > 0, -(peak[:, :-2] - 2 * peak[:, 1:-1] + peak[:, 2:]), 0.0)
+                best[at] += score[:, n0:].argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(best)], [*names, "candidate"])
+
+    return run
+
+
+def _matrix(profiles: pa.Array, h: int) -> np.ndarray:
+    """Profiles as rows of h finite values: 0 for missing cells, missing profiles and what a shorter one lacks."""
+    out = np.zeros((len(profiles), h))
+    size = np.diff(profiles.offsets.to_numpy()) if not profiles.null_count else np.asarray([len(x) if x.is_valid else 0 for x in profiles])
+    flat = pc.fill_null(profiles.flatten(), 0.0).to_numpy(zero_copy_only=False)
+    if (size == h).all():
+        out = flat.reshape(-1, h).copy()
+    else:
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        for i in np.flatnonzero(size > 0).tolist():
+            m = min(h, int(size[i]))
+            out[i, :m] = flat[first[i] : first[i] + m]
+    out[~np.isfinite(out)] = 0.0
+    return out
 
 
 def seabed_candidates(sv: DataFrame, offset: int | None = None, shift: int | None = None) -> DataFrame:
@@ -19,28 +61,13 @@ def seabed_candidates(sv: DataFrame, offset: int | None = None, shift: int | Non
 
     Over three pings (weights 1, 5, 1 for the curvature and 1, 1, 1 for the slope), rows below
     `offset` are searched for the largest second difference along range where the slope is
-    positive; profiles count as zero beyond a file's ends.
+    positive; profiles count as zero beyond a file's ends. Neighbours come by a window, the
+    stencil runs on whole Arrow batches.
     """
     order = Window.partitionBy(*FILE_FREQ).orderBy("ping_idx")
-    clean = F.transform("sv", lambda x: F.when(is_finite(x), x).otherwise(0.0))
-    rows = sv.withColumn("__c", clean).withColumn("__h", F.size("sv"))
-    rows = rows.withColumn("__p", F.coalesce(F.lag("__c").over(order), _zeros(F.col("__h")))).withColumn("__n", F.coalesce(F.lead("__c").over(order), _zeros(F.col("__h"))))
-    flat = F.zip_with(F.zip_with("__p", "__c", lambda a, b: a + b), "__n", lambda a, b: a + b)
-    peak = F.zip_with(F.zip_with("__p", "__c", lambda a, b: a + 5 * b), "__n", lambda a, b: a + b)
-    rows = rows.withColumn("__s", flat).withColumn("__k", peak)
-    n0 = F.lit(offset) if offset is not None else 10 + F.floor(F.col("__h") * 0.05).cast("int")
-    back = F.lit(shift) if shift is not None else F.floor(F.col("__h") * 0.004).cast("int")
-    at = lambda c, i: F.coalesce(F.when(i >= 0, F.get(F.col(c), i)), F.lit(0.0))
-    score = F.transform(
-        F.sequence(F.lit(0), F.col("__h") - 1),
-        lambda i: F.when(
-            at("__s", i + 1) - at("__s", i - 1) > 0,
-            -(at("__k", i - 1) - 2 * at("__k", i) + at("__k", i + 1)),
-        ).otherwise(0.0),
-    )
-    rows = rows.withColumn("__g", F.slice(score, n0 + 1, F.greatest(F.col("__h") - n0, F.lit(0))))
-    best = n0 + F.coalesce(F.array_position("__g", F.array_max("__g")), F.lit(1)).cast("int") - 1 - back
-    return rows.withColumn("candidate", best).drop("__c", "__h", "__p", "__n", "__s", "__k", "__g")
+    rows = sv.withColumns({"__p": F.lag("sv").over(order), "__n": F.lead("sv").over(order)})
+    schema = T.StructType([*sv.schema.fields]).add("candidate", T.IntegerType())
+    return rows.mapInArrow(_stencil(offset, shift, sv.columns), schema)
 
 
 def echo_strength(sv: DataFrame, offset: Column | int = 0) -> DataFrame:

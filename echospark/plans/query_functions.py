@@ -22,13 +22,15 @@ _CLIP = f"greatest(least({_DB}, 0), -75)"
         FROM sv s JOIN label USING (raw_file, ping_idx, r) GROUP BY ALL""",
 )
 def entry_slice(v: Survey) -> DataFrame:
-    rows = v.sv.join(v.seabed.drop("survey"), ["raw_file", "ping_idx"]).join(labelled(v), ["raw_file", "ping_idx"])
-    above = F.transform(F.slice("sv", F.lit(1), F.col("seabed_idx")), lambda x: A.db_clipped(A.without_non_finite(x)))
-    classes = F.transform("labels", A.species_class)
-    rows = rows.select("raw_file", "freq_hz", F.size("sv").alias("n"), F.aggregate(above, F.lit(0.0), lambda a, x: a + x).alias("s"), "seabed_idx", classes.alias("c"))
-    count = lambda k: F.sum(F.size(F.filter("c", lambda y: y == k)))
-    return rows.groupBy("raw_file", "freq_hz").agg(
-        F.sum("n").alias("n_cells"), (F.sum("s") / F.sum("seabed_idx")).alias("mean_db"), count(1).alias("n_sandeel"), count(2).alias("n_other")
+    """Cells are exploded and aggregated in generated code, which beats array lambdas; each ping's labels are joined once."""
+    marks = labelled(v).join(v.seabed.drop("survey"), ["raw_file", "ping_idx"])
+    cells = v.sv.join(marks, ["raw_file", "ping_idx"]).select("raw_file", "freq_hz", "seabed_idx", F.posexplode(F.arrays_zip("sv", "labels")).alias("r", "c"))
+    cells = cells.select("raw_file", "freq_hz", (F.col("r") < F.col("seabed_idx")).alias("above"), F.col("c.sv").alias("v"), A.species_class(F.col("c.labels")).alias("y"))
+    return cells.groupBy("raw_file", "freq_hz").agg(
+        F.count("*").alias("n_cells"),
+        F.avg(F.when(F.col("above"), A.db_clipped(A.without_non_finite(F.col("v"))))).alias("mean_db"),
+        F.count_if(F.col("y") == 1).alias("n_sandeel"),
+        F.count_if(F.col("y") == 2).alias("n_other"),
     )
 
 
@@ -39,11 +41,10 @@ def entry_slice(v: Survey) -> DataFrame:
        sum((d IS NULL)::INT) AS missing FROM (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(least(d, 0), -75) END AS c FROM (SELECT *, CASE WHEN NOT isnan(v) THEN 10 * log10(v + 1e-10) END AS d FROM sv)) GROUP BY ALL""",
 )
 def decibels(v: Survey) -> DataFrame:
-    cells = v.sv.select("raw_file", "freq_hz", F.explode("sv").alias("v"))
-    real = lambda c: F.avg(F.when(~F.isnan(c), c))
-    return cells.groupBy("raw_file", "freq_hz").agg(
-        real(A.db(F.col("v"))).alias("db"), real(A.db_clipped(F.col("v"))).alias("clipped"), real(A.db_scaled(F.col("v"))).alias("scaled"), F.count_if(F.isnan("v")).alias("missing")
-    )
+    cells = v.sv.select("raw_file", "freq_hz", F.explode("sv").alias("v")).select("raw_file", "freq_hz", A.db(F.col("v")).alias("d"))
+    cells = cells.select("raw_file", "freq_hz", "d", A.clip(F.col("d")).alias("c"))
+    real = lambda c: F.avg(F.when(~F.isnan("d"), c))
+    return cells.groupBy("raw_file", "freq_hz").agg(real(F.col("d")).alias("db"), real(F.col("c")).alias("clipped"), real(1 + F.col("c") / 75.0).alias("scaled"), F.count_if(F.isnan("d")).alias("missing"))
 
 
 @query(

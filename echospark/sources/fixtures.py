@@ -7,12 +7,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.objects import written
+
 N_RANGE = 64
 RANGE_STEP = 0.5
 FREQ_KHZ = (18, 38, 120, 200)
 CATEGORIES = (1, 27, 6009)
 
 
+#: Ingested profile tables by application and table folder.
+_CUBES: dict[tuple[str, str], DataFrame] = {}
+
+
 class Survey:
     """The tables of one survey set: ping, sv, seabed, school, labels, annotation, pred, transect, ext_mask."""
 
@@ -52,7 +58,13 @@ class Survey:
 
     @cached_property
     def sv(self) -> DataFrame:
-        """One row per ping and frequency with the whole profile."""
+        """One row per ping and frequency with the whole profile, ingested once for each Spark application and table folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _CUBES:
+            _CUBES[key] = written(self._cube())
+        return _CUBES[key]
+
+    def _cube(self) -> DataFrame:
         seabed = 40 + F.expr("e div 8") % 12
         freqs = F.explode(F.array(*map(F.lit, FREQ_KHZ)))
         rows = self.ping.select("survey", "raw_file", "ping_idx", "ping_time", "e", seabed.alias("b"), freqs.alias("f"))
