@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import acoustic as A
-from ..operators import evaluation, joins, slices
+from ..operators import evaluation, joins, seabed, slices
+from ..sources import tables
 
 
 def prepared(patches: DataFrame, sv: str = "sv", labels: str = "labels", set_border: bool = True) -> DataFrame:
@@ -56,9 +57,9 @@ def best_model(curves: DataFrame) -> DataFrame:
     return best.orderBy(F.desc("f1"), "model").limit(1)
 
 
-def predict_survey(files: DataFrame, sv: DataFrame, labels: DataFrame, seabed: DataFrame, features: list[int], model, patch: int, overlap: int, n_range: int) -> DataFrame:
-    """Tiles -> crops -> scores -> profiles: raw_file, ping_idx, p_sandeel, p_other; only tile interiors are kept, pings without any are 0."""
-    grid = slices.tiles(files, seabed, patch, overlap)
+def predict_survey(files: DataFrame, sv: DataFrame, labels: DataFrame, bottom: DataFrame, features: list[int], model, patch: int, overlap: int, n_range: int) -> DataFrame:
+    """Tiles -> crops -> scores -> profiles: raw_file, ping_idx, p_sandeel, p_other; only tile interiors are kept, pings of a file without any are 0."""
+    grid = slices.tiles(files, bottom, patch, overlap)
     cols = patch_cells(grid, sv, labels, patch, patch)
     names = [f"f{f}" for f in features]
     cells = cols.select(
@@ -66,5 +67,21 @@ def predict_survey(files: DataFrame, sv: DataFrame, labels: DataFrame, seabed: D
     ).select("raw_file", "ping_idx", "x", "y", (F.col("y") + F.col("cy") - patch // 2 + 1).alias("r"), F.col("c.labels").alias("label"), *[A.db_clipped(A.without_non_finite(F.col(f"c.{n}"))).alias(n) for n in names])
     inner = cells.filter((F.col("x") >= overlap) & (F.col("x") < patch - overlap) & (F.col("y") >= overlap) & (F.col("y") < patch - overlap) & (F.col("label") != A.IGNORE))
     scored = score_cells(inner, names, model).withColumnsRenamed({"p1": "p_sandeel", "p2": "p_other"})
-    packed = joins.scatter_predictions(scored, cols)
+    pings = cols.join(files.select("raw_file", "n_pings"), "raw_file").filter("ping_idx >= 0 and ping_idx < n_pings")
+    packed = joins.scatter_predictions(scored, pings)
     return packed.select("raw_file", "ping_idx", joins.dense_profile("cells", "p_sandeel", n_range).alias("p_sandeel"), joins.dense_profile("cells", "p_other", n_range).alias("p_other"))
+
+
+def without_heave(rows: DataFrame, dr: float) -> DataFrame:
+    """rows(raw_file, ping_idx, labels, heave_m) -> labels moved back by the heave in bins of dr metres."""
+    return rows.select("raw_file", "ping_idx", seabed.heave_shifted("labels", seabed.heave_bins(F.col("heave_m"), dr)).alias("labels"))
+
+
+def store_new_files(rows: DataFrame, path: str, work: Callable[[DataFrame], DataFrame]) -> None:
+    """Adds work(rows) of those raw files to the table at path that it does not have; stored files are not worked on again.
+
+    The missing files are chosen before the work, so a run after a failure does only what is left.
+    A file counts as stored once its rows are committed: give all rows of a file in one run.
+    """
+    left = tables.new_rows(rows, tables.stored_table(rows.sparkSession, path), ["raw_file"])
+    work(left).sortWithinPartitions("raw_file", "ping_idx").write.mode("append").parquet(path)

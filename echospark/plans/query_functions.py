@@ -175,7 +175,7 @@ def heave_shift(v: Survey) -> DataFrame:
     return rows.filter("y > 0").groupBy("raw_file", "r").agg(F.count("*").alias("n"))
 
 
-_STENCIL = """st AS (SELECT s.raw_file, s.f, s.ping_idx, s.r, CASE WHEN isnan(v) THEN 0 ELSE round(v * 1e8) END AS v FROM sv s),
+STENCIL = """st AS (SELECT s.raw_file, s.f, s.ping_idx, s.r, CASE WHEN isnan(v) THEN 0 ELSE round(v * 1e8) END AS v FROM sv s),
 tri AS (SELECT a.raw_file, a.f, a.ping_idx, a.r, a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS s,
   5 * a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS k FROM st a WINDOW w AS (PARTITION BY raw_file, f, r ORDER BY ping_idx)),
 sc AS (SELECT *, coalesce(lead(s) OVER w, 0) - coalesce(lag(s) OVER w, 0) AS g1, 2 * k - coalesce(lead(k) OVER w, 0) - coalesce(lag(k) OVER w, 0) AS g2
@@ -183,7 +183,7 @@ sc AS (SELECT *, coalesce(lead(s) OVER w, 0) - coalesce(lag(s) OVER w, 0) AS g1,
 sb AS (SELECT raw_file, f, ping_idx, arg_min(r, (-(CASE WHEN g1 > 0 THEN g2 ELSE 0 END), r)) AS cand FROM sc WHERE r >= 13 GROUP BY ALL)"""
 
 
-@query("f1_seabed_candidates", "raw_file:s freq_hz:i candidate:i n:i", "SELECT raw_file, f * 1000 AS freq_hz, cand AS candidate, count(*) AS n FROM sb GROUP BY ALL", _STENCIL)
+@query("f1_seabed_candidates", "raw_file:s freq_hz:i candidate:i n:i", "SELECT raw_file, f * 1000 AS freq_hz, cand AS candidate, count(*) AS n FROM sb GROUP BY ALL", STENCIL)
 def seabed_candidates(v: Survey) -> DataFrame:
     whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
     return seabed.seabed_candidates(whole).groupBy("raw_file", "freq_hz", "candidate").agg(F.count("*").alias("n"))
@@ -218,10 +218,7 @@ def repaired_line(v: Survey) -> DataFrame:
     return fixed.groupBy("raw_file", "ping_idx").agg(F.rint(F.median("candidate")).alias("seabed_idx"))
 
 
-@query(
-    "f4_rolling_seabed_line",
-    "raw_file:s ping_idx:i seabed_idx:i",
-    """SELECT raw_file, ping_idx, round_even(median(fixed), 0) AS seabed_idx FROM (
+ROLLING = """SELECT raw_file, ping_idx, round_even(median(fixed), 0) AS seabed_idx FROM (
        SELECT i.*, CASE WHEN NOT w OR lo >= n - 2 THEN c WHEN lo <= 2 THEN coalesce(rt, lf) WHEN hi >= n - 2 THEN lf ELSE (lf + rt) / 2.0::DOUBLE END AS fixed FROM (
        SELECT *, min(ping_idx) OVER isl AS lo, max(ping_idx) OVER isl AS hi, first_value(lg) OVER (PARTITION BY raw_file, f, g ORDER BY ping_idx) AS lf,
        first_value(ld) OVER (PARTITION BY raw_file, f, g ORDER BY ping_idx DESC) AS rt FROM (
@@ -230,9 +227,10 @@ def repaired_line(v: Survey) -> DataFrame:
          SELECT raw_file, f, ping_idx, CASE WHEN stddev_pop(m) OVER near <> 0 THEN (m - avg(m) OVER near) / stddev_pop(m) OVER near END AS z FROM (
            SELECT raw_file, f, ping_idx, ln(1e-10 + max(v)) AS m FROM st WHERE r >= 13 GROUP BY ALL) WINDOW near AS (PARTITION BY raw_file, f ORDER BY ping_idx ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)
          ) USING (raw_file, f, ping_idx))
-       WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW isl AS (PARTITION BY raw_file, f, g)) i) GROUP BY ALL""",
-    _STENCIL,
-)
+       WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW isl AS (PARTITION BY raw_file, f, g)) i) GROUP BY ALL"""
+
+
+@query("f4_rolling_seabed_line", "raw_file:s ping_idx:i seabed_idx:i", ROLLING, STENCIL)
 def rolling_line(v: Survey) -> DataFrame:
     whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
     return seabed.seabed_line_rolling(whole, 13, 0)

@@ -15,12 +15,14 @@ from ..operators import sampling as P
 from ..operators import slices as S
 from ..operators.evaluation import precision_recall
 from ..operators.objects import written
+from ..operators.seabed import seabed_line_rolling
 from ..sources import tables as T
 from ..sources.fixtures import FREQ_KHZ, Survey
 from ..streaming.incremental import run_new_files
 from . import jobs
 from .queries import labelled, query
 from .query_aggregates import SCORED, scored
+from .query_functions import ROLLING, STENCIL
 
 _U = A.keyed_uniform_sql
 _OBJ = "obj AS (SELECT s.*, (p.b - y1)::DOUBLE AS d FROM school s LEFT JOIN ping p ON p.raw_file = s.raw_file AND p.ping_idx = x0 + trunc((x1 - x0) / 2.0)::INT WHERE x0 <= x1 AND category <> -1)"
@@ -219,29 +221,32 @@ def worklist(v: Survey) -> DataFrame:
     "g5_g6_chains",
     "class:i n:i total:d",
     """SELECT class, count(*) AS n, sum(CASE WHEN isnan(v) THEN 0 ELSE greatest(least(10 * log10(v + 1e-10), 0), -75) END) AS total FROM (SELECT v, CASE WHEN isnan(v) THEN -100 WHEN label = 0 AND s.r >= s.b + 10 THEN -50 WHEN label = 0 THEN 0 WHEN label = 27 THEN 1 WHEN label = 1 THEN 2 ELSE -10 END AS class
-       FROM sv s JOIN label USING (raw_file, ping_idx, r) WHERE f = 18) GROUP BY ALL""",
+       FROM sv s JOIN label USING (raw_file, ping_idx, r)) GROUP BY ALL""",
 )
 def chains(v: Survey) -> DataFrame:
     """Test chains: labels to classes, seabed code, missing cells ignored; then decibels and border."""
-    rows = v.sv.filter("freq_hz = 18000").join(labelled(v), ["raw_file", "ping_idx"]).join(v.seabed.drop("survey"), ["raw_file", "ping_idx"])
+    rows = v.sv.join(labelled(v), ["raw_file", "ping_idx"]).join(v.seabed.drop("survey"), ["raw_file", "ping_idx"])
     rows = rows.withColumn("labels", F.transform("labels", A.species_class_other)).withColumn("labels", L.seabed_masked("labels", F.col("seabed_idx")))
     rows = jobs.prepared(rows.withColumn("labels", A.labels_without_missing("labels", "sv")))
     cells = rows.select(F.explode(F.arrays_zip("labels", "sv")).alias("c"))
     return cells.groupBy(F.col("c.labels").alias("class")).agg(F.count("*").alias("n"), F.sum("c.sv").alias("total"))
 
 
-@query("m2_tiled_prediction", "raw_file:s n:i wrong:i", "SELECT raw_file, n_pings AS n, 0 AS wrong FROM file WHERE raw_file < '2024-01-04'")
+@query(
+    "m2_tiled_prediction",
+    "raw_file:s n:i total:d",
+    """SELECT raw_file, count(DISTINCT ping_idx) AS n, sum(CASE WHEN r < cov THEN exp(a / 20) / (1 + exp(a / 20) + exp(b / 20)) ELSE 0 END) AS total FROM (
+       SELECT raw_file, ping_idx, r, max(d) FILTER (f = 18) AS a, max(d) FILTER (f = 38) AS b FROM (
+         SELECT *, greatest(least(10 * log10(CASE WHEN isnan(v) THEN 0 ELSE v END + 1e-10), 0), -75) AS d FROM sv) GROUP BY ALL) JOIN lim USING (raw_file) GROUP BY ALL""",
+    "lim AS (SELECT raw_file, CASE WHEN max(b) + 50 <= 48 THEN 48 ELSE 64 END AS cov FROM ping GROUP BY ALL)",
+)
 def tiled_prediction(v: Survey) -> DataFrame:
     """Tiles, crops, a fixed linear model, scatter: each ping comes back once, with the scores of its own cells."""
     names = [f * 1000 for f in FREQ_KHZ]
-    some = F.col("raw_file") < "2024-01-04"
     model = lambda x: np.column_stack([np.zeros(len(x)), x[:, 0] / 20, x[:, 1] / 20])
-    sv = v.sv.filter(some).select("raw_file", "ping_idx", "freq_hz", F.transform("sv", lambda x: F.nanvl(x, F.lit(0.0))).alias("sv"))
-    out = jobs.predict_survey(v.file.filter(some), sv, labelled(v).filter(some), v.seabed.filter(some), names, model, 64, 8, 64)
-    e = lambda i: F.exp(F.element_at(F.col(f"d{names[i]}"), F.lit(11)) / 20)
-    direct = sv.groupBy("raw_file", "ping_idx").agg(*[F.any_value(F.when(F.col("freq_hz") == f, F.transform("sv", lambda x: A.db_clipped(A.without_non_finite(x)))), True).alias(f"d{f}") for f in names[:2]])
-    both = out.join(direct, ["raw_file", "ping_idx"]).select("raw_file", (F.abs(F.element_at("p_sandeel", 11) - e(0) / (1 + e(0) + e(1))) > 1e-9).cast("int").alias("bad"))
-    return both.groupBy("raw_file").agg(F.count("*").alias("n"), F.sum("bad").alias("wrong"))
+    sv = v.sv.select("raw_file", "ping_idx", "freq_hz", F.transform("sv", lambda x: F.nanvl(x, F.lit(0.0))).alias("sv"))
+    out = jobs.predict_survey(v.file, sv, labelled(v), v.seabed, names, model, 64, 8, 64)
+    return out.groupBy("raw_file").agg(F.count("*").alias("n"), F.sum(F.aggregate("p_sandeel", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 @query("m6_patch_data", "patch_id:i cells:i labelled:i", "SELECT patch_id, 1024 AS cells, sum((coalesce(label, 0) = 27)::INT) AS labelled FROM pc LEFT JOIN label USING (raw_file, ping_idx, r) GROUP BY ALL", """pt AS (SELECT raw_file, object_id AS patch_id, y0 AS cy, x0 AS cx FROM school WHERE category = 27 AND x0 <= x1),
@@ -298,3 +303,31 @@ def metrics(v: Survey) -> DataFrame:
 def files_left(v: Survey) -> DataFrame:
     """Files whose shifted labels or seabed are not stored yet."""
     return T.new_rows(v.file, v.file.filter("n_pings % 3 = 0"), ["raw_file"])
+
+
+@query(
+    "a17_stored_heave_labels",
+    "raw_file:s label:i n:i weight:i",
+    """SELECT l.raw_file, label, count(*) AS n, sum((l.r - h + 1) * (ping_idx + 1)) AS weight FROM (SELECT *, round_even(((e * 7) % 11 - 5) * 0.6::DOUBLE / 0.5, 0)::INT AS h FROM label WHERE label > 0) l
+       WHERE l.r - h BETWEEN 0 AND 63 GROUP BY ALL""",
+)
+def stored_heave_labels(v: Survey) -> DataFrame:
+    """Labels without heave, stored file by file: a first run over a part of the files, a second adds the others."""
+    path = _scratch(v, "heave-labels")
+    rows = labelled(v).join(v.ping.select("raw_file", "ping_idx", "heave_m"), ["raw_file", "ping_idx"])
+    first = rows.join(v.file.filter("n_pings % 3 = 0").select("raw_file"), "raw_file", "left_semi")
+    for part in (first, rows):
+        jobs.store_new_files(part, path, lambda r: jobs.without_heave(r, 0.5))
+    cells = v.spark.read.parquet(path).select("raw_file", "ping_idx", F.posexplode("labels").alias("r", "label")).filter("label > 0")
+    return cells.groupBy("raw_file", "label").agg(F.count("*").alias("n"), F.sum((F.col("r") + 1) * (F.col("ping_idx") + 1)).alias("weight"))
+
+
+@query("a18_stored_seabed", "raw_file:s ping_idx:i seabed_idx:i", ROLLING, STENCIL)
+def stored_seabed(v: Survey) -> DataFrame:
+    """The seabed line, stored file by file: a first run over a part of the files, a second adds the others."""
+    path = _scratch(v, "seabed")
+    whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
+    first = whole.join(v.file.filter("n_pings % 3 = 0").select("raw_file"), "raw_file", "left_semi")
+    for part in (first, whole):
+        jobs.store_new_files(part, path, lambda r: seabed_line_rolling(r, 13, 0))
+    return v.spark.read.parquet(path)

@@ -21,18 +21,8 @@ def box_slice(v: Survey) -> DataFrame:
     return rows.groupBy("raw_file", "freq_hz").agg(F.sum(F.aggregate("sv", F.lit(0.0), lambda a, x: a + F.when(F.isnan(x), 0.0).otherwise(x))).alias("total"), F.sum(F.size("sv")).alias("n"))
 
 
-@query(
-    "b1_complete_bins",
-    "raw_file:s r:i",
-    "SELECT raw_file, r FROM sv WHERE f = 38 AND ping_idx < 40 GROUP BY ALL HAVING NOT bool_or(isnan(v))",
-)
+@query("b1_complete_bins", "raw_file:s r:i", "SELECT raw_file, r FROM sv GROUP BY ALL HAVING NOT bool_or(isnan(v))")
 def complete_bins(v: Survey) -> DataFrame:
-    return S.complete_bins(S.box_slice(v.sv, (38000,), (0, 40)))
-
-
-@query("b1_complete_bins_whole", "raw_file:s r:i", "SELECT raw_file, r FROM sv GROUP BY ALL HAVING NOT bool_or(isnan(v))")
-def complete_bins_whole(v: Survey) -> DataFrame:
-    """Over all pings and frequencies."""
     return S.complete_bins(v.sv)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,15 +82,21 @@ def new_rows(df: DataFrame, stored: DataFrame | None, keys: Sequence[str]) -> Da
     return df if stored is None else df.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, None where nothing has been written."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def append_predictions(df: DataFrame, path: str, resume: bool = True) -> None:
     """Writes predictions by survey; with resume, only (raw_file, ping_idx) that are not there yet."""
     spark, stored = df.sparkSession, None
     if resume:
-        try:
-            stored = spark.read.parquet(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        stored = stored_table(spark, path)
     rows = new_rows(df, stored, ["raw_file", "ping_idx"]).repartition("survey", "raw_file").sortWithinPartitions("survey", "raw_file", "ping_idx")
     rows.write.partitionBy("survey").mode("append" if resume else "overwrite").parquet(path)
 
