@@ -74,20 +74,22 @@ def patch_to_data(p: Column, centre: Column, size: int) -> Column:
     return p + centre - size // 2 + 1
 
 
-def crops(patches: DataFrame, rows: DataFrame, column: str, height: int, width: int, fill) -> DataFrame:
+def crops(patches: DataFrame, rows: DataFrame, column: str, height: int, width: int, fill, freqs: Sequence[int] = ()) -> DataFrame:
     """Windows around patches(raw_file, patch_id, cy, cx): one row per patch column x with its `height` cells.
 
     Cells outside the data hold `fill`. The patch side is exploded to its ping indices and
-    equi-joined, so a crop reads the pings it covers only.
+    equi-joined, so a crop reads the pings it covers only. Rows with freq_hz need the list of
+    their frequencies: each patch column comes back once for each of them.
     """
     cols = patches.select("raw_file", "patch_id", "cy", "cx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     cols = cols.withColumn("ping_idx", patch_to_data(F.col("x"), F.col("cx"), width).cast("int"))
     keys = ["raw_file", "ping_idx"]
-    data = rows.select(*keys, *[c for c in ("freq_hz",) if c in rows.columns], F.col(column).alias("__v"))
     if "freq_hz" in rows.columns:
-        freqs = rows.select("freq_hz").distinct()
-        cols = cols.join(F.broadcast(freqs))
+        if not freqs:
+            raise ValueError("rows of several frequencies need their list")
+        cols = cols.withColumn("freq_hz", F.explode(F.array(*map(F.lit, freqs))))
         keys.append("freq_hz")
+    data = rows.select(*keys, F.col(column).alias("__v"))
     joined = cols.join(data, keys, "left").withColumn("__top", patch_to_data(F.lit(0), F.col("cy"), height))
     cells = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.coalesce(F.when(F.col("__top") + y >= 0, F.get(F.col("__v"), (F.col("__top") + y).cast("int"))), F.lit(fill)))
     return joined.select(*keys, "patch_id", "cy", "cx", "x", cells.alias(column))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,9 +22,9 @@ def prepared(patches: DataFrame, sv: str = "sv", labels: str = "labels", set_bor
     return out.withColumn(sv, A.data_with_border(sv, labels)) if set_border else out
 
 
-def patch_cells(patches: DataFrame, sv: DataFrame, labels: DataFrame, height: int, width: int) -> DataFrame:
+def patch_cells(patches: DataFrame, sv: DataFrame, labels: DataFrame, freqs: Sequence[int], height: int, width: int) -> DataFrame:
     """Cells of patches(raw_file, patch_id, cy, cx): patch_id, x, y, r, ping_idx, label and one decibel column per frequency."""
-    data = slices.crops(patches, sv, "sv", height, width, 0.0)
+    data = slices.crops(patches, sv, "sv", height, width, 0.0, freqs)
     wide = data.groupBy("raw_file", "patch_id", "cy", "cx", "x", "ping_idx").agg(F.map_from_entries(F.collect_list(F.struct("freq_hz", "sv"))).alias("by_freq"))
     marks = slices.crops(patches, labels, "labels", height, width, A.IGNORE).select("patch_id", "x", "labels")
     return wide.join(marks, ["patch_id", "x"])
@@ -60,7 +60,7 @@ def best_model(curves: DataFrame) -> DataFrame:
 def predict_survey(files: DataFrame, sv: DataFrame, labels: DataFrame, bottom: DataFrame, features: list[int], model, patch: int, overlap: int, n_range: int) -> DataFrame:
     """Tiles -> crops -> scores -> profiles: raw_file, ping_idx, p_sandeel, p_other; only tile interiors are kept, pings of a file without any are 0."""
     grid = slices.tiles(files, bottom, patch, overlap)
-    cols = patch_cells(grid, sv, labels, patch, patch)
+    cols = patch_cells(grid, sv, labels, features, patch, patch)
     names = [f"f{f}" for f in features]
     cells = cols.select(
         "raw_file", "ping_idx", "x", "cy", F.posexplode(F.arrays_zip(*[F.element_at("by_freq", F.lit(f)).alias(n) for f, n in zip(features, names, strict=True)], F.col("labels"))).alias("y", "c")

@@ -253,7 +253,7 @@ def tiled_prediction(v: Survey) -> DataFrame:
 pc AS (SELECT raw_file, patch_id, x + cx - 16 + 1 AS ping_idx, y + cy - 16 + 1 AS r FROM pt, (SELECT unnest(range(32)) AS x), (SELECT unnest(range(32)) AS y))""")
 def patch_data(v: Survey) -> DataFrame:
     patches = v.school.filter("category = 27 and x0 <= x1").select("raw_file", F.col("object_id").alias("patch_id"), F.col("y0").alias("cy"), F.col("x0").alias("cx"))
-    cols = jobs.patch_cells(patches, v.sv, labelled(v), 32, 32)
+    cols = jobs.patch_cells(patches, v.sv, labelled(v), [f * 1000 for f in FREQ_KHZ], 32, 32)
     return cols.groupBy("patch_id").agg(F.sum(F.size("labels")).alias("cells"), F.sum(F.size(F.filter("labels", lambda y: y == 27))).alias("labelled"))
 
 
