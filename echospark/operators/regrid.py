@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +11,22 @@ from pyspark.sql import functions as F
 def regrid_range(profile: Column | str, first: float, step: float, n_old: int, new_step: float, n_new: int) -> Column:
     """Conservative regrid along range: each new bin is the overlap-weighted mean of old bins, NaN if all are missing.
 
-    Old bins are centred at first + i * step; new ones start at the same upper edge.
+    Old bins are centred at first + i * step; new ones start at the same upper edge. A new bin looks
+    at the few old ones that it can overlap, so the work grows with the bins, not with their product.
     """
     top = first - step / 2
-    old = F.sequence(F.lit(0), F.lit(n_old - 1))
+    reach = math.ceil(new_step / step) + 1
 
     def one(j: Column) -> Column:
         lo, hi = top + j * new_step, top + (j + 1) * new_step
+        start = F.floor(j * (new_step / step)).cast("int")
+        old = F.slice(profile, start + 1, F.lit(reach))
+        places = F.sequence(start, start + (reach - 1))
         weight = lambda i: F.greatest(F.least(hi, top + (i + 1) * step) - F.greatest(lo, top + i * step), F.lit(0.0))
-        parts = F.zip_with(profile, old, lambda v, i: F.struct(F.when(F.isnan(v), 0.0).otherwise(weight(i)).alias("w"), F.when(F.isnan(v), 0.0).otherwise(v).alias("v")))
-        total = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["w"])
-        value = F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["w"] * p["v"])
-        return F.when(total > 1e-12, value / total).otherwise(F.lit(float("nan")))
+        parts = F.zip_with(old, places, lambda v, i: F.when(v.isNotNull() & ~F.isnan(v), F.struct(weight(i).alias("w"), v.alias("v"))))
+        none = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
+        more = lambda a, p: F.when(p.isNull(), a).otherwise(F.struct((a["w"] + p["w"]).alias("w"), (a["v"] + p["w"] * p["v"]).alias("v")))
+        return F.aggregate(parts, none, more, lambda a: F.when(a["w"] > 1e-12, a["v"] / a["w"]).otherwise(F.lit(float("nan"))))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), one)
 
