@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.acoustic import BORDER, IGNORE, OVERLAP, SEABED
+from ..functions.acoustic import BORDER, IGNORE, OVERLAP, SEABED, species_class, species_class_other
 
 #: The cells of a disc in a 7 x 7 square: 37 offsets.
 DISC = [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4) if dy * dy + dx * dx <= 10]
@@ -28,17 +28,47 @@ def closed_cells(cells: DataFrame, box: DataFrame, keys: list[str]) -> DataFrame
 def refined_borders(cells: DataFrame, box: DataFrame, keys: list[str], low: float = 1e-7, high: float = 1e-4, outside: int = BORDER) -> DataFrame:
     """cells(keys, ping_idx, r, label, v): labels > 0 outside the closed seed become `outside`.
 
-    The seed is label > 0 and low < v < high; only seed cells are spread, so work grows with the schools.
+    The seed is label > 0 and low < v < high; only seed cells are spread and only positive labels are
+    joined, so the shuffled work grows with the schools.
     """
     seed = cells.filter((F.col("label") > 0) & (F.col("v") > low) & (F.col("v") < high)).select(*keys, "ping_idx", "r")
     inside = closed_cells(seed, box, keys).withColumn("__in", F.lit(True))
-    joined = cells.join(inside, [*keys, "ping_idx", "r"], "left")
-    return joined.withColumn("label", F.when((F.col("label") > 0) & F.col("__in").isNull(), outside).otherwise(F.col("label"))).drop("__in")
+    positive = F.coalesce(F.col("label") > 0, F.lit(False))
+    joined = cells.filter(positive).join(inside, [*keys, "ping_idx", "r"], "left")
+    marked = joined.withColumn("label", F.when(F.col("__in").isNull(), outside).otherwise(F.col("label")))
+    return marked.select(*cells.columns).union(cells.filter(~positive))
+
+
+def refined_patches(cells: DataFrame, keys: list[str], low: float = 1e-7, high: float = 1e-4, outside: int = BORDER) -> DataFrame:
+    """refined_borders inside the smallest box around the cells of a patch that are not IGNORE; a patch without any stays as it is."""
+    known = cells.filter(F.col("label") != IGNORE).groupBy(*keys)
+    box = known.agg(F.min("ping_idx").alias("x0"), F.max("ping_idx").alias("x1"), F.min("r").alias("y0"), F.max("r").alias("y1"))
+    return refined_borders(cells, box, keys, low, high, outside)
+
+
+def training_chain(cells: DataFrame, keys: list[str], low: float = 1e-7, high: float = 1e-4) -> DataFrame:
+    """Label chain of training patches: refined borders of all species, then classes."""
+    return refined_patches(cells, keys, low, high).withColumn("label", species_class(F.col("label")))
+
+
+def evaluation_chain(cells: DataFrame, keys: list[str], height: int, width: int, overlap: int, low: float = 1e-7, high: float = 1e-4) -> DataFrame:
+    """Label chain of evaluated patches: classes with OTHER, refined borders, seabed code, overlap code.
+
+    cells: keys, x, y (place in the patch), ping_idx, r, label (IGNORE outside the data), v and the ping's seabed_idx.
+    """
+    out = refined_patches(cells.withColumn("label", species_class_other(F.col("label"))), keys, low, high)
+    out = out.withColumn("label", seabed_code(F.col("label"), F.col("r"), F.col("seabed_idx")))
+    return out.withColumn("label", overlap_masked(F.col("label"), F.col("y"), F.col("x"), height, width, overlap))
+
+
+def seabed_code(label: Column, r: Column, seabed: Column, pad: int = 10) -> Column:
+    """SEABED for a background label at or below seabed + pad."""
+    return F.when((label == 0) & (r >= seabed + pad), SEABED).otherwise(label)
 
 
 def seabed_masked(labels: Column | str, seabed: Column, top: Column | int = 0, pad: int = 10) -> Column:
     """Background labels at and below seabed + pad become SEABED; top is the range index of the first label."""
-    return F.transform(labels, lambda y, r: F.when((y == 0) & (r + top >= seabed + pad), SEABED).otherwise(y))
+    return F.transform(labels, lambda y, r: seabed_code(y, r + top, seabed, pad))
 
 
 def overlap_masked(label: Column, y: Column, x: Column, height: int, width: int, overlap: int) -> Column:

@@ -30,6 +30,17 @@ def patch_cells(patches: DataFrame, sv: DataFrame, labels: DataFrame, freqs: Seq
     return wide.join(marks, ["patch_id", "x"])
 
 
+def label_cells(patches: DataFrame, sv: DataFrame, labels: DataFrame, bottom: DataFrame, freq: int, height: int, width: int) -> DataFrame:
+    """Input of the label chains: raw_file, patch_id, x, y, ping_idx, r, label, v of one frequency, seabed_idx of the ping."""
+    cols = patch_cells(patches, sv, labels, [freq], height, width)
+    zipped = F.arrays_zip(F.element_at("by_freq", F.lit(freq)).alias("v"), F.col("labels").alias("label"))
+    cols = cols.join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
+    cells = cols.select("raw_file", "patch_id", "cy", "x", "ping_idx", "seabed_idx", F.posexplode(zipped).alias("y", "c"))
+    return cells.select(
+        "raw_file", "patch_id", "x", "y", "ping_idx", slices.patch_to_data(F.col("y"), F.col("cy"), height).cast("int").alias("r"), F.col("c.label").alias("label"), F.col("c.v").alias("v"), "seabed_idx"
+    )
+
+
 def score_cells(cells: DataFrame, features: list[str], model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """cells with p0, p1, p2 from a model of feature rows, in Arrow batches; softmax of its three scores."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields), "p0 double", "p1 double", "p2 double"])

@@ -232,6 +232,50 @@ def chains(v: Survey) -> DataFrame:
     return cells.groupBy(F.col("c.labels").alias("class")).agg(F.count("*").alias("n"), F.sum("c.sv").alias("total"))
 
 
+def _chained_sql(label: str, result: str) -> str:
+    """Patches of 64 x 32 cells at all valid schools; `label` is what the border is refined on, `result` the class of a cell."""
+    return f"""disc AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE dy * dy + dx * dx <= 10),
+pt AS (SELECT raw_file, object_id AS patch_id, y0 AS cy, x0 AS cx FROM school WHERE category <> -1 AND x0 <= x1),
+pc AS (SELECT raw_file, patch_id, x, y, x + cx - 16 + 1 AS ping_idx, y + cy - 32 + 1 AS r FROM pt, (SELECT unnest(range(32)) AS x), (SELECT unnest(range(64)) AS y)),
+pl AS (SELECT pc.*, l.b, s.v, CASE WHEN l.label IS NULL THEN -100 ELSE {label} END AS y0 FROM pc LEFT JOIN label l USING (raw_file, ping_idx, r)
+  LEFT JOIN (SELECT raw_file, ping_idx, r, v FROM sv WHERE f = 200) s USING (raw_file, ping_idx, r)),
+box AS (SELECT patch_id, min(ping_idx) AS p0, max(ping_idx) AS p1, min(r) AS r0, max(r) AS r1 FROM pl WHERE y0 <> -100 GROUP BY ALL),
+seed AS (SELECT patch_id, ping_idx, r FROM pl WHERE y0 > 0 AND NOT isnan(v) AND v > 1e-7::DOUBLE AND v < 4e-6::DOUBLE),
+grown AS (SELECT DISTINCT patch_id, ping_idx + dx AS ping_idx, r + dy AS r FROM seed JOIN box USING (patch_id), disc WHERE ping_idx + dx BETWEEN p0 AND p1 AND r + dy BETWEEN r0 AND r1),
+closed AS (SELECT patch_id, ping_idx + dx AS ping_idx, r + dy AS r, true AS own FROM grown, disc GROUP BY ALL HAVING count(*) = 37),
+refined AS (SELECT pl.*, CASE WHEN y0 > 0 AND own IS NULL THEN -30 ELSE y0 END AS y1 FROM pl LEFT JOIN closed USING (patch_id, ping_idx, r)),
+done AS (SELECT patch_id, {result} AS class FROM refined)"""
+
+
+_CLASSES = "SELECT patch_id, class, count(*) AS n FROM done GROUP BY ALL"
+
+
+def _school_cells(v: Survey) -> DataFrame:
+    patches = v.school.filter("category <> -1 and x0 <= x1").select("raw_file", F.col("object_id").alias("patch_id"), F.col("y0").alias("cy"), F.col("x0").alias("cx"))
+    return jobs.label_cells(patches, v.sv, labelled(v), v.seabed, 200_000, 64, 32)
+
+
+@query("g5_training_chain", "patch_id:i class:i n:i", _CLASSES, _chained_sql("l.label", "CASE y1 WHEN 0 THEN 0 WHEN 27 THEN 1 WHEN 1 THEN 2 ELSE -100 END"))
+def training_chain(v: Survey) -> DataFrame:
+    """Borders are refined before species become classes."""
+    return L.training_chain(_school_cells(v), ["raw_file", "patch_id"], 1e-7, 4e-6).groupBy("patch_id", F.col("label").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "g5_evaluation_chain",
+    "patch_id:i class:i n:i",
+    _CLASSES,
+    _chained_sql(
+        "CASE l.label WHEN 0 THEN 0 WHEN 27 THEN 1 WHEN 1 THEN 2 ELSE -10 END",
+        "CASE WHEN y1 <> -100 AND (x < 4 OR x >= 28 OR y < 4 OR y >= 60) THEN -70 WHEN y1 = 0 AND r >= b + 10 THEN -50 ELSE y1 END",
+    ),
+)
+def evaluation_chain(v: Survey) -> DataFrame:
+    """Classes, refined borders, seabed and overlap codes, in this order."""
+    done = L.evaluation_chain(_school_cells(v), ["raw_file", "patch_id"], 64, 32, 4, 1e-7, 4e-6)
+    return done.groupBy("patch_id", F.col("label").alias("class")).agg(F.count("*").alias("n"))
+
+
 @query(
     "m2_tiled_prediction",
     "raw_file:s n:i total:d",

@@ -38,6 +38,40 @@ def test_closing_fills_a_hole_and_keeps_single_cells(spark):
     assert len(labels.DISC) == 37
 
 
+def _patch(rows):
+    """Cells of one patch of width 9 from rows of (label, v)."""
+    return [("f", 1, x, y, x, y, label, v, 6) for y, row in enumerate(rows) for x, (label, v) in enumerate(row)]
+
+
+_CELLS = "raw_file string, patch_id int, x int, y int, ping_idx int, r int, label int, v double, seabed_idx int"
+
+
+def test_chains_of_a_patch(spark):
+    strong, weak = (27, 1e-6), (27, 1e-9)
+    rows = [[(0, 1e-6)] * 9 for _ in range(20)]
+    for y in range(6, 13):
+        rows[y] = [(0, 1e-6), strong, strong, strong, strong, strong, strong, weak, (6009, 1e-6)]
+    rows[9][4] = weak
+    rows[0] = [(-100, 0.0)] * 9
+    df = spark.createDataFrame(_patch(rows), _CELLS)
+    keys = ["raw_file", "patch_id"]
+    got = {(c.x, c.y): c.label for c in labels.evaluation_chain(df, keys, 20, 9, 0).collect()}
+    assert len(got) == 180
+    assert got[4, 9] == 1, "a hole of the seed is closed"
+    assert got[7, 9] == A.BORDER and got[8, 9] == A.OTHER, "weak edge cells go, another species is no seed and stays"
+    assert got[3, 0] == A.IGNORE and got[3, 15] == 0 and got[3, 16] == A.SEABED
+    edged = {(c.x, c.y): c.label for c in labels.evaluation_chain(df, keys, 20, 9, 2).collect()}
+    assert edged[0, 9] == A.OVERLAP and edged[3, 0] == A.IGNORE and edged[4, 9] == 1
+    trained = {(c.x, c.y): c.label for c in labels.training_chain(df, keys).collect()}
+    assert trained[4, 9] == 1 and trained[8, 9] == A.IGNORE and trained[3, 15] == 0
+
+
+def test_a_patch_outside_the_data_stays_as_it_is(spark):
+    df = spark.createDataFrame(_patch([[(A.IGNORE, 0.0)] * 9] * 3), _CELLS)
+    assert {c.label for c in labels.refined_patches(df, ["raw_file", "patch_id"]).collect()} == {A.IGNORE}
+    assert labels.refined_patches(df.limit(0), ["raw_file", "patch_id"]).count() == 0
+
+
 @pytest.mark.parametrize("h,want", [(0, [1, 2, 3]), (1, [2, 3, 0]), (-1, [0, 1, 2]), (9, [0, 0, 0]), (-9, [0, 0, 0])])
 def test_heave_shift(spark, h, want):
     df = spark.createDataFrame([([1, 2, 3],)], "l array<int>")
