@@ -89,11 +89,15 @@ def range_limit(bottom: DataFrame, by: list[str], quantile: float = 0.95, margin
 
 def bin_means(profile: Column | str, first: float, step: float, e0: float, dz: float, n_new: int) -> Column:
     """Means of the bins whose centre first + i * step falls into e0 + j * dz .. e0 + (j + 1) * dz; null when empty."""
-    entries = F.transform(profile, lambda v, i: F.struct(F.floor((first + i * step - e0) / dz).cast("int").alias("j"), v.alias("v")))
+    reach = math.ceil(dz / step) + 2
 
     def one(j: Column) -> Column:
-        own = F.filter(entries, lambda p: (p["j"] == j) & ~F.isnan(p["v"]))
-        return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, p: a + p["v"]) / F.size(own))
+        # a little earlier than the first centre of the bin; floor() below decides
+        start = F.greatest(F.floor((e0 + j * dz - first) / step).cast("int"), F.lit(0))
+        entries = F.zip_with(F.slice(profile, start + 1, F.lit(reach)), F.sequence(start, start + (reach - 1)), lambda v, i: F.struct(F.floor((first + i * step - e0) / dz).cast("int").alias("j"), v.alias("v")))
+        own = F.filter(entries, lambda p: (p["j"] == j) & p["v"].isNotNull() & ~F.isnan(p["v"]))
+        none = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        return F.aggregate(own, none, lambda a, p: F.struct((a["s"] + p["v"]).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
 
     return F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), one)
 
