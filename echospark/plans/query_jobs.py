@@ -338,7 +338,7 @@ def opened_survey(v: Survey) -> DataFrame:
 def metrics(v: Survey) -> DataFrame:
     """Precision-recall curves, written as one CSV with an empty last threshold, and read back."""
     path = _scratch(v, "metrics")
-    precision_recall(scored(v), ["survey"]).coalesce(1).write.csv(path, header=True)
+    precision_recall(scored(v), ["survey"]).write.csv(path, header=True)
     curve = v.spark.read.csv(path, header=True, schema="survey int, threshold double, precision double, recall double, f1 double")
     return curve.groupBy("survey").agg(F.count("threshold").alias("n"), F.max("threshold").alias("threshold"), F.max("f1").alias("f1"))
 
