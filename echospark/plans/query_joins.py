@@ -30,10 +30,12 @@ def nearest_ping(v: Survey) -> DataFrame:
 @query(
     "d3_nearest_position",
     "point_id:i ping_id:i",
-    """SELECT a.e AS point_id, arg_min(b.e, (pow(b.lat - (a.lat + 0.0004), 2) + pow(b.lon - (a.lon - 0.0003), 2), b.e)) AS ping_id FROM (SELECT * FROM ping WHERE e % 40 = 0) a, ping b GROUP BY ALL""",
+    """SELECT a.e AS point_id, arg_min(b.e, (pow(b.lat - (a.lat + 0.0004 + CASE WHEN e_far THEN 1.5 ELSE 0 END), 2) + pow(b.lon - (a.lon - 0.0003), 2), b.e)) AS ping_id FROM (SELECT *, e % 100 = 0 AS e_far FROM ping WHERE e % 20 = 0) a, ping b GROUP BY ALL""",
 )
 def nearest_position(v: Survey) -> DataFrame:
-    points = v.ping.filter("e % 40 = 0").select(F.col("e").alias("point_id"), (F.col("lat") + 0.0004).alias("lat"), (F.col("lon") - 0.0003).alias("lon"))
+    """Points beside the pings, every fifth far north of where they are dense."""
+    far = F.when(F.col("e") % 100 == 0, 1.5).otherwise(0.0)
+    points = v.ping.filter("e % 20 = 0").select(F.col("e").alias("point_id"), (F.col("lat") + 0.0004 + far).alias("lat"), (F.col("lon") - 0.0003).alias("lon"))
     return J.nearest_position(points, v.ping.select(F.col("e").alias("ping_id"), "lat", "lon"), 0.02)
 
 
