@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, line_dedup, near_dedup, packing, quality, toxicity, url_filter, warc
+from . import decontamination, language, licenses, line_dedup, near_dedup, packing, periodic, quality, simhash, toxicity, url_filter, vector_codes, warc
 
-MODULES = (toxicity, url_filter, line_dedup, decontamination, packing, quality, warc, near_dedup, licenses, language)
+MODULES = (toxicity, url_filter, line_dedup, decontamination, packing, quality, warc, near_dedup, licenses, language, periodic, simhash, vector_codes)
 
 
 def queries() -> dict:
