@@ -26,10 +26,15 @@ def mixture_draws(draws: DataFrame, seed: int, mixture: Sequence[tuple[str, int]
     return draws.withColumn("sampler", out.otherwise(mixture[-1][0]))
 
 
+def jitter(u: Column, size: int) -> Column:
+    """A whole number between minus and plus half of an even size, both included."""
+    return F.floor(u * (size + 1)) - size // 2
+
+
 def seabed_centres(pings: DataFrame, seed: int, height: int) -> DataFrame:
     """pings(raw_file, ping_idx, key, seabed_idx) -> raw_file, cy, cx: a centre within half a window of the seabed."""
     u = keyed_uniform(F.col("key"), seed)
-    return pings.filter("seabed_idx > 0").select("raw_file", (F.col("seabed_idx") + F.floor((2 * u - 1) * (height / 2))).cast("int").alias("cy"), F.col("ping_idx").alias("cx"))
+    return pings.filter("seabed_idx > 0").select("raw_file", (F.col("seabed_idx") + jitter(u, height)).cast("int").alias("cy"), F.col("ping_idx").alias("cx"))
 
 
 def background_centres(pings: DataFrame, seed: int, height: int) -> DataFrame:
@@ -59,16 +64,16 @@ def school_centres(objects: DataFrame, seed: int, height: int, width: int, max_d
         rows = rows.filter(F.col("distance_to_seabed") < max_distance)
     u = [keyed_uniform(F.col("object_id"), seed + i) for i in range(4)]
     pick = lambda lo, hi, a: F.floor(lo + a * F.greatest(hi - lo, F.lit(1)))
-    cy = pick(F.col("y0"), F.col("y1"), u[0]) + F.floor((u[2] - 0.5) * height)
-    cx = pick(F.col("x0"), F.col("x1"), u[1]) + F.floor((u[3] - 0.5) * width)
+    cy = pick(F.col("y0"), F.col("y1"), u[0]) + jitter(u[2], height)
+    cx = pick(F.col("x0"), F.col("x1"), u[1]) + jitter(u[3], width)
     return rows.select("raw_file", "object_id", cy.cast("int").alias("cy"), cx.cast("int").alias("cx"))
 
 
 def window_with_point(y: Column, n: Column | int, size: int, u: Column, slack: int = 20) -> Column:
-    """A window centre that contains y within n bins, `slack` from its edge where possible; the middle of small data."""
+    """A window centre that contains y at least `slack` from the window's edge, and reaches beyond n bins by `slack` at most; the middle of small data."""
     n = F.lit(n) if isinstance(n, int) else n
-    lo = F.greatest(y - size // 2 + slack, F.lit(size // 2))
-    hi = F.least(y + size // 2 - slack, n - size // 2)
+    half = size // 2 - slack
+    lo, hi = F.greatest(F.lit(half), y - half), F.least(n - half, y + half)
     return F.when(n <= size, F.floor(n / 2)).otherwise(F.floor(F.least(lo, hi) + u * F.greatest(hi - lo, F.lit(0)))).cast("int")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.acoustic import is_finite
+from .blocks import BLOCK, nearest_known, survey_position, with_halo
 
 FILE_FREQ = ("raw_file", "freq_hz")
 
 
-def _stencil(offset: int | None, shift: int | None, names: list[str]):
-    """Rows with a profile and those of its neighbours (null beyond a file's ends) -> the rows of `names` and their candidate."""
+def _stencil(offset: int | None, shift: int | None, names: list[str], along: str):
+    """Rows with a profile and those of its neighbours (null beyond the ends) -> the rows of `names` and their candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,14 +33,23 @@ def _stencil(offset: int | None, shift: int | None, names: list[str]):
                 if h <= n0:
                     continue
                 p, c, n = (_matrix(x.take(pa.array(at)), h) for x in (back, own, ahead))
-                flat, peak = np.pad(p + c + n, ((0, 0), (1, 1))), np.pad(p + 5 * c + n, ((0, 0), (1, 1)))
-                score = np.where(flat[:, 2:] - flat[:, :-2] > 0, -(peak[:, :-2] - 2 * peak[:, 1:-1] + peak[:, 2:]), 0.0)
-                best[at] += score[:, n0:].argmax(axis=1).astype(np.int32)
+                if along == "range":
+                    slope, bend = np.pad(p + 2 * c + n, ((0, 0), (1, 1))), np.pad(p + 5 * c + n, ((0, 0), (1, 1)))
+                    slope, bend = slope[:, 2:] - slope[:, :-2], bend[:, 2:] - 2 * bend[:, 1:-1] + bend[:, :-2]
+                else:
+                    slope, bend = _across(n - p, 2), _across(p - 2 * c + n, 5)
+                best[at] += np.where(slope > 0, bend, 0.0)[:, n0:].argmax(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(best)], [*names, "candidate"])
 
     return run
 
 
+def _across(x: np.ndarray, middle: int) -> np.ndarray:
+    """Each cell times `middle` plus its neighbours along range."""
+    wide = np.pad(x, ((0, 0), (1, 1)))
+    return wide[:, :-2] + middle * x + wide[:, 2:]
+
+
 def _matrix(profiles: pa.Array, h: int) -> np.ndarray:
     """Profiles as rows of h finite values: 0 for missing cells, missing profiles and what a shorter one lacks."""
     out = np.zeros((len(profiles), h))
@@ -56,18 +66,21 @@ def _matrix(profiles: pa.Array, h: int) -> np.ndarray:
     return out
 
 
-def seabed_candidates(sv: DataFrame, offset: int | None = None, shift: int | None = None) -> DataFrame:
+def seabed_candidates(sv: DataFrame, offset: int | None = None, shift: int | None = None, along: str = "range", keys: Sequence[str] = FILE_FREQ, order: str = "ping_idx") -> DataFrame:
     """Bottom candidate of each ping and frequency: sv gets `candidate`.
 
-    Over three pings (weights 1, 5, 1 for the curvature and 1, 1, 1 for the slope), rows below
-    `offset` are searched for the largest second difference along range where the slope is
-    positive; profiles count as zero beyond a file's ends. Neighbours come by a window, the
-    stencil runs on whole Arrow batches.
+    The score of a cell is its second difference (neighbours across weighted 1, 5, 1) where the
+    slope (neighbours across weighted 1, 2, 1) rises, else 0; the first largest score from row
+    `offset` on is the candidate, moved up by `shift`. Differences are taken along range, or along
+    pings. Cells beyond the ends and cells that are not finite count as zero. Neighbours
+    come by a window over `keys` in `order`, the stencil runs on whole Arrow batches.
     """
-    order = Window.partitionBy(*FILE_FREQ).orderBy("ping_idx")
-    rows = sv.withColumns({"__p": F.lag("sv").over(order), "__n": F.lead("sv").over(order)})
+    if along not in ("range", "ping"):
+        raise ValueError("differences are taken along range or ping")
+    line = Window.partitionBy(*keys).orderBy(order)
+    rows = sv.withColumns({"__p": F.lag("sv").over(line), "__n": F.lead("sv").over(line)})
     schema = T.StructType([*sv.schema.fields]).add("candidate", T.IntegerType())
-    return rows.mapInArrow(_stencil(offset, shift, sv.columns), schema)
+    return rows.mapInArrow(_stencil(offset, shift, sv.columns, along), schema)
 
 
 def echo_strength(sv: DataFrame, offset: Column | int = 0) -> DataFrame:
@@ -114,15 +127,60 @@ def seabed_line(sv: DataFrame, z_limit: float = -8.0) -> DataFrame:
     return fixed.groupBy("raw_file", "ping_idx").agg(F.rint(F.median("candidate")).cast("int").alias("seabed_idx"))
 
 
-def seabed_line_rolling(sv: DataFrame, offset: int = 150, shift: int = 2, window: int = 500, z_limit: float = 0.75) -> DataFrame:
-    """As seabed_line, with a centred rolling mean and deviation within each file instead of the file's own."""
-    rows = seabed_candidates(sv, offset, shift)
-    strong = F.array_max(F.transform(F.slice("sv", offset + 1, F.greatest(F.size("sv") - offset, F.lit(0))), lambda x: F.when(is_finite(x), x).otherwise(0.0)))
-    near = Window.partitionBy(*FILE_FREQ).orderBy("ping_idx").rowsBetween(-(window // 2), window - window // 2 - 1)
-    rows = rows.withColumn("__m", F.log(F.lit(1e-10) + F.coalesce(strong, F.lit(0.0))))
-    rows = rows.withColumn("z", F.try_divide(F.col("__m") - F.avg("__m").over(near), F.stddev_pop("__m").over(near))).drop("__m")
-    fixed = repaired(rows, F.abs("z") > z_limit)
-    return fixed.groupBy("raw_file", "ping_idx").agg(F.rint(F.median("candidate")).cast("int").alias("seabed_idx"))
+def jumps(rows: DataFrame, keys: Sequence[str], position: str, value: str, window: int = 500, z_limit: float = 0.75, size: int = BLOCK) -> DataFrame:
+    """rows with `jump`: whether the whole number `value` is more than z_limit deviations off its centred rolling mean.
+
+    `window` rows, half of them ahead; fewer at the ends. Sums of values and squares run through
+    each block and its halo once, and a window is the difference of two of them, so the cost
+    of a row does not depend on the window. The comparison is made on whole numbers; only z_limit is rounded, to thousandths.
+    """
+    before, after = window // 2, window - window // 2 - 1
+    near = with_halo(rows, position, before, after, size)
+    line = Window.partitionBy(*keys, "block").orderBy(position)
+    upto = lambda c, end: F.coalesce(F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, end)), F.lit(0))
+    x = F.col(value).cast("long")
+    sums = {f"__{name}": upto(c, after) - upto(c, -before - 1) for name, c in (("n", F.lit(1)), ("s", x), ("q", x * x))}
+    near = near.withColumns(sums).filter("own")
+    n, s, q = (F.col(f"__{c}") for c in "nsq")
+    off, spread = n * x - s, n * q - s * s
+    limit = int(round(z_limit * 1000))
+    return near.withColumn("jump", off * off * 1_000_000 > spread * limit * limit).drop("__n", "__s", "__q", "block", "own")
+
+
+def repaired_in_blocks(rows: DataFrame, weak: Column, keys: Sequence[str], position: str, first: int = 2, tail: int = 2, size: int = BLOCK) -> DataFrame:
+    """rows(keys, position, candidate) with islands of weak rows replaced by the mean of their neighbours, over sequences of any length.
+
+    Rows before `first` are never repaired, and an island from `first` on takes the right neighbour;
+    one that reaches the last `tail` rows, or starts there, takes the left one.
+    """
+    bad = F.coalesce(weak, F.lit(False)) & (F.col(position) >= first)
+    near = nearest_known(rows.withColumn("__bad", bad), keys, position, ~F.col("__bad"), F.col("candidate"), size)
+    low = F.coalesce(F.col("before.at") + 1, F.lit(0))
+    high = F.coalesce(F.col("after.at") - 1, F.col("last"))
+    value = (
+        F.when(~F.col("__bad"), F.col("candidate").cast("double"))
+        .when(low <= first, F.coalesce("after.value", "before.value").cast("double"))
+        .when(high >= F.col("last") + 1 - tail, F.col("before.value").cast("double"))
+        .otherwise((F.col("before.value") + F.col("after.value")) / 2.0)
+    )
+    return near.withColumn("candidate", value).drop("__bad", "before", "after", "last")
+
+
+def seabed_line_survey(sv: DataFrame, offset: int = 150, shift: int = 2, window: int = 500, z_limit: float = 0.75, along: str = "ping", size: int = BLOCK) -> DataFrame:
+    """sv(survey, raw_file, ping_idx, freq_hz, sv) -> survey, raw_file, ping_idx, seabed_idx: the line of whole surveys.
+
+    Files follow one another by name. The candidates of a frequency that jump off their own rolling
+    mean are repaired, then the median over frequencies is rounded, half to even. Differences
+    are taken along pings by default, as in survey matrices whose first axis is the ping.
+    Profiles and lines are dealt into blocks of `size` pings with halo rows, so neither a file nor a
+    survey is one task.
+    """
+    line = ("survey", "freq_hz")
+    rows = with_halo(survey_position(sv), "position", 1, 1, size)
+    found = seabed_candidates(rows, offset, shift, along, (*line, "block"), "position").filter("own")
+    found = found.select(*line, "raw_file", "ping_idx", "position", "candidate")
+    fixed = repaired_in_blocks(jumps(found, line, "position", "candidate", window, z_limit, size), F.col("jump"), line, "position", size=size)
+    return fixed.groupBy("survey", "raw_file", "ping_idx").agg(F.rint(F.median("candidate")).cast("int").alias("seabed_idx"))
 
 
 def monotonic_pings(ping: DataFrame) -> DataFrame:

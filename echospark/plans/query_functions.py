@@ -175,18 +175,24 @@ def heave_shift(v: Survey) -> DataFrame:
     return rows.filter("y > 0").groupBy("raw_file", "r").agg(F.count("*").alias("n"))
 
 
-STENCIL = """st AS (SELECT s.raw_file, s.f, s.ping_idx, s.r, CASE WHEN isnan(v) THEN 0 ELSE round(v * 1e8) END AS v FROM sv s),
-tri AS (SELECT a.raw_file, a.f, a.ping_idx, a.r, a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS s,
+#: Profiles in whole numbers, so that sums are equal on both sides; some stretches of a file are silent, with repairs as a result.
+_SILENT = "((ping_idx div 3 + f) % 100 = 7 or (ping_idx div 2) % 120 = 1)"
+STENCIL = f"""st AS (SELECT s.raw_file, s.f, s.ping_idx, s.r, CASE WHEN isnan(v) OR {_SILENT.replace("div", "//")} THEN 0 ELSE round(v * 1e8) END AS v FROM sv s),
+tri AS (SELECT a.raw_file, a.f, a.ping_idx, a.r, a.v + a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS s,
   5 * a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS k FROM st a WINDOW w AS (PARTITION BY raw_file, f, r ORDER BY ping_idx)),
-sc AS (SELECT *, coalesce(lead(s) OVER w, 0) - coalesce(lag(s) OVER w, 0) AS g1, 2 * k - coalesce(lead(k) OVER w, 0) - coalesce(lag(k) OVER w, 0) AS g2
+sc AS (SELECT *, coalesce(lead(s) OVER w, 0) - coalesce(lag(s) OVER w, 0) AS g1, coalesce(lead(k) OVER w, 0) - 2 * k + coalesce(lag(k) OVER w, 0) AS g2
   FROM tri WINDOW w AS (PARTITION BY raw_file, f, ping_idx ORDER BY r)),
 sb AS (SELECT raw_file, f, ping_idx, arg_min(r, (-(CASE WHEN g1 > 0 THEN g2 ELSE 0 END), r)) AS cand FROM sc WHERE r >= 13 GROUP BY ALL)"""
 
 
+def whole_profiles(v: Survey) -> DataFrame:
+    value = F.expr(f"transform(sv, x -> if(isnan(x) or {_SILENT}, if(isnan(x), x, 0.0D), rint(x * 1e8)))")
+    return v.sv.withColumn("f", F.expr("freq_hz div 1000")).withColumn("sv", value).drop("f")
+
+
 @query("f1_seabed_candidates", "raw_file:s freq_hz:i candidate:i n:i", "SELECT raw_file, f * 1000 AS freq_hz, cand AS candidate, count(*) AS n FROM sb GROUP BY ALL", STENCIL)
 def seabed_candidates(v: Survey) -> DataFrame:
-    whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
-    return seabed.seabed_candidates(whole).groupBy("raw_file", "freq_hz", "candidate").agg(F.count("*").alias("n"))
+    return seabed.seabed_candidates(whole_profiles(v)).groupBy("raw_file", "freq_hz", "candidate").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -218,19 +224,53 @@ def repaired_line(v: Survey) -> DataFrame:
     return fixed.groupBy("raw_file", "ping_idx").agg(F.rint(F.median("candidate")).alias("seabed_idx"))
 
 
-ROLLING = """SELECT raw_file, ping_idx, round_even(median(fixed), 0) AS seabed_idx FROM (
-       SELECT i.*, CASE WHEN NOT w OR lo >= n - 2 THEN c WHEN lo <= 2 THEN coalesce(rt, lf) WHEN hi >= n - 2 THEN lf ELSE (lf + rt) / 2.0::DOUBLE END AS fixed FROM (
-       SELECT *, min(ping_idx) OVER isl AS lo, max(ping_idx) OVER isl AS hi, first_value(lg) OVER (PARTITION BY raw_file, f, g ORDER BY ping_idx) AS lf,
-       first_value(ld) OVER (PARTITION BY raw_file, f, g ORDER BY ping_idx DESC) AS rt FROM (
-       SELECT *, sum(nw) OVER o AS g FROM (SELECT *, (w <> coalesce(lag(w) OVER o, false))::INT AS nw, lag(c) OVER o AS lg, lead(c) OVER o AS ld, count(*) OVER (PARTITION BY raw_file, f) AS n FROM (
-       SELECT raw_file, f, ping_idx, cand AS c, coalesce(abs(z) > 0.75, false) AND ping_idx >= 2 AS w FROM sb JOIN (
-         SELECT raw_file, f, ping_idx, CASE WHEN stddev_pop(m) OVER near <> 0 THEN (m - avg(m) OVER near) / stddev_pop(m) OVER near END AS z FROM (
-           SELECT raw_file, f, ping_idx, ln(1e-10 + max(v)) AS m FROM st WHERE r >= 13 GROUP BY ALL) WINDOW near AS (PARTITION BY raw_file, f ORDER BY ping_idx ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)
-         ) USING (raw_file, f, ping_idx))
-       WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW o AS (PARTITION BY raw_file, f ORDER BY ping_idx)) WINDOW isl AS (PARTITION BY raw_file, f, g)) i) GROUP BY ALL"""
+def repaired_sql(source: str, group: str, at: str, keep_tail: bool) -> str:
+    """raw_file, ping_idx, seabed_idx of source(raw_file, ping_idx, f, c, w, ...): islands of w along `at` in each group."""
+    stays = "NOT w OR lo >= n - 2" if keep_tail else "NOT w"
+    return f"""SELECT raw_file, ping_idx, round_even(median(fixed), 0) AS seabed_idx FROM (
+       SELECT i.*, CASE WHEN {stays} THEN c WHEN lo <= 2 THEN coalesce(rt, lf) WHEN hi >= n - 2 THEN lf ELSE (lf + rt) / 2.0::DOUBLE END AS fixed FROM (
+       SELECT *, min({at}) OVER isl AS lo, max({at}) OVER isl AS hi, first_value(lg) OVER (PARTITION BY {group}, f, g ORDER BY {at}) AS lf,
+       first_value(ld) OVER (PARTITION BY {group}, f, g ORDER BY {at} DESC) AS rt FROM (
+       SELECT *, sum(nw) OVER o AS g FROM (SELECT *, (w <> coalesce(lag(w) OVER o, false))::INT AS nw, lag(c) OVER o AS lg, lead(c) OVER o AS ld, count(*) OVER (PARTITION BY {group}, f) AS n FROM (
+       {source})
+       WINDOW o AS (PARTITION BY {group}, f ORDER BY {at})) WINDOW o AS (PARTITION BY {group}, f ORDER BY {at})) WINDOW isl AS (PARTITION BY {group}, f, g)) i) GROUP BY ALL"""
+
+
+#: The line of a file: islands of weak echoes, more than eight deviations below the file's mean.
+LINE = repaired_sql(
+    """SELECT raw_file, f, ping_idx, cand AS c, coalesce(z < -8, false) AND ping_idx >= 2 AS w FROM sb JOIN (
+         SELECT raw_file, f, ping_idx, (m - avg(m) OVER whole) / stddev_pop(m) OVER whole AS z FROM (
+           SELECT raw_file, f, ping_idx, ln(1e-10 + max(v)) AS m FROM st WHERE r >= 13 GROUP BY ALL) WINDOW whole AS (PARTITION BY raw_file, f)
+         ) USING (raw_file, f, ping_idx)""",
+    "raw_file",
+    "ping_idx",
+    True,
+)
+
+
+@query("f3_seabed_line", "raw_file:s ping_idx:i seabed_idx:i", LINE, STENCIL)
+def file_line(v: Survey) -> DataFrame:
+    """Candidates, echo strength, repaired islands and the median over frequencies, file by file."""
+    return seabed.seabed_line(whole_profiles(v))
+
+
+#: The line of a survey: kernels over (ping, range) with differences along pings, jumps off the rolling mean of the line itself.
+SURVEY_STENCIL = f"""st AS (SELECT s.raw_file, s.f, s.ping_idx, s.r, CASE WHEN isnan(v) OR {_SILENT.replace("div", "//")} THEN 0 ELSE round(v * 1e8) END AS v FROM sv s),
+pos AS (SELECT survey, raw_file, ping_idx, row_number() OVER (PARTITION BY survey ORDER BY raw_file, ping_idx) - 1 AS spot FROM ping),
+tri AS (SELECT survey, spot, a.raw_file, a.f, a.ping_idx, a.r, 2 * a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS s,
+  5 * a.v + coalesce(lag(a.v) OVER w, 0) + coalesce(lead(a.v) OVER w, 0) AS k FROM st a JOIN pos USING (raw_file, ping_idx) WINDOW w AS (PARTITION BY survey, f, spot ORDER BY r)),
+sc AS (SELECT *, coalesce(lead(s) OVER w, 0) - coalesce(lag(s) OVER w, 0) AS g1, coalesce(lead(k) OVER w, 0) - 2 * k + coalesce(lag(k) OVER w, 0) AS g2
+  FROM tri WINDOW w AS (PARTITION BY survey, f, r ORDER BY spot)),
+sb AS (SELECT survey, spot, raw_file, f, ping_idx, arg_min(r, (-(CASE WHEN g1 > 0 THEN g2 ELSE 0 END), r)) AS c FROM sc WHERE r >= 13 GROUP BY ALL)"""
+SURVEY_LINE = repaired_sql(
+    """SELECT survey, spot, raw_file, f, ping_idx, c, coalesce(abs(c - avg(c) OVER near) > 0.75 * stddev_pop(c) OVER near, false) AND spot >= 2 AS w
+         FROM sb WINDOW near AS (PARTITION BY survey, f ORDER BY spot ROWS BETWEEN 250 PRECEDING AND 249 FOLLOWING)""",
+    "survey",
+    "spot",
+    False,
+)
 
 
-@query("f4_rolling_seabed_line", "raw_file:s ping_idx:i seabed_idx:i", ROLLING, STENCIL)
-def rolling_line(v: Survey) -> DataFrame:
-    whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
-    return seabed.seabed_line_rolling(whole, 13, 0)
+@query("f4_survey_seabed_line", "raw_file:s ping_idx:i seabed_idx:i", SURVEY_LINE, SURVEY_STENCIL)
+def survey_line(v: Survey) -> DataFrame:
+    return seabed.seabed_line_survey(whole_profiles(v), 13, 0)

@@ -15,14 +15,14 @@ from ..operators import sampling as P
 from ..operators import slices as S
 from ..operators.evaluation import precision_recall
 from ..operators.objects import written
-from ..operators.seabed import seabed_line_rolling
+from ..operators.seabed import seabed_line
 from ..sources import tables as T
 from ..sources.fixtures import FREQ_KHZ, Survey
 from ..streaming.incremental import run_new_files
 from . import jobs
 from .queries import labelled, query
 from .query_aggregates import SCORED, scored
-from .query_functions import ROLLING, STENCIL
+from .query_functions import LINE, STENCIL, whole_profiles
 
 _U = A.keyed_uniform_sql
 _OBJ = "obj AS (SELECT s.*, (p.b - y1)::DOUBLE AS d FROM school s LEFT JOIN ping p ON p.raw_file = s.raw_file AND p.ping_idx = x0 + trunc((x1 - x0) / 2.0)::INT WHERE x0 <= x1 AND category <> -1)"
@@ -58,15 +58,15 @@ def background(v: Survey) -> DataFrame:
     return P.without_labels(P.background_centres(_pings(v), 21, 32), v.school.filter("x0 <= x1 and category <> -1"), 32, 32)
 
 
-@query("h3_h4_seabed", "raw_file:s cy:i cx:i clear:b", f"SELECT raw_file, cy, cx, {_CLEAR} AS clear FROM (SELECT raw_file, b + floor((2 * {_U('e', 31)} - 1) * 16) AS cy, ping_idx AS cx FROM ping WHERE b > 0) c")
+@query("h3_h4_seabed", "raw_file:s cy:i cx:i clear:b", f"SELECT raw_file, cy, cx, {_CLEAR} AS clear FROM (SELECT raw_file, b + floor({_U('e', 31)} * 33) - 16 AS cy, ping_idx AS cx FROM ping WHERE b > 0) c")
 def seabed_sampler(v: Survey) -> DataFrame:
     centres = P.seabed_centres(_pings(v), 31, 32)
     clear = P.without_labels(centres, v.school.filter("x0 <= x1 and category <> -1"), 32, 32).withColumn("c", F.lit(True))
     return centres.join(clear, ["raw_file", "cy", "cx"], "left").withColumn("clear", F.coalesce("c", F.lit(False)))
 
 
-_CENTRE = f"""floor(y0 + {_U("object_id", 41)} * greatest(y1 - y0, 1)) + floor(({_U("object_id", 43)} - 0.5) * 32) AS cy,
-  floor(x0 + {_U("object_id", 42)} * greatest(x1 - x0, 1)) + floor(({_U("object_id", 44)} - 0.5) * 32) AS cx"""
+_CENTRE = f"""floor(y0 + {_U("object_id", 41)} * greatest(y1 - y0, 1)) + floor({_U("object_id", 43)} * 33) - 16 AS cy,
+  floor(x0 + {_U("object_id", 42)} * greatest(x1 - x0, 1)) + floor({_U("object_id", 44)} * 33) - 16 AS cx"""
 
 
 @query("h5_h6_schools", "object_id:i cy:i cx:i near:b", f"SELECT object_id, {_CENTRE}, coalesce(d < 16, false) AS near FROM obj", _OBJ)
@@ -79,7 +79,7 @@ def school_sampler(v: Survey) -> DataFrame:
 @query(
     "h7_windows",
     "object_id:i centre:i",
-    f"""SELECT object_id, floor(least(lo, hi) + u * greatest(hi - lo, 0)) AS centre FROM (SELECT object_id, greatest(y0 - 16 + 5, 16) AS lo, least(y0 + 16 - 5, 48) AS hi, {_U("object_id", 51)} AS u FROM school)""",
+    f"""SELECT object_id, floor(least(lo, hi) + u * greatest(hi - lo, 0)) AS centre FROM (SELECT object_id, greatest(11, y0 - 11) AS lo, least(64 - 11, y0 + 11) AS hi, {_U("object_id", 51)} AS u FROM school)""",
 )
 def windows(v: Survey) -> DataFrame:
     return v.school.select("object_id", P.window_with_point(F.col("y0"), 64, 32, A.keyed_uniform(F.col("object_id"), 51), slack=5).alias("centre"))
@@ -366,12 +366,11 @@ def stored_heave_labels(v: Survey) -> DataFrame:
     return cells.groupBy("raw_file", "label").agg(F.count("*").alias("n"), F.sum((F.col("r") + 1) * (F.col("ping_idx") + 1)).alias("weight"))
 
 
-@query("a18_stored_seabed", "raw_file:s ping_idx:i seabed_idx:i", ROLLING, STENCIL)
+@query("a18_stored_seabed", "raw_file:s ping_idx:i seabed_idx:i", LINE, STENCIL)
 def stored_seabed(v: Survey) -> DataFrame:
     """The seabed line, stored file by file: a first run over a part of the files, a second adds the others."""
-    path = _scratch(v, "seabed")
-    whole = v.sv.withColumn("sv", F.transform("sv", lambda x: F.when(F.isnan(x), x).otherwise(F.rint(x * 1e8))))
+    path, whole = _scratch(v, "seabed"), whole_profiles(v)
     first = whole.join(v.file.filter("n_pings % 3 = 0").select("raw_file"), "raw_file", "left_semi")
     for part in (first, whole):
-        jobs.store_new_files(part, path, lambda r: seabed_line_rolling(r, 13, 0))
+        jobs.store_new_files(part, path, seabed_line)
     return v.spark.read.parquet(path)

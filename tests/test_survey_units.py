@@ -84,23 +84,6 @@ def test_precision_recall_of_ties(spark):
     assert got == [(0.5, 0.6667, 1.0), (0.9, 0.5, 0.5), (None, 1.0, 0.0)]
 
 
-def test_seabed_candidate_is_the_strong_edge(spark):
-    profile = [1.0] * 100
-    profile[60] = 50.0
-    rows = [("f", 18000, i, profile) for i in range(5)]
-    df = spark.createDataFrame(rows, "raw_file string, freq_hz int, ping_idx int, sv array<double>")
-    got = [r.candidate for r in seabed.seabed_candidates(df, 15, 0).orderBy("ping_idx").collect()]
-    want = []
-    x = np.array([profile] * 5)
-    padded = np.vstack([np.zeros(100), x, np.zeros(100)])
-    for i in range(5):
-        flat, peak = padded[i] + padded[i + 1] + padded[i + 2], padded[i] + 5 * padded[i + 1] + padded[i + 2]
-        at = lambda a, k: a[k] if 0 <= k < 100 else 0.0
-        score = [2 * peak[k] - at(peak, k - 1) - at(peak, k + 1) if at(flat, k + 1) - at(flat, k - 1) > 0 else 0.0 for k in range(100)]
-        want.append(15 + int(np.argmax(score[15:])))
-    assert got == want
-
-
 def test_dense_files(spark, tmp_path):
     a = np.arange(12, dtype="<f4").reshape(3, 4)
     for folder, k in (("x", 0), ("y", 100)):
