@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir, so that rounds have no lineage.
+def stored_at(df: DataFrame, format: str = "parquet") -> str:
+    """Writes df to a new folder in the shared folder of spark.checkpoint.dir, and returns the folder.
 
     A temporary folder serves where the setting is missing and Spark runs in one process.
     """
@@ -23,8 +23,13 @@ def written(df: DataFrame) -> DataFrame:
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/objects-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.format(format).save(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, so that rounds have no lineage."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored_at(df))
 
 
 def removed(table: DataFrame) -> None:

@@ -18,6 +18,7 @@ from ..operators.objects import written
 from ..operators.seabed import seabed_line
 from ..sources import tables as T
 from ..sources.fixtures import FREQ_KHZ, Survey
+from ..sources.matrices import ingest, write_matrices
 from ..streaming.incremental import run_new_files
 from . import jobs
 from .queries import labelled, query
@@ -179,6 +180,41 @@ def stacked_survey(v: Survey) -> DataFrame:
     return T.to_survey([short, rows.filter("ping_idx % 2 = 1")]).groupBy("survey").agg(F.max(F.size("sv")).alias("n_bins"), F.count("*").alias("n"))
 
 
+#: Vectors as profiles of three raw files, in matrices of 16 pings, every fourth of which has another size than its manifest row says.
+_PROFILES = """pf AS (SELECT 'd' || k % 3 AS raw_file, k // 3 AS ping_idx, embedding FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, embedding FROM embeddings)),
+pc AS (SELECT *, ping_idx // 16 AS piece, count(*) OVER (PARTITION BY raw_file, ping_idx // 16) AS n FROM pf)"""
+
+
+def _ingested(v: Survey) -> tuple[str, str]:
+    """Matrices written, described with faults, and ingested by a run that has only a part of them and one that has all."""
+    k = F.col("vec_id") - F.lit(v.table("embeddings").agg(F.min("vec_id")).first()[0])
+    sv = v.table("embeddings").select(F.concat(F.lit("d"), k % 3).alias("raw_file"), F.lit(38000).alias("freq_hz"), F.floor(k / 3).alias("ping_idx"), F.col("embedding").alias("sv"))
+    path, target, bad = (_scratch(v, n) for n in ("matrices", "ingested", "quarantine"))
+    manifest = write_matrices(sv, path, 16)
+    fault = F.floor(F.col("first_ping") / 16) % 4 == 3
+    manifest = manifest.withColumn("n_range", F.when(fault, F.col("n_range") + 1).otherwise(F.col("n_range")))
+    ingest(v.spark, path, manifest.filter("first_ping % 32 = 0"), target, bad, 1 << 10)
+    ingest(v.spark, path, manifest, target, bad, 1 << 11)
+    return target, bad
+
+
+@query(
+    "a2_ingested_matrices",
+    "raw_file:s ping_idx:i bins:i total:d",
+    "SELECT raw_file, ping_idx, len(embedding) AS bins, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * embedding[i]::DOUBLE)) AS total FROM pc WHERE piece % 4 <> 3",
+    _PROFILES,
+)
+def ingested_matrices(v: Survey) -> DataFrame:
+    rows = v.spark.read.parquet(_ingested(v)[0])
+    weighted = F.aggregate(F.transform("sv", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("raw_file", "ping_idx", F.size("sv").alias("bins"), weighted.alias("total"))
+
+
+@query("a13_quarantined_matrices", "source:s lo:i reason:s", """SELECT DISTINCT printf('%s/38000/%08d.dat', raw_file, piece) AS source, lo, 'size does not fit' AS reason FROM pc, (SELECT unnest([0, 7, 14]) AS lo) WHERE piece % 4 = 3 AND lo < n""", _PROFILES)
+def quarantined_matrices(v: Survey) -> DataFrame:
+    return v.spark.read.parquet(_ingested(v)[1])
+
+
 _FILES = "fl AS (SELECT o_orderkey AS stem, o_custkey % 13 AS cruise, o_orderkey % 3 <> 0 AS snap, o_orderkey % 5 <> 0 AS work, o_orderkey % 4 <> 0 AS std FROM orders)"
 
 
