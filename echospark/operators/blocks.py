@@ -58,3 +58,32 @@ def nearest_known(rows: DataFrame, keys: Sequence[str], position: str, known: Co
     out = own.join(edges, [*keys, "__block"])
     out = out.withColumns({"before": F.coalesce("before", "__before"), "after": F.coalesce("after", "__after")})
     return out.drop("__block", "__item", "__before", "__after")
+
+
+def running_sums(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], values: dict[str, Column | str]) -> DataFrame:
+    """rows with one column per name in `values`: its sum over the rows of the same `by` up to this one, in `order`.
+
+    The order is total within `by`: rows of equal order stand in one range and share nothing else
+    that is promised. Rows are dealt into ranges of (by, order), each range is summed on its own, and
+    the sums of earlier ranges are carried by one row for each range and `by`; so a group of
+    any size is many tasks. Values must not be null.
+    """
+    from .objects import written
+
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = rows.withColumns({f"__{k}": c if isinstance(c, Column) else F.col(c) for k, c in values.items()})
+    placed = written(placed.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("__range", F.spark_partition_id()))
+    totals = placed.groupBy(*by, "__range").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in values])
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__of"), *[F.coalesce(F.sum(f"__t_{k}").over(ahead), F.lit(0)).alias(f"__c_{k}") for k in values])
+    upto = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({f"__{k}": F.sum(f"__{k}").over(upto) for k in values})
+    same = F.col("__range") == F.col("__of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return summed.join(carried, same).select(*rows.columns, *[(F.col(f"__{k}") + F.col(f"__c_{k}")).alias(k) for k in values])
+
+
+def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """rows with their place (from 0) in the total `order` within `by`, without a window over a whole group."""
+    return running_sums(rows, by, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)

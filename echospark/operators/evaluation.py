@@ -3,31 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import acoustic as A
+from .blocks import running_sums
 
 CLASS_WEIGHTS = (10.0, 300.0, 250.0)
 
 
 def precision_recall(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """scored(by, score, positive) -> by, threshold, precision, recall, f1, thresholds ascending.
+    """scored(by, score, positive) -> by, threshold, precision, recall, f1.
 
-    Stage one counts positives per distinct score; only those counts are ordered. The curve is
-    cut at the first full recall and ends with the point (1, 0), whose threshold is null.
+    Stage one counts positives per distinct score. The counts are summed from the largest score on
+    over ranges of scores, so a curve of any number of points is many tasks. The curve is cut
+    at the first full recall and ends with the point (1, 0), whose threshold is null.
     """
+    if not by:
+        return precision_recall(scored.withColumn("__all", F.lit(0)), ["__all"]).drop("__all")
     keys = list(by)
     counts = scored.groupBy(*keys, "score").agg(F.sum(F.col("positive").cast("bigint")).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")) if keys else Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    curve = counts.withColumn("tp", F.sum("p").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("total", F.sum("p").over(whole))
-    curve = curve.withColumn("precision", F.col("tp") / F.col("seen")).withColumn("recall", F.try_divide(F.col("tp"), F.col("total")))
-    first_full = F.max(F.when(F.col("tp") == F.col("total"), F.col("score"))).over(whole)
-    curve = curve.withColumn("__c", first_full).filter("__c is null or score >= __c")
-    points = curve.select(*keys, F.col("score").alias("threshold"), "precision", "recall")
-    end = (counts.select(*keys).distinct() if keys else counts.limit(1)).select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    summed = running_sums(counts, keys, [F.desc("score")], {"tp": "p", "seen": "n"})
+    # at the first full recall tp has reached its largest value
+    ends = summed.groupBy(*keys).agg(F.max("tp").alias("total"), F.max_by("score", F.struct("tp", "score")).alias("__c"))
+    ends = ends.select(*[F.col(k).alias(f"__by_{k}") for k in keys], "total", "__c")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__by_{k}")) for k in keys])
+    curve = summed.join(ends, same).filter(F.col("total").isNull() | (F.col("score") >= F.col("__c")))
+    points = curve.select(*keys, F.col("score").alias("threshold"), (F.col("tp") / F.col("seen")).alias("precision"), F.try_divide(F.col("tp"), F.col("total")).alias("recall"))
+    end = counts.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end).withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.acoustic import keyed_uniform
+from .blocks import ranked
 
 #: The mixture of samplers and their weights.
 MIXTURE = (("background", 1), ("seabed", 5), ("school_27", 5), ("school_1", 5), ("school_seabed_27", 5), ("school_seabed_1", 5))
@@ -69,6 +70,51 @@ def school_centres(objects: DataFrame, seed: int, height: int, width: int, max_d
     return rows.select("raw_file", "object_id", cy.cast("int").alias("cy"), cx.cast("int").alias("cx"))
 
 
+POOL = ("sampler", "raw_file", "key", "x0", "x1", "y0", "y1", "jitter_x", "jitter_y")
+
+
+def pools(pings: DataFrame, objects: DataFrame, boxes: DataFrame, seed: int, height: int, width: int, categories: Sequence[int] = (27, 1)) -> DataFrame:
+    """The candidates of all samplers of MIXTURE: a cell range (x1, y1 exclusive) and how far a draw may move from it.
+
+    background: clear centres above the seabed, one of each ping. seabed: pings with a seabed. school_c:
+    valid objects(raw_file, object_id, x0 .. y1, category, distance_to_seabed) of the category. school_seabed_c: those
+    nearer than half a window to the seabed. boxes: what a background window must not touch.
+    """
+
+    def rows(df: DataFrame, name: Column | str, key: str, x0, x1, y0, y1, jx: int, jy: int) -> DataFrame:
+        name = F.lit(name) if isinstance(name, str) else name
+        cols = [name, F.col("raw_file"), F.col(key).cast("long"), *(c.cast("int") for c in (x0, x1, y0, y1)), F.lit(jx), F.lit(jy)]
+        return df.select(*[c.alias(n) for c, n in zip(cols, POOL, strict=True)])
+
+    clear = without_labels(background_centres(pings, seed, height), boxes, height, width).join(pings.select("raw_file", F.col("ping_idx").alias("cx"), "key"), ["raw_file", "cx"])
+    x, y = F.col("cx"), F.col("cy")
+    out = rows(clear, "background", "key", x, x + 1, y, y + 1, 0, 0)
+    x, y = F.col("ping_idx"), F.col("seabed_idx")
+    out = out.unionByName(rows(pings.filter("seabed_idx > 0"), "seabed", "key", x, x + 1, y, y + 1, 0, height))
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    found = objects.filter(F.col("valid_object") & F.col("category").isin(list(categories)))
+    kinds = F.array_compact(F.array(F.concat(F.lit("school_"), F.col("category")), F.when(F.col("distance_to_seabed") < height // 2, F.concat(F.lit("school_seabed_"), F.col("category")))))
+    found = found.withColumn("__kind", F.explode(kinds))
+    return out.unionByName(rows(found, F.col("__kind"), "object_id", x0, F.greatest(x1, x0 + 1), y0, F.greatest(y1, y0 + 1), width, height))
+
+
+def drawn_centres(draws: DataFrame, pool: DataFrame, seed: int, mixture: Sequence[tuple[str, int]] = MIXTURE) -> DataFrame:
+    """draws(draw_id) -> draw_id, sampler, raw_file, key, cy, cx: each draw takes a candidate of its sampler, all equally likely.
+
+    Candidates are ranked in the order of raw_file and key over ranges of the pool, and a draw looks its
+    rank up, so the work is one join on (sampler, rank) however large the pool; only the sizes
+    of the pools, one for each sampler, are joined to all draws. All numbers depend on seed and
+    draw_id only. Draws whose sampler has no candidate have nulls.
+    """
+    placed = ranked(pool.select(*POOL), ["sampler"], ["raw_file", "key"])
+    sizes = pool.groupBy("sampler").agg(F.count("*").alias("__n"))
+    u = [keyed_uniform(F.col("draw_id"), seed + i) for i in range(1, 6)]
+    told = mixture_draws(draws, seed, mixture).join(sizes, "sampler", "left").withColumn("rank", F.floor(u[0] * F.col("__n")))
+    cell = lambda lo, hi, a, b, size: F.col(lo) + F.floor(a * (F.col(hi) - F.col(lo))) + F.floor(b * (F.col(size) + 1)) - F.floor(F.col(size) / 2)
+    cx, cy = cell("x0", "x1", u[1], u[2], "jitter_x"), cell("y0", "y1", u[3], u[4], "jitter_y")
+    return told.join(placed, ["sampler", "rank"], "left").select("draw_id", "sampler", "raw_file", "key", cy.cast("int").alias("cy"), cx.cast("int").alias("cx"))
+
+
 def window_with_point(y: Column, n: Column | int, size: int, u: Column, slack: int = 20) -> Column:
     """A window centre that contains y at least `slack` from the window's edge, and reaches beyond n bins by `slack` at most; the middle of small data."""
     n = F.lit(n) if isinstance(n, int) else n

@@ -54,6 +54,34 @@ def _pings(v: Survey) -> DataFrame:
 _CLEAR = "NOT EXISTS (SELECT 1 FROM school s WHERE s.raw_file = c.raw_file AND x0 <= x1 AND category <> -1 AND cx >= x0 - 16 AND cx <= x1 + 16 AND cy >= y0 - 16 AND cy <= y1 + 16)"
 
 
+def _drawn_sql(seed: int, draws: str, size: int) -> str:
+    """drawn: a centre for each draw_id of `draws`, from the pools of all samplers with windows of size x size cells."""
+    u = [_U("draw_id", seed + i) for i in range(6)]
+    h = size // 2
+    kinds = "SELECT 'school_' || category AS sampler, * FROM obj UNION ALL SELECT 'school_seabed_' || category, * FROM obj WHERE d < " + str(h)
+    clear = f"NOT EXISTS (SELECT 1 FROM school s WHERE s.raw_file = c.raw_file AND x0 <= x1 AND category <> -1 AND cx >= x0 - {h} AND cx <= x1 + {h} AND cy >= y0 - {h} AND cy <= y1 + {h})"
+    return f"""{_OBJ}, pool AS (
+  SELECT 'background' AS sampler, raw_file, e AS key, cx AS x0, 1 AS w, cy AS y0, 1 AS h, 0 AS jx, 0 AS jy FROM (SELECT raw_file, e, floor({_U('e', 21)} * (b - {h})) AS cy, ping_idx AS cx FROM ping WHERE b > {h}) c WHERE {clear}
+  UNION ALL SELECT 'seabed', raw_file, e, ping_idx, 1, b, 1, 0, {size} FROM ping
+  UNION ALL SELECT sampler, raw_file, object_id, x0, greatest(x1 - x0, 1), y0, greatest(y1 - y0, 1), {size}, {size} FROM ({kinds}) WHERE category IN (27, 1)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY sampler ORDER BY raw_file, key) - 1 AS rank, count(*) OVER (PARTITION BY sampler) AS n FROM pool),
+told AS (SELECT draw_id, CASE WHEN u < 1 / 26.0 THEN 'background' WHEN u < 6 / 26.0 THEN 'seabed' WHEN u < 11 / 26.0 THEN 'school_27' WHEN u < 16 / 26.0 THEN 'school_1' WHEN u < 21 / 26.0 THEN 'school_seabed_27' ELSE 'school_seabed_1' END AS sampler
+  FROM (SELECT draw_id, {u[0]} AS u FROM {draws})),
+drawn AS (SELECT draw_id, sampler, raw_file, key, y0 + floor({u[4]} * h)::BIGINT + floor({u[5]} * (jy + 1))::BIGINT - jy // 2 AS cy, x0 + floor({u[2]} * w)::BIGINT + floor({u[3]} * (jx + 1))::BIGINT - jx // 2 AS cx
+  FROM told JOIN placed USING (sampler) WHERE rank = floor({u[1]} * n))"""
+
+
+def _draws(v: Survey, seed: int, size: int, draws: DataFrame) -> DataFrame:
+    pool = P.pools(_pings(v), J.objects_with_seabed(v.school, v.seabed), v.school.filter("x0 <= x1 and category <> -1"), 21, size, size)
+    return P.drawn_centres(draws, pool, seed)
+
+
+@query("h1_drawn_centres", "draw_id:i sampler:s raw_file:s key:i cy:i cx:i", "SELECT * FROM drawn", _drawn_sql(11, "(SELECT e AS draw_id FROM ping)", 32))
+def drawn_centres(v: Survey) -> DataFrame:
+    """As many draws as pings, each with a centre from the pool of its sampler."""
+    return _draws(v, 11, 32, v.ping.select(F.col("e").alias("draw_id")))
+
+
 @query("h2_background", "raw_file:s cy:i cx:i", f"SELECT raw_file, cy, cx FROM (SELECT raw_file, floor({_U('e', 21)} * (b - 16)) AS cy, ping_idx AS cx FROM ping WHERE b > 16) c WHERE {_CLEAR}")
 def background(v: Survey) -> DataFrame:
     return P.without_labels(P.background_centres(_pings(v), 21, 32), v.school.filter("x0 <= x1 and category <> -1"), 32, 32)
