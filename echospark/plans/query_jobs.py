@@ -21,6 +21,7 @@ from ..sources.fixtures import FREQ_KHZ, Survey
 from ..sources.matrices import ingest, write_matrices
 from ..streaming.incremental import run_new_files
 from . import jobs
+from .patches import META, Recipe, patch_set, store_patches
 from .queries import labelled, query
 from .query_aggregates import SCORED, scored
 from .query_functions import LINE, STENCIL, whole_profiles
@@ -365,6 +366,98 @@ def patch_data(v: Survey) -> DataFrame:
     return cols.groupBy("patch_id").agg(F.sum(F.size("labels")).alias("cells"), F.sum(F.size(F.filter("labels", lambda y: y == 27))).alias("labelled"))
 
 
+def _patch_sql(size: int, seed: int | None, label: str, result: str, scaled: bool, border: str, meta: bool) -> str:
+    """cell(patch_id, channel, i, val): all channels and labels of the patches pt(patch_id, raw_file, cy, cx), cell i = y * size + x."""
+    h = size // 2
+    cells = size * size
+    u = lambda key, k: _U(key, (seed or 0) + k)
+    on = f"{u('patch_id', 0)} < 0.5" if seed is not None else "false"
+    flip = f"CASE WHEN {u('patch_id', 4)} < 0.5 THEN {size - 1} - x ELSE x END" if seed is not None else "x"
+    key = f"patch_id * {4 * cells} + k * {cells} + y * {size} + x"
+    db = "greatest(least(10 * log10(w + 1e-10), 0), -75)"
+    value = f"1 + {db} / 75" if scaled else db
+    planes = "" if not meta else f"""
+  UNION ALL SELECT patch_id, c, y * {size} + {flip}, val::FLOAT::DOUBLE FROM (SELECT patch_id, x, y, unnest(['portion_year', 'sin_day', 'cos_day', 'time_diff', 'depth_rel', 'depth_abs_surface', 'depth_abs_seabed']) AS c,
+    unnest([yr, sin(2 * pi() * td), cos(2 * pi() * td), diff, (cy - {h} + y) / b::DOUBLE, (cy - {h} + y) / {size}.0::DOUBLE, (b - (cy - {h} + y)) / {size}.0::DOUBLE]) AS val
+    FROM pt JOIN ends USING (raw_file) CROSS JOIN (SELECT unnest(range({size})) AS x) CROSS JOIN (SELECT unnest(range({size})) AS y)
+    JOIN (SELECT raw_file, ping_idx AS mid, (d + 719529) - floor(d + 719529) AS td FROM day) m ON m.raw_file = pt.raw_file AND mid = greatest(0, least(cx, last))
+    JOIN (SELECT raw_file, ping_idx AS col, diff, b FROM day) k ON k.raw_file = pt.raw_file AND col = greatest(0, least(cx - {h} + x, last)))"""
+    return f"""disc AS (SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE dy * dy + dx * dx <= 10),
+day AS (SELECT raw_file, ping_idx, b, d, (CASE WHEN lag(d) OVER w IS NULL THEN lead(d) OVER w - d WHEN lead(d) OVER w IS NULL THEN d - lag(d) OVER w ELSE (lead(d) OVER w - lag(d) OVER w) / 2 END) / 6e-3::DOUBLE - 1 AS diff
+  FROM (SELECT *, epoch_us(ping_time) / 86400e6::DOUBLE AS d FROM ping) WINDOW w AS (PARTITION BY raw_file ORDER BY ping_idx)),
+ends AS (SELECT raw_file, max(ping_idx) AS last, month(min(ping_time)) / 12.0::DOUBLE + day(min(ping_time)) / 366.0::DOUBLE + hour(min(ping_time)) / 366.0::DOUBLE / 24 AS yr FROM ping GROUP BY ALL),
+pc AS (SELECT pt.*, x, y, x + cx - {h} + 1 AS ping_idx, y + cy - {h} + 1 AS r FROM pt, (SELECT unnest(range({size})) AS x), (SELECT unnest(range({size})) AS y)),
+raw AS (SELECT pc.patch_id, x, y, k, kf, CASE WHEN v IS NULL OR isnan(v) THEN 0 ELSE v END AS v FROM pc CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k, unnest([18, 38, 120, 200]) AS kf)
+  LEFT JOIN sv s ON s.raw_file = pc.raw_file AND s.ping_idx = pc.ping_idx AND s.r = pc.r AND f = kf),
+val AS (SELECT patch_id, x, y, k, kf, CASE WHEN NOT {on} THEN v WHEN {u(key, 1)} < 0.025 THEN v * (1 + 9 * {u(key, 2)}) WHEN {u(key, 1)} < 0.05 THEN v * {u(key, 2)} ELSE v END AS w FROM raw),
+pl AS (SELECT pc.patch_id, x, y, pc.r, l.b, w AS v, CASE WHEN l.label IS NULL THEN -100 ELSE {label} END AS y0 FROM pc LEFT JOIN label l USING (raw_file, ping_idx, r) JOIN (SELECT * FROM val WHERE k = 3) USING (patch_id, x, y)),
+box AS (SELECT patch_id, min(x) AS p0, max(x) AS p1, min(y) AS r0, max(y) AS r1 FROM pl WHERE y0 <> -100 GROUP BY ALL),
+seed AS (SELECT patch_id, x, y FROM pl WHERE y0 > 0 AND v > 1e-7::DOUBLE AND v < 4e-6::DOUBLE),
+grown AS (SELECT DISTINCT patch_id, x + dx AS x, y + dy AS y FROM seed JOIN box USING (patch_id), disc WHERE x + dx BETWEEN p0 AND p1 AND y + dy BETWEEN r0 AND r1),
+closed AS (SELECT patch_id, x + dx AS x, y + dy AS y, true AS own FROM grown, disc GROUP BY ALL HAVING count(*) = 37),
+refined AS (SELECT pl.*, CASE WHEN y0 > 0 AND own IS NULL THEN -30 ELSE y0 END AS y1 FROM pl LEFT JOIN closed USING (patch_id, x, y)),
+done AS (SELECT patch_id, x, y, {result} AS class FROM refined),
+cell AS (SELECT patch_id, 'f' || kf * 1000 AS channel, y * {size} + {flip} AS i, CASE WHEN {border} THEN 0 ELSE {value} END::FLOAT::DOUBLE AS val FROM val JOIN done USING (patch_id, x, y)
+  UNION ALL SELECT patch_id, 'labels', y * {size} + {flip}, class FROM done{planes})"""
+
+
+_PATCH_TOTALS = "SELECT patch_id, channel, count(*) AS n, avg(val * (1 + i % 7)) AS total FROM cell GROUP BY ALL"
+_TRAIN = Recipe(tuple(1000 * f for f in FREQ_KHZ), 32, 32, "train", META, True, 90, low=1e-7, high=4e-6, unit=6e-3)
+_TRAIN_SQL = _patch_sql(32, 90, "l.label", "CASE y1 WHEN 0 THEN 0 WHEN 27 THEN 1 WHEN 1 THEN 2 ELSE -100 END", True, "false", True)
+_EVALUATED = Recipe(tuple(1000 * f for f in FREQ_KHZ), 32, 32, "evaluate", overlap=4, low=1e-7, high=4e-6)
+_EVALUATED_SQL = _patch_sql(
+    32,
+    None,
+    "CASE l.label WHEN 0 THEN 0 WHEN 27 THEN 1 WHEN 1 THEN 2 ELSE -10 END",
+    "CASE WHEN y1 <> -100 AND (x < 4 OR x >= 28 OR y < 4 OR y >= 28) THEN -70 WHEN y1 = 0 AND r >= b + 10 THEN -50 ELSE y1 END",
+    False,
+    "class = -100",
+    False,
+)
+
+
+def _stored_patches(v: Survey, patches: DataFrame, recipe: Recipe) -> DataFrame:
+    """patch_id, channel, n, total of patches stored by two runs, of which the first had the surveys up to 2012 only."""
+    path = _scratch(v, "patches")
+    early = patches.join(v.file.filter("survey <= 2012").select("raw_file"), "raw_file", "left_semi")
+    for part in (early, patches):
+        store_patches(part, path, lambda p: patch_set(p, recipe, v.sv, labelled(v), v.seabed, v.ping))
+    rows = v.spark.read.parquet(path)
+    names = F.array(*map(F.lit, recipe.channels()))
+    data = rows.select("patch_id", F.posexplode("data").alias("k", "cells")).select("patch_id", F.get(names, F.col("k")).alias("channel"), "cells")
+    data = data.unionByName(rows.select("patch_id", F.lit("labels").alias("channel"), F.col("labels").cast("array<float>").alias("cells")))
+    cells = data.select("patch_id", "channel", F.posexplode("cells").alias("i", "val"))
+    return cells.groupBy("patch_id", "channel").agg(F.count("*").alias("n"), F.avg(F.col("val").cast("double") * (1 + F.col("i") % 7)).alias("total"))
+
+
+@query(
+    "m6_training_patches",
+    "patch_id:i channel:s n:i total:d",
+    _PATCH_TOTALS,
+    _drawn_sql(11, "(SELECT object_id AS draw_id FROM school)", 32) + ", pt AS (SELECT draw_id AS patch_id, raw_file, cy, cx FROM drawn), " + _TRAIN_SQL,
+)
+def training_patches(v: Survey) -> DataFrame:
+    """As many draws of the sampler mixture as objects, with metadata planes, noise, flips, the training chain and scaled decibels."""
+    # the centres are a table of their own: every part of a patch is joined to them
+    drawn = written(_draws(v, 11, 32, v.school.select(F.col("object_id").alias("draw_id"))).filter("raw_file is not null"))
+    return _stored_patches(v, drawn.select("raw_file", F.col("draw_id").alias("patch_id"), F.col("draw_id").alias("key"), "cy", "cx"), _TRAIN)
+
+
+@query(
+    "m6_evaluation_patches",
+    "patch_id:i channel:s n:i total:d",
+    _PATCH_TOTALS,
+    f"""pt AS (SELECT object_id * 2 AS patch_id, raw_file, y0 AS cy, x0 AS cx FROM school WHERE category <> -1 AND x0 <= x1
+  UNION ALL SELECT e * 2 + 1, raw_file, cy, cx FROM (SELECT e, raw_file, floor({_U('e', 21)} * (b - 16))::BIGINT AS cy, ping_idx AS cx FROM ping WHERE b > 16) c WHERE {_CLEAR}), """ + _EVALUATED_SQL,
+)
+def evaluation_patches(v: Survey) -> DataFrame:
+    """Patches at all valid schools and all clear background centres under the evaluation chain."""
+    schools = v.school.filter("category <> -1 and x0 <= x1").select("raw_file", (F.col("object_id") * 2).alias("patch_id"), F.col("y0").alias("cy"), F.col("x0").alias("cx"))
+    clear = P.without_labels(P.background_centres(_pings(v), 21, 32), v.school.filter("x0 <= x1 and category <> -1"), 32, 32)
+    clear = clear.join(v.ping.select("raw_file", F.col("ping_idx").alias("cx"), "e"), ["raw_file", "cx"]).select("raw_file", (F.col("e") * 2 + 1).alias("patch_id"), "cy", "cx")
+    return _stored_patches(v, written(schools.unionByName(clear).withColumn("key", F.col("patch_id"))), _EVALUATED)
+
+
 @query("m3_m4_trained_cells", "raw_file:s n:i sure:b")
 def trained_cells(v: Survey) -> DataFrame:
     """A class-weighted classifier of cells, fitted on 2007 to 2012 and applied to all files."""
