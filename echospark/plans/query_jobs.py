@@ -22,6 +22,7 @@ from ..sources.matrices import ingest, write_matrices
 from ..streaming.incremental import run_new_files
 from . import jobs
 from .patches import META, Recipe, patch_set, store_patches
+from .prediction import committed, predict_new_files, predicted
 from .queries import labelled, query
 from .query_aggregates import SCORED, scored
 from .query_functions import LINE, STENCIL, whole_profiles
@@ -482,6 +483,40 @@ def incremental_run(v: Survey) -> DataFrame:
     return v.spark.read.parquet(sink).groupBy("survey").agg(F.count("*").alias("n"))
 
 
+_PREDICTION = Recipe(tuple(1000 * f for f in FREQ_KHZ), 32, 32, "evaluate", overlap=4, low=1e-7, high=4e-6)
+#: A model that looks at its neighbour pings, so that tiles, their overlap and the ends of splits matter.
+_PREDICTED = """lim AS (SELECT raw_file, n_pings, ceil(n_pings / 100.0) AS pieces FROM file),
+cut AS (SELECT raw_file, ping_idx, k FROM ping JOIN (SELECT raw_file, k, floor(k * n_pings / pieces) AS lo, floor((k + 1) * n_pings / pieces) AS hi FROM lim, (SELECT unnest(range(1000)) AS k) WHERE k < pieces) s USING (raw_file) WHERE ping_idx >= lo AND ping_idx < hi),
+d AS (SELECT sv.raw_file, k, sv.ping_idx, r, b, f, greatest(least(10 * log10(CASE WHEN isnan(v) THEN 0 ELSE v END + 1e-10), 0), -75)::FLOAT::DOUBLE AS d FROM sv JOIN cut USING (raw_file, ping_idx) WHERE f IN (18, 38)),
+w AS (SELECT *, d + coalesce(lag(d) OVER o, 0) + coalesce(lead(d) OVER o, 0) AS s FROM d WINDOW o AS (PARTITION BY raw_file, k, f, r ORDER BY ping_idx)),
+sc AS (SELECT raw_file, ping_idx, r, any_value(b) AS b, max(s) FILTER (f = 18) / 60 AS s1, max(d) FILTER (f = 38) / 20 AS s2 FROM w GROUP BY ALL),
+pr AS (SELECT sc.raw_file, sc.ping_idx, sc.r, CASE WHEN label = 0 AND sc.r >= sc.b + 10 THEN 0 ELSE exp(s1) / (1 + exp(s1) + exp(s2)) END AS p1, CASE WHEN label = 0 AND sc.r >= sc.b + 10 THEN 0 ELSE exp(s2) / (1 + exp(s1) + exp(s2)) END AS p2 FROM sc JOIN label USING (raw_file, ping_idx, r)),
+half AS (SELECT raw_file, ping_idx, r, CASE WHEN p1 = 0 THEN 0 ELSE round_even(p1 / u1, 0) * u1 END AS h1, CASE WHEN p2 = 0 THEN 0 ELSE round_even(p2 / u2, 0) * u2 END AS h2 FROM (
+  SELECT *, pow(2, greatest(floor(log2(CASE WHEN p1 > 0 THEN p1 END)), -14) - 10) AS u1, pow(2, greatest(floor(log2(CASE WHEN p2 > 0 THEN p2 END)), -14) - 10) AS u2 FROM pr))"""
+
+
+def _neighbour_model(x: np.ndarray) -> np.ndarray:
+    a, wide = x[:, 0].astype(float), np.pad(x[:, 0].astype(float), ((0, 0), (0, 0), (1, 1)))
+    return np.stack([np.zeros_like(a), (a + wide[:, :, :-2] + wide[:, :, 2:]) / 60, x[:, 1].astype(float) / 20], axis=1)
+
+
+@query("m2_s1_prediction_stream", "raw_file:s ping_idx:i n:i sandeel:d other:d", "SELECT raw_file, ping_idx, count(*) AS n, sum(h1) AS sandeel, sum(h2) AS other FROM half GROUP BY ALL", _PREDICTED)
+def prediction_stream(v: Survey) -> DataFrame:
+    """Announced files are predicted by a stream: a first run over some, a run that fails before its commit, and a last one."""
+    source, mark, sink, manifest = (_scratch(v, n) for n in ("announced", "marks", "predicted", "manifest"))
+    files = v.file.select("raw_file", "n_pings", "n_range")
+    work = lambda f: predicted(f, v.sv.drop("ping_time", "e"), labelled(v), v.seabed, v.ping, _PREDICTION, _neighbour_model, 100)
+    run = lambda w: predict_new_files(v.spark, source, "raw_file string, n_pings int, n_range int", mark, sink, manifest, w)
+    files.filter("n_pings % 3 = 0").coalesce(1).write.parquet(source)
+    run(work)
+    # rows of files that are written but never named in the manifest do not count
+    work(files.filter("n_pings % 3 = 1")).withColumn("run", F.lit("lost")).write.mode("append").parquet(sink)
+    files.filter("n_pings % 3 > 0").coalesce(1).write.mode("append").parquet(source)
+    run(work)
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return committed(v.spark, sink, manifest).select("raw_file", "ping_idx", F.size("p_sandeel").alias("n"), total("p_sandeel").alias("sandeel"), total("p_other").alias("other"))
+
+
 @query("a1_opened_survey", "survey:i raw_file:s pings:i freqs:i marked:i", "SELECT p.survey, p.raw_file, count(DISTINCT p.ping_idx) AS pings, 4 AS freqs, count(DISTINCT l.ping_idx) AS marked FROM ping p LEFT JOIN (SELECT DISTINCT raw_file, ping_idx FROM lay) l ON l.raw_file = p.raw_file AND l.ping_idx = p.ping_idx GROUP BY ALL")
 def opened_survey(v: Survey) -> DataFrame:
     """Profiles with their optional annotation and seabed."""
