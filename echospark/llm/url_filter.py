@@ -108,6 +108,11 @@ def index(sites: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return filed.groupBy("rule", "verdict", "pattern", "listed").agg(rarest.alias("token"))
 
 
+def _rank(listed: Column, rule: Column, verdict: Column) -> Column:
+    """The smallest wins: listed rules, then long ones, then the smaller text."""
+    return F.struct((~listed).alias("unlisted"), (-F.length(rule)).alias("size"), rule.alias("rule"), verdict.alias("verdict"))
+
+
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
     """pages(page_id, url) -> page_id, host, path, rule, verdict, matched: one row per page.
 
@@ -125,19 +130,19 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "all
         filed_under = F.from_json(F.lit(json.dumps(by_token, sort_keys=True)), kind)
         fetched = F.flatten(F.transform(_tokens(F.col("site")), lambda t: F.coalesce(F.element_at(filed_under, t), F.array().cast(kind[len("map<string,") : -1]))))
         fits = F.filter(fetched, lambda c: F.rlike(F.col("site"), c["pattern"]))
-        best = F.array_max(F.transform(fits, lambda c: F.struct(c["listed"].alias("listed"), F.length(c["rule"]).alias("size"), c["rule"].alias("rule"), c["verdict"].alias("verdict"))))
+        best = F.array_min(F.transform(fits, lambda c: _rank(c["listed"], c["rule"], c["verdict"])))
         judged = sites.withColumn("best", best)
     else:
         ws = Workspace(pages.sparkSession, "url-filter")
         rows = ws.write(sites.withColumn("row", F.monotonically_increasing_id()), "sites")
         hits = rows.select("row", "site", F.explode(_tokens(F.col("site"))).alias("token")).join(filed, "token").filter(F.rlike("site", F.col("pattern")))
-        best = hits.groupBy("row").agg(F.max(F.struct("listed", F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
+        best = hits.groupBy("row").agg(F.min(_rank(F.col("listed"), F.col("rule"), F.col("verdict"))).alias("best"))
         judged = rows.join(best, "row", "left")
     return judged.select(
         "page_id",
         "host",
         "path",
-        F.when(F.col("best.listed"), F.col("best.rule")).alias("rule"),
+        F.when(~F.col("best.unlisted"), F.col("best.rule")).alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
         F.col("best.rule").alias("matched"),
     )

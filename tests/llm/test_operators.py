@@ -354,7 +354,7 @@ def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("held_out").toPandas()
     hit = got.predicted == got.toxic
-    assert hit.mean() > 0.95 and (got[got.toxic == 0].predicted == 0).mean() > 0.98 and (got[got.toxic == 1].predicted == 1).mean() > 0.75
+    assert hit.mean() > 0.95 and (got[got.toxic == 0].predicted == 0).mean() > 0.98 and (got[got.toxic == 1].predicted == 1).mean() > 0.8
 
 
 def test_label_model_recovers_the_rates_of_voters():
@@ -375,6 +375,26 @@ def test_label_model_recovers_the_rates_of_voters():
     assert ((post > 0.5) == truth).mean() > 0.95
 
 
+def test_votes_of_all_documents_reach_the_label_model(spark, monkeypatch):
+    """Every learning row is counted once, in its pattern; the annotation abstains on rows without a label."""
+    rows = [(i, "you idiot" if i % 7 == 0 else "a calm text about rivers and hills " * 3) for i in range(2000)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    given = labels_of(spark, [(i, 0, int(i % 7 == 0)) for i in range(0, 2000, 4)])
+    seen = {}
+
+    class Spy(toxicity.LabelModel):
+        def __init__(self, patterns, counts, **more):
+            seen.update(patterns=patterns, counts=counts)
+            super().__init__(patterns, counts, **more)
+
+    monkeypatch.setattr(toxicity, "LabelModel", Spy)
+    toxicity.train(docs_, given)
+    learning = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    said = seen["patterns"][:, -1]
+    by_vote = {v: int(seen["counts"][said == v].sum()) for v in (-1, 0, 1)}
+    assert by_vote == {-1: sum(i % 4 > 0 for i in learning), 0: sum(i % 4 == 0 and i % 7 > 0 for i in learning), 1: sum(i % 28 == 0 for i in learning)}
+
+
 def test_toxicity_without_labels_uses_the_stated_words(spark):
     docs = spark.createDataFrame([(1, "you stupid idiot"), (2, "a kind word"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels_of(spark))).collect()}
@@ -411,6 +431,17 @@ def test_language_of_texts_without_letters(spark, docs):
 # ---------------------------------------------------------------- urls
 
 
+def test_url_ties_go_to_the_smaller_text(spark):
+    """Equally long rules that fit one URL, in place and by a join; a listed rule beats a longer pattern."""
+    rules = tuple(url_filter.prefix_rule(v, n) for v, n in (("block", "com/x/"), ("allow", "a.com/"), ("block", "b.com/"), ("allow", "com/b/")))
+    rules += (url_filter.Rule("pattern-com-long-name", "block", "com", ("com",)),)
+    urls = ["http://a.com/x/", "http://b.com/b/", "http://c.com/", "http://b.com/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for inline in (512, 0):
+        got = {r.page_id: (r.rule, r.verdict, r.matched) for r in url_filter.judge(pages, rules, inline=inline).collect()}
+        assert got == {0: ("a.com/", "allow", "a.com/"), 1: ("b.com/", "block", "b.com/"), 2: (None, "block", "pattern-com-long-name"), 3: ("b.com/", "block", "b.com/")}
+
+
 def test_url_rules_both_ways(spark):
     urls = [None, "", "nothing", "http://Example.COM/en/x?q", "https://a.example.com/en/", "https://www.example.com/en/1", "http://x.net/es/2", "http://net/fr/", "http://evilexample.com/en/", "ftp://spam-farm.org/", "http://a.com", "http://m.free-bets.example.org/de/#top", "http://a.b.com?x/en/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(None, urls[3], 1)], "page_id long, url string, rule int")
