@@ -35,59 +35,66 @@ def box_overlap(a: DataFrame, b: DataFrame, key: str, width: int) -> DataFrame:
     return left.join(right, [key, "__b"]).filter(first & hit).drop("__b")
 
 
-def nearest_in_time(queries: DataFrame, pings: DataFrame, key: str = "raw_file") -> DataFrame:
-    """queries(key, query_id, time), pings(key, ping_idx, ping_time) -> query_id, ping_idx, the earlier ping on a tie.
-
-    One window per key over both sides; no pair of a query and a ping is formed but the two neighbours.
-    """
-    none = F.lit(None)
-    both = pings.select(key, F.col("ping_time").alias("t"), F.struct("ping_time", "ping_idx").alias("p"), none.cast("bigint").alias("query_id"), F.lit(0).alias("side")).unionByName(
-        queries.select(key, F.col("time").alias("t"), none.cast(_pair(pings)).alias("p"), F.col("query_id").cast("bigint").alias("query_id"), F.lit(1).alias("side"))
-    )
-    # equal times: the lowest ping index counts as the first
-    forward = Window.partitionBy(key).orderBy("t", "side", F.col("p.ping_idx").desc())
-    backward = Window.partitionBy(key).orderBy(F.col("t").desc(), F.col("side"), F.col("p.ping_idx").desc())
-    seen = both.withColumn("before", F.last("p", True).over(forward)).withColumn("after", F.last("p", True).over(backward)).filter("side = 1")
-    gap = lambda c: F.abs(_micros(F.col(f"{c}.ping_time")) - _micros(F.col("t")))
-    take_after = F.col("before").isNull() | (gap("after") < gap("before"))
-    return seen.select(key, "query_id", F.when(take_after, F.col("after.ping_idx")).otherwise(F.col("before.ping_idx")).alias("ping_idx"))
+#: Seconds of a bucket of as-of joins.
+BUCKET = 3600.0
 
 
 def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
 
 
-def _pair(pings: DataFrame) -> str:
-    kinds = dict(pings.dtypes)
-    return f"struct<ping_time:{kinds['ping_time']},ping_idx:{kinds['ping_idx']}>"
-
+def around_in_time(queries: DataFrame, points: DataFrame, key: str, width: float = BUCKET) -> DataFrame:
+    """queries(key, query_id, time) with `before` and `after`: the nearest points(key, t, tie, value) at or before and at or after the time.
 
-def first_at_or_after(queries: DataFrame, pings: DataFrame, key: str = "raw_file") -> DataFrame:
-    """queries(key, query_id, time) -> the first ping with ping_time >= time, for times within the key's pings."""
+    Of points at one time the smallest tie counts; both sides are structs (t, tie, value), null where there is
+    none. Both sides are dealt into buckets of `width` seconds and ordered there; a bucket's first and last
+    point are carried to the others by one row per bucket. So a key of any length is many tasks,
+    and no pair of a query and a point is formed but the two neighbours.
+    """
+    kind = points.select(F.struct("t", "tie", "value").alias("p")).schema["p"].dataType
+    bucket = lambda c: F.floor(_micros(F.col(c)) / F.lit(width * 1e6)).alias("__b")
     none = F.lit(None)
-    both = pings.select(key, F.col("ping_time").alias("t"), F.struct("ping_time", "ping_idx").alias("p"), none.cast("bigint").alias("query_id"), F.lit(1).alias("side")).unionByName(
-        queries.select(key, F.col("time").alias("t"), none.cast(_pair(pings)).alias("p"), F.col("query_id").cast("bigint").alias("query_id"), F.lit(0).alias("side"))
+    both = points.select(key, bucket("t"), F.col("t").alias("__t"), F.struct("t", "tie", "value").alias("__p"), none.cast("bigint").alias("query_id"), F.lit(0).alias("__side")).unionByName(
+        queries.select(key, bucket("time"), F.col("time").alias("__t"), none.cast(kind).alias("__p"), F.col("query_id").cast("bigint").alias("query_id"), F.lit(1).alias("__side"))
     )
-    ahead = Window.partitionBy(key).orderBy("t", "side", "p.ping_idx").rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy(key)
-    seen = both.withColumn("next", F.first("p", True).over(ahead)).withColumn("start", F.min("p.ping_time").over(whole))
-    return seen.filter("side = 0 and t >= start and next is not null").select(key, "query_id", F.col("next.ping_idx").alias("ping_idx"))
+    # null points of queries are left out by the aggregates
+    edges = both.groupBy(key, "__b").agg(F.min("__p").alias("__first"), F.max_by("__p", F.when(F.col("__p").isNotNull(), F.struct("__p.t", -F.col("__p.tie")))).alias("__last"))
+    up = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(key).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(key, "__b", F.last("__last", True).over(up).alias("__from"), F.last("__first", True).over(down).alias("__to"))
+    inside = Window.partitionBy(key, "__b")
+    forward = inside.orderBy("__t", "__side", F.desc("__p.tie"))
+    backward = inside.orderBy(F.desc("__t"), "__side", F.desc("__p.tie"))
+    seen = both.withColumns({"before": F.last("__p", True).over(forward), "after": F.last("__p", True).over(backward)}).filter("__side = 1")
+    return seen.join(edges, [key, "__b"]).select(key, "query_id", F.col("__t").alias("time"), F.coalesce("before", "__from").alias("before"), F.coalesce("after", "__to").alias("after"))
+
+
+def _points(pings: DataFrame, key: str) -> DataFrame:
+    return pings.select(key, F.col("ping_time").alias("t"), F.col("ping_idx").alias("tie"), F.col("ping_idx").alias("value"))
+
+
+def nearest_in_time(queries: DataFrame, pings: DataFrame, key: str = "raw_file", width: float = BUCKET) -> DataFrame:
+    """queries(key, query_id, time), pings(key, ping_idx, ping_time) -> query_id, ping_idx, the earlier ping on a tie."""
+    seen = around_in_time(queries, _points(pings, key), key, width)
+    gap = lambda c: F.abs(_micros(F.col(f"{c}.t")) - _micros(F.col("time")))
+    take_after = F.col("before").isNull() | (gap("after") < gap("before"))
+    return seen.select(key, "query_id", F.when(take_after, F.col("after.value")).otherwise(F.col("before.value")).alias("ping_idx"))
 
 
-def interpolated_in_time(queries: DataFrame, values: DataFrame, key: str = "raw_file") -> DataFrame:
+def first_at_or_after(queries: DataFrame, pings: DataFrame, key: str = "raw_file", width: float = BUCKET) -> DataFrame:
+    """queries(key, query_id, time) -> the first ping with ping_time >= time, for times within the key's pings."""
+    seen = around_in_time(queries, _points(pings, key), key, width)
+    return seen.filter("before is not null and after is not null").select(key, "query_id", F.col("after.value").alias("ping_idx"))
+
+
+def interpolated_in_time(queries: DataFrame, values: DataFrame, key: str = "raw_file", width: float = BUCKET) -> DataFrame:
     """queries(key, query_id, time), values(key, t, v) -> v linearly interpolated at time; null outside the values."""
-    none = F.lit(None)
-    kind = f"struct<t:{dict(values.dtypes)['t']},v:double>"
-    point = F.struct("t", F.col("v").cast("double").alias("v"))
-    both = values.select(key, F.col("t"), point.alias("p"), none.cast("bigint").alias("query_id")).unionByName(
-        queries.select(key, F.col("time").alias("t"), none.cast(kind).alias("p"), F.col("query_id").cast("bigint").alias("query_id"))
-    )
-    order = Window.partitionBy(key).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("t").rangeBetween(0, Window.unboundedFollowing)
-    seen = both.withColumn("a", F.last("p", True).over(order)).withColumn("b", F.first("p", True).over(ahead)).filter("query_id is not null")
+    points = values.select(key, "t", F.col("v").cast("double").alias("tie"), F.col("v").cast("double").alias("value"))
+    seen = around_in_time(queries, points, key, width)
     at = lambda c: _micros(F.col(c))
-    share = F.try_divide((at("t") - at("a.t")).cast("double"), (at("b.t") - at("a.t")).cast("double"))
-    return seen.select(key, "query_id", F.when(F.col("a.t") == F.col("b.t"), F.col("a.v")).otherwise(F.col("a.v") + share * (F.col("b.v") - F.col("a.v"))).alias("v"))
+    share = F.try_divide((at("time") - at("before.t")).cast("double"), (at("after.t") - at("before.t")).cast("double"))
+    between = F.col("before.value") + share * (F.col("after.value") - F.col("before.value"))
+    return seen.select(key, "query_id", F.when(F.col("before.t") == F.col("after.t"), F.col("before.value")).otherwise(between).alias("v"))
 
 
 def nearest_position(points: DataFrame, pings: DataFrame, cell: float, rings: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.acoustic import BORDER, IGNORE, OVERLAP, SEABED, species_class, species_class_other
@@ -79,13 +79,32 @@ def overlap_masked(label: Column, y: Column, x: Column, height: int, width: int,
     return F.when(edge & (label != IGNORE), OVERLAP).otherwise(label)
 
 
-def region_masked(cells: DataFrame, objects: DataFrame, grow: int = 20, trace: bool = False, outside: int = -1) -> DataFrame:
-    """cells(raw_file, ping_idx, r, label) keep labels inside object boxes grown by `grow` (upper edge exclusive); else `outside`.
+def object_spans(objects: DataFrame, grow: int) -> DataFrame:
+    """raw_file, ping_idx, spans: what the boxes of objects, grown by `grow` (upper edges exclusive), cover of each ping, as disjoint ascending [lo, hi).
 
-    Boxes are exploded to pings, so the join is an equi-join.
+    Boxes that stand on a ping twice or overlap are merged by a sweep over their lower edges, so a ping
+    never gathers more spans than its profile has room for.
     """
-    spans = objects.select("raw_file", F.explode(F.sequence(F.col("x0") - grow, F.col("x1") + grow - 1)).alias("ping_idx"), (F.col("y0") - grow).alias("lo"), (F.col("y1") + grow).alias("hi"))
-    spans = spans.groupBy("raw_file", "ping_idx").agg(F.collect_set(F.struct("lo", "hi")).alias("__s"))
-    joined = cells.join(spans, ["raw_file", "ping_idx"], "left")
-    hit = F.col("__s").isNotNull() if trace else F.exists(F.coalesce("__s", F.array().cast("array<struct<lo:int,hi:int>>")), lambda s: (F.col("r") >= s["lo"]) & (F.col("r") < s["hi"]))
-    return joined.withColumn("label", F.when(hit, F.col("label")).otherwise(outside)).drop("__s")
+    each = objects.select("raw_file", F.explode(F.sequence(F.col("x0") - grow, F.col("x1") + grow - 1)).alias("ping_idx"), (F.col("y0") - grow).alias("lo"), (F.col("y1") + grow).alias("hi"))
+    each = each.filter("lo < hi").groupBy("raw_file", "ping_idx", "lo").agg(F.max("hi").alias("hi"))
+    ping = Window.partitionBy("raw_file", "ping_idx").orderBy("lo")
+    reach = F.max("hi").over(ping.rowsBetween(Window.unboundedPreceding, -1))
+    opened = each.withColumn("__new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(1)))
+    merged = opened.withColumn("__span", F.sum("__new").over(ping)).groupBy("raw_file", "ping_idx", "__span").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.groupBy("raw_file", "ping_idx").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+
+
+def region_masked(cells: DataFrame, objects: DataFrame, grow: int = 20, trace: bool = False, outside: int = -1, compat: bool = False) -> DataFrame:
+    """cells(raw_file, ping_idx, r, label) keep labels inside object boxes grown by `grow` (upper edge exclusive); with trace, at all ranges of their pings.
+
+    Other cells become IGNORE; with compat they become `outside`, which no evaluation ignores, so
+    they count as negatives there. Boxes are exploded to pings, so the join is an equi-join.
+    """
+    code = outside if compat else IGNORE
+    if trace:
+        pings = objects.select("raw_file", F.explode(F.sequence(F.col("x0") - grow, F.col("x1") + grow - 1)).alias("ping_idx")).distinct()
+        joined = cells.join(pings.withColumn("__in", F.lit(True)), ["raw_file", "ping_idx"], "left")
+        return joined.withColumn("label", F.when(F.col("__in").isNotNull(), F.col("label")).otherwise(code)).select(*cells.columns)
+    joined = cells.join(object_spans(objects, grow), ["raw_file", "ping_idx"], "left")
+    hit = F.exists("spans", lambda s: (F.col("r") >= s["lo"]) & (F.col("r") < s["hi"]))
+    return joined.withColumn("label", F.when(hit, F.col("label")).otherwise(code)).select(*cells.columns)

@@ -111,13 +111,24 @@ def tiles(files: DataFrame, seabed: DataFrame, patch: int, overlap: int, margin:
 
 
 def tiles_at_objects(grid: DataFrame, objects: DataFrame, trace: bool = False) -> DataFrame:
-    """Tiles whose centre is nearest to an object's two ping edges, and range edges unless trace; each tile once."""
-    near = lambda axis, edge: F.min_by(axis, F.struct(F.abs(F.col(axis) - F.col(edge)), F.col(axis)))
-    axes_x, axes_y = grid.select("raw_file", "cx").distinct(), grid.select("raw_file", "cy").distinct()
-    keys = ["raw_file", "object_id"]
-    xs = objects.join(axes_x, "raw_file").groupBy(*keys).agg(F.array_distinct(F.array(near("cx", "x0"), near("cx", "x1"))).alias("xs"))
-    ys = objects.join(axes_y, "raw_file").groupBy(*keys).agg((F.collect_set("cy") if trace else F.array_distinct(F.array(near("cy", "y0"), near("cy", "y1")))).alias("ys"))
-    chosen = xs.join(ys, keys).select("raw_file", F.explode("xs").alias("cx"), "ys").select("raw_file", "cx", F.explode("ys").alias("cy")).distinct()
+    """Tiles of grid(tiles) whose centre is nearest to an object's two ping edges, and range edges unless trace; each tile once.
+
+    Centres are evenly spaced, so the nearest one is reckoned from the first, the last and the number of
+    centres of a file (the first of two equally near ones); no object meets a tile.
+    """
+    axes = grid.groupBy("raw_file").agg(*[f(c).alias(f"__{c}_{n}") for c in ("cx", "cy") for f, n in ((F.min, "lo"), (F.max, "hi"), (F.count_distinct, "n"))])
+
+    def nearest(axis: str, edge: str) -> Column:
+        lo, hi, n = (F.col(f"__{axis}_{k}") for k in ("lo", "hi", "n"))
+        step = F.when(n > 1, ((hi - lo) / (n - 1)).cast("int")).otherwise(F.lit(1))
+        k = F.ceil((F.col(edge) - lo) / step - 0.5)
+        return (lo + step * F.greatest(F.lit(0), F.least(n - 1, k))).cast("int")
+
+    ys = F.array(nearest("cy", "y0"), nearest("cy", "y1"))
+    if trace:
+        ys = F.when(F.col("__cy_n") > 1, F.sequence(F.col("__cy_lo"), F.col("__cy_hi"), ((F.col("__cy_hi") - F.col("__cy_lo")) / (F.col("__cy_n") - 1)).cast("int"))).otherwise(F.array("__cy_lo"))
+    near = objects.join(axes, "raw_file").select("raw_file", F.explode(F.array_distinct(F.array(nearest("cx", "x0"), nearest("cx", "x1")))).alias("cx"), ys.alias("ys"))
+    chosen = near.select("raw_file", "cx", F.explode("ys").alias("cy")).distinct()
     return grid.join(chosen, ["raw_file", "cx", "cy"], "left_semi")
 
 

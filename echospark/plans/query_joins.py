@@ -197,7 +197,20 @@ def overlap_masked(v: Survey) -> DataFrame:
 )
 def region_masked(v: Survey) -> DataFrame:
     cells = labelled(v).select("raw_file", "ping_idx", F.posexplode("labels").alias("r", "label"))
-    out = L.region_masked(cells, v.school.filter("x0 <= x1 and category <> -1"), 3)
+    out = L.region_masked(cells, v.school.filter("x0 <= x1 and category <> -1"), 3, compat=True)
+    return out.groupBy("raw_file", F.col("label").alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "g4_trace_masked",
+    "raw_file:s code:i n:i",
+    """SELECT raw_file, CASE WHEN hit THEN label ELSE -100 END AS code, count(*) AS n FROM (SELECT l.*, EXISTS (SELECT 1 FROM school s WHERE s.raw_file = l.raw_file AND x0 <= x1 AND category <> -1
+       AND l.ping_idx >= x0 - 3 AND l.ping_idx < x1 + 3) AS hit FROM label l) GROUP BY ALL""",
+)
+def trace_masked(v: Survey) -> DataFrame:
+    """Whole pings near objects; all other cells are ignored."""
+    cells = labelled(v).select("raw_file", "ping_idx", F.posexplode("labels").alias("r", "label"))
+    out = L.region_masked(cells, v.school.filter("x0 <= x1 and category <> -1"), 3, trace=True)
     return out.groupBy("raw_file", F.col("label").alias("code")).agg(F.count("*").alias("n"))
 
 

@@ -125,6 +125,17 @@ def region_tiles(v: Survey) -> DataFrame:
     return S.tiles_at_objects(grid(v), v.school.filter("x0 <= x1 and category <> -1"))
 
 
+@query(
+    "b12_trace_tiles",
+    "raw_file:s cy:i cx:i",
+    """SELECT DISTINCT raw_file, cy, cx FROM (SELECT raw_file, object_id, unnest(xs) AS cx FROM (SELECT s.raw_file, object_id, [arg_min(cx, (abs(cx - x0), cx)), arg_min(cx, (abs(cx - x1), cx))] AS xs FROM school s JOIN (SELECT DISTINCT raw_file, cx FROM tile) t ON s.raw_file = t.raw_file WHERE x0 <= x1 AND category <> -1 GROUP BY 1, 2)) a
+       JOIN (SELECT DISTINCT raw_file, cy FROM tile) b USING (raw_file)""",
+    _TILES,
+)
+def trace_tiles(v: Survey) -> DataFrame:
+    return S.tiles_at_objects(grid(v), v.school.filter("x0 <= x1 and category <> -1"), trace=True)
+
+
 @query(
     "b14_split_ranges",
     "raw_file:s lo:i hi:i",
