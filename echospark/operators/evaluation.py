@@ -6,7 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import acoustic as A
@@ -63,34 +65,92 @@ def weighted_loss(cells: DataFrame, weights: Sequence[float] = CLASS_WEIGHTS, ig
     return each.agg(F.avg("loss").alias("loss"))
 
 
-def match_boxes(truth: DataFrame, found: DataFrame, width: int, threshold: float = 0.5) -> DataFrame:
-    """found(raw_file, category, det_id, score, bx0..by1) with iou and is_match against truth(raw_file, category, object_id, x0..y1).
+#: Area ranges of objects (inclusive) and the largest number of detections of a file and category that are served.
+AREAS = {"all": (0, 1e10), "small": (0, 32**2), "medium": (32**2, 96**2), "large": (96**2, 1e10)}
+MAX_FOUND = 100
 
-    Boxes have inclusive corners. Detections are served by score, the smaller det_id first among
-    equals: each takes the best truth of at least the threshold that no earlier one has taken
-    (the smaller object_id of equals). Rounds find the same matches: a pair is settled when
-    the truth is the best free one of its detection and the detection the first of all that could
-    take it; settled boxes leave, until no pair is left. Ids are unique over all files.
-    """
+
+def box_pairs(truth: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """raw_file, category, det_id, score, found_area, object_id, truth_area, iou of overlapping boxes of one category, with inclusive corners."""
     from .joins import box_overlap
-    from .objects import removed, written
 
     pairs = box_overlap(truth.select("raw_file", "category", "object_id", "x0", "x1", "y0", "y1"), found.withColumnRenamed("category", "__cat"), "raw_file", width).filter("category = __cat")
     side = lambda a, b, c, d: F.greatest(F.least(b, d) - F.greatest(a, c) + 1, F.lit(0))
     inter = side(F.col("x0"), F.col("x1"), F.col("bx0"), F.col("bx1")) * side(F.col("y0"), F.col("y1"), F.col("by0"), F.col("by1"))
-    area = lambda a, b, c, d: (F.col(b) - F.col(a) + 1) * (F.col(d) - F.col(c) + 1)
-    pairs = pairs.withColumn("iou", inter / (area("x0", "x1", "y0", "y1") + area("bx0", "bx1", "by0", "by1") - inter))
-    pairs = written(pairs.filter(F.col("iou") >= threshold).select("det_id", "score", "object_id", "iou"))
-    won = None
-    while True:
-        best = pairs.groupBy("det_id").agg(F.min_by(F.struct("object_id", "iou"), F.struct(-F.col("iou"), "object_id")).alias("b")).select("det_id", "b.*")
-        first = pairs.groupBy("object_id").agg(F.min_by("det_id", F.struct(-F.col("score"), "det_id")).alias("det_id"))
-        settled = written(best.join(first, ["object_id", "det_id"]).select("det_id", "object_id", "iou"))
-        if settled.isEmpty():
-            break
-        won = settled.select("det_id", "iou") if won is None else won.union(settled.select("det_id", "iou"))
-        rest = written(pairs.join(settled.select("det_id"), "det_id", "left_anti").join(settled.select("object_id"), "object_id", "left_anti"))
-        removed(pairs)
-        pairs = rest
-    won = settled.select("det_id", "iou") if won is None else won
+    return pairs.select("raw_file", "category", "det_id", "score", "object_id", box_area("bx0", "bx1", "by0", "by1").alias("found_area"), box_area("x0", "x1", "y0", "y1").alias("truth_area"), inter.alias("__i")).withColumn(
+        "iou", F.col("__i") / (F.col("found_area") + F.col("truth_area") - F.col("__i"))
+    ).drop("__i")
+
+
+def box_area(x0: str, x1: str, y0: str, y1: str) -> Column:
+    return (F.col(x1) - F.col(x0) + 1) * (F.col(y1) - F.col(y0) + 1)
+
+
+def _serve(areas: dict[str, tuple[float, float]], thresholds: Sequence[float]):
+    """The pairs of one file and category -> area, threshold, det_id, object_id, iou, ignored of the detections that take a truth."""
+
+    def run(table: pa.Table) -> pa.Table:
+        det, truth, iou, score, size = (table.column(c).to_numpy() for c in ("det_id", "object_id", "iou", "score", "truth_area"))
+        order = np.lexsort((truth, det, -score))
+        cuts = np.flatnonzero(np.r_[True, det[order][1:] != det[order][:-1], True])
+        out: dict[str, list] = {c: [] for c in ("area", "threshold", "det_id", "object_id", "iou", "ignored")}
+        for name, (lo, hi) in areas.items():
+            outside = (size < lo) | (size > hi)
+            for t in thresholds:
+                taken: set[int] = set()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    free = [i for i in order[a:b].tolist() if iou[i] >= t and int(truth[i]) not in taken]
+                    if free:
+                        # truths that count go before ignored ones, then the largest overlap, then the smaller id
+                        best = min(free, key=lambda i: (outside[i], -iou[i], truth[i]))
+                        taken.add(int(truth[best]))
+                        for c, v in zip(out, (name, t, int(det[best]), int(truth[best]), float(iou[best]), bool(outside[best])), strict=True):
+                            out[c].append(v)
+        return pa.table({"area": pa.array(out["area"], pa.string()), "threshold": pa.array(out["threshold"], pa.float64()), "det_id": pa.array(out["det_id"], pa.int64()), "object_id": pa.array(out["object_id"], pa.int64()), "iou": pa.array(out["iou"], pa.float64()), "ignored": pa.array(out["ignored"], pa.bool_())})
+
+    return run
+
+
+def served_boxes(pairs: DataFrame, areas: dict[str, tuple[float, float]], thresholds: Sequence[float]) -> DataFrame:
+    """box_pairs -> area, threshold, det_id, object_id, iou, ignored: who takes whom in each area range and at each least overlap.
+
+    Detections are served by score, the smaller det_id first among equals: each takes the best truth
+    that no earlier one has taken. Only boxes of one file and category meet, so these are the
+    groups; each is served in one pass, however long its chains of overlaps.
+    """
+    return pairs.groupBy("raw_file", "category").applyInArrow(_serve(areas, thresholds), "area string, threshold double, det_id long, object_id long, iou double, ignored boolean")
+
+
+def match_boxes(truth: DataFrame, found: DataFrame, width: int, threshold: float = 0.5) -> DataFrame:
+    """found(raw_file, category, det_id, score, bx0..by1) with iou and is_match against truth(raw_file, category, object_id, x0..y1), as served_boxes matches them. Ids are unique over all files."""
+    won = served_boxes(box_pairs(truth, found, width), {"all": (float("-inf"), float("inf"))}, [threshold]).select("det_id", "iou")
     return found.join(won.withColumn("is_match", F.lit(True)), "det_id", "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+
+
+def average_precision(truth: DataFrame, found: DataFrame, width: int, thresholds: Sequence[float] = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), areas: dict[str, tuple[float, float]] = AREAS, most: int = MAX_FOUND) -> DataFrame:
+    """category, area, threshold, n (truths that count), ap: the mean over recalls 0, 0.01, .. 1 of the best precision at that recall or beyond.
+
+    Truths outside an area range are ignored, and with them what takes them; so are detections outside the
+    range that take nothing. Of a file and category the `most` best detections are served. Categories without a
+    truth in the range have no row. Detections of a category are ranked over ranges of scores; the best
+    precision is kept per hundredth of recall first, so the envelope is taken over at most 101
+    rows of a category.
+    """
+    first = Window.partitionBy("raw_file", "category").orderBy(F.desc("score"), "det_id")
+    best = found.withColumn("__k", F.row_number().over(first)).filter(F.col("__k") <= most).drop("__k")
+    levels = F.explode(F.array(*[F.struct(F.lit(n).alias("area"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, (lo, hi) in areas.items()])).alias("a")
+    inside = F.col("size").between(F.col("a.lo"), F.col("a.hi"))
+    counts = truth.select("category", box_area("x0", "x1", "y0", "y1").alias("size"), levels).groupBy("category", F.col("a.area").alias("area")).agg(F.count_if(inside).alias("n")).filter("n > 0")
+    won = served_boxes(box_pairs(truth, best, width), areas, thresholds).select("area", "threshold", "det_id", "ignored")
+    asked = best.select("category", "det_id", "score", box_area("bx0", "bx1", "by0", "by1").alias("size"), levels).select("category", "det_id", "score", F.col("a.area").alias("area"), (~inside).alias("outside"))
+    asked = asked.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    judged = asked.join(won, ["area", "threshold", "det_id"], "left").filter(~F.coalesce("ignored", "outside"))
+    keys = ["category", "area", "threshold"]
+    curve = running_sums(judged.withColumn("hit", F.col("ignored").isNotNull().cast("long")), keys, [F.desc("score"), F.col("det_id")], {"tp": "hit", "seen": F.lit(1)})
+    # recall in whole hundredths, rounded down: the points that reach k / 100 are those of hundredth k and beyond
+    points = curve.join(counts, ["category", "area"]).groupBy(*keys, F.expr("100 * tp div n").alias("k")).agg(F.max(F.col("tp") / F.col("seen")).alias("precision"))
+    envelope = points.groupBy(*keys).agg(F.collect_list(F.struct("k", "precision")).alias("points"))
+    at = lambda k: F.coalesce(F.array_max(F.transform(F.filter("points", lambda p: p["k"] >= k), lambda p: p["precision"])), F.lit(0.0))
+    total = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(100)), at), F.lit(0.0), lambda a, x: a + x)
+    each = counts.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    return each.join(envelope, keys, "left").select(*keys, "n", F.coalesce(total / 101, F.lit(0.0)).alias("ap"))

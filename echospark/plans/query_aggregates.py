@@ -151,6 +151,10 @@ served AS (SELECT raw_file, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGI
 @query("e19_box_matches", "det_id:i iou:d hit:b", "SELECT fd.det_id, s.iou, s.iou IS NOT NULL AS hit FROM fd LEFT JOIN (SELECT det_id, iou FROM served WHERE iou IS NOT NULL) s ON s.det_id = fd.det_id", _IOU, recursive=True)
 def box_matches(v: Survey) -> DataFrame:
     """Two detections of each school, so that equal and second-best truths are asked for."""
+    return E.match_boxes(*_boxes(v), 16, 0.3).withColumnRenamed("is_match", "hit")
+
+
+def _boxes(v: Survey) -> tuple[DataFrame, DataFrame]:
     truth = v.school.filter("x0 <= x1 and category <> -1")
     k = F.col("k")
     found = truth.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
@@ -163,7 +167,35 @@ def box_matches(v: Survey) -> DataFrame:
         (F.col("y1") + 1 - k).alias("by1"),
         ((F.col("object_id") * 7 + k * 3) % 100 / 100.0).alias("score"),
     )
-    return E.match_boxes(truth, found, 16, 0.3).withColumnRenamed("is_match", "hit")
+    return truth, found
+
+
+_AREAS = {"all": (0, 10_000_000), "small": (0, 40), "large": (41, 10_000_000)}
+_AP = (
+    _IOU[: _IOU.index("pr AS (")]
+    + """best AS (SELECT *, (bx1 - bx0 + 1) * (by1 - by0 + 1) AS fa FROM fd QUALIFY row_number() OVER (PARTITION BY raw_file, category ORDER BY score DESC, det_id) <= 100),
+tr AS (SELECT *, (x1 - x0 + 1) * (y1 - y0 + 1) AS ta FROM school WHERE x0 <= x1 AND category <> -1),
+ar AS (SELECT unnest(['all', 'small', 'large']) AS area, unnest([0, 0, 41]) AS lo, unnest([10000000, 40, 10000000]) AS hi), th AS (SELECT unnest([0.5, 0.75])::DOUBLE AS thr),
+ov AS (SELECT d.raw_file, d.category, d.det_id, t.object_id, d.score, fa, ta, greatest(least(t.x1, d.bx1) - greatest(t.x0, d.bx0) + 1, 0) * greatest(least(t.y1, d.by1) - greatest(t.y0, d.by0) + 1, 0) AS i
+  FROM tr t JOIN best d ON t.raw_file = d.raw_file AND t.category = d.category WHERE bx0 <= bx1),
+need AS (SELECT *, i / (fa + ta - i)::DOUBLE AS iou, (ta < lo OR ta > hi) AS ig, dense_rank() OVER (PARTITION BY raw_file, category, area, thr ORDER BY score DESC, det_id) AS turn FROM ov, ar, th WHERE i / (fa + ta - i)::DOUBLE >= thr),
+served AS (SELECT raw_file, category, area, thr, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS det_id, NULL::BOOLEAN AS ig FROM (SELECT DISTINCT raw_file, category, area, thr FROM need)
+  UNION ALL SELECT s.raw_file, s.category, s.area, s.thr, s.turn + 1, CASE WHEN b.object_id IS NULL THEN s.taken ELSE list_append(s.taken, b.object_id) END, b.det_id, b.ig
+  FROM served s JOIN (SELECT raw_file, category, area, thr, max(turn) AS last FROM need GROUP BY ALL) l USING (raw_file, category, area, thr)
+  LEFT JOIN LATERAL (SELECT arg_min(n.object_id, (n.ig::INT, -n.iou, n.object_id)) AS object_id, min(n.det_id) AS det_id, arg_min(n.ig, (n.ig::INT, -n.iou, n.object_id)) AS ig FROM need n
+    WHERE n.raw_file = s.raw_file AND n.category = s.category AND n.area = s.area AND n.thr = s.thr AND n.turn = s.turn + 1 AND NOT list_contains(s.taken, n.object_id)) b ON true WHERE s.turn < l.last),
+cnt AS (SELECT category, area, count(*) AS n FROM tr, ar WHERE ta BETWEEN lo AND hi GROUP BY ALL),
+jd AS (SELECT b.category, area, thr, b.det_id, b.score, (s.det_id IS NOT NULL)::INT AS hit FROM best b CROSS JOIN ar CROSS JOIN th LEFT JOIN (SELECT * FROM served WHERE det_id IS NOT NULL) s USING (det_id, area, thr) WHERE NOT coalesce(s.ig, fa < lo OR fa > hi)),
+cv AS (SELECT category, area, thr, sum(hit) OVER w AS tp, row_number() OVER w AS seen FROM jd WINDOW w AS (PARTITION BY category, area, thr ORDER BY score DESC, det_id)),
+env AS (SELECT c.category, c.area, th.thr, k, max(tp / seen) AS best FROM cnt c CROSS JOIN th CROSS JOIN (SELECT unnest(range(101)) AS k) LEFT JOIN cv ON cv.category = c.category AND cv.area = c.area AND cv.thr = th.thr AND 100 * tp >= k * n GROUP BY ALL)"""
+)
+
+
+@query("e19_average_precision", "category:i area:s threshold:d n:i ap:d", "SELECT category, area, thr AS threshold, n, avg(coalesce(best, 0)) AS ap FROM env JOIN cnt USING (category, area) GROUP BY ALL", _AP, recursive=True)
+def average_precision(v: Survey) -> DataFrame:
+    """Average precision by category, area range and least overlap."""
+    truth, found = _boxes(v)
+    return E.average_precision(truth, found, 16, (0.5, 0.75), _AREAS)
 
 
 _BOUNDS = """tb AS (SELECT raw_file, ping_idx, t - coalesce((t - lag(t) OVER w) / 2, (lead(t) OVER w - t) / 2, 0.5) AS t0, t + coalesce((lead(t) OVER w - t) / 2, (t - lag(t) OVER w) / 2, 0.5) AS t1

@@ -13,7 +13,7 @@ from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import sampling as P
 from ..operators import slices as S
-from ..operators.evaluation import precision_recall
+from ..operators.evaluation import best_f1, precision_recall, valid_cells
 from ..operators.objects import written
 from ..operators.seabed import seabed_line
 from ..sources import tables as T
@@ -483,6 +483,47 @@ def incremental_run(v: Survey) -> DataFrame:
     return v.spark.read.parquet(sink).groupBy("survey").agg(F.count("*").alias("n"))
 
 
+_NEAR = """tile AS (SELECT raw_file, i * 24 - 5 + 16 AS cx, j * 24 - 5 + 16 AS cy FROM (SELECT raw_file, count(*) AS n, least(64, max(b) + 5) AS h FROM ping GROUP BY ALL), (SELECT unnest(range(2000)) AS i), (SELECT unnest(range(10)) AS j) WHERE i * 24 <= n - 1 AND j * 24 <= h - 1),
+good AS (SELECT * FROM school WHERE x0 <= x1 AND category <> -1),
+near AS (SELECT s.raw_file, object_id, [arg_min(cx, (abs(cx - x0), cx)), arg_min(cx, (abs(cx - x1), cx))] AS xs, [arg_min(cy, (abs(cy - y0), cy)), arg_min(cy, (abs(cy - y1), cy))] AS ys FROM good s JOIN tile t ON s.raw_file = t.raw_file GROUP BY 1, 2),
+pt AS (SELECT row_number() OVER () AS patch_id, * FROM (
+  SELECT DISTINCT 'region' AS mode, raw_file, cy, cx FROM (SELECT raw_file, unnest(xs) AS cx, ys FROM near), unnest(ys) AS u(cy)
+  UNION ALL SELECT DISTINCT 'trace', raw_file, cy, cx FROM (SELECT raw_file, unnest(xs) AS cx FROM near) JOIN (SELECT DISTINCT raw_file, cy FROM tile) USING (raw_file))), """
+_AROUND = """,
+marked AS (SELECT mode, pc.raw_file, pc.ping_idx, pc.r, class, CASE mode WHEN 'trace' THEN EXISTS (SELECT 1 FROM good g WHERE g.raw_file = pc.raw_file AND pc.ping_idx >= x0 - 3 AND pc.ping_idx < x1 + 3)
+  ELSE EXISTS (SELECT 1 FROM good g WHERE g.raw_file = pc.raw_file AND pc.ping_idx >= x0 - 3 AND pc.ping_idx < x1 + 3 AND pc.r >= y0 - 3 AND pc.r < y1 + 3) END AS hit FROM pc JOIN done USING (patch_id, x, y)),
+coded AS (SELECT survey, mode, compat, CASE WHEN hit THEN class WHEN compat THEN -1 ELSE -100 END AS y, p FROM marked JOIN pred USING (raw_file, ping_idx, r), (SELECT unnest([false, true]) AS compat)),
+each AS (SELECT survey, mode, compat, CASE WHEN y = -50 OR p = 0 THEN 0 ELSE round_even(p / u, 0) * u END AS score, y = 1 AS positive FROM (SELECT *, pow(2, greatest(floor(log2(CASE WHEN p > 0 THEN p END)), -14) - 10) AS u FROM coded) WHERE y NOT IN (-70, -30, -100, -10)),
+cnt AS (SELECT survey, mode, compat, score, sum(positive::INT) AS p, count(*) AS n FROM each GROUP BY ALL),
+cum AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY survey, mode, compat) AS total FROM cnt WINDOW w AS (PARTITION BY survey, mode, compat ORDER BY score DESC)),
+full_ AS (SELECT survey, mode, compat, max(score) AS cut FROM cum WHERE tp = total GROUP BY ALL),
+pr AS (SELECT survey, mode, compat, score AS threshold, round(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (seen + total) ELSE 0 END, 12) AS f1, seen FROM cum JOIN full_ USING (survey, mode, compat) WHERE score >= cut)"""
+
+
+@query(
+    "m5_region_and_trace_evaluation",
+    "survey:i mode:s compat:b cells:i f1:d threshold:d",
+    "SELECT survey, mode, compat, any_value(cells) AS cells, max(f1) AS f1, arg_min(threshold, (-f1, threshold)) AS threshold FROM pr JOIN (SELECT survey, mode, compat, sum(n) AS cells FROM cnt GROUP BY ALL) USING (survey, mode, compat) GROUP BY ALL",
+    _NEAR + _EVALUATED_SQL + _AROUND,
+)
+def region_and_trace_evaluation(v: Survey) -> DataFrame:
+    """Tiles near objects under the evaluation chain and the region or trace mask; scores in half precision, 0 below the seabed; the best F1 of each survey."""
+    objects, grid, parts = written(v.school.filter("x0 <= x1 and category <> -1")), S.tiles(v.file, v.seabed, 32, 4, margin=5), []
+    for mode in ("region", "trace"):
+        tiles = written(S.tiles_at_objects(grid, objects, mode == "trace"))
+        cells = L.evaluation_chain(jobs.label_cells(tiles, v.sv, labelled(v), v.seabed, 200_000, 32, 32), ["raw_file", "patch_id"], 32, 32, 4, 1e-7, 4e-6)
+        cells = written(cells.select("raw_file", "ping_idx", "r", "label"))
+        for compat in (False, True):
+            parts.append(L.region_masked(cells, objects, 3, mode == "trace", compat=compat).withColumns({"mode": F.lit(mode), "compat": F.lit(compat)}))
+    cells = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    scores = v.pred.select("survey", "raw_file", "ping_idx", F.transform("p_sandeel", A.half_precision).alias("p"))
+    scored_cells = cells.join(scores, ["raw_file", "ping_idx"]).withColumn("score", F.get("p", F.col("r"))).filter("score is not null")
+    by = ["survey", "mode", "compat"]
+    valid = valid_cells(scored_cells.select(*by, "label", "score")).select(*by, "score", (F.col("label") == 1).alias("positive"))
+    curve = precision_recall(valid, by).withColumn("f1", F.round("f1", 12))
+    return best_f1(curve, by).join(valid.groupBy(*by).agg(F.count("*").alias("cells")), by).select(*by, "cells", "f1", "threshold")
+
+
 _PREDICTION = Recipe(tuple(1000 * f for f in FREQ_KHZ), 32, 32, "evaluate", overlap=4, low=1e-7, high=4e-6)
 #: A model that looks at its neighbour pings, so that tiles, their overlap and the ends of splits matter.
 _PREDICTED = """lim AS (SELECT raw_file, n_pings, ceil(n_pings / 100.0) AS pieces FROM file),

@@ -134,3 +134,56 @@ def test_nearest_position_at_any_distance(spark):
     want = {p: min((q for q in pings if q[1] == q[1]), key=lambda q: ((q[1] - y) ** 2 + (q[2] - x) ** 2, q[0]))[0] for p, y, x in points}
     assert got == {**want, 99: None}
     assert [r.ping_id for r in joins.nearest_position(df(points[:1], "point_id"), df(pings[300:], "ping_id"), 0.02).collect()] == [None]
+
+
+def test_average_precision_against_a_serial_version(spark):
+    rng = random.Random(11)
+    truth, found = [], []
+    for i in range(90):
+        f, c, x, y = rng.choice("abc"), rng.choice([1, 27, 27]), rng.randrange(120), rng.randrange(60)
+        w, h = rng.randrange(2, 14), rng.randrange(2, 14)
+        truth.append((f, c, i, x, x + w, y, y + h))
+        for k in range(rng.randrange(3)):
+            found.append((f, rng.choice([c, c, 1]), 3 * i + k, x + rng.randrange(-1, 2), x + w + rng.randrange(3), y, y + h + rng.randrange(-1, 2), rng.randrange(9) / 9))
+    areas, thresholds, most = {"all": (0, 1e10), "small": (0, 60), "large": (61, 1e10)}, (0.5, 0.8), 12
+    got = {
+        (r.category, r.area, r.threshold): (r.n, r.ap)
+        for r in evaluation.average_precision(
+            spark.createDataFrame(truth, "raw_file string, category int, object_id long, x0 int, x1 int, y0 int, y1 int"),
+            spark.createDataFrame(found, "raw_file string, category int, det_id long, bx0 int, bx1 int, by0 int, by1 int, score double"),
+            16,
+            thresholds,
+            areas,
+            most,
+        ).collect()
+    }
+    area = lambda b: (b[1] - b[0] + 1) * (b[3] - b[2] + 1)
+    want = {}
+    for c in (1, 27):
+        for name, (lo, hi) in areas.items():
+            n = sum(t[1] == c and lo <= area(t[3:]) <= hi for t in truth)
+            for limit in thresholds:
+                marks = []
+                for f in "abc":
+                    free = {t[2]: t[3:] for t in truth if t[:2] == (f, c)}
+                    for d in sorted((d for d in found if d[:2] == (f, c)), key=lambda d: (-d[7], d[2]))[:most]:
+                        box, best = d[3:7], None
+                        for o, t in free.items():
+                            w, h = min(box[1], t[1]) - max(box[0], t[0]) + 1, min(box[3], t[3]) - max(box[2], t[2]) + 1
+                            iou = w * h / (area(box) + area(t) - w * h) if w > 0 and h > 0 else 0
+                            rank = (not lo <= area(t) <= hi, -iou, o)
+                            if iou >= limit and (best is None or rank < best):
+                                best = rank
+                        if best:
+                            del free[best[2]]
+                        if not (best[0] if best else not lo <= area(box) <= hi):
+                            marks.append((-d[7], d[2], best is not None))
+                tp, points = 0, []
+                for seen, (_, _, hit) in enumerate(sorted(marks), 1):
+                    tp += hit
+                    points.append((tp, tp / seen))
+                want[c, name, limit] = (n, sum(max((p for t, p in points if 100 * t >= k * n), default=0) for k in range(101)) / 101)
+    assert got.keys() == want.keys()
+    for key, (n, ap) in want.items():
+        assert got[key][0] == n and got[key][1] == pytest.approx(ap)
+    assert 0.1 < want[27, "all", 0.5][1] < 0.99
