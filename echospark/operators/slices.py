@@ -23,6 +23,13 @@ def box_slice(sv: DataFrame, freqs: Sequence[int] | None = None, ping: tuple[int
     return sv if rng is None else sv.withColumn("sv", F.slice("sv", rng[0] + 1, rng[1] - rng[0]))
 
 
+def raw_file_slice(raw_files: Sequence[str], sv: DataFrame, labels: DataFrame, seabed: DataFrame) -> DataFrame:
+    """Profiles of some raw files with labels and seabed_idx of their pings; the files are chosen where each table is read."""
+    own = lambda df: df.filter(F.col("raw_file").isin(list(raw_files)))
+    keys = ["raw_file", "ping_idx"]
+    return own(sv).join(own(labels).select(*keys, "labels"), keys, "left").join(own(seabed).select(*keys, "seabed_idx"), keys, "left")
+
+
 def complete_bins(sv: DataFrame, by: Sequence[str] = ("raw_file",), lo: int = 0) -> DataFrame:
     """by, r: range bins without a NaN in any row of the group; counts per bin are aggregated before the shuffle."""
     cells = sv.select(*by, F.posexplode("sv").alias("r", "v"))
@@ -166,9 +173,9 @@ def rotated(y: Column, x: Column, theta: float) -> tuple[Column, Column]:
     return y * c - x * s, y * s + x * c
 
 
-def mask_coordinates(rows: DataFrame, column: str) -> DataFrame:
-    """raw_file, ping_idx, r of the cells where the mask is positive."""
-    return rows.select("raw_file", "ping_idx", F.posexplode(column).alias("r", "m")).filter("m > 0").drop("m")
+def mask_coordinates(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, raw_file, ping_idx, r of the cells where the mask is positive."""
+    return rows.select(*by, "raw_file", "ping_idx", F.posexplode(column).alias("r", "m")).filter("m > 0").drop("m")
 
 
 def nearest_bin(value: Column, ranges: Sequence[float]) -> Column:

@@ -32,7 +32,7 @@ def label_objects(v: Survey) -> DataFrame:
 @query(
     "e3_e18_e22_summaries",
     "survey:i raw_files:i pings:i cells:i first:s last:s freqs:i",
-    """SELECT survey, count(DISTINCT raw_file) AS raw_files, count(*) AS pings, count(*) * 64 AS cells, strftime(min(ping_time), '%Y-%m-%d') AS first, strftime(max(ping_time), '%Y-%m-%d') AS last, 4 AS freqs FROM ping GROUP BY ALL""",
+    """SELECT survey, count(DISTINCT raw_file) AS raw_files, count(*) AS pings, count(*) * 64 AS cells, strftime(min(ping_time), '%Y-%m-%d') AS first, strftime(max(ping_time), '%Y-%m-%d') AS last, (SELECT count(DISTINCT f) FROM sv WHERE sv.raw_file IN (SELECT raw_file FROM ping q WHERE q.survey = ping.survey)) AS freqs FROM ping GROUP BY survey""",
 )
 def summaries(v: Survey) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")

@@ -49,14 +49,16 @@ def decibels(v: Survey) -> DataFrame:
 
 @query(
     "c4_c5_missing_and_border",
-    "raw_file:s ignored:i total:d",
-    """SELECT raw_file, count(*) FILTER (isnan(v)) AS ignored, sum(CASE WHEN isnan(v) THEN 0 ELSE v END) AS total FROM sv WHERE f = 18 GROUP BY ALL""",
+    "raw_file:s freq_hz:i ignored:i total:d",
+    """SELECT s.raw_file, s.f * 1000 AS freq_hz, count(*) FILTER (isnan(one.v)) AS ignored, sum(CASE WHEN isnan(s.v) OR isnan(one.v) THEN 0 ELSE s.v END) AS total
+       FROM sv s JOIN (SELECT raw_file, ping_idx, r, v FROM sv WHERE f = 18) one USING (raw_file, ping_idx, r) GROUP BY ALL""",
 )
 def missing_and_border(v: Survey) -> DataFrame:
-    rows = v.sv.filter("freq_hz = 18000").join(labelled(v), ["raw_file", "ping_idx"])
-    rows = rows.withColumn("y", A.labels_without_missing("labels", "sv"))
+    """Cells that the first frequency lacks are ignored in all of them, and hold the border value."""
+    first = v.sv.filter("freq_hz = 18000").join(labelled(v), ["raw_file", "ping_idx"]).select("raw_file", "ping_idx", A.labels_without_missing("labels", "sv").alias("y"))
+    rows = v.sv.join(first, ["raw_file", "ping_idx"])
     rows = rows.withColumn("x", A.data_with_border(F.transform("sv", A.without_non_finite), "y"))
-    return rows.groupBy("raw_file").agg(F.sum(F.size(F.filter("y", lambda y: y == A.IGNORE))).alias("ignored"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    return rows.groupBy("raw_file", "freq_hz").agg(F.sum(F.size(F.filter("y", lambda y: y == A.IGNORE))).alias("ignored"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 @query(
@@ -73,15 +75,14 @@ def label_codes(v: Survey) -> DataFrame:
 
 @query(
     "c8_c10_dates",
-    "raw_file:s ping_idx:i datenum:d back:b day_part:d year_part:d step:d",
-    """SELECT raw_file, ping_idx, epoch_us(ping_time) / 86400e6::DOUBLE + 719529 AS datenum, true AS back,
+    "raw_file:s ping_idx:i datenum:d back:i day_part:d year_part:d step:d",
+    """SELECT raw_file, ping_idx, round(epoch_us(ping_time) / 86400e6::DOUBLE + 719529, 4) AS datenum, round_even((epoch_us(ping_time) / 86400e6::DOUBLE + 719529 - 719529) * 86400e6, 0)::BIGINT AS back,
        (epoch_us(ping_time) / 86400e6::DOUBLE + 719529) - floor(epoch_us(ping_time) / 86400e6::DOUBLE + 719529) AS day_part,
        month(ping_time) / 12.0::DOUBLE + day(ping_time) / 366.0::DOUBLE + hour(ping_time) / 366.0::DOUBLE / 24 AS year_part, 1 / (1 + e % 7)::DOUBLE / 86400 AS step FROM ping""",
 )
 def dates(v: Survey) -> DataFrame:
     d = A.datenum(F.col("ping_time"))
-    near = F.abs(F.unix_micros(A.from_datenum(d)) - F.unix_micros(F.col("ping_time").cast("timestamp"))) < 50
-    return v.ping.select("raw_file", "ping_idx", d.alias("datenum"), near.alias("back"), A.portion_of_day(d).alias("day_part"), A.portion_of_year(F.col("ping_time")).alias("year_part"), A.ping_step_days(F.col("e") % 7 + 1).alias("step"))
+    return v.ping.select("raw_file", "ping_idx", F.round(d, 4).alias("datenum"), F.unix_micros(A.from_datenum(d)).alias("back"), A.portion_of_day(d).alias("day_part"), A.portion_of_year(F.col("ping_time")).alias("year_part"), A.ping_step_days(F.col("e") % 7 + 1).alias("step"))
 
 
 @query(

@@ -162,17 +162,23 @@ def object_table(v: Survey) -> DataFrame:
 @query(
     "a6_transect_ranges",
     "raw_file:s start:i stop:i",
-    """SELECT raw_file, 5 AS start, 50 AS stop FROM file WHERE n_pings % 2 = 0 UNION ALL SELECT raw_file, 0, n_pings FROM file WHERE n_pings % 2 <> 0""",
+    """SELECT t.raw_file, min(ping_idx) AS start, max(ping_idx) + 1 AS stop FROM (SELECT raw_file, date_trunc('second', t0) AS t0, date_trunc('second', t1) AS t1 FROM transect JOIN file USING (raw_file) WHERE n_pings % 2 = 0) t
+       JOIN ping p ON p.raw_file = t.raw_file AND ping_time BETWEEN t0 AND t1 GROUP BY t.raw_file, t0
+       UNION ALL SELECT raw_file, 0, n_pings FROM file WHERE n_pings % 2 <> 0""",
 )
 def transect_ranges(v: Survey) -> DataFrame:
-    given = v.file.filter("n_pings % 2 = 0").select("raw_file", F.lit(5).alias("start"), F.lit(50).alias("stop"))
-    return T.valid_ranges(v.file, given)
+    """Transects written as CSV, read back, and turned into ping ranges of their files; files without any are valid as a whole."""
+    path = _scratch(v, "transects")
+    even = v.transect.join(v.file.filter("n_pings % 2 = 0").select("raw_file"), "raw_file")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    even.select("raw_file", text("start_time").alias("StartDateTime"), text("stop_time").alias("StopDateTime")).write.csv(path, header=True)
+    return T.valid_ranges(v.file, T.transect_pings(T.read_transects(v.spark, path), v.ping))
 
 
 @query(
     "a7_external_json",
-    "ping_number:i low:d high:d in_time:b",
-    "SELECT ping_number, min_m AS low, max_m AS high, true AS in_time FROM ext_mask",
+    "ping_number:i low:d high:d us:i",
+    "SELECT ping_number, min_m AS low, max_m AS high, epoch_us(CASE WHEN ping_number % 20 = 3 THEN date_trunc('millisecond', time) ELSE date_trunc('second', time) END) AS us FROM ext_mask",
 )
 def external_json(v: Survey) -> DataFrame:
     """External masks written as JSON with both time formats and read back."""
@@ -182,9 +188,8 @@ def external_json(v: Survey) -> DataFrame:
     item = F.struct(text.alias("time"), F.col("ping_number").alias("pingNumber"), F.array(F.struct(F.col("min_m").alias("min"), F.col("max_m").alias("max"))).alias("depthRanges"))
     per_file = v.ext_mask.groupBy("raw_file").agg(F.to_json(F.collect_list(item)).alias("value")).select("value")
     per_file.write.option("maxRecordsPerFile", 1).text(path)
-    got = T.read_external_mask(v.spark, path).join(v.ext_mask.select(F.col("ping_number").alias("pingNumber"), F.col("time").alias("t")), "pingNumber")
-    near = F.abs(F.unix_micros("time") - F.unix_micros(F.col("t").cast("timestamp"))) < 1_000_000
-    return got.select(F.col("pingNumber").alias("ping_number"), F.col("depthRanges")[0]["min"].alias("low"), F.col("depthRanges")[0]["max"].alias("high"), near.alias("in_time"))
+    got = T.read_external_mask(v.spark, path)
+    return got.select(F.col("pingNumber").alias("ping_number"), F.col("depthRanges")[0]["min"].alias("low"), F.col("depthRanges")[0]["max"].alias("high"), F.unix_micros("time").alias("us"))
 
 
 @query("a8_a9_resumed_predictions", "survey:i n:i total:d", "SELECT survey, count(DISTINCT (raw_file, ping_idx)) AS n, sum(p) AS total FROM pred GROUP BY ALL")
@@ -203,11 +208,23 @@ def compacted(v: Survey) -> DataFrame:
     return v.spark.read.parquet(path).groupBy("raw_file").agg(F.count("*").alias("n"), F.sum(F.aggregate("p_sandeel", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query("a12_stacked_survey", "survey:i n_bins:i n:i", "SELECT survey, 64 AS n_bins, count(*) AS n FROM ping GROUP BY ALL")
+@query(
+    "a12_stacked_survey",
+    "survey:i freq_hz:i n:i n_bins:i missing:i marked:i bottom:i",
+    """SELECT survey, f * 1000 AS freq_hz, count(DISTINCT (raw_file, ping_idx)) AS n, max(r) + 1 AS n_bins, sum((isnan(v) OR short)::INT) AS missing, sum((label > 0 AND NOT short)::INT) AS marked, sum((r >= b)::INT) AS bottom
+       FROM (SELECT s.*, survey, label, s.ping_idx % 2 = 0 AND s.r >= 40 AS short FROM sv s JOIN (SELECT survey, raw_file, ping_idx FROM ping) USING (raw_file, ping_idx) JOIN (SELECT raw_file, ping_idx, r, label FROM label) USING (raw_file, ping_idx, r)) GROUP BY ALL""",
+)
 def stacked_survey(v: Survey) -> DataFrame:
-    rows = v.sv.filter("freq_hz = 38000").select("survey", "raw_file", "ping_idx", "sv")
+    """Files of profiles of two lengths, converted to survey cubes of data, labels and seabed masks, and stored."""
+    path = _scratch(v, "survey-cube")
+    rows = v.sv.select("survey", "raw_file", "ping_idx", "freq_hz", "sv")
     short = rows.filter("ping_idx % 2 = 0").withColumn("sv", F.slice("sv", 1, 40))
-    return T.to_survey([short, rows.filter("ping_idx % 2 = 1")]).groupBy("survey").agg(F.max(F.size("sv")).alias("n_bins"), F.count("*").alias("n"))
+    cube = T.convert_survey([short, rows.filter("ping_idx % 2 = 1")], labelled(v).withColumn("labels", F.when(F.col("ping_idx") % 2 == 0, F.slice("labels", 1, 40)).otherwise(F.col("labels"))), v.seabed)
+    cube.write.partitionBy("survey").parquet(path)
+    count = lambda c, f: F.sum(F.size(F.filter(c, f)))
+    return v.spark.read.parquet(path).groupBy("survey", "freq_hz").agg(
+        F.count("*").alias("n"), F.max(F.size("sv")).alias("n_bins"), count("sv", F.isnan).alias("missing"), count("labels", lambda y: y > 0).alias("marked"), count("bottom", lambda m: m > 0).alias("bottom")
+    )
 
 
 #: Vectors as profiles of three raw files, in matrices of 16 pings, every fourth of which has another size than its manifest row says.
@@ -359,10 +376,10 @@ def tiled_prediction(v: Survey) -> DataFrame:
     return out.groupBy("raw_file").agg(F.count("*").alias("n"), F.sum(F.aggregate("p_sandeel", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query("m6_patch_data", "patch_id:i cells:i labelled:i", "SELECT patch_id, 1024 AS cells, sum((coalesce(label, 0) = 27)::INT) AS labelled FROM pc LEFT JOIN label USING (raw_file, ping_idx, r) GROUP BY ALL", """pt AS (SELECT raw_file, object_id AS patch_id, y0 AS cy, x0 AS cx FROM school WHERE category = 27 AND x0 <= x1),
+@query("m6_patch_data", "patch_id:i cells:i labelled:i", "SELECT patch_id, count(*) AS cells, sum((coalesce(label, 0) = 27)::INT) AS labelled FROM pc LEFT JOIN label USING (raw_file, ping_idx, r) GROUP BY ALL", """pt AS (SELECT raw_file, object_id AS patch_id, y0 AS cy, x0 AS cx FROM school WHERE category <> -1 AND x0 <= x1),
 pc AS (SELECT raw_file, patch_id, x + cx - 16 + 1 AS ping_idx, y + cy - 16 + 1 AS r FROM pt, (SELECT unnest(range(32)) AS x), (SELECT unnest(range(32)) AS y))""")
 def patch_data(v: Survey) -> DataFrame:
-    patches = v.school.filter("category = 27 and x0 <= x1").select("raw_file", F.col("object_id").alias("patch_id"), F.col("y0").alias("cy"), F.col("x0").alias("cx"))
+    patches = v.school.filter("category <> -1 and x0 <= x1").select("raw_file", F.col("object_id").alias("patch_id"), F.col("y0").alias("cy"), F.col("x0").alias("cx"))
     cols = jobs.patch_cells(patches, v.sv, labelled(v), [f * 1000 for f in FREQ_KHZ], 32, 32)
     return cols.groupBy("patch_id").agg(F.sum(F.size("labels")).alias("cells"), F.sum(F.size(F.filter("labels", lambda y: y == 27))).alias("labelled"))
 
@@ -558,7 +575,7 @@ def prediction_stream(v: Survey) -> DataFrame:
     return committed(v.spark, sink, manifest).select("raw_file", "ping_idx", F.size("p_sandeel").alias("n"), total("p_sandeel").alias("sandeel"), total("p_other").alias("other"))
 
 
-@query("a1_opened_survey", "survey:i raw_file:s pings:i freqs:i marked:i", "SELECT p.survey, p.raw_file, count(DISTINCT p.ping_idx) AS pings, 4 AS freqs, count(DISTINCT l.ping_idx) AS marked FROM ping p LEFT JOIN (SELECT DISTINCT raw_file, ping_idx FROM lay) l ON l.raw_file = p.raw_file AND l.ping_idx = p.ping_idx GROUP BY ALL")
+@query("a1_opened_survey", "survey:i raw_file:s pings:i freqs:i marked:i", "SELECT p.survey, p.raw_file, count(DISTINCT p.ping_idx) AS pings, count(DISTINCT f) AS freqs, count(DISTINCT l.ping_idx) AS marked FROM ping p JOIN (SELECT DISTINCT raw_file, ping_idx, f FROM sv) s ON s.raw_file = p.raw_file AND s.ping_idx = p.ping_idx LEFT JOIN (SELECT DISTINCT raw_file, ping_idx FROM lay) l ON l.raw_file = p.raw_file AND l.ping_idx = p.ping_idx GROUP BY ALL")
 def opened_survey(v: Survey) -> DataFrame:
     """Profiles with their optional annotation and seabed."""
     marks = S.mask_coordinates(v.annotation, "mask").select("raw_file", "ping_idx").distinct().withColumn("m", F.lit(1))

@@ -27,9 +27,24 @@ def complete_bins(v: Survey) -> DataFrame:
     return S.complete_bins(v.sv.withColumn("sv", F.transform("sv", lambda x, r: F.when(r % 2 == 0, F.nanvl(x, F.lit(0.0))).otherwise(x))))
 
 
-@query("b2_raw_file_slice", "raw_file:s first_ping:i n_pings:i", "SELECT raw_file, min(ping_idx) AS first_ping, count(*) AS n_pings FROM ping WHERE raw_file IN ('2024-01-03', '2024-01-17') GROUP BY ALL")
+@query(
+    "b2_raw_file_slice",
+    "raw_file:s first_ping:i n_pings:i freqs:i cells:i labelled:i deepest:i",
+    """SELECT raw_file, min(ping_idx) AS first_ping, count(DISTINCT ping_idx) AS n_pings, count(DISTINCT f) AS freqs, count(*) AS cells, sum((label > 0 AND f = 18)::INT) AS labelled, max(b) AS deepest
+       FROM sv JOIN (SELECT raw_file, ping_idx, r, label FROM label) USING (raw_file, ping_idx, r) WHERE raw_file IN ('2024-01-03', '2024-01-17') GROUP BY ALL""",
+)
 def raw_file_slice(v: Survey) -> DataFrame:
-    return v.ping.filter(F.col("raw_file").isin("2024-01-03", "2024-01-17")).groupBy("raw_file").agg(F.min("ping_idx").alias("first_ping"), F.count("*").alias("n_pings"))
+    """Index, data, labels and seabed of two raw files."""
+    got = S.raw_file_slice(["2024-01-03", "2024-01-17"], v.sv, labelled(v), v.seabed)
+    cells = got.groupBy("raw_file").agg(
+        F.min("ping_idx").alias("first_ping"),
+        F.count_distinct("ping_idx").alias("n_pings"),
+        F.count_distinct("freq_hz").alias("freqs"),
+        F.sum(F.size("sv")).alias("cells"),
+        F.sum(F.when(F.col("freq_hz") == 18000, F.size(F.filter("labels", lambda y: y > 0)))).alias("labelled"),
+        F.max("seabed_idx").alias("deepest"),
+    )
+    return cells
 
 
 @query("b3_merged_labels", "raw_file:s label:i n:i", "SELECT raw_file, label, count(*) AS n FROM label GROUP BY ALL")
@@ -45,14 +60,14 @@ def category_layers(v: Survey) -> DataFrame:
 
 @query(
     "b5_padded_profiles",
-    "survey:i raw_file:s n_bins:i missing:i",
-    """SELECT survey, raw_file, count(*) * max(w) AS n_bins, sum(w - n) AS missing FROM (SELECT *, max(n) OVER (PARTITION BY survey) AS w FROM
-       (SELECT survey, raw_file, 50 + e % 11 AS n FROM ping)) GROUP BY ALL""",
+    "survey:i raw_file:s freq_hz:i n_bins:i missing:i",
+    """SELECT survey, raw_file, f * 1000 AS freq_hz, count(*) * max(w) AS n_bins, sum(w - n) AS missing FROM (SELECT *, max(n) OVER (PARTITION BY survey) AS w FROM
+       (SELECT survey, raw_file, f, 50 + (e + f) % 11 AS n FROM ping, freq)) GROUP BY ALL""",
 )
 def padded_profiles(v: Survey) -> DataFrame:
-    rows = v.sv.filter("freq_hz = 18000").withColumn("sv", F.expr("transform(slice(sv, 1, int(50 + e % 11)), x -> nanvl(x, double(0)))"))
+    rows = v.sv.withColumn("sv", F.expr("transform(slice(sv, 1, int(50 + (e + freq_hz div 1000) % 11)), x -> nanvl(x, double(0)))"))
     padded = S.pad_to_survey(rows)
-    return padded.groupBy("survey", "raw_file").agg(F.sum(F.size("sv")).alias("n_bins"), F.sum(F.size(F.filter("sv", lambda x: F.isnan(x)))).alias("missing"))
+    return padded.groupBy("survey", "raw_file", "freq_hz").agg(F.sum(F.size("sv")).alias("n_bins"), F.sum(F.size(F.filter("sv", lambda x: F.isnan(x)))).alias("missing"))
 
 
 @query("b6_b7_seabed_masks", "raw_file:s ping_idx:i line:i below:i", "SELECT raw_file, ping_idx, b AS line, 64 - greatest(b + 4, 10) AS below FROM ping")
@@ -180,9 +195,9 @@ def rotated_grid(v: Survey) -> DataFrame:
     return points(v).select("point_id", y.alias("y"), x.alias("x"))
 
 
-@query("b18_mask_coordinates", "raw_file:s ping_idx:i r:i", "SELECT raw_file, ping_idx, r FROM lay WHERE category = 27")
+@query("b18_mask_coordinates", "category:i raw_file:s ping_idx:i r:i", "SELECT category, raw_file, ping_idx, r FROM lay")
 def mask_coordinates(v: Survey) -> DataFrame:
-    return S.mask_coordinates(v.annotation.filter("category = 27"), "mask")
+    return S.mask_coordinates(v.annotation, "mask", ["category"])
 
 
 @query("b19_d2_nearest_bin", "raw_file:s ping_idx:i bin:i", "SELECT raw_file, ping_idx, least(greatest(ceil((e % 400) / 10.0 / 0.5 - 1 - 0.5), 0), 63) AS bin FROM ping")

@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.slices import pad_to_survey
+from ..operators.joins import point_in_interval
+from ..operators.slices import pad_to_survey, padded
 
 
 def usable_files(files: DataFrame, freqs: Sequence[int], minimum: tuple[int, int], excluded: DataFrame | None = None, years: Sequence[int] | None = None) -> DataFrame:
@@ -55,9 +56,18 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transects(spark: SparkSession, path: str) -> DataFrame:
-    """start_time, stop_time of a transect CSV."""
+    """start_time, stop_time of a transect CSV, and its other columns."""
     raw = spark.read.csv(path, header=True)
-    return raw.select(F.to_timestamp_ntz("StartDateTime").alias("start_time"), F.to_timestamp_ntz("StopDateTime").alias("stop_time"))
+    times = [F.to_timestamp_ntz("StartDateTime").alias("start_time"), F.to_timestamp_ntz("StopDateTime").alias("stop_time")]
+    return raw.select(*[c for c in raw.columns if c not in ("StartDateTime", "StopDateTime")], *times)
+
+
+def transect_pings(transects: DataFrame, pings: DataFrame, width: float = 3600.0) -> DataFrame:
+    """transects(raw_file, start_time, stop_time), pings(raw_file, ping_idx, ping_time) -> raw_file, start, stop: the pings of each transect that has any, stop excluded."""
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    spans = transects.select("raw_file", seconds("start_time").alias("__lo"), seconds("stop_time").alias("__hi"))
+    hit = point_in_interval(pings.select("raw_file", "ping_idx", seconds("ping_time").alias("__t")), spans, "raw_file", "__t", "__lo", "__hi", width)
+    return hit.groupBy("raw_file", "__lo", "__hi").agg(F.min("ping_idx").alias("start"), (F.max("ping_idx") + 1).alias("stop")).select("raw_file", "start", "stop")
 
 
 def valid_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -114,6 +124,17 @@ def to_survey(parts: Sequence[DataFrame]) -> DataFrame:
     return pad_to_survey(out)
 
 
+def convert_survey(parts: Sequence[DataFrame], labels: DataFrame, seabed: DataFrame) -> DataFrame:
+    """Files' profiles(survey, raw_file, ping_idx, freq_hz, sv) as cubes: sv padded with NaN, labels padded with 0, and `bottom`, 1 at and below the seabed, all as long as the survey's longest profile."""
+    cube = to_survey(parts)
+    keys = ["raw_file", "ping_idx"]
+    marks = labels.select(*keys, "labels").join(seabed.select(*keys, "seabed_idx"), keys, "left")
+    n = F.size("sv")
+    wide = cube.join(marks, keys, "left").withColumn("labels", padded(F.slice(F.coalesce("labels", F.array().cast("array<int>")), F.lit(1), n), n, 0))
+    below = F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.coalesce((r >= F.col("seabed_idx")).cast("int"), F.lit(0)))
+    return wide.withColumn("bottom", F.when(n > 0, below).otherwise(F.array().cast("array<int>"))).drop("seabed_idx")
+
+
 def _plain(path: Column) -> Column:
     """A path without scheme and doubled slashes."""
     return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:", ""), "/+", "/")
