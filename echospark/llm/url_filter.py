@@ -102,7 +102,8 @@ def index(sites: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             raise ValueError(f"rule {r.name} has no literal token")
     listed = spark.createDataFrame([(r.name, r.verdict, r.pattern, r.listed, list(r.tokens)) for r in rules], "rule string, verdict string, pattern string, listed boolean, tokens array<string>")
     words = listed.select(F.explode("tokens").alias("token")).distinct()
-    seen = sites.select(F.explode(_tokens(F.col("site"))).alias("token")).join(words, "token").groupBy("token").agg(F.count("*").alias("n"))
+    # counted before they meet the rules, so that a token of most URLs is one row of each task
+    seen = sites.select(F.explode(_tokens(F.col("site"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(words, "token")
     filed = listed.select("*", F.explode("tokens").alias("token")).join(seen, "token", "left")
     rarest = F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token"))
     return filed.groupBy("rule", "verdict", "pattern", "listed").agg(rarest.alias("token"))
