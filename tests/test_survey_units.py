@@ -187,3 +187,21 @@ def test_average_precision_against_a_serial_version(spark):
     for key, (n, ap) in want.items():
         assert got[key][0] == n and got[key][1] == pytest.approx(ap)
     assert 0.1 < want[27, "all", 0.5][1] < 0.99
+
+
+def test_trained_cells_beat_the_class_prior(spark):
+    """Weighted loss of a classifier on cells that it has not seen, against the best constant answer."""
+    from echospark.plans import jobs
+
+    rng = np.random.default_rng(9)
+    y = rng.choice(3, 6000, p=[0.9, 0.06, 0.04])
+    x = rng.normal(0, 1, (6000, 2)) + np.array([[0, 0], [2, 0], [0, 2]])[y]
+    cells = spark.createDataFrame([(int(i % 4), int(c), float(a), float(b)) for i, (c, (a, b)) in enumerate(zip(y, x, strict=True))], "batch int, label int, a double, b double")
+    model = jobs.train_cells(cells.filter("batch < 2"), ["a", "b"], rounds=20)
+    weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    scored = jobs.score_cells(cells.filter("batch >= 2"), ["a", "b"], lambda v: v @ weights.T + bias)
+    loss = evaluation.weighted_loss(scored).first().loss
+    share = np.bincount(y, minlength=3) * np.array(evaluation.CLASS_WEIGHTS)
+    prior = share / share.sum()
+    constant = cells.filter("batch >= 2").withColumns({f"p{k}": F.lit(float(prior[k])) for k in range(3)})
+    assert loss < 0.8 * evaluation.weighted_loss(constant).first().loss
