@@ -7,7 +7,8 @@ a response carries its payload, a revisit names its original and has no body. Re
 back parses the records by Content-Length, takes bytes and digest of a response from its
 payload, and joins revisit records to their originals by digest.
 
-Scale. Headers alone (id, digest, length) decide. A bit set of fixed size marks the digests
+Scale. Headers alone (id, url, digest, length) decide; they are made by one pass over the
+payloads and written. A bit set of fixed size marks the digests
 that occur more than once: pages without such a digest are written where they are read; of
 the others the headers are joined with the originals, and only the payloads of responses
 among them (one of each repeated payload) are shuffled. Headers of a frequent payload
@@ -104,14 +105,13 @@ def _records(heads: DataFrame, date: str, revisit: bool) -> DataFrame:
     return heads.select((head if revisit else F.concat(head, F.col("payload"))).alias("record"))
 
 
-def records(ws: Workspace, pages: DataFrame, date: str, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One WARC record per page, without its end: record."""
+def records(ws: Workspace, pages: DataFrame, bare: DataFrame, date: str, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """One WARC record per page, without its end: record. bare: the headers of pages without their payloads, a written table."""
     heads = headers(pages.select("page_id", "url", "html"))
-    repeated = ws.write(originals(heads, min_bytes), "originals")
+    repeated = ws.write(originals(bare, min_bytes), "originals")
     bits = bit_set(repeated.select(slot_of("payload_digest").alias("slot")))
     may, single = by_bit_set(heads, "payload_digest", bits)
-    bare = by_bit_set(heads.drop("payload"), "payload_digest", bits)[0]
-    told = ws.write(bare.join(repeated, "payload_digest", "left"), "decisions")
+    told = ws.write(by_bit_set(bare, "payload_digest", bits)[0].join(repeated, "payload_digest", "left"), "decisions")
     again = F.col("original").isNotNull() & (F.coalesce("page_id", F.lit(_NO_ID)) != F.col("original"))
     key = lambda df: df.withColumn("key", F.struct(F.coalesce("page_id", F.lit(_NO_ID)).alias("page"), F.col("page_id").isNull().alias("none"), "payload_digest"))
     first = key(told.filter(~again)).select("key").distinct()
@@ -123,9 +123,10 @@ def records(ws: Workspace, pages: DataFrame, date: str, min_bytes: int = MIN_BYT
 def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_bytes: int = MIN_BYTES, max_records: int = MAX_RECORDS) -> None:
     """Writes pages as deduplicated WARC archives, several files, into the folder `path`."""
     ws = Workspace(pages.sparkSession, "warc")
-    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    bare = ws.write(headers(pages.select("page_id", "url", "html")).drop("payload"), "headers")
+    mean = bare.agg(F.avg("payload_bytes")).first()[0] or 0
     each = max(1, min(max_records, int(FILE_BYTES / (mean + 512))))
-    out = records(ws, pages, date, min_bytes)
+    out = records(ws, pages, bare, date, min_bytes)
     out.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
