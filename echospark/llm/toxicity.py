@@ -48,6 +48,8 @@ MIN_ODDS = 2.0
 #: How often the annotation is expected to mark a clean and a toxic text, and what share of the rows this belief weighs.
 EXPECTED, PRIOR_SHARE = (0.02, 0.95), 0.05
 PREFIXES = (4, 5, 6)
+#: Texts that a task works on at a time; each word has several features, so few texts bound the memory of a Python worker.
+ROWS = 128
 #: Voters made of induced lexicons; each holds the features of one hash class.
 INDUCED = 6
 
@@ -109,7 +111,7 @@ def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, toxic -> feature, toxic and other texts of this batch with it."""
-    for batch in slices(batches):
+    for batch in slices(batches, ROWS):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
         doc, feature = _distinct(*features(*K.buffers(batch.column("text"))))
         names, back = np.unique(feature, return_inverse=True)
@@ -259,7 +261,7 @@ def _tally(seen: DataFrame, docs: DataFrame, names: np.ndarray) -> tuple[np.ndar
     """Vote patterns and their counts: of the labelled rows seen(votes), and of all other texts of docs, for which the annotation abstains."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             own, n = np.unique(votes(*K.buffers(batch.column("text")), names), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in own], pa.binary()), pa.array(n)], ["votes", "n"])
 
@@ -290,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = TRAIN_CAP, folds: int =
         return Model(stated, np.full(len(stated), 3.0), -2.0)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             at, raw = K.buffers(batch.column("text"))
             seen = np.column_stack([votes(at, raw, names), np.sign(batch.column("toxic").to_numpy())]).astype(np.int8)
             doc, feature = features(at, raw)
@@ -318,7 +320,7 @@ def score(docs: DataFrame, model: Model, folds: int = FOLDS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, score, predicted of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             s = model.score(*K.buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -332,7 +334,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             yield batch.filter(pa.array(model.score(*K.buffers(batch.column(names.index("text")))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
