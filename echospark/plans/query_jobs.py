@@ -164,15 +164,16 @@ def object_table(v: Survey) -> DataFrame:
     "raw_file:s start:i stop:i",
     """SELECT t.raw_file, min(ping_idx) AS start, max(ping_idx) + 1 AS stop FROM (SELECT raw_file, date_trunc('second', t0) AS t0, date_trunc('second', t1) AS t1 FROM transect JOIN file USING (raw_file) WHERE n_pings % 2 = 0) t
        JOIN ping p ON p.raw_file = t.raw_file AND ping_time BETWEEN t0 AND t1 GROUP BY t.raw_file, t0
-       UNION ALL SELECT raw_file, 0, n_pings FROM file WHERE n_pings % 2 <> 0""",
+       UNION ALL SELECT raw_file, 0, n_pings FROM file WHERE n_pings % 2 <> 0 OR raw_file NOT IN (SELECT raw_file FROM transect)""",
 )
 def transect_ranges(v: Survey) -> DataFrame:
-    """Transects written as CSV, read back, and turned into ping ranges of their files; files without any are valid as a whole."""
+    """Transects written as CSV, read back, and turned into ping ranges of their files; files without transects are valid as a whole."""
     path = _scratch(v, "transects")
     even = v.transect.join(v.file.filter("n_pings % 2 = 0").select("raw_file"), "raw_file")
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     even.select("raw_file", text("start_time").alias("StartDateTime"), text("stop_time").alias("StopDateTime")).write.csv(path, header=True)
-    return T.valid_ranges(v.file, T.transect_pings(T.read_transects(v.spark, path), v.ping))
+    transects = T.read_transects(v.spark, path)
+    return T.valid_ranges(v.file, T.transect_pings(transects, v.ping), transects)
 
 
 @query(

@@ -70,9 +70,12 @@ def transect_pings(transects: DataFrame, pings: DataFrame, width: float = 3600.0
     return hit.groupBy("raw_file", "__lo", "__hi").agg(F.min("ping_idx").alias("start"), (F.max("ping_idx") + 1).alias("stop")).select("raw_file", "start", "stop")
 
 
-def valid_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """raw_file, start, stop: the given ping ranges, and the whole file where there are none."""
-    rest = files.join(ranges, "raw_file", "left_anti").select("raw_file", F.lit(0).alias("start"), F.col("n_pings").alias("stop"))
+def valid_ranges(files: DataFrame, ranges: DataFrame, described: DataFrame | None = None) -> DataFrame:
+    """raw_file, start, stop: the given ping ranges, and the whole file where there are none.
+
+    described: files whose transects are known; of these only the ranges count, even if there are none.
+    """
+    rest = files.join(ranges if described is None else described, "raw_file", "left_anti").select("raw_file", F.lit(0).alias("start"), F.col("n_pings").alias("stop"))
     return ranges.select("raw_file", "start", "stop").unionByName(rest)
 
 
