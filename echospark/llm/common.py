@@ -137,8 +137,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             hi = max(lo + 1, min(lo + rows, full))
             yield batch.slice(lo, hi - lo)
             lo = hi
-    # workers are kept for later tasks; what this one no longer needs goes back
-    pa.default_memory_pool().release_unused()
+        # workers are kept for later tasks; what this batch no longer needs goes back
+        pa.default_memory_pool().release_unused()
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, slices, table
 
 MAX_LEN = 2048
 END_ID = 1
 #: Runs of bytes of one kind beyond this length go to the reference tokenizer alone.
 LONG_RUN = 20_000
+#: Texts whose pieces are held at a time.
+ROWS = 128
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +80,7 @@ def _pieces(vocabulary: str, ranks: str, max_len: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             owner, start, length, crc, total, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 raw = np.asarray([*encode(text.as_py() or "", vocabulary, ranks), END_ID], dtype="<u4")
