@@ -178,5 +178,55 @@ def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op12_simhash_near_dedup": op12_simhash_near_dedup}
 
-#: DuckDB has no seeded XXH64; tests hold the query against a brute-force version instead.
-ORACLE: dict[str, str] = {}
+
+#: The five primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_WORD = 1 << 64
+
+
+def _xxh64_sql(source: str, column: str, seed: int) -> str:
+    """Expressions for DuckDB that end in xx(column, h): XXH64 of the distinct texts of a source, in arithmetic of 128 bits modulo 2**64."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    mul = lambda a, b: f"(({a})::UHUGEINT * ({b})::UHUGEINT % {_WORD}::UHUGEINT)::UBIGINT"
+    add = lambda *x: "((" + " + ".join(f"({v})::UHUGEINT" for v in x) + f") % {_WORD}::UHUGEINT)::UBIGINT"
+    turn = lambda x, r: f"((({x})::UHUGEINT * {1 << r}::UHUGEINT % {_WORD}::UHUGEINT)::UBIGINT | (({x}) >> {64 - r}))"
+    lane = lambda acc, v: mul(turn(add(acc, mul(v, p2)), 31), p1)
+    # little-endian numbers out of the hexadecimal digits of the bytes
+    number = lambda at, size: "('0x' || " + " || ".join(f"substr(hx, 2 * ({at} + {k}) + 1, 2)" for k in range(size - 1, -1, -1)) + ")::UBIGINT"
+    each = lambda count, value, step, start: f"list_reduce(list_transform(range({count}), lambda j: {value}), lambda a, x: {step}, {start})"
+    starts = [(seed + p1 + p2) % _WORD, (seed + p2) % _WORD, seed, (seed - p1) % _WORD]
+    lanes = ", ".join(each("n // 32", number(f"32 * j + {8 * i}", 8), lane("a", "x"), f"{start}::UBIGINT") + f" AS v{i}" for i, start in enumerate(starts))
+    eight = add(mul(turn(f"xor(a, {lane('0', 'x')})", 27), p1), p4)
+    four = add(mul(turn(f"xor(h2, {mul(number('n // 8 * 8', 4), p1)})", 23), p2), p3)
+    return f"""hx AS (SELECT DISTINCT {column}, hex(encode({column})) AS hx, octet_length(encode({column})) AS n FROM {source}),
+lanes AS (SELECT *, {lanes} FROM hx),
+m0 AS (SELECT *, CASE WHEN n >= 32 THEN {add(turn("v0", 1), turn("v1", 7), turn("v2", 12), turn("v3", 18))} ELSE {(seed + p5) % _WORD}::UBIGINT END AS h0 FROM lanes),
+m1 AS (SELECT {column}, hx, n, CASE WHEN n >= 32 THEN list_reduce([v0, v1, v2, v3], lambda a, x: {add(mul(f"xor(a, {lane('0', 'x')})", p1), p4)}, h0) ELSE h0 END AS h1 FROM m0),
+m2 AS (SELECT *, {each("n % 32 // 8", number("n // 32 * 32 + 8 * j", 8), eight, add("h1", "n"))} AS h2 FROM m1),
+m3 AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {four} ELSE h2 END AS h3 FROM m2),
+m4 AS (SELECT *, {each("n % 4", number("n // 4 * 4 + j", 1), mul(turn(f"xor(a, {mul('x', p5)})", 11), p1), "h3")} AS h4 FROM m3),
+m5 AS (SELECT *, {mul("xor(h4, h4 >> 33)", p2)} AS h5 FROM m4),
+m6 AS (SELECT *, {mul("xor(h5, h5 >> 29)", p3)} AS h6 FROM m5),
+xx AS MATERIALIZED (SELECT {column}, xor(h6, h6 >> 32) AS h FROM m6)"""
+
+
+_BITS = " + ".join(f"CASE WHEN 2 * sum((h >> {b}) & 1) > count(*) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
+
+#: All pairs of distinct fingerprints, then the components' least ids by label passing.
+ORACLE = {
+    "op12_simhash_near_dedup": rf"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws
+  FROM documents),
+s AS MATERIALIZED (SELECT row, array_to_string(ws[i:least(i + 2, len(ws))], ' ') AS sh FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) AS t(i) WHERE len(ws) > 0),
+{_xxh64_sql("s", "sh", SEED)},
+f AS MATERIALIZED (SELECT row, ({_BITS})::UBIGINT AS fp FROM s JOIN xx USING (sh) GROUP BY row),
+d AS MATERIALIZED (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM w LEFT JOIN f USING (row)),
+c AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM d GROUP BY fp),
+arcs AS MATERIALIZED (SELECT x.fp AS a, y.fp AS b FROM c x JOIN c y ON x.fp <> y.fp AND bit_count(xor(x.fp, y.fp)) <= {DISTANCE}),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM arcs UNION SELECT r.node, arcs.b FROM reach r JOIN arcs ON r.seen = arcs.a),
+comp AS (SELECT node, min(least) AS component_id FROM reach JOIN c ON c.fp = reach.seen GROUP BY node)
+SELECT doc_id, lpad(lower(hex(d.fp)), 16, '0') AS fingerprint, coalesce(component_id, least) AS component_id
+FROM d JOIN c USING (fp) LEFT JOIN comp ON comp.node = d.fp
+"""
+}
