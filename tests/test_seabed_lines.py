@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from echospark.functions import acoustic as A
 from echospark.operators import blocks, sampling, seabed
 
+#: The kernels of slope and curvature.
 SLOPE = np.array([[1, 2, 1], [0, 0, 0], [-1, -2, -1]])
 BEND = np.array([[1, 5, 1], [-2, -10, -2], [1, 5, 1]])
 
