@@ -187,21 +187,27 @@ def align_channels(sv: DataFrame, main_hz: int) -> DataFrame:
     return frame.join(got, ["raw_file", "k", "freq_hz"], "left").select("raw_file", "k", "freq_hz", F.coalesce("sv", F.array_repeat(F.lit(float("nan")), F.col("n"))).alias("sv"))
 
 
-def cells_in_polygons(polygons: DataFrame, cells: DataFrame) -> DataFrame:
+def cells_in_polygons(polygons: DataFrame, cells: DataFrame, n_range: int | None = None) -> DataFrame:
     """polygons(raw_file, polygon_id, category, xs, ys), cells(raw_file, ping_idx, r) -> cells inside or on an edge.
 
     Edges are exploded to the pings that they cross and equi-joined; a cell is inside by the
-    parity of crossings above it. A later polygon (larger id) wins.
+    parity of crossings above it. A later polygon (larger id) wins. With n_range, cells are pings
+    (raw_file, ping_idx) of that many bins; they meet the edges first and get the bins of a polygon's
+    depth after that. Neither side is broadcast: what an explosion makes of a small table is not small.
     """
     n = F.size("xs")
     edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("xs", i).alias("xa"), F.get("ys", i).alias("ya"), F.get("xs", (i + 1) % n).alias("xb"), F.get("ys", (i + 1) % n).alias("yb")))
-    edges = polygons.filter(n > 2).select("raw_file", "polygon_id", "category", F.explode(edge).alias("g")).select("raw_file", "polygon_id", "category", "g.*")
+    edges = polygons.filter(n > 2).select("raw_file", "polygon_id", "category", F.array_min("ys").alias("top"), F.array_max("ys").alias("low"), F.explode(edge).alias("g")).select("raw_file", "polygon_id", "category", "top", "low", "g.*")
     edges = edges.withColumn("ping_idx", F.explode(F.sequence(F.ceil(F.least("xa", "xb")).cast("int"), F.floor(F.greatest("xa", "xb")).cast("int"))))
+    met = cells.join(edges.hint("merge"), ["raw_file", "ping_idx"])
+    if n_range is not None:
+        first, last = F.greatest(F.floor("top").cast("int") - 1, F.lit(0)), F.least(F.ceil("low").cast("int") + 1, F.lit(n_range - 1))
+        met = met.filter(first <= last).withColumn("r", F.explode(F.sequence(first, last)))
     x, y = F.col("ping_idx"), F.col("r")
     at = F.col("ya") + F.try_divide((x - F.col("xa")) * (F.col("yb") - F.col("ya")), F.col("xb") - F.col("xa"))
     crosses = (((F.col("xa") > x) != (F.col("xb") > x)) & (y < at)).cast("int")
     on_line = F.when(F.col("xa") == F.col("xb"), (y >= F.least("ya", "yb")) & (y <= F.greatest("ya", "yb"))).otherwise(F.abs(y - at) < 1e-9)
-    hit = cells.join(edges, ["raw_file", "ping_idx"]).groupBy("raw_file", "ping_idx", "r", "polygon_id", "category").agg((F.sum(crosses) % 2).alias("odd"), F.max(on_line.cast("int")).alias("edge"))
+    hit = met.groupBy("raw_file", "ping_idx", "r", "polygon_id", "category").agg((F.sum(crosses) % 2).alias("odd"), F.max(on_line.cast("int")).alias("edge"))
     return hit.filter("odd = 1 or edge = 1").groupBy("raw_file", "ping_idx", "r").agg(F.max_by("category", "polygon_id").alias("category"))
 
 
