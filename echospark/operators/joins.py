@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .objects import written
+
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, key: str, value: str, lo: str, hi: str, width: float, closed: bool = True) -> DataFrame:
     """Pairs of points and intervals of one key with lo <= value <= hi (or < hi); each pair once."""
@@ -97,24 +99,45 @@ def interpolated_in_time(queries: DataFrame, values: DataFrame, key: str = "raw_
     return seen.select(key, "query_id", F.when(F.col("before.t") == F.col("after.t"), F.col("before.value")).otherwise(between).alias("v"))
 
 
+#: Positions of a cell that a position shares it with, on average, beyond which cells of nearest_position are halved.
+CROWD = 8
+
+
 def nearest_position(points: DataFrame, pings: DataFrame, cell: float, rings: int = 1) -> DataFrame:
     """points(point_id, lat, lon) -> nearest ping by Euclidean degrees among pings(ping_id, lat, lon); missing positions are skipped.
 
-    Pings are dealt into square cells; a point looks at its own and the neighbouring cells,
-    which is exact for pings within rings * cell degrees. Points without such a ping go down
+    Pings at one position are one candidate, the one with the smallest id. They are dealt into square
+    cells of `cell` degrees, or of halves of it where these would be crowded, so the pairs that are
+    formed grow with the points, not with their density. A point looks at its own and the neighbouring
+    cells, which is exact for pings within rings cells. Points without such a ping go down
     from the largest cells, at any distance. Points without a position get a null.
     """
+    own = pings.filter(~F.isnan("lat") & ~F.isnan("lon")).groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(F.min("ping_id").alias("ping_id"))
+    own = written(own)
+    cell = _uncrowded(own, cell)
     at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("int")
-    ok = pings.filter(~F.isnan("lat") & ~F.isnan("lon")).select("ping_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), at("lat").alias("gy"), at("lon").alias("gx"))
+    ok = own.select("ping_id", "plat", "plon", at("plat").alias("gy"), at("plon").alias("gx"))
     span = F.sequence(F.lit(-rings), F.lit(rings))
     spread = points.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span)).withColumn("gy", at("lat") + F.col("dy")).withColumn("gx", at("lon") + F.col("dx"))
     best = spread.join(ok, ["gy", "gx"]).withColumn("d2", _d2()).filter(F.col("d2") <= F.lit((rings * cell) ** 2)).groupBy("point_id").agg(F.min_by("ping_id", F.struct("d2", "ping_id")).alias("ping_id"))
+    best = written(best)
     far = points.filter(~F.isnan("lat") & ~F.isnan("lon")).select("point_id", "lat", "lon").join(best, "point_id", "left_anti")
     if not far.isEmpty():
         best = best.unionByName(_nearest_far(far, ok, cell))
     return points.select("point_id").join(best, "point_id", "left")
 
 
+def _uncrowded(positions: DataFrame, cell: float, halvings: int = 16) -> float:
+    """cell, halved until a position shares its cell with at most CROWD positions on average."""
+    for _ in range(halvings):
+        counts = positions.groupBy(F.floor(F.col("plat") / F.lit(cell)), F.floor(F.col("plon") / F.lit(cell))).agg(F.count("*").cast("double").alias("n"))
+        crowd = counts.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("m")).first().m
+        if crowd is None or crowd <= CROWD:
+            break
+        cell /= 2
+    return cell
+
+
 def _d2() -> Column:
     return F.pow(F.col("plat") - F.col("lat"), 2) + F.pow(F.col("plon") - F.col("lon"), 2)
 

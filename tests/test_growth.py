@@ -21,3 +21,14 @@ def test_pings_meet_polygons_as_cells_do(spark):
     cells = pings.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(15))))
     want = sorted(joins.cells_in_polygons(polygons, cells).collect())
     assert len(want) > 30 and sorted(joins.cells_in_polygons(polygons, pings, 16).collect()) == want
+
+
+def test_crowded_positions_form_few_pairs(spark):
+    rng = np.random.default_rng(8)
+    pings = [(i, float(x) / 1000, float(y) / 1000) for i, (x, y) in enumerate(rng.integers(0, 40, (4000, 2)))]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-0.01, 0.05, (60, 2)))]
+    table = lambda rows, key: spark.createDataFrame(rows, f"{key} int, lat double, lon double")
+    places = table(pings, "ping_id").select(F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct()
+    assert joins._uncrowded(places, 0.02) < 0.005
+    got = {r.point_id: r.ping_id for r in joins.nearest_position(table(points, "point_id"), table(pings, "ping_id"), 0.02).collect()}
+    assert got == {i: min(pings, key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[0] for i, x, y in points}
