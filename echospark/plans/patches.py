@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from ..functions import acoustic as A
 from ..operators import seabed as B
-from ..operators import slices
 from ..operators.labels import DISC
 from ..sources.tables import new_rows, stored_table
 
@@ -142,29 +141,74 @@ def made(r: Recipe, key: int, cy: int, data: np.ndarray, labels: np.ndarray, bot
     return np.concatenate([data, meta]), labels
 
 
-def _patch(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+#: Pings of a block, and the largest number of patches that are made from one copy of a block.
+BLOCK, MOST = 256, 128
+
+
+def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+    """Makes the patches of one block: rows of part -1 are patches, the others are the pings' values of a frequency, labels or metadata."""
     depth = len(r.freqs)
 
     def run(table: pa.Table) -> pa.Table:
-        which, x = table.column("part").to_numpy(), table.column("x").to_numpy()
+        part, ping = table.column("part").to_numpy(), table.column("ping_idx").to_numpy()
         values = table.column("values").combine_chunks()
-        flat, at = values.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(np.diff(values.offsets.to_numpy()))]
-        rows = lambda k: np.flatnonzero(which == k)
-        take = lambda k: np.stack([flat[at[i] : at[i + 1]] for i in rows(k)[np.argsort(x[rows(k)])]])
-        data = np.stack([take(k).T for k in range(depth)])
-        marks = take(depth)
-        ping = take(depth + 1) if r.meta else None
-        one = lambda c: table.column(c)[0].as_py()
-        out, labels = made(r, one("key"), one("cy"), data, marks[:, :-1].T.astype(np.int64), marks[:, -1], ping)
-        channels = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out[0].size), pa.array(out.astype(np.float32).ravel()))
+        flat, at = values.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+        own = np.flatnonzero(part < 0)
+        held = part >= 0
+        lo, hi = (int(ping[held].min()), int(ping[held].max()) + 1) if held.any() else (0, 1)
+
+        def matrix(k: int, n: int, fill: float, skip: int = 0) -> np.ndarray:
+            """Values of part k by ping, `skip` leading ones left out, filled up to n."""
+            out = np.full((hi - lo, n), fill)
+            for i in np.flatnonzero(part == k):
+                row = flat[at[i] + skip : at[i + 1]]
+                out[ping[i] - lo, : len(row)] = row
+            return out
+
+        lengths = np.diff(at)
+        longest = lambda ks, skip: max((int(lengths[i]) - skip for k in ks for i in np.flatnonzero(part == k)), default=0)
+        cube = [matrix(k, longest(range(depth), 0), 0.0) for k in range(depth)]
+        marks = matrix(depth, longest([depth], 1), A.IGNORE, 1)
+        bottom = np.full(hi - lo, np.inf)
+        for i in np.flatnonzero(part == depth):
+            bottom[ping[i] - lo] = flat[at[i]]
+        meta = matrix(depth + 1, 5, np.nan) if r.meta else None
+
+        def cut(m: np.ndarray, pings: np.ndarray, rows: np.ndarray, fill: float) -> np.ndarray:
+            """The cells (rows, pings) of a matrix by ping."""
+            out = np.full((len(rows), len(pings)), fill)
+            x, y = np.flatnonzero((pings >= lo) & (pings < hi)), np.flatnonzero((rows >= 0) & (rows < m.shape[1]))
+            if len(x) and len(y):
+                out[np.ix_(y, x)] = m[np.ix_(pings[x] - lo, rows[y])].T
+            return out
+
+        patches = [table.column(c).take(pa.array(own)).to_pylist() for c in ("raw_file", "patch_id", "key", "cy", "cx", "last")]
+        all_data, all_labels = [], []
+        for _, _, key, cy, cx, last in zip(*patches, strict=True):
+            pings, rows = cx - r.width // 2 + 1 + np.arange(r.width), cy - r.height // 2 + 1 + np.arange(r.height)
+            data = np.stack([cut(m, pings, rows, 0.0) for m in cube])
+            inside = (pings >= lo) & (pings < hi)
+            under = np.where(inside, bottom[np.clip(pings - lo, 0, hi - lo - 1)], np.inf)
+            planes = None
+            if r.meta:
+                # of a ping each column has time_diff and seabed; the time of day is that of the centre
+                planes = meta[np.clip(pings - 1, 0, last) - lo].copy()
+                planes[:, 2:4] = meta[min(max(cx, 0), last) - lo, 2:4]
+            out, labels = made(r, key, cy, data, cut(marks, pings, rows, A.IGNORE).astype(np.int64), under, planes)
+            all_data.append(out.astype(np.float32))
+            all_labels.append(labels.astype(np.int16).ravel())
+        flat_data = np.stack(all_data)
+        count, depth_out = flat_data.shape[:2]
+        cells = r.height * r.width
+        channels = pa.ListArray.from_arrays(pa.array(np.arange(count * depth_out + 1, dtype=np.int32) * cells), pa.array(flat_data.ravel()))
         return pa.table(
             {
-                "raw_file": pa.array([one("raw_file")], pa.string()),
-                "patch_id": pa.array([one("patch_id")], kind),
-                "cy": pa.array([one("cy")], pa.int32()),
-                "cx": pa.array([one("cx")], pa.int32()),
-                "data": pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), channels),
-                "labels": pa.ListArray.from_arrays(pa.array([0, labels.size], pa.int32()), pa.array(labels.astype(np.int16).ravel())),
+                "raw_file": pa.array(patches[0], pa.string()),
+                "patch_id": pa.array(patches[1], kind),
+                "cy": pa.array(patches[3], pa.int32()),
+                "cx": pa.array(patches[4], pa.int32()),
+                "data": pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * depth_out), channels),
+                "labels": pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * cells), pa.array(np.concatenate(all_labels))),
             }
         )
 
@@ -177,44 +221,50 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFra
     data has an array for each of recipe.channels(), labels one of classes and codes; cells go row by row.
     sv, labels and bottom are profiles, label maps and seabed indices by ping, pings their times.
     Metadata are read at the patch's centre, or at columns half a window ahead of it and on; pings beyond
-    a file's ends take the file's first or last value. Patch columns are joined with the pings they
-    cover and dealt by patch, so a task holds one patch at a time.
+    a file's ends take the file's first or last value. Pings are dealt in blocks of BLOCK with a halo of half
+    a window, so what is shuffled grows with the pings, not with the cells of the patches. A block with more than
+    MOST patches is dealt several times, so a task holds one block and at most about MOST patches.
     """
     r = recipe
     if r.chain not in ("train", "evaluate") or not set(r.meta) <= set(META):
         raise ValueError("unknown chain or metadata")
-    # the key travels with the id
-    name = F.struct("patch_id", F.col("key").cast("long").alias("key")).alias("patch_id")
-    keyed = patches.select("raw_file", name, F.col("cy").cast("int"), F.col("cx").cast("int"))
-    data = slices.crops(keyed, sv, "sv", r.height, r.width, 0.0, r.freqs)
+    keys = ["raw_file", "__b"]
+    files = pings.groupBy("raw_file").agg(F.max("ping_idx").alias("last"))
+    block = F.floor(F.greatest(F.lit(0), F.least(F.col("cx"), F.col("last"))) / F.lit(BLOCK)).cast("int").alias("__b")
+    centres = patches.select("raw_file", "patch_id", F.col("key").cast("long").alias("key"), F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx")).join(files, "raw_file", "left")
+    # a file without any ping has patches of fill values alone
+    centres = centres.withColumn("last", F.coalesce("last", F.lit(0))).withColumn("__b", block)
+    slots = F.ceil(F.col("__n") / F.lit(MOST)).cast("int")
+    crowds = centres.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, slots.alias("__n"))
+    centres = centres.join(crowds, keys).withColumn("__s", F.pmod(F.xxhash64("patch_id"), F.col("__n")).cast("int"))
+    half = r.width // 2 + 1
+    reach = F.sequence(F.greatest(F.floor((F.col("ping_idx") - half) / F.lit(BLOCK)), F.lit(0)).cast("int"), F.floor((F.col("ping_idx") + half) / F.lit(BLOCK)).cast("int"))
     place = F.element_at(F.create_map(*[F.lit(v) for k, f in enumerate(r.freqs) for v in (f, k)]), F.col("freq_hz"))
-    rows = data.select("raw_file", "patch_id", "cy", "cx", "x", place.alias("part"), F.col("sv").cast("array<double>").alias("values"))
-    marks = slices.crops(keyed, labels, "labels", r.height, r.width, A.IGNORE)
-    marks = marks.join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
-    with_bottom = F.concat(F.col("labels").cast("array<double>"), F.array(F.coalesce(F.col("seabed_idx").cast("double"), F.lit(float("inf")))))
-    rows = rows.unionByName(marks.select("raw_file", "patch_id", "cy", "cx", "x", F.lit(len(r.freqs)).alias("part"), with_bottom.alias("values")))
+    rows = sv.filter(F.col("freq_hz").isin(list(r.freqs))).select("raw_file", "ping_idx", place.alias("part"), F.col("sv").cast("array<double>").alias("values"))
+    marks = labels.select("raw_file", "ping_idx", "labels").join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
+    under = F.array(F.coalesce(F.col("seabed_idx").cast("double"), F.lit(float("inf"))))
+    rows = rows.unionByName(marks.select("raw_file", "ping_idx", F.lit(len(r.freqs)).alias("part"), F.concat(under, F.col("labels").cast("array<double>")).alias("values")))
     if r.meta:
-        rows = rows.unionByName(_meta(keyed, r, bottom, pings).withColumn("part", F.lit(len(r.freqs) + 1)))
-    rows = rows.select("raw_file", "patch_id.patch_id", "patch_id.key", "cy", "cx", "x", "part", "values")
+        rows = rows.unionByName(_meta(r, bottom, pings).withColumn("part", F.lit(len(r.freqs) + 1)))
+    dealt = rows.withColumn("__b", F.explode(reach)).join(crowds, keys).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     kind = patches.schema["patch_id"].dataType
+    none = lambda t: F.lit(None).cast(t)
+    dealt = dealt.select(*keys, "__s", "part", "ping_idx", "values", none(kind).alias("patch_id"), none("long").alias("key"), none("int").alias("cy"), none("int").alias("cx"), none("int").alias("last"))
+    asked = centres.select(*keys, "__s", F.lit(-1).alias("part"), F.lit(0).alias("ping_idx"), none("array<double>").alias("values"), "patch_id", "key", "cy", "cx", "last")
     schema = T.StructType([T.StructField("raw_file", T.StringType()), T.StructField("patch_id", kind)])
     schema = schema.add("cy", T.IntegerType()).add("cx", T.IntegerType()).add("data", T.ArrayType(T.ArrayType(T.FloatType()))).add("labels", T.ArrayType(T.ShortType()))
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
-    return rows.groupBy("raw_file", "patch_id").applyInArrow(_patch(r, arrow), schema)
+    return asked.unionByName(dealt).groupBy(*keys, "__s").applyInArrow(_blocks(r, arrow), schema)
 
 
-def _meta(patches: DataFrame, r: Recipe, bottom: DataFrame, pings: DataFrame) -> DataFrame:
-    """time_diff, seabed_idx, sine and cosine of the time of day, and portion of the year, for every column of every patch."""
+def _meta(r: Recipe, bottom: DataFrame, pings: DataFrame) -> DataFrame:
+    """time_diff, seabed_idx, sine and cosine of the time of day, and the portion of the year of the file's start, for every ping."""
     by_ping = B.time_difference(pings.select("raw_file", "ping_idx", "ping_time"), r.unit).join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
-    files = pings.groupBy("raw_file").agg((F.max("ping_idx")).alias("__last"), F.min("ping_time").alias("__start"))
-    inside = lambda c: F.greatest(F.lit(0), F.least(c, F.col("__last"))).cast("int")
-    known = patches.join(files, "raw_file")
+    times = pings.select("raw_file", "ping_idx", "ping_time").join(pings.groupBy("raw_file").agg(F.min("ping_time").alias("__start")), "raw_file")
     turn = 2 * F.pi() * A.portion_of_day(A.datenum(F.col("ping_time")))
-    centres = known.withColumn("ping_idx", inside(F.col("cx"))).join(pings.select("raw_file", "ping_idx", "ping_time"), ["raw_file", "ping_idx"])
-    centres = centres.select("raw_file", "patch_id", "cy", "cx", "__last", F.sin(turn).alias("__s"), F.cos(turn).alias("__c"), A.portion_of_year(F.col("__start")).alias("__y"))
-    columns = centres.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(r.width - 1)))).withColumn("ping_idx", inside(F.col("cx") - r.width // 2 + F.col("x")))
+    times = times.select("raw_file", "ping_idx", F.sin(turn).alias("__s"), F.cos(turn).alias("__c"), A.portion_of_year(F.col("__start")).alias("__y"))
     values = F.array(*[F.col(c).cast("double") for c in ("time_diff", "seabed_idx", "__s", "__c", "__y")])
-    return columns.join(by_ping, ["raw_file", "ping_idx"]).select("raw_file", "patch_id", "cy", "cx", "x", values.alias("values"))
+    return by_ping.join(times, ["raw_file", "ping_idx"]).select("raw_file", "ping_idx", values.alias("values"))
 
 
 def store_patches(patches: DataFrame, path: str, make: Callable[[DataFrame], DataFrame]) -> None:

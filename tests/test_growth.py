@@ -32,3 +32,28 @@ def test_crowded_positions_form_few_pairs(spark):
     assert joins._uncrowded(places, 0.02) < 0.005
     got = {r.point_id: r.ping_id for r in joins.nearest_position(table(points, "point_id"), table(pings, "ping_id"), 0.02).collect()}
     assert got == {i: min(pings, key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))[0] for i, x, y in points}
+
+
+def test_patches_of_crowded_blocks_at_their_borders(spark, monkeypatch):
+    from echospark.functions import acoustic as A
+    from echospark.plans import patches as P
+
+    monkeypatch.setattr(P, "MOST", 3)
+    n, h, r = 600, 12, P.Recipe((38000,), 6, 8)
+    pings = spark.range(n).select(F.lit("f").alias("raw_file"), F.col("id").cast("int").alias("ping_idx"))
+    sv = pings.select("*", F.lit(38000).alias("freq_hz"), F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda k: (F.col("ping_idx") * h + k) * F.lit(1e-7)).alias("sv"))
+    labels = pings.withColumn("labels", F.array_repeat(F.lit(0), h))
+    bottom, times = pings.withColumn("seabed_idx", F.lit(9)), pings.withColumn("ping_time", F.timestamp_seconds(F.col("ping_idx")))
+    centres = [(i, 1 + i % 10, x) for i, x in enumerate([-30, -3, 0, 250, 251, 252, 253, 254, 255, 256, 257, 258, 259, 260, 511, 512, 598, 601, 640])]
+    patches = spark.createDataFrame([("f", i, i, cy, cx) for i, cy, cx in centres] + [("gone", 99, 99, 3, 3)], "raw_file string, patch_id int, key long, cy int, cx int")
+    made = P.patch_set(patches, r, sv, labels, bottom, times)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(raw_file" in plan and "__b" in plan and "patch_id" not in plan.split("FlatMapGroupsInArrow")[1].split("\n")[0].split("[")[1].split("]")[0]
+    got = {x.patch_id: x for x in made.collect()}
+    assert len(got) == len(centres) + 1 and set(got[99].labels) == {A.IGNORE}
+    for i, cy, cx in centres:
+        q, p = np.mgrid[cy - 3 + 1 : cy - 3 + 1 + 6, cx - 4 + 1 : cx - 4 + 1 + 8]
+        inside = (p >= 0) & (p < n) & (q >= 0) & (q < h)
+        db = np.clip(10 * np.log10(np.where(inside, (p * h + q) * 1e-7, 0) + 1e-10), -75, 0)
+        np.testing.assert_allclose(got[i].data[0], db.ravel(), rtol=1e-5)
+        assert got[i].labels == np.where(inside, 0, A.IGNORE).ravel().tolist()
