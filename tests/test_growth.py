@@ -1,6 +1,8 @@
 """Plans and results of joins that small tables hide: explosions, equal positions, long files."""
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from echospark.operators import joins
@@ -57,3 +59,21 @@ def test_patches_of_crowded_blocks_at_their_borders(spark, monkeypatch):
         db = np.clip(10 * np.log10(np.where(inside, (p * h + q) * 1e-7, 0) + 1e-10), -75, 0)
         np.testing.assert_allclose(got[i].data[0], db.ravel(), rtol=1e-5)
         assert got[i].labels == np.where(inside, 0, A.IGNORE).ravel().tolist()
+
+
+@pytest.fixture(scope="module")
+def long_file(spark, tmp_path_factory):
+    """60,000 pings of one file; the mask's ping 503 and its neighbour have one time."""
+    path = str(tmp_path_factory.mktemp("long"))
+    e = F.col("id")
+    micros = F.lit(1_704_067_200_000_000) + F.when(e == 504, 503).otherwise(e) * 1_400_000
+    spark.range(60_000).select(e.alias("event_id"), F.timestamp_micros(micros).cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["b11_b13_tiles", "b12_region_tiles", "b12_trace_tiles", "b14_split_ranges", "e17_tile_counts", "d14_work_mask_cells"])
+def test_sql_holds_for_long_files_and_equal_times(spark, long_file, name):
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{long_file}/events.parquet/*.parquet'")
+    want = sorted(con.sql(Q.ORACLE[name]).fetchall())
+    assert len(want) > 800 and sorted(map(tuple, Q.QUERIES[name](spark, long_file).collect())) == want
