@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import acoustic as A
 from ..operators import seabed as B
+from ..operators import slices
 from ..operators.labels import DISC
 from ..sources.tables import new_rows, stored_table
 
@@ -257,6 +258,15 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFra
     return asked.unionByName(dealt).groupBy(*keys, "__s").applyInArrow(_blocks(r, arrow), schema)
 
 
+def patch_labels(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
+    """patch_set -> raw_file, patch_id, ping_idx, r, label: the cells of all patches with the classes and codes of the label chain."""
+    r = recipe
+    made = patch_set(patches, r, sv, labels, bottom, pings).select("raw_file", "patch_id", "cy", "cx", F.posexplode("labels").alias("i", "label"))
+    x, y = F.col("i") % r.width, F.floor(F.col("i") / r.width)
+    place = lambda p, c, size: slices.patch_to_data(p, F.col(c), size).cast("int")
+    return made.select("raw_file", "patch_id", place(x, "cx", r.width).alias("ping_idx"), place(y, "cy", r.height).alias("r"), F.col("label").cast("int").alias("label"))
+
+
 def _meta(r: Recipe, bottom: DataFrame, pings: DataFrame) -> DataFrame:
     """time_diff, seabed_idx, sine and cosine of the time of day, and the portion of the year of the file's start, for every ping."""
     by_ping = B.time_difference(pings.select("raw_file", "ping_idx", "ping_time"), r.unit).join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")

@@ -77,3 +77,9 @@ def test_sql_holds_for_long_files_and_equal_times(spark, long_file, name):
     con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{long_file}/events.parquet/*.parquet'")
     want = sorted(con.sql(Q.ORACLE[name]).fetchall())
     assert len(want) > 800 and sorted(map(tuple, Q.QUERIES[name](spark, long_file).collect())) == want
+
+
+def test_chains_read_profiles_once(spark):
+    for name in ("g5_training_chain", "g5_evaluation_chain", "m6_patch_data"):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert sum("Scan parquet" in line and "sv#" in line for line in plan.splitlines()) <= 1, name
