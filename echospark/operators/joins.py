@@ -197,17 +197,20 @@ def depth_bins(low: Column, high: Column, first: float, step: float, n: int) ->
 def align_channels(sv: DataFrame, main_hz: int) -> DataFrame:
     """Channels aligned in time: key = round(t / tolerance) with the main channel's smallest step as tolerance.
 
-    Every key of any channel has a row for every channel; a missing ping is a profile of NaN.
+    Every key of any channel has a row for every channel; a missing ping is a profile of NaN. What is known of a file
+    is one row and broadcast, and all channels of a key are gathered in one row, so profiles are shuffled once.
     """
     order = Window.partitionBy("raw_file").orderBy("t")
     main = sv.filter(F.col("freq_hz") == main_hz).withColumn("d", F.col("t") - F.lag("t").over(order))
     tol = main.filter("d > 0").groupBy("raw_file").agg(F.min("d").alias("tol"))
-    keyed = sv.join(tol, "raw_file").withColumn("k", F.rint(F.col("t") / F.col("tol")).cast("bigint"))
-    keys = keyed.select("raw_file", "k").distinct()
-    channels = keyed.groupBy("raw_file").agg(F.collect_set("freq_hz").alias("f"), F.max(F.size("sv")).alias("n"))
-    frame = keys.join(channels, "raw_file").select("raw_file", "k", F.explode("f").alias("freq_hz"), "n")
-    got = keyed.groupBy("raw_file", "k", "freq_hz").agg(F.min_by("sv", "t").alias("sv"))
-    return frame.join(got, ["raw_file", "k", "freq_hz"], "left").select("raw_file", "k", "freq_hz", F.coalesce("sv", F.array_repeat(F.lit(float("nan")), F.col("n"))).alias("sv"))
+    channels = sv.groupBy("raw_file").agg(F.collect_set("freq_hz").alias("f"), F.max(F.size("sv")).alias("n"))
+    files = F.broadcast(tol.join(channels, "raw_file"))
+    keyed = sv.join(F.broadcast(tol), "raw_file").withColumn("k", F.rint(F.col("t") / F.col("tol")).cast("bigint"))
+    # sorted by time, so that the first row of a channel is its earliest
+    near = keyed.groupBy("raw_file", "k").agg(F.sort_array(F.collect_list(F.struct("t", "freq_hz", "sv"))).alias("__rows"))
+    each = near.join(files, "raw_file").select("raw_file", "k", F.explode("f").alias("freq_hz"), "n", "__rows")
+    got = F.get(F.filter("__rows", lambda x: x["freq_hz"] == F.col("freq_hz")), F.lit(0))["sv"]
+    return each.select("raw_file", "k", "freq_hz", F.coalesce(got, F.array_repeat(F.lit(float("nan")), F.col("n"))).alias("sv"))
 
 
 def cells_in_polygons(polygons: DataFrame, cells: DataFrame, n_range: int | None = None) -> DataFrame:
