@@ -114,9 +114,14 @@ def append_predictions(df: DataFrame, path: str, resume: bool = True) -> None:
     rows.write.partitionBy("survey").mode("append" if resume else "overwrite").parquet(path)
 
 
+#: Rows of a range of a compacted table, on average; one task sorts a range.
+RANGE = 1 << 18
+
+
 def compact(df: DataFrame, path: str, keys: Sequence[str], files: int, max_records: int = 1_000_000) -> None:
-    """Rewrites a table in ranges of its keys, sorted, with bounded files."""
-    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", max_records).option("compression", "zstd").parquet(path)
+    """Rewrites a table in ranges of its keys, sorted, with bounded files: at least `files` ranges, and more of them for more than RANGE rows each."""
+    ranges = max(files, -(-df.count() // RANGE))
+    df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", max_records).option("compression", "zstd").parquet(path)
 
 
 def to_survey(parts: Sequence[DataFrame]) -> DataFrame:
