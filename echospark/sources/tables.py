@@ -92,7 +92,11 @@ def read_external_mask(spark: SparkSession, path: str) -> DataFrame:
 
 def new_rows(df: DataFrame, stored: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not stored yet."""
-    return df if stored is None else df.join(stored.select(*keys).distinct(), list(keys), "left_anti")
+    if stored is None:
+        return df
+    seen = stored.select(*keys).distinct()
+    # names of files are few; rows must not be shuffled by them
+    return df.join(F.broadcast(seen) if list(keys) == ["raw_file"] else seen, list(keys), "left_anti")
 
 
 def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
