@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +15,46 @@ def regrid_range(profile: Column | str, first: float, step: float, n_old: int, n
     """Conservative regrid along range: each new bin is the overlap-weighted mean of old bins, NaN if all are missing.
 
     Old bins are centred at first + i * step; new ones start at the same upper edge. A new bin looks
-    at the few old ones that it can overlap, so the work grows with the bins, not with their product.
+    at the few old ones that it can overlap, so the work grows with the bins, not with their product;
+    whole Arrow batches of profiles are regridded at once.
     """
     top = first - step / 2
     reach = math.ceil(new_step / step) + 1
-
-    def one(j: Column) -> Column:
-        lo, hi = top + j * new_step, top + (j + 1) * new_step
-        start = F.floor(j * (new_step / step)).cast("int")
-        old = F.slice(profile, start + 1, F.lit(reach))
-        places = F.sequence(start, start + (reach - 1))
-        weight = lambda i: F.greatest(F.least(hi, top + (i + 1) * step) - F.greatest(lo, top + i * step), F.lit(0.0))
-        parts = F.zip_with(old, places, lambda v, i: F.when(v.isNotNull() & ~F.isnan(v), F.struct(weight(i).alias("w"), v.alias("v"))))
-        none = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
-        more = lambda a, p: F.when(p.isNull(), a).otherwise(F.struct((a["w"] + p["w"]).alias("w"), (a["v"] + p["w"] * p["v"]).alias("v")))
-        return F.aggregate(parts, none, more, lambda a: F.when(a["w"] > 1e-12, a["v"] / a["w"]).otherwise(F.lit(float("nan"))))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), one)
+    j = np.arange(n_new)
+    start = np.floor(j * (new_step / step)).astype(int)
+    lo, hi = top + j * new_step, top + (j + 1) * new_step
+
+    @F.arrow_udf("array<double>")
+    def run(profiles: pa.Array) -> pa.Array:
+        old = _cells(profiles)
+        w, v = np.zeros((len(old), n_new)), np.zeros((len(old), n_new))
+        for k in range(reach):
+            i = start + k
+            there = np.flatnonzero(i < old.shape[1])
+            i = i[there]
+            share = np.maximum(np.minimum(hi[there], top + (i + 1) * step) - np.maximum(lo[there], top + i * step), 0.0)
+            cells = old[:, i]
+            known = ~np.isnan(cells)
+            w[:, there] += np.where(known, share, 0.0)
+            v[:, there] += np.where(known, share * cells, 0.0)
+        out = np.divide(v, w, out=np.full(w.shape, np.nan), where=w > 1e-12)
+        # a missing profile has missing bins
+        flat = pa.array(out.ravel(), mask=np.repeat(np.asarray(profiles.is_null()), n_new))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(old) + 1, dtype=np.int32) * n_new), flat)
+
+    return run(profile)
+
+
+def _cells(profiles: pa.Array) -> np.ndarray:
+    """Profiles as rows of the longest one's length, NaN for missing cells."""
+    size = pc.fill_null(pc.list_value_length(profiles), 0).to_numpy(zero_copy_only=False)
+    flat = pc.fill_null(profiles.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+    h = int(size.max()) if len(size) else 0
+    if (size == h).all():
+        return flat.reshape(len(size), h)
+    out = np.full((len(size), h), np.nan)
+    out[np.arange(h) < size[:, None]] = flat
+    return out
 
 
 def regrid_pings(sv: DataFrame, bounds: DataFrame, step: float) -> DataFrame:
@@ -59,8 +85,8 @@ def ping_bounds(ping: DataFrame) -> DataFrame:
 
 def energy(sv: DataFrame, by: list[str]) -> DataFrame:
     """by, total: sum of all cells without the missing ones."""
-    cell = F.aggregate("sv", F.lit(0.0), lambda a, v: a + F.when(F.isnan(v), 0.0).otherwise(v))
-    return sv.groupBy(*by).agg(F.sum(cell).alias("total"))
+    cells = sv.select(*by, F.explode("sv").alias("v"))
+    return cells.groupBy(*by).agg(F.sum(F.when(F.isnan("v"), 0.0).otherwise(F.col("v"))).alias("total"))
 
 
 def energy_kept(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
