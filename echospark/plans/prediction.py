@@ -33,7 +33,8 @@ def split_of(ping: Column, n: Column, max_n: int) -> tuple[Column, Column, Colum
 def in_splits(rows: DataFrame, files: DataFrame, max_n: int = SPLIT) -> DataFrame:
     """rows(raw_file, ping_idx) with the split as their raw_file and pings counted from its start; `of_file` and `first` lead back."""
     k, first, _ = split_of(F.col("ping_idx"), F.col("__n"), max_n)
-    named = rows.join(files.select("raw_file", F.col("n_pings").alias("__n")), "raw_file").withColumns({"__k": k, "first": first, "of_file": F.col("raw_file")})
+    # names of files are few; profiles must not be shuffled by them
+    named = rows.join(F.broadcast(files.select("raw_file", F.col("n_pings").alias("__n"))), "raw_file").withColumns({"__k": k, "first": first, "of_file": F.col("raw_file")})
     return named.withColumns({"raw_file": F.concat_ws("#", "of_file", "__k"), "ping_idx": F.col("ping_idx") - F.col("first")}).drop("__n", "__k")
 
 
@@ -73,7 +74,7 @@ def predicted(files: DataFrame, sv: DataFrame, labels: DataFrame, bottom: DataFr
     border cells of its patches. Interiors tile a split without gaps from bin 0 on; the pieces of a
     ping are put in order and filled up with 0 below the last tile. Pieces, not cells, are shuffled.
     """
-    part = lambda df: in_splits(df.join(files.select("raw_file"), "raw_file", "left_semi"), files, max_n)
+    part = lambda df: in_splits(df.join(F.broadcast(files.select("raw_file")), "raw_file", "left_semi"), files, max_n)
     ranges = slices.split_ranges(files.withColumn("start", F.lit(0)).withColumn("stop", F.col("n_pings")), max_n)
     k = split_of(F.col("lo"), F.col("n_pings"), max_n)[0]
     splits = ranges.filter("hi > lo").select(F.concat_ws("#", "raw_file", k).alias("raw_file"), (F.col("hi") - F.col("lo")).alias("n_pings"), "n_range", F.col("raw_file").alias("of_file"), F.col("lo").alias("first"))
