@@ -13,6 +13,8 @@ class is paired with the smallest one, and the verified links give first compone
 In buckets whose classes are not all connected yet, the classes outside the largest
 component are compared in blocks of bounded size with all classes that are still apart;
 a comparison names a class and the component that it may reach, not pairs of classes.
+A bucket is compared by overlapping ranges of the size of a set, as sets whose sizes are too far apart
+cannot be linked; a range without another component within reach of a class is closed.
 Each class is then verified against the largest component that it may reach, and, with
 the components merged, against what is still apart. So no link between components is
 lost, and copies are never expanded into all pairs. Only buckets of several classes
@@ -31,12 +33,13 @@ smallest id those of the smallest set, and one of rows that are equal in both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,58 +216,78 @@ def _shared(ws: Workspace, classes: DataFrame) -> DataFrame:
     return shared
 
 
+def _sketches(ws: Workspace, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, sig, prints of the classes that may be among wanted(cid), as a written table; registers of other classes are not shuffled."""
+    return ws.write(may_match(classes.select("cid", "sig", "prints"), "cid", wanted), "sketches")
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Powers of a little more than 100 / percent: sets of a common share of `percent` lie in the same class or in neighbouring ones."""
+    return F.floor(F.ln(n.cast("double")) / F.lit(max(1.001 * math.log(100 / percent), 1e-3))).cast("int")
+
+
 def _near(ws: Workspace, shared: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Classes a (with their size n) and the components that they are likely to reach through a bucket that they share.
 
-    In each bucket the classes outside its largest component are held against all classes
+    A bucket is cut into ranges of two neighbouring size classes, the lower of which is the range's own; a pair is
+    compared in the range that is the own one of its smaller set.
+    In each range the classes outside its largest component are held against all classes
     of other components. Both sides are dealt into blocks of bounded size by a hash of the
     class, so that a bucket of any size is many small tasks. A task reports a component
     once for each class, however many of its members are likely.
     """
-    named = shared.join(labels, shared.cid == labels.node, "left").select("k1", "k2", "cid", F.coalesce("label", "cid").alias("label"))
-    named = ws.write(named, "named")
-    parts = named.groupBy("k1", "k2", "label").agg(F.count("*").alias("c"))
+    sizes = classes.select("cid", "n").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("label", "cid").alias("label"))
+    named = shared.join(sizes, "cid").withColumn("of", size_class(F.col("n"), percent)).withColumn("i", F.explode(F.array(F.col("of") - 1, F.col("of"))))
+    named = ws.write(named.select("k1", "k2", "i", "cid", "label", "n", (F.col("i") == F.col("of")).alias("own"), (F.col("cid") == F.col("a")).alias("lead")), "named")
+    keys = ["k1", "k2", "i"]
+    parts = named.groupBy(*keys, "label").agg(F.count("*").alias("c"), F.bool_or("own").alias("own"), F.bool_or("lead").alias("lead"))
+    # what shares a bucket with its smallest class has been verified with that
     open_ = (
-        parts.groupBy("k1", "k2")
-        .agg(F.sum("c").alias("size"), F.count("*").alias("parts"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
-        .filter("parts > 1 and size > 2")
+        parts.groupBy(*keys)
+        .agg(F.sum("c").alias("size"), F.count("*").alias("parts"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"), F.bool_or("own").alias("own"), F.bool_or("lead").alias("lead"))
+        .filter("parts > 1 and own and (size > 2 or not lead)")
+        .drop("own", "lead")
     )
     open_ = ws.write(open_, "open")
     slot = lambda n, size: F.pmod(F.xxhash64("cid", F.lit(size)), F.ceil(n / F.lit(float(size))).cast("long"))
-    item = F.struct("cid", "label", "n", "sig", "prints", (F.col("label") != F.col("main")).alias("outer"))
-    full = (
-        named.join(open_, ["k1", "k2"])
-        .join(classes.select("cid", "n", "sig", "prints"), "cid")
-        .select("k1", "k2", item.alias("item"), slot(F.col("size"), BLOCK).alias("s"), slot(F.col("size") - F.col("most"), OUTER).alias("o"))
-    )
+    item = F.struct("cid", "label", "n", "sig", "prints", (F.col("label") != F.col("main")).alias("outer"), "own")
+    chosen = ws.write(named.join(open_, keys), "chosen")
+    ws.drop(named, open_)
+    sketches = _sketches(ws, classes, chosen.select("cid").distinct())
+    one = (F.col("size") <= BLOCK) & (F.col("size") - F.col("most") <= OUTER)
+    full = chosen.join(sketches, "cid").select(*keys, item.alias("item"), one.alias("one"), slot(F.col("size"), BLOCK).alias("s"), slot(F.col("size") - F.col("most"), OUTER).alias("o"))
     full = ws.write(full, "members")
-    y = full.groupBy("k1", "k2", "s").agg(F.collect_list("item").alias("ys"))
-    x = full.filter("item.outer").groupBy("k1", "k2", "o").agg(F.collect_list("item").alias("xs"))
-    near = x.join(y, ["k1", "k2"]).select("k1", "xs", "ys").mapInArrow(_likely_in_blocks(percent), "a long, n long, label long").distinct()
+    ws.drop(chosen, sketches)
+    # a range of one block is gathered once, with both sides in it
+    near = full.filter("one").groupBy(*keys).agg(F.collect_list("item").alias("ys")).select("k1", "ys").mapInArrow(_likely_in_blocks(percent), "a long, n long, label long")
+    y = full.filter("not one").groupBy(*keys, "s").agg(F.collect_list("item").alias("ys"))
+    x = full.filter("not one and item.outer").groupBy(*keys, "o").agg(F.collect_list("item").alias("xs"))
+    near = near.union(x.join(y, keys).select("k1", "xs", "ys").mapInArrow(_likely_in_blocks(percent), "a long, n long, label long")).distinct()
     near = ws.write(near, "near")
-    ws.drop(named, open_, full)
+    ws.drop(full)
     return near
 
 
 def _unpacked(items: pa.Array) -> tuple[np.ndarray, ...]:
     get = lambda name: items.field(name).to_numpy(zero_copy_only=False)
     sig = items.field("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint16).reshape(-1, REGISTERS)
-    return get("cid"), get("label"), get("n"), get("outer"), sig, items.field("prints")
+    return get("cid"), get("label"), get("n"), get("outer"), get("own"), sig, items.field("prints")
 
 
 def _likely_in_blocks(percent: int):
-    """k1, xs, ys -> a of xs, its size and label of ys where the estimate lets a pair pass, at the first band that it shares."""
+    """k1, xs, ys -> a of xs, its size and label of ys where the estimate lets a pair pass, at the first band that it shares. Without xs these are the outer ones of ys."""
     threshold = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 band, out_a, out_n, out_b = batch.column("k1")[i].as_py(), [], [], []
-                xc, xl, xn, _, xs, xp = _unpacked(batch.column("xs")[i].values)
-                yc, yl, yn, yo, ys, yp = _unpacked(batch.column("ys")[i].values)
+                items = batch.column("ys")[i].values
+                yc, yl, yn, yo, yi, ys, yp = _unpacked(items)
+                xc, xl, xn, _, xi, xs, xp = _unpacked(batch.column("xs")[i].values if "xs" in batch.schema.names else items.filter(items.field("outer")))
                 y_used, y_bands = ys > 0, ys.view(np.int64)
                 for k in range(len(xc)):
-                    ok = (yl != xl[k]) & (~yo | (yc > xc[k])) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
+                    ok = (yl != xl[k]) & (yi | xi[k]) & (~yo | (yc > xc[k])) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
                     at = np.flatnonzero(ok)
                     if not len(at):
                         continue
@@ -334,7 +357,7 @@ def _confirm_members(ws: Workspace, sets: DataFrame, members: DataFrame, near: D
 def _components(ws: Workspace, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, label of all classes that are linked with another one."""
     shared = _shared(ws, classes)
-    links = _confirm(ws, docs, classes, _likely_pairs(classes, shared.filter("cid <> a").select("a", F.col("cid").alias("b")).distinct(), percent), k, percent)
+    links = _confirm(ws, docs, classes, _likely_pairs(ws, classes, shared.filter("cid <> a").select("a", F.col("cid").alias("b")).distinct(), percent), k, percent)
     first = components(ws, links)
     near = _near(ws, shared, first, classes, percent)
     ws.drop(shared)
@@ -395,11 +418,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _likely_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) those whose sizes and registers allow the threshold."""
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("prints").alias(f"prints_{s}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return sized.mapInArrow(_likely(percent), "a long, b long")
+def _likely_pairs(ws: Workspace, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) those whose sizes and registers allow the threshold, as a written table."""
+    size = lambda s: classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    sized = ws.write(sized, "sized")
+    sketches = _sketches(ws, classes, sized.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    side = lambda s: sketches.select(F.col("cid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("prints").alias(f"prints_{s}"))
+    likely = ws.write(sized.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent), "a long, b long"), "likely")
+    ws.drop(sized, sketches)
+    return likely
 
 
 def _sets_of(ws: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -416,8 +444,7 @@ def _sets_of(ws: Workspace, docs: DataFrame, classes: DataFrame, wanted: DataFra
 
 
 def _confirm(ws: Workspace, docs: DataFrame, classes: DataFrame, likely: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs those whose full sets reach the threshold, as a written table."""
-    likely = ws.write(likely, "likely")
+    """Of candidate pairs those whose full sets reach the threshold, as a written table; likely is one too."""
     sets = _sets_of(ws, docs, classes, likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k)
     a = sets.select(F.col("cid").alias("a"), F.col("elements").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("elements").alias("set_b"))

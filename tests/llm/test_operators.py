@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from echospark.llm import decontamination, language, licenses, line_dedup, near_dedup, packing, quality, queries, toxicity, url_filter, warc
@@ -717,3 +718,26 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
         packed = docs.collect()
         want = [1, 3, 4, 4, 5, 6, None] if given else []
         assert sorted((r.doc_id for r in packed if r.start == 0), key=str) == want
+
+
+def test_near_dedup_compares_sets_of_like_sizes_only(spark, monkeypatch):
+    n = spark.range(1, 20001).select(F.col("id").alias("n"), F.ceil(F.col("id") * 0.8).alias("m"))
+    step = near_dedup.size_class(F.col("n"), 80) - near_dedup.size_class(F.col("m"), 80)
+    assert n.filter(~step.between(0, 1)).count() == 0
+    rows, write = {}, near_dedup.Workspace.write
+
+    def spy(ws, df, name):
+        out = write(ws, df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup.Workspace, "write", spy)
+    sig = near_dedup.registers(np.unique(np.random.default_rng(4).integers(0, 2**63, 3000).astype(np.uint64))).view(np.int64).tolist()
+    # classes 4 and 5 are like sizes apart from the first one, the others are too far from any
+    sizes = [1000, 30, 100, 300, 5000, 4100, 20000]
+    classes = spark.createDataFrame([(i, m, sig, b"") for i, m in enumerate(sizes)], "cid long, n long, sig array<long>, prints binary")
+    shared = spark.createDataFrame([(0, sig[0], i, 0) for i in range(len(sizes))], "k1 int, k2 long, cid long, a long")
+    none = spark.createDataFrame([], "node long, label long")
+    near = near_dedup._near(near_dedup.Workspace(spark, "near"), shared, none, classes, 80)
+    assert len(near.collect()) == 1 and {near.collect()[0].a, near.collect()[0].label} == {4, 5}
+    assert rows["members"] == [2]
