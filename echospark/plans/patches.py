@@ -51,11 +51,11 @@ class Recipe:
 
 def keyed_uniform(key: np.ndarray, seed: int) -> np.ndarray:
     """The numbers of functions.acoustic.keyed_uniform."""
-    m = 1 << 31
-    x = ((key % m) * 1103515245 + seed * 12345 + 12345) % m
-    x = (((x * x) >> 16) + x) % m
-    x = (x * 1103515245 + 12345 + seed * 7919) % m
-    return ((((x * x) >> 16) + x) % m) / 2147483648.0
+    m = (1 << 31) - 1  # bits kept: the remainder by 2**31, of negative numbers too
+    x = ((key & m) * 1103515245 + seed * 12345 + 12345) & m
+    x = (((x * x) >> 16) + x) & m
+    x = (x * 1103515245 + 12345 + seed * 7919) & m
+    return ((((x * x) >> 16) + x) & m) / 2147483648.0
 
 
 def noisy(data: np.ndarray, key: int, seed: int, share: float = 0.05) -> np.ndarray:
@@ -67,18 +67,19 @@ def noisy(data: np.ndarray, key: int, seed: int, share: float = 0.05) -> np.ndar
     return np.where(u < share / 2, data * (1 + 9 * v), np.where(u < share, data * v, data))
 
 
-def _moved(mask: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    """mask moved down and to the right, with unset cells coming in; the disc reaches three cells."""
+def _moved(mask: np.ndarray) -> list[np.ndarray]:
+    """mask moved by each offset of the disc, with unset cells coming in; the disc reaches three cells."""
     h, w = mask.shape
-    return np.pad(mask, 3)[3 - dy : 3 - dy + h, 3 - dx : 3 - dx + w]
+    wide = np.zeros((h + 6, w + 6), dtype=bool)
+    wide[3 : 3 + h, 3 : 3 + w] = mask
+    return [wide[3 - dy : 3 - dy + h, 3 - dx : 3 - dx + w] for dy, dx in DISC]
 
 
 def closed(mask: np.ndarray) -> np.ndarray:
     """Binary closing with the disc; cells beyond the edges count as unset in both steps."""
     if not mask.any():
         return mask
-    grown = np.logical_or.reduce([_moved(mask, dy, dx) for dy, dx in DISC])
-    return np.logical_and.reduce([_moved(grown, dy, dx) for dy, dx in DISC])
+    return np.logical_and.reduce(_moved(np.logical_or.reduce(_moved(mask))))
 
 
 def refined(labels: np.ndarray, v: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -160,14 +161,14 @@ def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
 
         def matrix(k: int, n: int, fill: float, skip: int = 0) -> np.ndarray:
             """Values of part k by ping, `skip` leading ones left out, filled up to n."""
-            out = np.full((hi - lo, n), fill)
-            for i in np.flatnonzero(part == k):
-                row = flat[at[i] + skip : at[i + 1]]
-                out[ping[i] - lo, : len(row)] = row
+            out, rows, cols = np.full((hi - lo, n), fill), np.flatnonzero(part == k), np.arange(n)
+            there, own = cols < (lengths[rows] - skip)[:, None], np.full((len(rows), n), fill)
+            own[there] = flat[((at[rows] + skip)[:, None] + cols)[there]]
+            out[ping[rows] - lo] = own
             return out
 
         lengths = np.diff(at)
-        longest = lambda ks, skip: max((int(lengths[i]) - skip for k in ks for i in np.flatnonzero(part == k)), default=0)
+        longest = lambda ks, skip: max(0, int(lengths[np.isin(part, list(ks))].max(initial=0)) - skip)
         cube = [matrix(k, longest(range(depth), 0), 0.0) for k in range(depth)]
         marks = matrix(depth, longest([depth], 1), A.IGNORE, 1)
         bottom = np.full(hi - lo, np.inf)
@@ -241,6 +242,9 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFra
     half = r.width // 2 + 1
     reach = F.sequence(F.greatest(F.floor((F.col("ping_idx") - half) / F.lit(BLOCK)), F.lit(0)).cast("int"), F.floor((F.col("ping_idx") + half) / F.lit(BLOCK)).cast("int"))
     place = F.element_at(F.create_map(*[F.lit(v) for k, f in enumerate(r.freqs) for v in (f, k)]), F.col("freq_hz"))
+    # files without patches are left out where they are read; their names are few
+    asked_files = F.broadcast(centres.select("raw_file").distinct())
+    sv, labels, bottom, pings = (t.join(asked_files, "raw_file", "left_semi") for t in (sv, labels, bottom, pings))
     rows = sv.filter(F.col("freq_hz").isin(list(r.freqs))).select("raw_file", "ping_idx", place.alias("part"), F.col("sv").cast("array<double>").alias("values"))
     marks = labels.select("raw_file", "ping_idx", "labels").join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
     under = F.array(F.coalesce(F.col("seabed_idx").cast("double"), F.lit(float("inf"))))

@@ -83,3 +83,15 @@ def test_chains_read_profiles_once(spark):
     for name in ("g5_training_chain", "g5_evaluation_chain", "m6_patch_data"):
         plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert sum("Scan parquet" in line and "sv#" in line for line in plan.splitlines()) <= 1, name
+
+
+def test_patches_are_made_from_their_own_files_and_summed_as_arrays(spark):
+    from echospark.plans import patches as P
+
+    pings = spark.range(6).select(F.concat(F.lit("f"), F.col("id") % 2).alias("raw_file"), F.floor(F.col("id") / 2).cast("int").alias("ping_idx"))
+    sv = pings.select("*", F.lit(38000).alias("freq_hz"), F.array_repeat(F.lit(1e-7), 4).alias("sv"))
+    one = spark.createDataFrame([("f0", 1, 1, 1, 1)], "raw_file string, patch_id int, key long, cy int, cx int")
+    made = P.patch_set(one, P.Recipe((38000,), 2, 2), sv, pings.withColumn("labels", F.array_repeat(F.lit(0), 4)), pings.withColumn("seabed_idx", F.lit(2)), pings.withColumn("ping_time", F.timestamp_seconds("ping_idx")))
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 1
+    plan = Q.QUERIES["m6_training_patches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode(cells" not in plan
