@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import point_in_interval
-from ..operators.slices import pad_to_survey, padded
+from ..operators.slices import longest_profiles, pad_to_survey, padded
 
 
 def usable_files(files: DataFrame, freqs: Sequence[int], minimum: tuple[int, int], excluded: DataFrame | None = None, years: Sequence[int] | None = None) -> DataFrame:
@@ -128,21 +128,30 @@ def compact(df: DataFrame, path: str, keys: Sequence[str], files: int, max_recor
     df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", max_records).option("compression", "zstd").parquet(path)
 
 
-def to_survey(parts: Sequence[DataFrame]) -> DataFrame:
-    """Files' profile tables stacked and padded to the survey's longest profile."""
+def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all parts, columns by name."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return pad_to_survey(out)
+    return out
+
+
+def to_survey(parts: Sequence[DataFrame]) -> DataFrame:
+    """Files' profile tables stacked and padded to the survey's longest profile."""
+    return pad_to_survey(stacked(parts))
 
 
 def convert_survey(parts: Sequence[DataFrame], labels: DataFrame, seabed: DataFrame) -> DataFrame:
-    """Files' profiles(survey, raw_file, ping_idx, freq_hz, sv) as cubes: sv padded with NaN, labels padded with 0, and `bottom`, 1 at and below the seabed, all as long as the survey's longest profile."""
-    cube = to_survey(parts)
+    """Files' profiles(survey, raw_file, ping_idx, freq_hz, sv) as cubes: sv padded with NaN, labels padded with 0, and `bottom`, 1 at and below the seabed, all as long as the survey's longest profile.
+
+    Parts meet the marks of their pings one by one, so give few and large parts: stacked parts lose
+    the buckets that they are stored in, and a join by ping would shuffle and sort all profiles.
+    """
     keys = ["raw_file", "ping_idx"]
     marks = labels.select(*keys, "labels").join(seabed.select(*keys, "seabed_idx"), keys, "left")
+    cube = pad_to_survey(stacked([p.join(marks, keys, "left") for p in parts]), longest=longest_profiles(stacked(parts)))
     n = F.size("sv")
-    wide = cube.join(marks, keys, "left").withColumn("labels", padded(F.slice(F.coalesce("labels", F.array().cast("array<int>")), F.lit(1), n), n, 0))
+    wide = cube.withColumn("labels", padded(F.slice(F.coalesce("labels", F.array().cast("array<int>")), F.lit(1), n), n, 0))
     below = F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.coalesce((r >= F.col("seabed_idx")).cast("int"), F.lit(0)))
     return wide.withColumn("bottom", F.when(n > 0, below).otherwise(F.array().cast("array<int>"))).drop("seabed_idx")
 

@@ -1,5 +1,6 @@
 """What larger tables ask of shared steps: profiles stay where they are stored, files are broadcast, blocks and ranges are bounded."""
 
+import itertools
 import math
 
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from echospark.operators import joins, labels, regrid, seabed, slices
 from echospark.plans import queries as Q
+from echospark.plans.queries import labelled
 from echospark.sources import tables
+from echospark.sources.fixtures import Survey
 
 SF = "/root/testdata/sf0.001"
 Q.load()
@@ -46,6 +49,34 @@ def test_surveys_are_padded_without_a_shuffle_of_profiles(no_broadcast):
     assert sorted((r.survey, r.sv) for r in out.collect()) == [(1, [1.0, -1.0]), (1, [1.0, 2.0]), (2, [])]
 
 
+def test_survey_cubes_do_not_shuffle_stored_profiles(no_broadcast):
+    v = Survey(no_broadcast, SF)
+    rows = v.sv.select("survey", "raw_file", "ping_idx", "freq_hz", "sv")
+    parts = [rows.filter("ping_idx % 2 = 0").withColumn("sv", F.slice("sv", 1, 40)), rows.filter("ping_idx % 2 = 1")]
+    lines = plan(tables.convert_survey(parts, labelled(v), v.seabed)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    assert sum("FileScan parquet" in x and "sv#" in x and "Bucketed: true" in x for x in lines) == 2
+    for at, line in enumerate(lines):
+        if "Exchange hashpartitioning(raw_file" in line:
+            below = list(itertools.takewhile(lambda x: depth(x) > depth(line), lines[at + 1 :]))
+            assert below and not any("sv#" in x for x in below)
+
+
+def test_survey_cubes_of_parts_of_unlike_lengths(spark):
+    table = lambda rows: spark.createDataFrame(rows, "survey int, raw_file string, ping_idx int, freq_hz int, sv array<double>")
+    parts = [table([(1, "a", 0, 18, [1.0]), (1, "a", 0, 38, [2.0]), (2, "c", 0, 18, [])]), table([(1, "b", 0, 18, [3.0, 4.0, 5.0]), (1, "a", 1, 18, [6.0])])]
+    marks = spark.createDataFrame([("a", 0, [7]), ("b", 0, [0, 8, 0, 9]), ("c", 0, [1])], "raw_file string, ping_idx int, labels array<int>")
+    bottom = spark.createDataFrame([("a", 0, 1), ("b", 0, 2), ("b", 5, 1)], "raw_file string, ping_idx int, seabed_idx int")
+    got = {(r.raw_file, r.ping_idx, r.freq_hz): (r.survey, ["nan" if math.isnan(x) else x for x in r.sv], r.labels, r.bottom) for r in tables.convert_survey(parts, marks, bottom).collect()}
+    assert got == {
+        ("a", 0, 18): (1, [1.0, "nan", "nan"], [7, 0, 0], [0, 1, 1]),
+        ("a", 0, 38): (1, [2.0, "nan", "nan"], [7, 0, 0], [0, 1, 1]),
+        ("a", 1, 18): (1, [6.0, "nan", "nan"], [0, 0, 0], [0, 0, 0]),
+        ("b", 0, 18): (1, [3.0, 4.0, 5.0], [0, 8, 0], [0, 0, 1]),
+        ("c", 0, 18): (2, [], [], []),
+    }
+
+
 def test_merged_categories_of_odd_masks(spark):
     nan = float("nan")
     rows = [("f", 0, 1, [1.0, nan, 0.0, 1.0]), ("f", 0, 27, [0.0, 1.0, nan, 2.0]), ("f", 0, -1, [9.0] * 4), ("f", 0, 5, [9.0] * 4), ("f", 1, 27, [0.0, nan]), ("f", 2, 1, [])]
