@@ -95,3 +95,11 @@ def test_patches_are_made_from_their_own_files_and_summed_as_arrays(spark):
     assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 1
     plan = Q.QUERIES["m6_training_patches"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "posexplode(cells" not in plan
+
+
+def test_splits_of_a_file_of_a_million_pings(spark):
+    from echospark.operators import slices
+
+    n = 1_200_000
+    got = slices.split_ranges(spark.createDataFrame([(0, n)], "start int, stop int"), 100).orderBy("lo").collect()
+    assert [(r.lo, r.hi) for r in got] == [(100 * k, 100 * k + 100) for k in range(n // 100)]
