@@ -94,31 +94,35 @@ def object_spans(objects: DataFrame, grow: int) -> DataFrame:
     return merged.groupBy("raw_file", "ping_idx").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
 
+def object_pings(objects: DataFrame, grow: int) -> DataFrame:
+    """raw_file, ping_idx: the pings of the boxes of objects, grown by `grow` (upper edges exclusive)."""
+    return objects.select("raw_file", F.explode(F.sequence(F.col("x0") - grow, F.col("x1") + grow - 1)).alias("ping_idx")).distinct()
+
+
 def _near(objects: DataFrame, grow: int, trace: bool) -> DataFrame:
     """raw_file, ping_idx, __near: with trace true for pings of grown boxes, else their spans."""
     if not trace:
         return object_spans(objects, grow).withColumnRenamed("spans", "__near")
-    pings = objects.select("raw_file", F.explode(F.sequence(F.col("x0") - grow, F.col("x1") + grow - 1)).alias("ping_idx")).distinct()
-    return pings.withColumn("__near", F.lit(True))
+    return object_pings(objects, grow).withColumn("__near", F.lit(True))
 
 
 def region_masked(cells: DataFrame, objects: DataFrame, grow: int = 20, trace: bool = False, outside: int = -1, compat: bool = False) -> DataFrame:
     """cells(raw_file, ping_idx, r, label) keep labels inside object boxes grown by `grow` (upper edge exclusive); with trace, at all ranges of their pings.
 
     Other cells become IGNORE; with compat they become `outside`, which no evaluation ignores, so
-    they count as negatives there. Boxes are exploded to pings, so the join is an equi-join. Pings with
+    they count as negatives there. Boxes are exploded to pings, so the join is an equi-join; they are never
+    broadcast, as what an explosion makes of a small table is not small. Pings with
     a label map (raw_file, ping_idx, labels) meet the boxes as such and become cells after that.
     """
     code = outside if compat else IGNORE
     if "labels" in cells.columns:
-        near = cells.select("raw_file", "ping_idx", "labels").join(_near(objects, grow, trace), ["raw_file", "ping_idx"], "left")
+        near = cells.select("raw_file", "ping_idx", "labels").join(_near(objects, grow, trace).hint("merge"), ["raw_file", "ping_idx"], "left")
         each = near.select("raw_file", "ping_idx", "__near", F.posexplode("labels").alias("r", "label"))
         hit = F.col("__near") if trace else F.exists("__near", lambda s: (F.col("r") >= s["lo"]) & (F.col("r") < s["hi"]))
         return each.select("raw_file", "ping_idx", "r", F.when(hit, F.col("label")).otherwise(code).alias("label"))
     if trace:
-        pings = objects.select("raw_file", F.explode(F.sequence(F.col("x0") - grow, F.col("x1") + grow - 1)).alias("ping_idx")).distinct()
-        joined = cells.join(pings.withColumn("__in", F.lit(True)), ["raw_file", "ping_idx"], "left")
+        joined = cells.join(object_pings(objects, grow).withColumn("__in", F.lit(True)).hint("merge"), ["raw_file", "ping_idx"], "left")
         return joined.withColumn("label", F.when(F.col("__in").isNotNull(), F.col("label")).otherwise(code)).select(*cells.columns)
-    joined = cells.join(object_spans(objects, grow), ["raw_file", "ping_idx"], "left")
+    joined = cells.join(object_spans(objects, grow).hint("merge"), ["raw_file", "ping_idx"], "left")
     hit = F.exists("spans", lambda s: (F.col("r") >= s["lo"]) & (F.col("r") < s["hi"]))
     return joined.withColumn("label", F.when(hit, F.col("label")).otherwise(code)).select(*cells.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -271,6 +271,27 @@ def patch_labels(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: Data
     return made.select("raw_file", "patch_id", place(x, "cx", r.width).alias("ping_idx"), place(y, "cy", r.height).alias("r"), F.col("label").cast("int").alias("label"))
 
 
+def _columns(r: Recipe):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            cells = batch.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(n, r.height, r.width).swapaxes(1, 2)
+            cx, cy = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy"))
+            ping = (cx - r.width // 2 + 1)[:, None] + np.arange(r.width, dtype=np.int32)
+            at = pa.array(np.arange(n * r.width + 1, dtype=np.int32) * r.height)
+            files = batch.column("raw_file").take(pa.array(np.repeat(np.arange(n), r.width)))
+            cols = [files, pa.array(ping.ravel()), pa.array(np.repeat(cy - r.height // 2 + 1, r.width)), pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(cells).ravel()))]
+            yield pa.RecordBatch.from_arrays(cols, ["raw_file", "ping_idx", "top", "labels"])
+
+    return run
+
+
+def patch_columns(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
+    """patch_set -> raw_file, ping_idx, top, labels: the columns of all patches, with their classes and codes from range bin `top` on."""
+    made = patch_set(patches, recipe, sv, labels, bottom, pings).select("raw_file", "cy", "cx", "labels")
+    return made.mapInArrow(_columns(recipe), "raw_file string, ping_idx int, top int, labels array<short>")
+
+
 def _meta(r: Recipe, bottom: DataFrame, pings: DataFrame) -> DataFrame:
     """time_diff, seabed_idx, sine and cosine of the time of day, and the portion of the year of the file's start, for every ping."""
     by_ping = B.time_difference(pings.select("raw_file", "ping_idx", "ping_time"), r.unit).join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
