@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import acoustic as A
 from ..operators import seabed as B
 from ..operators import slices
+from ..operators.blocks import BlockTable
 from ..operators.labels import DISC
 from ..sources.tables import new_rows, stored_table
 
@@ -150,8 +152,12 @@ BLOCK, MOST = 256, 128
 def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
     """Makes the patches of one block: rows of part -1 are patches, the others are the pings' values of a frequency, labels or metadata."""
     depth = len(r.freqs)
+    schema = pa.schema([("raw_file", pa.string()), ("patch_id", kind), ("cy", pa.int32()), ("cx", pa.int32()), ("data", pa.list_(pa.list_(pa.float32()))), ("labels", pa.list_(pa.int16()))])
 
     def run(table: pa.Table) -> pa.Table:
+        if pc.all(pc.greater_equal(table.column("part"), 0)).as_py():
+            # no patch fell to this copy of a crowded block
+            return schema.empty_table()
         part, ping = table.column("part").to_numpy(), table.column("ping_idx").to_numpy()
         values = table.column("values").combine_chunks()
         flat, at = values.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
@@ -217,7 +223,7 @@ def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
+def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
     """patches(raw_file, patch_id, key, cy, cx) -> raw_file, patch_id, cy, cx, data, labels: one row for each patch.
 
     data has an array for each of recipe.channels(), labels one of classes and codes; cells go row by row.
@@ -225,44 +231,57 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFra
     Metadata are read at the patch's centre, or at columns half a window ahead of it and on; pings beyond
     a file's ends take the file's first or last value. Pings are dealt in blocks of BLOCK with a halo of half
     a window, so what is shuffled grows with the pings, not with the cells of the patches. A block with more than
-    MOST patches is dealt several times, so a task holds one block and at most about MOST patches.
+    MOST patches is dealt several times, so a task holds one block and at most about MOST patches. Profiles that are
+    stored in blocks stay in their buckets, and what else a block needs is brought to them.
     """
-    r = recipe
+    r, half = recipe, recipe.width // 2 + 1
+    if isinstance(sv, BlockTable) and sv.halo < half:
+        sv = sv.table()
+    stored = isinstance(sv, BlockTable)
+    size = sv.size if stored else BLOCK
     if r.chain not in ("train", "evaluate") or not set(r.meta) <= set(META):
         raise ValueError("unknown chain or metadata")
     keys = ["raw_file", "__b"]
     files = pings.groupBy("raw_file").agg(F.max("ping_idx").alias("last"))
-    block = F.floor(F.greatest(F.lit(0), F.least(F.col("cx"), F.col("last"))) / F.lit(BLOCK)).cast("int").alias("__b")
+    block = F.floor(F.greatest(F.lit(0), F.least(F.col("cx"), F.col("last"))) / F.lit(size)).cast("int").alias("__b")
     centres = patches.select("raw_file", "patch_id", F.col("key").cast("long").alias("key"), F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx")).join(files, "raw_file", "left")
     # a file without any ping has patches of fill values alone
     centres = centres.withColumn("last", F.coalesce("last", F.lit(0))).withColumn("__b", block)
     slots = F.ceil(F.col("__n") / F.lit(MOST)).cast("int")
     crowds = centres.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, slots.alias("__n"))
     centres = centres.join(crowds, keys).withColumn("__s", F.pmod(F.xxhash64("patch_id"), F.col("__n")).cast("int"))
-    half = r.width // 2 + 1
-    reach = F.sequence(F.greatest(F.floor((F.col("ping_idx") - half) / F.lit(BLOCK)), F.lit(0)).cast("int"), F.floor((F.col("ping_idx") + half) / F.lit(BLOCK)).cast("int"))
+    reach = F.sequence(F.greatest(F.floor((F.col("ping_idx") - half) / F.lit(size)), F.lit(0)).cast("int"), F.floor((F.col("ping_idx") + half) / F.lit(size)).cast("int"))
     place = F.element_at(F.create_map(*[F.lit(v) for k, f in enumerate(r.freqs) for v in (f, k)]), F.col("freq_hz"))
     # files without patches are left out where they are read; their names are few
     asked_files = F.broadcast(centres.select("raw_file").distinct())
-    sv, labels, bottom, pings = (t.join(asked_files, "raw_file", "left_semi") for t in (sv, labels, bottom, pings))
-    rows = sv.filter(F.col("freq_hz").isin(list(r.freqs))).select("raw_file", "ping_idx", place.alias("part"), F.col("sv").cast("array<double>").alias("values"))
+    labels, bottom, pings = (t.join(asked_files, "raw_file", "left_semi") for t in (labels, bottom, pings))
+    profiles = sv.rows.withColumn("__b", F.col("block")) if stored else sv.join(asked_files, "raw_file", "left_semi")
+    profiles = profiles.filter(F.col("freq_hz").isin(list(r.freqs))).withColumns({"part": place, "values": F.col("sv").cast("array<double>")})
     marks = labels.select("raw_file", "ping_idx", "labels").join(bottom.select("raw_file", "ping_idx", "seabed_idx"), ["raw_file", "ping_idx"], "left")
     under = F.array(F.coalesce(F.col("seabed_idx").cast("double"), F.lit(float("inf"))))
-    rows = rows.unionByName(marks.select("raw_file", "ping_idx", F.lit(len(r.freqs)).alias("part"), F.concat(under, F.col("labels").cast("array<double>")).alias("values")))
+    rows = marks.select("raw_file", "ping_idx", F.lit(len(r.freqs)).alias("part"), F.concat(under, F.col("labels").cast("array<double>")).alias("values"))
     if r.meta:
         rows = rows.unionByName(_meta(r, bottom, pings).withColumn("part", F.lit(len(r.freqs) + 1)))
-    dealt = rows.withColumn("__b", F.explode(reach)).join(crowds, keys).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    if not stored:
+        rows = rows.unionByName(profiles.select("raw_file", "ping_idx", "part", "values"))
+    slot = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    dealt = rows.withColumn("__b", F.explode(reach)).join(crowds, keys).withColumn("__s", slot)
     kind = patches.schema["patch_id"].dataType
     none = lambda t: F.lit(None).cast(t)
-    dealt = dealt.select(*keys, "__s", "part", "ping_idx", "values", none(kind).alias("patch_id"), none("long").alias("key"), none("int").alias("cy"), none("int").alias("cx"), none("int").alias("last"))
+    without_patch = lambda df: df.select(*keys, "__s", "part", "ping_idx", "values", none(kind).alias("patch_id"), none("long").alias("key"), none("int").alias("cy"), none("int").alias("cx"), none("int").alias("last"))
     asked = centres.select(*keys, "__s", F.lit(-1).alias("part"), F.lit(0).alias("ping_idx"), none("array<double>").alias("values"), "patch_id", "key", "cy", "cx", "last")
     schema = T.StructType([T.StructField("raw_file", T.StringType()), T.StructField("patch_id", kind)])
     schema = schema.add("cy", T.IntegerType()).add("cx", T.IntegerType()).add("data", T.ArrayType(T.ArrayType(T.FloatType()))).add("labels", T.ArrayType(T.ShortType()))
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
-    return asked.unionByName(dealt).groupBy(*keys, "__s").applyInArrow(_blocks(r, arrow), schema)
+    dealt = asked.unionByName(without_patch(dealt))
+    if stored:
+        # dealt like the buckets, so the union keeps them; the pings of a block and half a window around it
+        near = profiles.filter((F.col("ping_idx") >= F.col("__b") * size - half) & (F.col("ping_idx") < (F.col("__b") + 1) * size + half))
+        dealt = dealt.repartition(sv.buckets, *keys).unionByName(without_patch(near.join(crowds.hint("shuffle_hash"), keys).withColumn("__s", slot)))
+    return dealt.groupBy(*keys, "__s").applyInArrow(_blocks(r, arrow), schema)
 
 
-def patch_labels(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
+def patch_labels(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
     """patch_set -> raw_file, patch_id, ping_idx, r, label: the cells of all patches with the classes and codes of the label chain."""
     r = recipe
     made = patch_set(patches, r, sv, labels, bottom, pings).select("raw_file", "patch_id", "cy", "cx", F.posexplode("labels").alias("i", "label"))
@@ -286,7 +305,7 @@ def _columns(r: Recipe):
     return run
 
 
-def patch_columns(patches: DataFrame, recipe: Recipe, sv: DataFrame, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
+def patch_columns(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:
     """patch_set -> raw_file, ping_idx, top, labels: the columns of all patches, with their classes and codes from range bin `top` on."""
     made = patch_set(patches, recipe, sv, labels, bottom, pings).select("raw_file", "cy", "cx", "labels")
     return made.mapInArrow(_columns(recipe), "raw_file string, ping_idx int, top int, labels array<short>")
