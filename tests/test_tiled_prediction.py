@@ -70,3 +70,33 @@ def test_profiles_and_cells_are_not_shuffled(spark):
     # between the stored profiles and the scores
     scored = next(i for i, line in enumerate(above) if "MapInArrow" in line)
     assert scored and not any("Exchange" in line for line in above[:scored]) and "explode(arrays_zip" not in plan
+
+
+def test_equal_cells_are_one_row_and_profiles_are_scored_as_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = [("f", p, *([float(x) for x in rng.choice([1e-7, 3e-6, np.nan, 1e-4], 6 + p % 2)] for _ in FREQS), rng.choice([0, 1, 27, 6009], 7).tolist()) for p in range(60)]
+    pings = spark.createDataFrame(rows, "raw_file string, ping_idx int, a array<double>, b array<double>, labels array<int>")
+    cells = pings.select("raw_file", "ping_idx", F.posexplode(F.arrays_zip("a", "b", "labels")).alias("r", "c"))
+    db = lambda n: A.db_clipped(A.without_non_finite(F.col(f"c.{n}"))).alias(n)
+    cells = cells.select("raw_file", "ping_idx", "r", A.species_class(F.col("c.labels")).alias("label"), db("a"), db("b"))
+    equal = jobs.equal_cells(cells, ["a", "b"])
+    assert equal.count() <= 3 * 4 * 4 and equal.agg(F.sum("n")).first()[0] == cells.filter("label between 0 and 2").count()
+    # the fit of weighted cells, one by one
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from echospark.operators.evaluation import CLASS_WEIGHTS
+
+    weights = F.get(F.array(*map(F.lit, CLASS_WEIGHTS)), F.col("label"))
+    each = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(cells.filter("label between 0 and 2").withColumn("weight", weights))
+    want = LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01, maxIter=5, family="multinomial").fit(each)
+    got = jobs.train_cells(cells, ["a", "b"], rounds=5)
+    np.testing.assert_allclose(got.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(got.interceptVector.toArray(), want.interceptVector.toArray(), rtol=1e-6, atol=1e-9)
+    w, b = got.coefficientMatrix.toArray(), got.interceptVector.toArray()
+    linear = lambda x: x @ w.T + b
+    scores = {(r.ping_idx, r.r): (r.p0, r.p1, r.p2) for r in jobs.score_cells(cells, ["a", "b"], linear).collect()}
+    profiles = {(r.ping_idx, k): p for r in jobs.score_profiles(pings, ["a", "b"], linear).collect() for k, p in enumerate(zip(r.p0, r.p1, r.p2, strict=True))}
+    assert set(profiles) == set(scores) and len(scores) == 60 * 7
+    for k, p in scores.items():
+        np.testing.assert_allclose(profiles[k], p, rtol=1e-9)
