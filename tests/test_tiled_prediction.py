@@ -89,10 +89,10 @@ def test_equal_cells_are_one_row_and_profiles_are_scored_as_cells(spark):
 
     weights = F.get(F.array(*map(F.lit, CLASS_WEIGHTS)), F.col("label"))
     each = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(cells.filter("label between 0 and 2").withColumn("weight", weights))
-    want = LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01, maxIter=5, family="multinomial").fit(each)
-    got = jobs.train_cells(cells, ["a", "b"], rounds=5)
-    np.testing.assert_allclose(got.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), rtol=1e-6, atol=1e-9)
-    np.testing.assert_allclose(got.interceptVector.toArray(), want.interceptVector.toArray(), rtol=1e-6, atol=1e-9)
+    want = LogisticRegression(labelCol="label", weightCol="weight", regParam=0.01, maxIter=200, tol=1e-10, family="multinomial").fit(each)
+    got = jobs.train_cells(cells, ["a", "b"], rounds=200)
+    np.testing.assert_allclose(got.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), rtol=1e-3, atol=1e-5)
+    np.testing.assert_allclose(got.interceptVector.toArray(), want.interceptVector.toArray(), rtol=1e-3, atol=1e-4)
     w, b = got.coefficientMatrix.toArray(), got.interceptVector.toArray()
     linear = lambda x: x @ w.T + b
     scores = {(r.ping_idx, r.r): (r.p0, r.p1, r.p2) for r in jobs.score_cells(cells, ["a", "b"], linear).collect()}
