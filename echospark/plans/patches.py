@@ -149,10 +149,10 @@ def made(r: Recipe, key: int, cy: int, data: np.ndarray, labels: np.ndarray, bot
 BLOCK, MOST = 256, 128
 
 
-def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
+def _blocks(r: Recipe, kind: pa.DataType, limits: tuple[str, ...] = ()) -> Callable[[pa.Table], pa.Table]:
     """Makes the patches of one block: rows of part -1 are patches, the others are the pings' values of a frequency, labels or metadata."""
     depth = len(r.freqs)
-    schema = pa.schema([("raw_file", pa.string()), ("patch_id", kind), ("cy", pa.int32()), ("cx", pa.int32()), ("data", pa.list_(pa.list_(pa.float32()))), ("labels", pa.list_(pa.int16()))])
+    schema = pa.schema([("raw_file", pa.string()), ("patch_id", kind), ("cy", pa.int32()), ("cx", pa.int32()), ("data", pa.list_(pa.list_(pa.float32()))), ("labels", pa.list_(pa.int16()))] + [(c, pa.int32()) for c in limits])
 
     def run(table: pa.Table) -> pa.Table:
         if pc.all(pc.greater_equal(table.column("part"), 0)).as_py():
@@ -182,27 +182,27 @@ def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
             bottom[ping[i] - lo] = flat[at[i]]
         meta = matrix(depth + 1, 5, np.nan) if r.meta else None
 
-        def cut(m: np.ndarray, pings: np.ndarray, rows: np.ndarray, fill: float) -> np.ndarray:
-            """The cells (rows, pings) of a matrix by ping."""
+        def cut(m: np.ndarray, pings: np.ndarray, inside: np.ndarray, rows: np.ndarray, fill: float) -> np.ndarray:
+            """The cells (rows, pings) of a matrix by ping; `fill` for pings that are not inside."""
             out = np.full((len(rows), len(pings)), fill)
-            x, y = np.flatnonzero((pings >= lo) & (pings < hi)), np.flatnonzero((rows >= 0) & (rows < m.shape[1]))
+            x, y = np.flatnonzero(inside), np.flatnonzero((rows >= 0) & (rows < m.shape[1]))
             if len(x) and len(y):
                 out[np.ix_(y, x)] = m[np.ix_(pings[x] - lo, rows[y])].T
             return out
 
-        patches = [table.column(c).take(pa.array(own)).to_pylist() for c in ("raw_file", "patch_id", "key", "cy", "cx", "last")]
+        patches = [table.column(c).take(pa.array(own)).to_pylist() for c in ("raw_file", "patch_id", "key", "cy", "cx", "last", "lo", "hi")]
         all_data, all_labels = [], []
-        for _, _, key, cy, cx, last in zip(*patches, strict=True):
+        for _, _, key, cy, cx, last, least, end in zip(*patches, strict=True):
             pings, rows = cx - r.width // 2 + 1 + np.arange(r.width), cy - r.height // 2 + 1 + np.arange(r.height)
-            data = np.stack([cut(m, pings, rows, 0.0) for m in cube])
-            inside = (pings >= lo) & (pings < hi)
+            inside = (pings >= max(lo, least)) & (pings < min(hi, end))
+            data = np.stack([cut(m, pings, inside, rows, 0.0) for m in cube])
             under = np.where(inside, bottom[np.clip(pings - lo, 0, hi - lo - 1)], np.inf)
             planes = None
             if r.meta:
                 # of a ping each column has time_diff and seabed; the time of day is that of the centre
                 planes = meta[np.clip(pings - 1, 0, last) - lo].copy()
                 planes[:, 2:4] = meta[min(max(cx, 0), last) - lo, 2:4]
-            out, labels = made(r, key, cy, data, cut(marks, pings, rows, A.IGNORE).astype(np.int64), under, planes)
+            out, labels = made(r, key, cy, data, cut(marks, pings, inside, rows, A.IGNORE).astype(np.int64), under, planes)
             all_data.append(out.astype(np.float32))
             all_labels.append(labels.astype(np.int16).ravel())
         flat_data = np.stack(all_data)
@@ -217,6 +217,7 @@ def _blocks(r: Recipe, kind: pa.DataType) -> Callable[[pa.Table], pa.Table]:
                 "cx": pa.array(patches[4], pa.int32()),
                 "data": pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * depth_out), channels),
                 "labels": pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * cells), pa.array(np.concatenate(all_labels))),
+                **{c: pa.array(patches[6 + k], pa.int32()) for k, c in enumerate(limits)},
             }
         )
 
@@ -233,6 +234,7 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, la
     a window, so what is shuffled grows with the pings, not with the cells of the patches. A block with more than
     MOST patches is dealt several times, so a task holds one block and at most about MOST patches. Profiles that are
     stored in blocks stay in their buckets, and what else a block needs is brought to them.
+    Patches with `lo` and `hi` see the pings from lo to hi - 1 only and keep both columns; they have no metadata.
     """
     r, half = recipe, recipe.width // 2 + 1
     if isinstance(sv, BlockTable) and sv.halo < half:
@@ -241,10 +243,13 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, la
     size = sv.size if stored else BLOCK
     if r.chain not in ("train", "evaluate") or not set(r.meta) <= set(META):
         raise ValueError("unknown chain or metadata")
+    limits = ("lo", "hi") if "lo" in patches.columns else ()
+    if limits and r.meta:
+        raise ValueError("patches with limits have no metadata")
     keys = ["raw_file", "__b"]
     files = pings.groupBy("raw_file").agg(F.max("ping_idx").alias("last"))
     block = F.floor(F.greatest(F.lit(0), F.least(F.col("cx"), F.col("last"))) / F.lit(size)).cast("int").alias("__b")
-    centres = patches.select("raw_file", "patch_id", F.col("key").cast("long").alias("key"), F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx")).join(files, "raw_file", "left")
+    centres = patches.select("raw_file", "patch_id", F.col("key").cast("long").alias("key"), F.col("cy").cast("int").alias("cy"), F.col("cx").cast("int").alias("cx"), *(F.col(c).cast("int").alias(c) if limits else F.lit(v).alias(c) for c, v in (("lo", 0), ("hi", (1 << 31) - 1)))).join(files, "raw_file", "left")
     # a file without any ping has patches of fill values alone
     centres = centres.withColumn("last", F.coalesce("last", F.lit(0))).withColumn("__b", block)
     slots = F.ceil(F.col("__n") / F.lit(MOST)).cast("int")
@@ -268,17 +273,19 @@ def patch_set(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, la
     dealt = rows.withColumn("__b", F.explode(reach)).join(crowds, keys).withColumn("__s", slot)
     kind = patches.schema["patch_id"].dataType
     none = lambda t: F.lit(None).cast(t)
-    without_patch = lambda df: df.select(*keys, "__s", "part", "ping_idx", "values", none(kind).alias("patch_id"), none("long").alias("key"), none("int").alias("cy"), none("int").alias("cx"), none("int").alias("last"))
-    asked = centres.select(*keys, "__s", F.lit(-1).alias("part"), F.lit(0).alias("ping_idx"), none("array<double>").alias("values"), "patch_id", "key", "cy", "cx", "last")
+    without_patch = lambda df: df.select(*keys, "__s", "part", "ping_idx", "values", none(kind).alias("patch_id"), none("long").alias("key"), none("int").alias("cy"), *(none("int").alias(c) for c in ("cx", "last", "lo", "hi")))
+    asked = centres.select(*keys, "__s", F.lit(-1).alias("part"), F.lit(0).alias("ping_idx"), none("array<double>").alias("values"), "patch_id", "key", "cy", "cx", "last", "lo", "hi")
     schema = T.StructType([T.StructField("raw_file", T.StringType()), T.StructField("patch_id", kind)])
     schema = schema.add("cy", T.IntegerType()).add("cx", T.IntegerType()).add("data", T.ArrayType(T.ArrayType(T.FloatType()))).add("labels", T.ArrayType(T.ShortType()))
+    for c in limits:
+        schema = schema.add(c, T.IntegerType())
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.int64() if isinstance(kind, T.LongType) else pa.int32()
     dealt = asked.unionByName(without_patch(dealt))
     if stored:
         # dealt like the buckets, so the union keeps them; the pings of a block and half a window around it
         near = profiles.filter((F.col("ping_idx") >= F.col("__b") * size - half) & (F.col("ping_idx") < (F.col("__b") + 1) * size + half))
         dealt = dealt.repartition(sv.buckets, *keys).unionByName(without_patch(near.join(crowds.hint("shuffle_hash"), keys).withColumn("__s", slot)))
-    return dealt.groupBy(*keys, "__s").applyInArrow(_blocks(r, arrow), schema)
+    return dealt.groupBy(*keys, "__s").applyInArrow(_blocks(r, arrow, limits), schema)
 
 
 def patch_labels(patches: DataFrame, recipe: Recipe, sv: DataFrame | BlockTable, labels: DataFrame, bottom: DataFrame, pings: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import acoustic as A
 from ..operators import slices
+from ..operators.blocks import BlockTable
 from ..sources.tables import stored_table
 from .patches import Recipe, patch_set
 
@@ -41,11 +42,12 @@ def in_splits(rows: DataFrame, files: DataFrame, max_n: int = SPLIT) -> DataFram
 def scored_patches(patches: DataFrame, recipe: Recipe, model: Model) -> DataFrame:
     """patches(patch_set) -> raw_file, ping_idx, top, p1, p2: probabilities of sandeel and other in the columns of the patches' interiors.
 
-    The arrays start at range bin `top`. Cells with the codes OVERLAP, SEABED or IGNORE are 0; numbers are
+    The arrays start at range bin `top`; columns beyond the limits of a patch (lo, hi) are left out. Cells with the codes OVERLAP, SEABED or IGNORE are 0; numbers are
     rounded to half precision, as predictions are stored.
     """
     r = recipe
-    cols = np.arange(r.overlap, r.width - r.overlap)
+    own_cols = np.arange(r.overlap, r.width - r.overlap)
+    limited = "lo" in patches.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +59,10 @@ def scored_patches(patches: DataFrame, recipe: Recipe, model: Model) -> DataFram
                 e = np.exp(s - s.max(axis=0))
                 p = np.where(np.isin(labels, (A.OVERLAP, A.SEABED, A.IGNORE)), 0.0, e[1:] / e.sum(axis=0)).astype(np.float16).astype(np.float32)
                 cy, cx = row.column("cy")[0].as_py(), row.column("cx")[0].as_py()
+                cols = own_cols
+                if limited:
+                    at = cx - r.width // 2 + 1 + cols
+                    cols = cols[(at >= row.column("lo")[0].as_py()) & (at < row.column("hi")[0].as_py())]
                 inner = p[:, r.overlap : r.height - r.overlap, cols].swapaxes(1, 2)
                 at = pa.array(np.arange(len(cols) + 1, dtype=np.int32) * inner.shape[2])
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(x).ravel())) for x in inner]
@@ -67,23 +73,32 @@ def scored_patches(patches: DataFrame, recipe: Recipe, model: Model) -> DataFram
     return patches.mapInArrow(run, "raw_file string, ping_idx int, top int, p1 array<float>, p2 array<float>")
 
 
-def predicted(files: DataFrame, sv: DataFrame, labels: DataFrame, bottom: DataFrame, pings: DataFrame, recipe: Recipe, model: Model, max_n: int = SPLIT) -> DataFrame:
+def predicted(files: DataFrame, sv: DataFrame | BlockTable, labels: DataFrame, bottom: DataFrame, pings: DataFrame, recipe: Recipe, model: Model, max_n: int = SPLIT) -> DataFrame:
     """files(raw_file, n_pings, n_range) -> raw_file, ping_idx, p_sandeel, p_other: whole profiles of all their pings.
 
     Files are cut into splits of at most max_n pings, each tiled on its own, so pings beyond a split are
     border cells of its patches. Interiors tile a split without gaps from bin 0 on; the pieces of a
-    ping are put in order and filled up with 0 below the last tile. Pieces, not cells, are shuffled.
+    ping are put in order and filled up with 0 below the last tile. Pieces, not cells, are shuffled. Profiles that are
+    stored in blocks stay there: patches of a split are made from the file's blocks and see the pings of their split.
     """
     part = lambda df: in_splits(df.join(F.broadcast(files.select("raw_file")), "raw_file", "left_semi"), files, max_n)
     ranges = slices.split_ranges(files.withColumn("start", F.lit(0)).withColumn("stop", F.col("n_pings")), max_n)
     k = split_of(F.col("lo"), F.col("n_pings"), max_n)[0]
     splits = ranges.filter("hi > lo").select(F.concat_ws("#", "raw_file", k).alias("raw_file"), (F.col("hi") - F.col("lo")).alias("n_pings"), "n_range", F.col("raw_file").alias("of_file"), F.col("lo").alias("first"))
     own_bottom = part(bottom)
-    grid = slices.tiles(splits, own_bottom, recipe.height, recipe.overlap)
-    done = scored_patches(patch_set(grid.withColumn("key", F.lit(0)), recipe, part(sv), part(labels), own_bottom, part(pings)), recipe, model)
-    pieces = done.groupBy("raw_file", "ping_idx").agg(F.array_sort(F.collect_list(F.struct("top", "p1", "p2"))).alias("pieces"))
-    out = pieces.join(splits, "raw_file").filter("ping_idx >= 0 and ping_idx < n_pings")
+    grid = slices.tiles(splits, own_bottom, recipe.height, recipe.overlap).withColumn("key", F.lit(0))
     whole = lambda p: F.slice(slices.padded(F.flatten(F.transform("pieces", lambda x: x[p])), F.col("n_range"), F.lit(0).cast("float")), F.lit(1), F.col("n_range"))
+    ordered = F.array_sort(F.collect_list(F.struct("top", "p1", "p2"))).alias("pieces")
+    if isinstance(sv, BlockTable) and not recipe.meta:
+        # splits of long files are many: they are not broadcast
+        limits = splits.select("raw_file", "of_file", "first", F.col("first").alias("lo"), (F.col("first") + F.col("n_pings")).alias("hi"))
+        grid = grid.join(limits.hint("shuffle_hash"), "raw_file").select(F.col("of_file").alias("raw_file"), "patch_id", "key", "cy", (F.col("cx") + F.col("first")).alias("cx"), "lo", "hi")
+        pieces = scored_patches(patch_set(grid, recipe, sv, labels, bottom, pings), recipe, model).groupBy("raw_file", "ping_idx").agg(ordered)
+        out = pieces.join(F.broadcast(files.select("raw_file", "n_range")), "raw_file")
+        return out.select("raw_file", "ping_idx", whole("p1").alias("p_sandeel"), whole("p2").alias("p_other"))
+    sv = sv.table() if isinstance(sv, BlockTable) else sv
+    done = scored_patches(patch_set(grid, recipe, part(sv), part(labels), own_bottom, part(pings)), recipe, model)
+    out = done.groupBy("raw_file", "ping_idx").agg(ordered).join(splits, "raw_file").filter("ping_idx >= 0 and ping_idx < n_pings")
     return out.select(F.col("of_file").alias("raw_file"), (F.col("ping_idx") + F.col("first")).alias("ping_idx"), whole("p1").alias("p_sandeel"), whole("p2").alias("p_other"))
 
 

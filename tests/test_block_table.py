@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from echospark.operators import seabed
 from echospark.operators.blocks import BlockTable
 from echospark.plans import patches as P
 from echospark.plans import queries as Q
+from echospark.plans.prediction import predicted
 from echospark.plans.queries import labelled
 from echospark.plans.query_jobs import _TRAIN
 from echospark.sources import fixtures
@@ -89,3 +91,17 @@ def test_stored_blocks_are_not_shuffled_for_survey_lines(spark, blocks):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     # only the profiles at the ends of files are, after they are aggregated
     assert "Window" in plan and not [x for x in exchanges_of_profiles(rows, aggregated=False)]
+
+
+@pytest.mark.parametrize("split", [5000, 9])
+def test_predictions_from_stored_blocks_are_those_of_pings(spark, blocks, split):
+    v = Survey(spark, SF)
+    model = lambda x: np.stack([np.zeros_like(x[:, 0], dtype=float), x[:, 0] / 20.0 + np.roll(x[:, 0], 1, axis=2) / 30.0, x[:, 1] / 20.0], axis=1)
+    recipe = P.Recipe((18000, 38000), 16, 16, "evaluate", overlap=2, low=1e-7, high=4e-6)
+    files = v.file.filter("raw_file > '2024-01-15'").select("raw_file", "n_pings", "n_range")
+    made = lambda sv: predicted(files, sv, labelled(v), v.seabed, v.ping, recipe, model, split)
+    rows = lambda df: {(r.raw_file, r.ping_idx, tuple(r.p_sandeel), tuple(r.p_other)) for r in df.collect()}
+    want = rows(made(v.sv.drop("ping_time", "e")))
+    got = made(blocks)
+    assert len(want) > 400 and rows(got) == want
+    assert not exchanges_of_profiles(got, aggregated=False)
